@@ -1,0 +1,58 @@
+"""Tables of fixed size that every task fills and that add up (or take the larger entry) across tasks."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SCHEMA = "name string, chunk int, cells binary"
+CHUNK = 1 << 17
+
+
+def emit(name: str, table: np.ndarray):
+    """Record batches of (name, chunk, cells) with the chunks that hold anything; uint8 or uint32 cells."""
+    import pyarrow as pa
+    import zstandard
+
+    pack, flat = zstandard.ZstdCompressor(1), table.reshape(-1)
+    for k in range(0, len(flat), CHUNK):
+        part = flat[k : k + CHUNK]
+        if part.any():
+            raw = part.astype(np.uint8) if part.max() < 256 else part.astype(np.uint64)
+            yield pa.record_batch([pa.array([name]), pa.array([k // CHUNK], pa.int32()), pa.array([pack.compress(raw.tobytes())], pa.binary())], names=["name", "chunk", "cells"])
+
+
+def _open(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=8 * CHUNK)
+    return np.frombuffer(raw, np.uint8 if len(raw) <= CHUNK else np.uint64).astype(np.uint64)
+
+
+def _merge(larger: frozenset):
+    def run(pdf):
+        import pandas as pd
+        import zstandard
+
+        total = None
+        for blob in pdf["cells"]:
+            x = _open(blob)
+            total = x if total is None else np.maximum(total, x) if pdf["name"].iloc[0] in larger else total + x
+        raw = total.astype(np.uint8) if total.max() < 256 and len(total) == CHUNK else total
+        return pd.DataFrame({"name": pdf["name"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "salt": [-1], "cells": [zstandard.ZstdCompressor(1).compress(raw.tobytes())]})
+
+    return run
+
+
+def gather(parts: DataFrame, sizes: dict[str, tuple], larger: frozenset = frozenset()) -> dict[str, np.ndarray]:
+    """Merge the tasks' tables and bring them to the driver; `sizes` fixes their shapes, whatever the input's size is.
+
+    Two steps, so that no task reads what all tasks sent for a chunk. Cells must be multiples of CHUNK in number.
+    """
+    kind = "name string, chunk int, salt int, cells binary"
+    once = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("name", "chunk", "salt").applyInPandas(_merge(larger), kind)
+    out = {n: np.zeros(shape, np.float64 if n not in larger else np.uint8) for n, shape in sizes.items()}
+    for r in once.groupBy("name", "chunk").applyInPandas(_merge(larger), kind).toLocalIterator():
+        out[r["name"]].reshape(-1)[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = _open(bytes(r["cells"]))
+    return out
