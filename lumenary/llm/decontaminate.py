@@ -75,7 +75,7 @@ def _cut(fingerprint: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fingerprint, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 75, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 75, radius: int = RADIUS, keep_key: bool = False) -> DataFrame:
     """The documents that hold a benchmark item: doc_id, item_id, start_word, n_words, similarity, hamming.
 
     One row for each document and item, for its most similar window (the first, of several): `n_words` words from
@@ -83,7 +83,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     counts if its fingerprint is within `radius` bits of the item's and its weighted Jaccard similarity, over shingles
     of `width` words (of all words, for shorter items), is at least `percent` hundredths. Words are lower-cased (A-Z)
     and parted by ASCII white space. Null and empty texts or items match nothing; a repeated row gives one row; rows
-    with a null doc_id are reported with it; of equal items each is reported.
+    with a null doc_id are reported with it; of equal items each is reported. `keep_key` adds the rows' hash, `rid`.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
@@ -148,7 +148,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     found = found.withColumn("similarity", F.col("both") / F.col("any"))
     first = F.max_by(F.struct("s", "n", "similarity", "hamming"), F.struct(F.col("similarity").alias("a"), (-F.col("s")).alias("b")))
     out = found.groupBy("rid", "item_id").agg(F.first("doc_id").alias("doc_id"), first.alias("x"))
-    return out.select("doc_id", "item_id", F.col("x.s").cast("long").alias("start_word"), F.col("x.n").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"), F.col("x.hamming").cast("long").alias("hamming"))
+    return out.select(*(["rid"] if keep_key else []), "doc_id", "item_id", F.col("x.s").cast("long").alias("start_word"), F.col("x.n").cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"), F.col("x.hamming").cast("long").alias("hamming"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """`docs` without the rows that hold a benchmark item; all columns and all other rows stay, null and empty texts too."""
+    bad = T.checkpoint(contaminated(docs, benchmark, keep_key=True, **options).select("rid").distinct())
+    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.withColumn("_rid", key).join(bad.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

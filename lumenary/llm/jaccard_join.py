@@ -195,15 +195,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text; further columns are ignored).
-
-    Two documents link when 100 * intersection >= percent * union of their sets of `width`-word shingles; words are
-    lower-cased (A-Z) and parted by ASCII white space; a text of fewer words is one shingle. component_id is the
-    smallest doc_id that links lead to, the document's own included. Null, empty and blank texts have an empty set and
-    link with nothing. Repeated rows and equal texts link; each keeps its row. A null doc_id is kept, and is the
-    smallest only where a component has no other. An empty table gives an empty result.
-    """
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, node), and for each set (node, first_id, component, component_id); see similar_components."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = docs.select("text")
@@ -268,11 +261,55 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     parts = state["parts"]
     lowest = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     group = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = lowest.join(group, "component").select("node", "component_id")
+    return rows, lowest.join(group, "component").select("node", "first_id", "component", "component_id")
+
+
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row (doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text; further columns are ignored).
+
+    Two documents link when 100 * intersection >= percent * union of their sets of `width`-word shingles; words are
+    lower-cased (A-Z) and parted by ASCII white space; a text of fewer words is one shingle. component_id is the
+    smallest doc_id that links lead to, the document's own included. Null, empty and blank texts have an empty set and
+    link with nothing. Repeated rows and equal texts link; each keeps its row. A null doc_id is kept, and is the
+    smallest only where a component has no other. An empty table gives an empty result.
+    """
+    rows, nodes = _components(docs, width, percent)
+    named = nodes.select("node", "component_id")
     out = rows.join(named, (rows.node == named.node) & (rows.n > 0), "left")
     return out.select(rows.doc_id, rows.n.alias("n_shingles"), F.when(rows.n > 0, F.col("component_id")).otherwise(rows.doc_id).alias("component_id"))
 
 
+def _with_node(width, names):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node = [None] * batch.num_rows
+            for i, s in _sets(batch.column("text"), width):
+                if len(s):
+                    node[i] = _node(s)
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(node, pa.int64())], names=[*names, "_node"])
+
+    return run
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """`docs` with one row of each component of similar documents, the one with its smallest doc_id; all columns stay.
+
+    Rows with empty sets all stay. Of several rows that are equal in text and doc_id one stays.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    _, nodes = _components(docs, width, percent)
+    # The set of the smallest id; where ids repeat, of the smallest set of those.
+    stay = nodes.where("first_id <=> component_id").groupBy("component").agg(F.min(F.struct("node", "first_id")).alias("x")).select(F.col("x.node").alias("_node"), F.col("x.first_id").alias("_id"))
+    stay = T.checkpoint(stay)
+    rows = docs.mapInArrow(_with_node(width, docs.columns), StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    empty = rows.where("_node is null")
+    kept = rows.where("_node is not null").join(stay.withColumnRenamed("_node", "_stay"), F.expr("_node = _stay and doc_id <=> _id"), "left_semi")
+    return kept.dropDuplicates(["_node"]).unionByName(empty).select(*docs.columns)
+
+
 def op4_jaccard_components(spark, sf_dir: str) -> DataFrame:
     return similar_components(T.table(spark, sf_dir, "documents"))
 
