@@ -123,6 +123,13 @@ def checkpoint(df):
     return df.checkpoint()
 
 
+def compact(df, rows: int = 250_000):
+    """A checkpoint read in as many partitions as its rows need, `rows` each: small results make few tasks and files."""
+    df = checkpoint(df)
+    n = df.count()
+    return df.coalesce(max(1, -(-n // rows)))
+
+
 def table(spark, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

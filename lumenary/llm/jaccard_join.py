@@ -24,9 +24,14 @@ from .components import connected_components
 _U = np.uint64
 SLOTS = 1 << 24  # counters of the frequency table; 16 MB broadcast at every size of the input
 CHUNK = 1 << 18
-MATCHES = 8
+#: Fewest and most matches that a document asks for (fewer where its set is too small for that).
+LEAST_MATCHES = 4
+MATCHES = 16
 BITS = 1 << 27
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: A shingle with more rows than that is crowded; its rows are compared in blocks of BLOCK by BLOCK.
+CROWD = 64
+BLOCK = 256
 
 
 def _sets(column, width):
@@ -115,7 +120,8 @@ def prefix(shingles: np.ndarray, steps: np.ndarray, noise: float, percent: int)
     m = np.arange(1, most + 1)
     size = n - overlap + m
     cost = size + partners[size - 1] * (1 + 20 / m)
-    m = int(np.argmin(cost)) + 1
+    least = min(LEAST_MATCHES, most) - 1
+    m = int(np.argmin(cost[least:])) + least + 1
     return shingles[order[: n - overlap + m]], m
 
 
@@ -150,36 +156,35 @@ def _posting_batch(pa, out):
 
 
 def _members(width, wanted):
-    """The sets of the nodes whose bit is set; a few others come along and are dropped by the join that follows."""
+    """The sets of the rows whose doc_id has its bit set; what comes along too is dropped by the join that follows."""
 
     def run(batches):
         import pyarrow as pa
 
         bits, seen = wanted.value, set()
         for batch in batches:
+            slot = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False) & (BITS - 1)
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             names, found = [], []
             for _, s in _sets(batch.column("text"), width):
-                if len(s):
-                    name = _node(s)
-                    slot = name & (BITS - 1)
-                    if bits[slot >> 3] >> (slot & 7) & 1 and name not in seen:
-                        seen.add(name)
-                        names.append(name)
-                        found.append(s.view(np.int64))
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        if len(names) >= 500:
-                            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-                            names, found = [], []
+                if len(s) and (name := _node(s)) not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(name)
+                    names.append(name)
+                    found.append(s.view(np.int64))
+                if len(names) >= 500:
+                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    names, found = [], []
             if names:
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """One bit for each slot that a node falls on; 16 MB at most, at every size of the input."""
-    slot = nodes.select((F.col("node").bitwiseAND(BITS - 1)).alias("s"))
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """One bit for each slot that a first_id falls on; 16 MB at most, at every size of the input."""
+    slot = ids.select(F.coalesce("first_id", F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
     rows = slot.groupBy(F.expr("s div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("b"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
@@ -187,19 +192,47 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _compare_blocks(percent: int):
+    """Some sets of a crowd against others: the pairs that link, of different components, each once."""
+
+    def run(few, many):
+        import pyarrow as pa
+
+        us, vs = [], []
+        if few.num_rows and many.num_rows:
+            node, part = many.column("node").to_numpy(), many.column("component").to_numpy()
+            odd = many.column("odd").to_numpy()
+            sets = [np.asarray(x.values) for x in many.column("shingles")]
+            size = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for u, c, x in zip(few.column("node").to_pylist(), few.column("component").to_pylist(), few.column("shingles")):
+                x = np.asarray(x.values)
+                low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(sets))
+                link = (100 * both >= percent * (len(x) + size - both)) & (part != c) & (~odd | (node > u))
+                us += [u] * int(link.sum())
+                vs += node[link].tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, counted exactly."""
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
 
 
 def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, n, node), and for each set (node, first_id, component, component_id); see similar_components."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = docs.select("text")
     prints = T.checkpoint(docs.mapInArrow(_fingerprints(width), "doc_id long, n long, node long, chunk int, counts binary"))
     rows = prints.where("chunk is null").select("doc_id", "n", "node")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -209,55 +242,90 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
 
     token = W.partitionBy("token")
     shared = (
-        text.mapInArrow(_postings(width, percent, table, noise), "token long, node long, meta long")
+        docs.select("text")
+        .mapInArrow(_postings(width, percent, table, noise), "token long, node long, meta long")
         .select("*", F.min("node").over(token).alias("low"), F.max("node").over(token).alias("high"))
         .where("low <> high")
         .select("token", "node", "meta")
         .distinct()
     )
-    shared = T.checkpoint(shared.withColumn("n", F.expr("meta div 16")).withColumn("m", F.col("meta") % 16 + 1).drop("meta"))
+    # A partner of a set of eight or more is a set of six or more, so the two share LEAST_MATCHES at least.
+    own = W.partitionBy("node")
+    shared = shared.withColumn("n", F.expr("meta div 16")).withColumn("m", F.col("meta") % 16 + 1).drop("meta")
+    shared = shared.withColumn("hits", F.count("*").over(own)).where(f"n < 8 or hits >= {LEAST_MATCHES}").drop("hits")
+    shared = T.compact(shared)
     everyone = shared.select("node").distinct()
-    state = {"sets": None, "edges": None, "parts": everyone.withColumn("component", F.col("node"))}
+    state = {"edges": None, "parts": everyone.withColumn("component", F.col("node"))}
 
     def live() -> DataFrame:
         """The postings of shingles that still hold rows of two components."""
         w = shared.join(state["parts"], "node").select("*", F.min("component").over(token).alias("low"), F.max("component").over(token).alias("high"))
-        return w.where("low <> high").drop("low", "high")
+        return T.compact(w.where("low <> high").drop("low", "high"))
 
-    def verify(pairs: DataFrame) -> bool:
-        """Merge what links; whether anything did."""
-        pairs = T.checkpoint(pairs)
-        if pairs.isEmpty():
-            return False
-        if state["sets"] is None:
-            wanted = spark.sparkContext.broadcast(_bitmap(everyone))
-            sets = text.mapInArrow(_members(width, wanted), "node long, shingles array<long>")
-            state["sets"] = T.checkpoint(sets.join(everyone, "node", "left_semi").dropDuplicates(["node"]))
-        new = T.checkpoint(_linked(pairs, state["sets"], percent))
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, shingles) of some nodes, and a few more; the texts that are wanted are read again."""
+        bits = _bitmap(nodes.join(some, "node", "left_semi").select("first_id"))
+        return docs.mapInArrow(_members(width, spark.sparkContext.broadcast(bits)), "node long, shingles array<long>")
+
+    def merge(new: DataFrame) -> bool:
+        """Add links (u, v) to the components; whether there are any."""
+        new = T.compact(new)
         if new.isEmpty():
             return False
         state["edges"] = new if state["edges"] is None else state["edges"].unionByName(new)
         parts = connected_components(state["edges"])
-        state["parts"] = T.checkpoint(everyone.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        state["parts"] = T.compact(everyone.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
         return True
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """What links of rows (u, v, need), one for each shingle that a pair shares."""
+        pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need").select("u", "v")
+        pairs = T.compact(pairs)
+        return _linked(pairs, sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), percent)
+
     similar_size = "100 * least(%s, %s) >= " + str(percent) + " * greatest(%s, %s)"
+    rest = live()
     for step in range(STAR_ROUNDS):
-        rows_left = live().withColumn("by", F.xxhash64("node", F.lit(step)))
-        pairs = rows_left.withColumn("lead", F.min(F.struct("by", "node", "component", "n")).over(token))
-        pairs = pairs.where("component <> lead.component and " + similar_size % (("n", "lead.n") * 2))
-        if not verify(pairs.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()):
+        # One leader for each shingle, another in each round. What it doesn't share enough shingles with can wait.
+        lead = rest.withColumn("by", F.xxhash64("node", F.lit(step))).withColumn("lead", F.min(F.struct("by", "node", "component", "n", "m")).over(token))
+        pairs = lead.where("component <> lead.component and " + similar_size % (("n", "lead.n") * 2))
+        merged = merge(verified(pairs.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"), F.least("m", "lead.m").alias("need"))))
+        if not merged:
             break
-    # All pairs of rows that share a shingle and are in different components.
-    rest = T.checkpoint(live())
-    kinds = rest.select("token", "component").distinct()
-    a = kinds.select("token", F.col("component").alias("ca"))
-    b = kinds.select("token", F.col("component").alias("cb"))
-    cross = a.join(b, "token").where("ca < cb")
-    a = rest.select("token", F.col("component").alias("ca"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"))
-    b = rest.select("token", F.col("component").alias("cb"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"))
-    pairs = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(similar_size % (("nu", "nv") * 2))
-    verify(pairs.groupBy("u", "v").agg(F.count("*").alias("common"), F.first(F.least("mu", "mv")).alias("need")).where("common >= need").select("u", "v"))
+        rest = live()
+
+    # All pairs that share shingles and are in different components. Rows that share a crowded shingle mostly share many;
+    # each such row is at home with the leader of most of them, and rows of one home are compared in blocks, those outside
+    # the home's largest component with all others. No pair of them is made before it links.
+    rest = rest.withColumn("crowd", F.count("*").over(token)).withColumn("lead", F.min(F.struct(F.xxhash64("node", F.lit(99)).alias("by"), "node")).over(token)["node"])
+    home = rest.where(F.col("crowd") > CROWD).groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead"))["lead"].alias("home"))
+    rest = T.compact(rest.join(home, "node", "left"))
+    at_home = rest.where("home is not null").select("home", "node", "component").distinct()
+    largest = at_home.groupBy("home", "component").agg(F.count("*").alias("k")).groupBy("home").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
+    crowd = at_home.join(largest.where("all > k"), "home").withColumn("odd", F.col("component") != F.col("main"))
+    crowd = crowd.withColumn("rows_", F.ceil((F.col("all") - F.col("k")) / BLOCK).cast("int")).withColumn("cols_", F.ceil(F.col("all") / BLOCK).cast("int"))
+    crowd = T.compact(crowd.select("home", "node", "component", "odd", "rows_", "cols_"))
+    links = None
+    if not crowd.isEmpty():
+        held = crowd.join(sets_of(crowd.select("node").distinct()), "node")
+        block = F.xxhash64("node", F.lit(11))
+        few = held.where("odd").withColumn("row", F.pmod(block, F.col("rows_"))).withColumn("col", F.explode(F.expr("sequence(0, cols_ - 1)")))
+        many = held.withColumn("col", F.pmod(block, F.col("cols_"))).withColumn("row", F.explode(F.expr("sequence(0, rows_ - 1)")))
+        names = ["home", "row", "col", "node", "component", "odd", "shingles"]
+        few = few.select(*(F.col(c).cast("long").alias(c) if c in ("row", "col") else F.col(c) for c in names)).toDF(*("f_" + c for c in names[:3]), *names[3:])
+        many = many.select(*(F.col(c).cast("long").alias(c) if c in ("row", "col") else F.col(c) for c in names))
+        links = few.groupBy("f_home", "f_row", "f_col").cogroup(many.groupBy("home", "row", "col")).applyInArrow(_compare_blocks(percent), "u long, v long").distinct()
+    kinds = rest.select("token", "component", "home").distinct()
+    a = kinds.select("token", F.col("component").alias("ca"), F.col("home").alias("ha"))
+    b = kinds.select("token", F.col("component").alias("cb"), F.col("home").alias("hb"))
+    cross = a.join(b, "token").where("ca < cb and coalesce(ha <> hb, true)")
+    a = rest.select("token", F.col("component").alias("ca"), F.col("home").alias("ha"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"))
+    b = rest.select("token", F.col("component").alias("cb"), F.col("home").alias("hb"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"))
+    same = lambda x: F.expr(f"l.token = r.token and l.c{x} = r.c{x} and l.h{x} <=> r.h{x}")
+    pairs = cross.alias("l").join(a.alias("r"), same("a")).select("l.token", "l.cb", "l.hb", "r.u", "r.nu", "r.mu")
+    pairs = pairs.alias("l").join(b.alias("r"), same("b")).where(similar_size % (("nu", "nv") * 2))
+    found = verified(pairs.select("u", "v", F.least("mu", "mv").alias("need")))
+    merge(found if links is None else found.unionByName(links))
     parts = state["parts"]
     lowest = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     group = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
