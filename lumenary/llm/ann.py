@@ -29,7 +29,8 @@ BOUNDARY = 1.06
 REPLICAS = 3
 #: A query probes the lists whose centroids are at most so much farther than its nearest.
 PROBE = 1.33
-SHARD_ROWS = 2000
+#: Rows that one task compares at a time: several lists together, or a shard of a crowded one.
+GROUP_ROWS = 16_384
 DEGREE = 24
 
 
@@ -120,7 +121,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     if not n:
         return spark.createDataFrame([], kind)
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS, SAMPLE // 10))
-    few = same.select("v").sample(min(1.0, 1.2 * SAMPLE / n), 3).limit(SAMPLE).toPandas() if n > SAMPLE else same.select("v").toPandas()
+    few = same.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) < int(1.2 * SAMPLE / n * (1 << 20)) + 1).select("v").limit(SAMPLE).toPandas()
     x = np.stack(few["v"].to_numpy()).astype(np.float64)
     lists = min(lists, len(x))
     lift = np.sqrt(np.maximum(longest - np.square(x).sum(1), 0))
@@ -144,31 +145,50 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
 
     stored = same.select("vid", "v", F.explode(placed(BOUNDARY, REPLICAS, False)("v")).alias("list"))
     stored = T.checkpoint(stored)
-    sizes = stored.groupBy("list").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
-    sharded = stored.join(F.broadcast(sizes), "list")  # at most MOST_LISTS rows
-    sharded = sharded.select("list", F.pmod(F.xxhash64("vid"), F.col("shards")).cast("int").alias("shard"), "vid", "v")
+    # Lists in groups of GROUP_ROWS about; MOST_LISTS rows at most.
+    plan, group, held = [], 0, 0
+    for r in stored.groupBy("list").agg(F.count("*").alias("n")).orderBy("list").collect():
+        if held and held + r["n"] > GROUP_ROWS:
+            group, held = group + 1, 0
+        shards = -(-r["n"] // GROUP_ROWS)
+        plan.append((r["list"], group, shards))
+        group, held = (group + shards, 0) if shards > 1 else (group, held + r["n"])
+    plan = F.broadcast(spark.createDataFrame(plan, "list int, first int, shards int"))
+    sharded = stored.join(plan, "list").select("list", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("shards"))).cast("int").alias("group"), "vid", "v")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = T.checkpoint(asked.join(same.select("v", F.col("vid").alias("own")), "v"))
     probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, True)("v")).alias("list"))
-    probes = probes.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "own", "v")
-    probes = probes.toDF("q_list", "q_shard", "own", "q")
+    probes = probes.join(plan, "list").select("list", F.explode(F.expr("sequence(first, first + shards - 1)")).alias("group"), "own", "v")
+    probes = probes.groupBy("group", "own").agg(F.first("v").alias("q"), F.collect_list("list").alias("lists")).toDF("q_group", "own", "q", "lists")
 
     def compare(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        """The best of one shard for each query that probes it: k + 1 different vectors, as its own may be among them."""
-        if not len(queries) or not len(block):
-            return pd.DataFrame({"own": [], "vid": [], "score": []})
-        b = np.stack(block["v"].to_numpy())
-        ids = block["vid"].to_numpy()
-        out = []
-        for s in range(0, len(queries), 256):
-            part = queries.iloc[s : s + 256]
-            scores = np.stack(part["q"].to_numpy()) @ b.T
-            for own, row in zip(part["own"], scores):
-                top = np.lexsort((ids, -row))[: k + 1]
-                out.append(pd.DataFrame({"own": own, "vid": ids[top], "score": row[top]}))
-        return pd.concat(out)
-
-    found = probes.groupBy("q_list", "q_shard").cogroup(sharded.groupBy("list", "shard")).applyInPandas(compare, "own long, vid long, score double")
+        """The best of one group for each query that probes it: k + 1 different vectors, as its own may be among them."""
+        out = {"own": [], "vid": [], "score": []}
+        if len(queries) and len(block):
+            block = block.sort_values("list")
+            b, ids = np.stack(block["v"].to_numpy()), block["vid"].to_numpy()
+            names, starts = np.unique(block["list"].to_numpy(), return_index=True)
+            ends = np.append(starts[1:], len(ids))
+            for s in range(0, len(queries), 128):
+                part = queries.iloc[s : s + 128]
+                q = np.stack(part["q"].to_numpy())
+                scores = np.full((len(part), len(ids)), -np.inf)
+                probed = [set(x) for x in part["lists"]]
+                for name, lo, hi in zip(names, starts, ends):
+                    some = [i for i, x in enumerate(probed) if name in x]
+                    if some:
+                        scores[some, lo:hi] = q[some] @ b[lo:hi].T
+                for own, row in zip(part["own"], scores):
+                    least = -np.inf if len(row) <= REPLICAS * (k + 1) else np.partition(row, -(REPLICAS * (k + 1)))[-(REPLICAS * (k + 1))]  # a vector may be in several lists
+                    at = np.flatnonzero((row >= least) & np.isfinite(row))
+                    at = at[np.lexsort((ids[at], -row[at]))]
+                    at = at[np.sort(np.unique(ids[at], return_index=True)[1])][: k + 1]
+                    out["own"] += [own] * len(at)
+                    out["vid"] += ids[at].tolist()
+                    out["score"] += row[at].tolist()
+        return pd.DataFrame(out).astype({"own": "int64", "vid": "int64", "score": "float64"})
+
+    found = probes.groupBy("q_group").cogroup(sharded.groupBy("group")).applyInPandas(compare, "own long, vid long, score double")
     found = found.groupBy("own", "vid").agg(F.max("score").alias("score"))
     best = found.withColumn("r", F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1).select("own", "vid")
     # Back to rows: every id of the vectors found but the query's own, by the exact score of the original vectors.
