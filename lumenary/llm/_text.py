@@ -12,7 +12,7 @@ import tempfile
 
 import numpy as np
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
@@ -69,6 +69,7 @@ def runs(column):
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + RUN_BYTES, "right")) - 1)
         yield row, data[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row]
         row = stop
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray):

@@ -55,9 +55,23 @@ def _fingerprints(width):
         import pyarrow as pa
         import zstandard
 
-        counts = np.zeros(SLOTS, np.uint32)
+        counts, since = np.zeros(SLOTS, np.uint16), 0
+        pack = zstandard.ZstdCompressor(1)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+
+        def parts():
+            for k in range(0, SLOTS, CHUNK):
+                part = counts[k : k + CHUNK]
+                if part.any():
+                    raw = part.astype(np.uint8) if part.max() < 256 else part.astype(np.uint32)
+                    none = pa.nulls(1)
+                    yield pa.record_batch([none.cast(pa.int64())] * 3 + [pa.array([k // CHUNK], pa.int32()), pa.array([pack.compress(raw.tobytes())], pa.binary())], schema=schema)
+
+        for batch in (b.slice(k, 5000) for b in batches for k in range(0, max(1, b.num_rows), 5000)):
+            since += batch.num_rows
+            if since > 65_000:  # a counter holds as many
+                yield from parts()
+                counts[:], since = 0, batch.num_rows
             n = np.zeros(batch.num_rows, np.int64)
             node = np.zeros(batch.num_rows, np.int64)
             for i, s in _sets(batch.column("text"), width):
@@ -67,13 +81,7 @@ def _fingerprints(width):
                     counts[(s & _U(SLOTS - 1)).astype(np.int64)] += 1  # a slot hit twice in one document counts once
             none = pa.nulls(len(n))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(node), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        pack = zstandard.ZstdCompressor(1)
-        for k in range(0, SLOTS, CHUNK):
-            part = counts[k : k + CHUNK]
-            if part.any():
-                raw = part.astype(np.uint8) if part.max() < 256 else part
-                none = pa.nulls(1)
-                yield pa.record_batch([none.cast(pa.int64())] * 3 + [pa.array([k // CHUNK], pa.int32()), pa.array([pack.compress(raw.tobytes())], pa.binary())], schema=schema)
+        yield from parts()
 
     return run
 
@@ -135,7 +143,7 @@ def _postings(width, percent, table, noise):
             for _, s in _sets(batch.column("text"), width):
                 if not len(s) or (name := _node(s)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(name)
                 p, m = prefix(s, steps, noise, percent)
@@ -168,7 +176,7 @@ def _members(width, wanted):
             names, found = [], []
             for _, s in _sets(batch.column("text"), width):
                 if len(s) and (name := _node(s)) not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(name)
                     names.append(name)

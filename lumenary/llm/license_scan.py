@@ -34,7 +34,11 @@ class Template:
     def of(cls, label: str, text: str, phrase: str | None = None) -> Template:
         words, key = tuple(text.split()), tuple((phrase or text).split())
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        return cls(label, words, at, len(key), min(2 if phrase else POSTINGS, len(set(words))))
+        return cls(label, words, at, len(key), min(POSTINGS, len(set(key))))
+
+    def rare(self, frequency: dict[str, int]) -> list[str]:
+        """The rarest words of the key phrase: all of them stand in the text wherever it does."""
+        return sorted(set(self.words[self.start : self.start + self.size]), key=lambda w: (frequency.get(w, 0), w))[:POSTINGS]
 
 
 #: Phrases of the base scan; all of their words are mandatory.
@@ -76,8 +80,7 @@ def document_frequencies(docs: DataFrame, templates=BASE + TEMPLATES) -> dict[st
 
 def _places(template: Template, frequency: dict[str, int], hits: Column, words: Column) -> Column:
     """Where in a text a template's postings agree and its key phrase stands: sorted starts of the key phrase."""
-    rare = sorted(set(template.words), key=lambda w: (frequency.get(w, 0), w))[:POSTINGS]
-    offsets = [(w, i) for w in rare for i in range(len(template.words)) if template.words[i] == w]
+    offsets = [(w, i) for w in template.rare(frequency) for i in range(template.start, template.start + template.size) if template.words[i] == w]
     # Each posting answers with the starts that its places in the text imply; a start stands once for each posting.
     def answer(word: str, offset: int) -> Column:
         return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["at"] - F.lit(offset))
@@ -98,7 +101,7 @@ def scan(docs: DataFrame, frequency: dict[str, int], base=BASE, templates=TEMPLA
     """
     every = [*base, *templates]
     # Looked up: each template's rarest words.
-    anchors = sorted({w for t in every for w in sorted(set(t.words), key=lambda w: (frequency.get(w, 0), w))[:POSTINGS]})
+    anchors = sorted({w for t in every for w in t.rare(frequency)})
     out = docs.withColumn("_words", word_array(F.col("text")))
     marks = F.transform("_words", lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("word"), i.cast("int").alias("at"))))
     out = out.withColumn("_hits", F.filter(marks, lambda h: h.isNotNull()))
