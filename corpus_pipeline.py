@@ -46,7 +46,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: No SQL expresses the quality network or the tokenizer; tests/llm/test_pipeline.py checks the stages by brute force.
+#: No SQL expresses the quality network or the tokenizer; tests/llm/test_operators.py checks the operators one by one.
 ORACLE_SQL = None
 
 
