@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenary.sources.shared import checkpoint
+
 EPS_SIM, MIN_ROWS = 0.35, 3
 DBSCAN_SQL = """
 WITH RECURSIVE e as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.vec_id <> b.vec_id and round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) >= 0.35),
@@ -20,38 +18,27 @@ select id, label from lab union all select id, label from border
 """
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(x, y) of all pairs of vectors with at least that inner product, both ways."""
     a = vectors.select(F.col("vec_id").alias("x"), F.col("embedding").cast("array<double>").alias("a"))
     b = vectors.select(F.col("vec_id").alias("y"), F.col("embedding").cast("array<double>").alias("b"))
     dot = F.expr("round(aggregate(zip_with(a, b, (u, v) -> u * v), 0d, (s, u) -> s + u), 6)")
-    one = _checkpoint(a.join(b, F.col("x") < F.col("y")).where(dot >= least).select("x", "y"))
+    one = checkpoint(a.join(b, F.col("x") < F.col("y")).where(dot >= least).select("x", "y"))
     return one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
 def dbscan(vectors: DataFrame, least: float, min_rows: int) -> DataFrame:
     """(id, label): the smallest core id of the cluster; border rows take the smallest label next to them; noise is left out."""
     edges = similar_pairs(vectors, least)
-    core = _checkpoint(edges.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_rows).select("x"))
-    inner = _checkpoint(edges.join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi"))
+    core = checkpoint(edges.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_rows).select("x"))
+    inner = checkpoint(edges.join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi"))
     labels = core.select(F.col("x").alias("id"), F.col("x").alias("label"))
     while True:
         near = inner.join(labels, inner.y == labels.id).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.id == near.x, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("new"), "label")
         # Follow the label's own label, so that long chains shorten by halves.
         jump = step.select(F.col("id").alias("label_id"), F.col("new").alias("jump"))
-        step = _checkpoint(step.join(jump, step.new == jump.label_id, "left").select("id", F.coalesce("jump", "new").alias("new"), "label"))
+        step = checkpoint(step.join(jump, step.new == jump.label_id, "left").select("id", F.coalesce("jump", "new").alias("new"), "label"))
         labels = step.select("id", F.col("new").alias("label"))
         if step.where("new <> label").isEmpty():
             break

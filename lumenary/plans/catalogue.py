@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
-from lumenary.operators import cluster, search
+from lumenary.functions import imaging, lenient_json, providers
+from lumenary.operators import cluster, fulltext, greedy, search
+from lumenary.plans import request
+from lumenary.sources import sidecar
 from lumenary.sources.views import with_views
+from lumenary.streaming import ingest
 
 #: What the engines spell differently: name -> (Spark, DuckDB); $1, $2 are the arguments.
 MACROS = {
@@ -133,12 +137,23 @@ PORTABLE = {
     "fts_bm25": search.BM25_SQL,
 }
 
-#: DataFrame plans, with SQL written apart from them.
+#: DataFrame plans, with SQL written apart from them, if SQL expresses them.
 PLANS = {
     "hybrid_search": (search.hybrid_search, search.HYBRID_SQL),
     "rrf_fusion": (search.rrf_fusion, search.RRF_SQL),
     "dbscan_labels": (cluster.dbscan_labels, cluster.DBSCAN_SQL),
     "hamming_pairs_banded": (cluster.hamming_pairs, PORTABLE["hamming_pairs"]),
+    "near_duplicate_groups": (greedy.near_duplicates, greedy.NEAR_SQL),
+    "duplicate_faces": (greedy.face_duplicates, None),
+    "fts_weighted_stemmed": (fulltext.weighted_search, None),
+    "typed_search": (request.typed_search, request.TYPED_SQL),
+    "searches_understood": (request.searches_understood, None),
+    "annotation_salvage": (lenient_json.annotation_salvage, lenient_json.SALVAGE_SQL),
+    "filename_dates_all": (imaging.name_dates, imaging.NAME_DATES_SQL),
+    "phash_pictures": (imaging.phash_of_products, None),
+    "sidecar_round_trip": (sidecar.round_trip, sidecar.ROUND_TRIP_SQL),
+    "caption_stage": (providers.caption_stage, None),
+    "stream_ingest_jobs": (ingest.ingested_jobs, ingest.JOBS_SQL),
 }
 QUERIES = {n: _portable(q) for n, q in PORTABLE.items()} | {n: f for n, (f, _) in PLANS.items()}
-ORACLES = {n: _dialect(with_views(q), False) for n, q in PORTABLE.items()} | {n: _dialect(with_views(q), False) for n, (_, q) in PLANS.items()}
+ORACLES = {n: _dialect(with_views(q), False) for n, q in PORTABLE.items()} | {n: _dialect(with_views(q), False) for n, (_, q) in PLANS.items() if q}

@@ -27,7 +27,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     want = duck.sql(catalogue.ORACLES[name])
