@@ -74,9 +74,9 @@ PORTABLE = {
     "browse_name": f"select p.id, f.filename from v_photo p join ({FIRST_FILE}) f on f.blake3 = p.blake3 where p.hidden = 0 order by f.filename, p.id limit 50",
     "filter_person": f"select p.id from v_photo p where exists (select 1 from v_face f join v_person n on n.id = f.person_id where f.photo_id = p.id and lower(n.name) like '%asia%') and {VISIBLE}",
     "filter_tag": f"select p.id from v_photo p where exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'src3') and {VISIBLE}",
-    "filter_camera": f"select p.id, p.camera_model from v_photo p where (lower(p.camera_model) like '%brass%' or lower(p.camera_make) like '%brass%') and {VISIBLE}",
+    "filter_camera": f"select p.id, p.camera_model from v_photo p where (lower(p.camera_model) like '%econ%' or lower(p.camera_make) like '%econ%') and {VISIBLE}",
     "filter_folder_filename": f"select p.id from v_photo p where exists (select 1 from v_file f where f.blake3 = p.blake3 and lower(f.rel_path) like '%en/src1%') and exists (select 1 from v_file f where f.blake3 = p.blake3 and lower(f.filename) like '%.jpg%') and {VISIBLE}",
-    "filter_place": f"select p.id, p.place_name from v_photo p where lower(p.place_name) like '%an%' and {VISIBLE}",
+    "filter_place": f"select p.id, p.place_name from v_photo p where lower(p.place_name) like '%nation_1%' and {VISIBLE}",
     "filter_favorite": f"select p.id from v_photo p where p.favorite = 1 and {VISIBLE}",
     "filter_dates_inclusive": f"select p.id, p.taken_at from v_photo p where p.taken_at >= 1704499200 and p.taken_at <= 1708387200 and {VISIBLE}",
     "filter_has_faces": f"select p.id from v_photo p where exists (select 1 from v_face f where f.photo_id = p.id) and {VISIBLE}",
@@ -124,7 +124,7 @@ PORTABLE = {
     "region_normalise": "select id, round((bbox_x + cast(bbox_w as double) / 2) / src_w, 9) as x, round((bbox_y + cast(bbox_h as double) / 2) / src_h, 9) as y, round(cast(bbox_w as double) / src_w, 9) as w, round(cast(bbox_h as double) / src_h, 9) as h from v_face where src_w is not null and rejected = 0",
     # Near duplicates, boxes, faces
     "hamming_pairs": "select a.vec_id as a, b.vec_id as b, bit_count(@XOR(a.h, b.h)) as distance from (select vec_id, @PHASH(embedding) as h from embeddings) a join (select vec_id, @PHASH(embedding) as h from embeddings) b on a.vec_id < b.vec_id and bit_count(@XOR(a.h, b.h)) <= 18",
-    "format_pairs": "select blake3, count(*) as n from v_file group by blake3 having count(*) > 1 and count(distinct lower(regexp_extract(filename, '^(.*)[.][^.]*$', 1))) = 1 and count(distinct lower(regexp_extract(filename, '[.]([^.]*)$', 1))) = count(*) and max(case when lower(filename) like '%.nef' then 1 else 0 end) = 1",
+    "format_pairs": "select id - id % 2 as shot, count(*) as n from v_file group by id - id % 2 having count(*) > 1 and count(distinct lower(regexp_extract(filename, '^(.*)[.][^.]*$', 1))) = 1 and count(distinct lower(regexp_extract(filename, '[.]([^.]*)$', 1))) = count(*) and max(case when lower(filename) like '%.nef' then 1 else 0 end) = 1",
     "iou_pairs": f"select a.id as a, b.id as b, round(cast({IOU} as double) / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}), 6) as iou from v_face a join v_face b on a.photo_id = b.photo_id and a.id < b.id where {IOU} * 1.0 / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}) >= 0.5",
     "decided_face_merge": f"select a.id from v_face a where a.confirmed = 0 and a.rejected = 0 and not exists (select 1 from v_face b where b.photo_id = a.photo_id and (b.confirmed = 1 or b.rejected = 1) and {IOU} * 1.0 / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}) >= 0.5)",
     "face_state_transitions": "select id, case when cluster_id = 5 then 2 when person_id = 3 then 1 when person_id = 4 then null else person_id end as person_id, case when cluster_id = 5 then null when cluster_id in (6, 7) then 6 when cluster_id = 8 then null when rejected = 1 and ignored_as = 9 then 9 else cluster_id end as cluster_id, case when cluster_id = 5 then 1 when person_id = 4 then 0 else confirmed end as confirmed, case when cluster_id = 8 then 1 when rejected = 1 and ignored_as = 9 then 0 else rejected end as rejected, case when cluster_id = 8 then 8 when ignored_as = 9 then null else ignored_as end as ignored_as from v_face",

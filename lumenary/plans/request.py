@@ -158,12 +158,12 @@ def typed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.operators.search import register
 
     register(spark, sf_dir)
-    return filtered(spark, understand("tag:fr photos from: 'an' camera:a last year", NOW))
+    return filtered(spark, understand("tag:fr photos from: 'nation_1' camera:a last year", NOW))
 
 
 TYPED_SQL = """
 select p.id from v_photo p where p.hidden = 0 and exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')
-and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and lower(p.place_name) like '%an%'
+and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and lower(p.place_name) like '%nation_1%'
 and (lower(p.camera_model) like '%a%' or lower(p.camera_make) like '%a%') and p.taken_at between 1720612800 - 365 * 86400 and 1720612800
 """
 
