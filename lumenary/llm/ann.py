@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample. Every vector goes to the list of its nearest centroid, and boundary vectors,
 to which other centroids are nearly as near, to those lists too. The centroids, a bounded number, are linked into a graph
 that each worker holds and walks best-first. A query probes the lists whose centroids are within a ratio of the nearest
-one's distance. Lists are cut into shards of bounded size by a hash, so that a crowded list is many tasks' work.
+one's distance, and further ones, nearest first, until they hold enough different vectors (or all of them). Lists are cut into shards of bounded size by a hash, so that a crowded list is many tasks' work.
 
 Largest inner product becomes smallest distance by one more component that brings all vectors to one length; queries
 have 0 there. Equal vectors are indexed once, with their smallest ids: no more of them can be among the k nearest.
@@ -29,6 +29,8 @@ BOUNDARY = 1.06
 REPLICAS = 3
 #: A query probes the lists whose centroids are at most so much farther than its nearest.
 PROBE = 1.33
+#: Where these lists hold fewer different vectors than so many times k + 1, further lists are probed, nearest first.
+FLOOR = 10
 #: Rows that one task compares at a time: several lists together, or a shard of a crowded one.
 GROUP_ROWS = 16_384
 DEGREE = 24
@@ -93,6 +95,18 @@ def _walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ratio: float, most: i
     return found, dist[found]
 
 
+def _widen(found: np.ndarray, q: np.ndarray, c: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
+    """`found` and the nearest other lists, until they hold `least` different vectors or all.
+
+    `firsts` counts each vector in the list of its nearest centroid alone, so that none counts twice.
+    """
+    if firsts[found].sum() >= least:
+        return found
+    order = np.argsort(np.square(c - q).sum(1), kind="stable")
+    order = np.concatenate([found, order[~np.isin(order, found)]])
+    return order[: int(np.searchsorted(np.cumsum(firsts[order]), min(least, firsts.sum()))) + 1]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part: not null, no component null or not finite, not all zero, the usual length."""
     v = F.col("embedding").cast("array<double>")
@@ -128,7 +142,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     c = _fit(np.column_stack([x, lift]).astype(np.float32), lists)
     index = spark.sparkContext.broadcast((c, _graph(c), float(longest)))
 
-    def placed(ratio: float, most: int, query: bool):
+    def placed(ratio: float, most: int, counts=None):
+        query = counts is not None
+
         @F.pandas_udf("array<int>")
         def lists_of(v: pd.Series) -> pd.Series:
             c, links, longest = index.value
@@ -138,26 +154,31 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
                 lift = 0.0 if query else np.sqrt(max(longest - float(x @ x), 0.0))
                 if query:  # of the length of all others; the direction alone decides
                     x = x * np.sqrt(longest / float(x @ x))
-                out.append(_walk(np.append(x, lift).astype(np.float32), c, links, ratio, most)[0].tolist())
+                x = np.append(x, lift).astype(np.float32)
+                found = _walk(x, c, links, ratio, most)[0]
+                out.append((_widen(found, x, c, counts.value, FLOOR * (k + 1)) if query else found).tolist())
             return pd.Series(out)
 
         return lists_of
 
-    stored = same.select("vid", "v", F.explode(placed(BOUNDARY, REPLICAS, False)("v")).alias("list"))
+    stored = same.select("vid", "v", F.posexplode(placed(BOUNDARY, REPLICAS)("v")).alias("place", "list"))
     stored = T.checkpoint(stored)
     # Lists in groups of GROUP_ROWS about; MOST_LISTS rows at most.
     plan, group, held = [], 0, 0
-    for r in stored.groupBy("list").agg(F.count("*").alias("n")).orderBy("list").collect():
+    firsts = np.zeros(lists, np.int64)
+    for r in stored.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("firsts")).orderBy("list").collect():
+        firsts[r["list"]] = r["firsts"]
         if held and held + r["n"] > GROUP_ROWS:
             group, held = group + 1, 0
         shards = -(-r["n"] // GROUP_ROWS)
         plan.append((r["list"], group, shards))
         group, held = (group + shards, 0) if shards > 1 else (group, held + r["n"])
+    counts = spark.sparkContext.broadcast(firsts)
     plan = F.broadcast(spark.createDataFrame(plan, "list int, first int, shards int"))
     sharded = stored.join(plan, "list").select("list", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("shards"))).cast("int").alias("group"), "vid", "v")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = T.checkpoint(asked.join(same.select("v", F.col("vid").alias("own")), "v"))
-    probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, True)("v")).alias("list"))
+    probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("list"))
     probes = probes.join(plan, "list").select("list", F.explode(F.expr("sequence(first, first + shards - 1)")).alias("group"), "own", "v")
     probes = probes.groupBy("group", "own").agg(F.first("v").alias("q"), F.collect_list("list").alias("lists")).toDF("q_group", "own", "q", "lists")
 

@@ -109,6 +109,26 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_neighbours_of_small_clusters_and_outliers(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)  # a list for most of the clusters, fewer rows in it than a query asks for
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(120, 16)), 8, axis=0) + rng.normal(size=(960, 16)) * 1e-3
+    v[::160] = rng.normal(size=(6, 16)) * 3
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    got, hits = {}, 0
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == list(range(0, 960, 20)) and all(len(x) == 20 for x in got.values())
+    for q, found in got.items():
+        hits += len(found & set([i for i in np.argsort(-(v @ v[q])) if i != q][:20]))
+    assert hits >= 0.9 * 20 * len(got)
+    few = spark.createDataFrame(rows[:12], "vec_id long, embedding array<double>")
+    assert ann.nearest(few).count() == 11
+
+
 def test_classifiers(spark, empty):
     import random
 
