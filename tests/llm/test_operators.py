@@ -152,6 +152,35 @@ def test_classifiers(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and quality_cnn.score(empty, net).count() == 0
 
 
+def test_toxic_expression_of_ordinary_words(spark):
+    import random
+
+    import numpy as np
+
+    from lumenary.llm import _text as T
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        words = [f"w{rng.randrange(2, 40)}" for _ in range(40)]
+        words[10:12] = ["w0", "w1"] if i % 2 else ["w1", "w0"]
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    new = spark.createDataFrame([(1, "w0 w1"), (2, "w1 w0")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(new, toxicity.train(df)).collect()}
+    # Either word is as common in both classes; what tells is the pair, by more than a clipped ratio could.
+    assert got[1].top_ratio - got[2].top_ratio > 1.2 and got[1].score > 0.5 > got[2].score
+    # Exact counts, and contexts without a bound.
+    raw = toxicity._counts(df)
+    seen = {(a, b) for _, text, _ in rows for a, b in zip(text.split(), text.split()[1:])} | {(None, text.split()[0]) for _, text, _ in rows}
+    hashed = {w: T.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), T.NOT_WORD)[0].view(np.int64)[0] for w in {b for _, b in seen}}
+    at = {w: list(raw["words"].view(np.int64)).index(h) for w, h in hashed.items()}
+    assert raw["distinct"] == 40 and raw["contexts"] == len(seen)
+    for w, i in at.items():
+        assert [raw["n"][c][i] for c in (0, 1)] == [sum(w in text.split() for _, text, t in rows if t == c) for c in (0, 1)]
+        assert raw["backed"][i] == sum(b == w for _, b in seen)
+
+
 def test_language(spark, empty):
     texts = {"en": "the quick brown fox jumps over the lazy dog and the cat", "de": "der schnelle braune fuchs springt über den faulen hund und die katze"}
     df = spark.createDataFrame([(i, t, lang) for i in range(10) for lang, t in texts.items()] + [(99, "zzz", None)], "doc_id long, text string, lang string")
