@@ -31,7 +31,7 @@ from v_ident i left join part p on p.p_partkey = i.photo_id % 200
 left join nation n on n.n_nationkey = i.photo_id % 25 left join labels l on l.doc_id = i.photo_id
 """,
     "v_annotation": """
-select d.doc_id as photo_id, substr(d.text, 1, 120) as caption, d.lang as scene, substr(d.text, 121, 200) as ocr_text,
+select d.doc_id as photo_id, substr(d.text, 1, 120) as caption, d.lang as scene, substr(d.text, 121) as ocr_text,
   'm1' as model, 1704067200 + d.doc_id as created_at from documents d join v_ident i on i.photo_id = d.doc_id
 union all
 select i.photo_id, 'edited ' || cast(i.photo_id as string), 'edited', '', 'manual', 1704000000 + i.photo_id

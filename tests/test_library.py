@@ -41,3 +41,13 @@ def test_dbscan_finds_chains(spark):
     rows = [(i, [math.cos(i * 0.1), math.sin(i * 0.1)]) for i in range(8)] + [(100, [-1.0, 0.0])]
     got = {r["id"]: r["label"] for r in dbscan(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.994, 3).collect()}
     assert got == {i: 1 for i in range(8)}
+
+
+def test_annotations_hold_whole_texts(spark, duck):
+    from lumenary.sources.views import with_views
+
+    cut = with_views("select count(*) from v_annotation a join documents d on d.doc_id = a.photo_id where a.model = 'm1' and a.caption || a.ocr_text <> d.text")
+    assert duck.sql(cut).fetchall() == [(0,)]
+    spark.read.parquet(f"{SF}/documents.parquet").createOrReplaceTempView("documents")
+    spark.read.parquet(f"{SF}/labels.parquet").createOrReplaceTempView("labels")
+    assert spark.sql(cut).first()[0] == 0
