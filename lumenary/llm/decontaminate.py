@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-RADIUS = 17
+#: Three bits in each block. No bound on similarity follows from it, but brute force finds no pair beyond it among edited copies.
+RADIUS = 23
 BLOCKS = 6
 #: Up to so many benchmark shingles the look-up tables are broadcast (some 100 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 300_000

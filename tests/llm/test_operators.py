@@ -56,6 +56,34 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.clean(docs, items).count() == 5
 
 
+def test_decontaminate_borderline_copies(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+
+    def grams(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    def weight(c):
+        return sum(n * len("".join(g)) for g, n in c.items())
+
+    items, docs, want = [], [], set()
+    while len(want) < 400:
+        item = [word() for _ in range(rng.randrange(25, 60))]
+        copy = list(item)
+        for i in rng.sample(range(len(copy)), rng.randrange(1, 4)):
+            copy[i] = word()
+        a, b = grams(item), grams(copy)
+        if 0.75 <= weight(a & b) / weight(a | b) <= 0.85:
+            want.add((len(items), len(items)))
+            docs.append((len(items), " ".join(copy)))
+            items.append((len(items), " ".join(item)))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_pii(spark, docs):
     text = "Mail a.b9@mail.example.com or A.B9@MAIL.EXAMPLE.COM, Mrs. Anna Smith, 4417744280351547 and 4417 7442 8035 1547, 10.0.0.7"
     rows = spark.createDataFrame([(1, text), (1, text), (2, "10.0.0.7 10.0.0.8"), (3, None), (4, "")], "doc_id long, text string")
