@@ -47,7 +47,7 @@ PATTERNS = {
 }
 ANY = "|".join(p.replace("([ -]?)", "[ -]?") for p in PATTERNS.values())
 #: A text without any of these has no entity; the cheap test comes first.
-MAYBE = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(TITLES.values())}|{_NAMES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}"
+MAYBE = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(TITLES.values())}|{_NAMES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}|AKIA|gh[pousr]_"
 
 
 def _kind(entity: Column) -> Column:
