@@ -7,14 +7,19 @@ size, so a worker holds a few megabytes (or one document, if that is longer) wha
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
+import weakref
 
 import numpy as np
 
 RUN_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+_own: dict = {}
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 #: A-Z to a-z, other bytes unchanged.
@@ -55,21 +60,41 @@ def runs(column):
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + RUN_BYTES, "right")) - 1)
         yield row, data[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row]
         row = stop
+
+
+def trimmed(run):
+    """A function over batches whose worker gives freed memory back when a task ends: workers live on between stages."""
+
+    def inner(*batches):
+        yield from run(*batches)
+        trim()
+
+    return inner
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray):
@@ -112,23 +137,44 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out + _U(k))
 
 
-def checkpoint(df):
-    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir; one of our own only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault("folder", None) or tempfile.mkdtemp(prefix="checkpoint-")
+        if _own["folder"] is None:
+            _own["folder"] = folder
             atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
 
 
-def compact(df, rows: int = 250_000):
-    """A checkpoint read in as many partitions as its rows need, `rows` each: small results make few tasks and files."""
-    df = checkpoint(df)
-    n = df.count()
-    return df.coalesce(max(1, -(-n // rows)))
+def checkpoint(df):
+    """`df` as a table written in the shared folder, which cuts its lineage: lost executors lose nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete tables that checkpoint() wrote and nothing will read again."""
+    for df in tables:
+        path = _paths.pop(df, None) if df is not None else None
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark, sf_dir: str, name: str):

@@ -9,6 +9,8 @@ A pair has to share min(m of one, m of the other).
 Links between different sets are found in two steps, so that a group of thousands of near copies costs a star and not
 all its pairs. First each prefix shingle's rows are verified against one leader of that shingle, and what links is
 merged. Then only pairs of sets in different components remain to be matched, counted and verified, all of them.
+Candidates are verified where their texts meet: texts travel, compressed, and their sets are built again there, as a
+set of 64-bit hashes is larger than its text.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ from . import _text as T
 from .components import connected_components
 
 _U = np.uint64
-SLOTS = 1 << 24  # counters of the frequency table; 16 MB broadcast at every size of the input
+SLOTS = 1 << 22  # counters of the frequency table; 4 MB broadcast at every size of the input
 CHUNK = 1 << 18
 #: Fewest and most matches that a document asks for (fewer where its set is too small for that).
 LEAST_MATCHES = 4
 MATCHES = 16
 BITS = 1 << 27
 STAR_ROUNDS = 2
-#: A shingle with more rows than that is crowded; its rows are compared in blocks of BLOCK by BLOCK.
+#: A shingle that stands in about so many documents or more is dealt out in parts, each with a leader of its own.
+HOT = 50_000
+#: A shingle with more rows than that is crowded; its rows are compared in blocks.
 CROWD = 64
-BLOCK = 256
+#: Shingles that a block, or a task of verification, holds, about.
+HELD = 1_000_000
 
 
 def _sets(column, width):
@@ -147,7 +152,11 @@ def _postings(width, percent, table, noise):
                     seen.clear()
                 seen.add(name)
                 p, m = prefix(s, steps, noise, percent)
-                out.append((p, name, len(s) * 16 + m - 1))
+                # A hot shingle is dealt out in parts, told apart by its last 16 bits; none where the table is too full to tell.
+                rows = np.maximum(np.exp2(steps[(p & _U(SLOTS - 1)).astype(np.int64)] / 8.0) - noise, 0)
+                hot = rows > HOT + noise
+                p = np.where(hot, p >> _U(16) << _U(16) | (name % np.minimum(rows // HOT + 1, 65536)).astype(_U), p)
+                out.append((p, name, (len(s) * 16 + m - 1) * 2 + hot))
                 if len(out) >= 2000:
                     yield _posting_batch(pa, out)
                     out = []
@@ -158,41 +167,47 @@ def _postings(width, percent, table, noise):
 
 
 def _posting_batch(pa, out):
-    k = [len(p) for p, _, _ in out]
-    cols = [np.concatenate([p for p, _, _ in out]).view(np.int64), np.repeat([x for _, x, _ in out], k), np.repeat([x for _, _, x in out], k)]
+    k = [len(x[0]) for x in out]
+    cols = [np.concatenate([x[0] for x in out]).view(np.int64), np.repeat([x[1] for x in out], k), np.concatenate([x[2] for x in out])]
     return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["token", "node", "meta"])
 
 
-def _members(width, wanted):
-    """The sets of the rows whose doc_id has its bit set; what comes along too is dropped by the join that follows."""
+#: What a posting's meta holds: the size of the set, the matches it asks for, and whether the shingle is dealt out in parts.
+_N, _M, _HOT = "({} div 32)", "({} div 2 % 16 + 1)", "({} % 2 = 1)"
+
+
+def _texts(width, wanted):
+    """The texts of the rows whose doc_id has its bit set; what comes along too is dropped by the join that follows."""
 
     def run(batches):
         import pyarrow as pa
 
         bits, seen = wanted.value, set()
         for batch in batches:
-            slot = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False) & (BITS - 1)
-            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
-            names, found = [], []
-            for _, s in _sets(batch.column("text"), width):
-                if len(s) and (name := _node(s)) not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen.add(name)
-                    names.append(name)
-                    found.append(s.view(np.int64))
-                if len(names) >= 500:
-                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-                    names, found = [], []
-            if names:
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            batch = batch.filter(pa.array(_marked(bits, batch.column("doc_id"))))
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                names, rows = [], []
+                for i, s in _sets(part.column("text"), width):
+                    if len(s) and (name := _node(s)) not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(name)
+                        names.append(name)
+                        rows.append(i)
+                yield pa.record_batch([pa.array(names, pa.int64()), part.column("text").take(pa.array(rows, pa.int64()))], names=["node", "text"])
 
     return run
 
 
+def _marked(bits: np.ndarray, ids) -> np.ndarray:
+    slot = ids.fill_null(0).to_numpy(zero_copy_only=False) & (BITS - 1)
+    return (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """One bit for each slot that a first_id falls on; 16 MB at most, at every size of the input."""
-    slot = ids.select(F.coalesce("first_id", F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
+    """One bit for each slot that an id of the only column falls on; 16 MB at most, at every size of the input."""
+    slot = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
     rows = slot.groupBy(F.expr("s div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("b"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
@@ -200,144 +215,208 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _compare_blocks(percent: int):
-    """Some sets of a crowd against others: the pairs that link, of different components, each once."""
+def _sets_of(table, width) -> dict:
+    """Node to sorted set for the rows (node, text) of an Arrow table."""
+    column = table.column("text")
+    return dict(zip(table.column("node").to_pylist(), (s for _, s in _sets(column, width))))
+
+
+def _compare_pairs(width: int, percent: int):
+    """Some pairs (u, v) and the texts of their nodes: the pairs that link."""
+
+    def run(pairs, texts):
+        import pyarrow as pa
+
+        sets = _sets_of(texts, width) if pairs.num_rows else {}
+        us, vs = [], []
+        for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist()):
+            a, b = sets[u], sets[v]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                us.append(u)
+                vs.append(v)
+        del sets
+        T.trim()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+def _compare_blocks(width: int, percent: int):
+    """Some sets of a crowd against others: the pairs that link, of different components."""
 
     def run(few, many):
         import pyarrow as pa
 
         us, vs = [], []
         if few.num_rows and many.num_rows:
+            sets = _sets_of(many, width)
             node, part = many.column("node").to_numpy(), many.column("component").to_numpy()
-            odd = many.column("odd").to_numpy()
-            sets = [np.asarray(x.values) for x in many.column("shingles")]
+            sets = [sets[x] for x in node.tolist()]
             size = np.array([len(x) for x in sets])
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for u, c, x in zip(few.column("node").to_pylist(), few.column("component").to_pylist(), few.column("shingles")):
-                x = np.asarray(x.values)
+            own = _sets_of(few, width)
+            for u, c in zip(few.column("node").to_pylist(), few.column("component").to_pylist()):
+                x = own[u]
                 low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
                 n = high - low
                 at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
                 both = np.bincount(owner[at], minlength=len(sets))
-                link = (100 * both >= percent * (len(x) + size - both)) & (part != c) & (~odd | (node > u))
+                link = (100 * both >= percent * (len(x) + size - both)) & (part != c)
                 us += [u] * int(link.sum())
                 vs += node[link].tolist()
+            del sets, flat, owner, own
+            T.trim()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough, counted exactly."""
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
-
-
-def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n, node), and for each set (node, first_id, component, component_id); see similar_components."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = T.checkpoint(docs.mapInArrow(_fingerprints(width), "doc_id long, n long, node long, chunk int, counts binary"))
-    rows = prints.where("chunk is null").select("doc_id", "n", "node")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    steps = _frequency_table(prints.where("chunk is not null").select("chunk", "counts"))
-    noise = float(rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
-    table = spark.sparkContext.broadcast(steps)
-
-    token = W.partitionBy("token")
-    shared = (
-        docs.select("text")
-        .mapInArrow(_postings(width, percent, table, noise), "token long, node long, meta long")
-        .select("*", F.min("node").over(token).alias("low"), F.max("node").over(token).alias("high"))
-        .where("low <> high")
-        .select("token", "node", "meta")
-        .distinct()
-    )
-    # A partner of a set of eight or more is a set of six or more, so the two share LEAST_MATCHES at least.
-    own = W.partitionBy("node")
-    shared = shared.withColumn("n", F.expr("meta div 16")).withColumn("m", F.col("meta") % 16 + 1).drop("meta")
-    shared = shared.withColumn("hits", F.count("*").over(own)).where(f"n < 8 or hits >= {LEAST_MATCHES}").drop("hits")
-    shared = T.compact(shared)
-    everyone = shared.select("node").distinct()
-    state = {"edges": None, "parts": everyone.withColumn("component", F.col("node"))}
-
-    def live() -> DataFrame:
-        """The postings of shingles that still hold rows of two components."""
-        w = shared.join(state["parts"], "node").select("*", F.min("component").over(token).alias("low"), F.max("component").over(token).alias("high"))
-        return T.compact(w.where("low <> high").drop("low", "high"))
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(node, shingles) of some nodes, and a few more; the texts that are wanted are read again."""
-        bits = _bitmap(nodes.join(some, "node", "left_semi").select("first_id"))
-        return docs.mapInArrow(_members(width, spark.sparkContext.broadcast(bits)), "node long, shingles array<long>")
-
-    def merge(new: DataFrame) -> bool:
+class _Join:
+    """The links of one table of documents, found step by step; see similar_components."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.spark, self.width, self.percent = docs.sparkSession, width, percent
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        prints = T.checkpoint(self.docs.mapInArrow(T.trimmed(_fingerprints(width)), "doc_id long, n long, node long, chunk int, counts binary"))
+        self.rows = prints.where("chunk is null").select("doc_id", "n", "node")
+        self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+        self.steps = _frequency_table(prints.where("chunk is not null").select("chunk", "counts"))
+        self.noise = float(self.rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
+        self.edges: list[DataFrame] = []
+        self.parts: DataFrame | None = None  # (node, component) of the nodes that have a link
+
+    def shared(self) -> DataFrame:
+        """The postings (token, node, meta) of shingles that stand in prefixes of several sets."""
+        table = self.spark.sparkContext.broadcast(self.steps)
+        found = self.docs.select("text").mapInArrow(T.trimmed(_postings(self.width, self.percent, table, self.noise)), "token long, node long, meta long")
+        return self.led(found, "node")
+
+    def led(self, rows: DataFrame, component: str) -> DataFrame:
+        """Rows (token, node, meta, component) of shingles that hold several components: distinct, with a leader and their number.
+
+        Each part of a hot shingle has a leader of its own.
+        """
+        token = W.partitionBy("token")
+        by = F.struct(F.xxhash64("node", F.lit(len(self.edges))).alias("by"), "node", "meta", F.col(component).alias("component"))
+        rows = rows.repartition("token")  # before the struct is made, so that it doesn't travel
+        rows = rows.select("*", F.min(by).over(token).alias("lead"), F.min(component).over(token).alias("low"), F.max(component).over(token).alias("high"))
+        rows = rows.where("low <> high or meta % 2 = 1").select("token", "node", "meta", F.col(component).alias("component"), "lead").distinct()
+        return T.checkpoint(rows.select("*", F.count("*").over(token).alias("crowd")))
+
+    def texts(self, some: DataFrame) -> DataFrame:
+        """(node, text) of some nodes, and a few more; the texts that are wanted are read again."""
+        bits = _bitmap(self.nodes.join(some, "node", "left_semi").select("first_id"))
+        return self.docs.mapInArrow(T.trimmed(_texts(self.width, self.spark.sparkContext.broadcast(bits))), "node long, text string")
+
+    def similar_size(self, a: str, b: str):
+        return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
+
+    def need(self, n: str, m: str, o: str, p: str):
+        """How many prefix shingles sets of n and o have to share, if they ask for m and p matches.
+
+        What they share beyond the end of the prefix that ends first lies in the rest of that set, which is ceil(t * n) - m
+        long; so the prefixes share what linked sets share less the longer rest, and min(m, p) at least.
+        """
+        t = self.percent
+        rest = f"greatest(({t} * {n} + 99) div 100 - {m}, ({t} * {o} + 99) div 100 - {p})"
+        return F.expr(f"greatest(least({m}, {p}), ({t} * ({n} + {o}) + {99 + t}) div {100 + t} - {rest})")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """What links of the distinct pairs (u, v, nu, nv); a u of many pairs meets them in several tasks."""
+        total = pairs.agg(F.sum(F.col("nu") + F.col("nv"))).first()[0] or 0
+        buckets = max(1, -(-total // HELD))
+        salts = pairs.groupBy("u").agg(F.ceil(F.sum("nv") / HELD).cast("int").alias("salts"))
+        dealt = pairs.join(salts, "u").withColumn("bucket", F.pmod(F.xxhash64("u", F.pmod(F.xxhash64("v"), "salts")), F.lit(buckets)).cast("int"))
+        dealt = T.checkpoint(dealt.select("bucket", "u", "v"))
+        sides = dealt.select("bucket", F.col("u").alias("node")).unionByName(dealt.select("bucket", F.col("v").alias("node"))).distinct()
+        held = self.texts(sides.select("node").distinct()).join(sides, "node").select(F.col("bucket").alias("b"), "node", "text")
+        return dealt.groupBy("bucket").cogroup(held.groupBy("b")).applyInArrow(_compare_pairs(self.width, self.percent), "u long, v long")
+
+    def merge(self, links: DataFrame) -> bool:
         """Add links (u, v) to the components; whether there are any."""
-        new = T.compact(new)
-        if new.isEmpty():
+        links = T.checkpoint(links)
+        if links.isEmpty():
             return False
-        state["edges"] = new if state["edges"] is None else state["edges"].unionByName(new)
-        parts = connected_components(state["edges"])
-        state["parts"] = T.compact(everyone.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        self.edges.append(links)
+        every = links if self.parts is None else links.unionByName(self.parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+        self.parts = T.checkpoint(connected_components(every))
         return True
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """What links of rows (u, v, need), one for each shingle that a pair shares."""
-        pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need").select("u", "v")
-        pairs = T.compact(pairs)
-        return _linked(pairs, sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), percent)
-
-    similar_size = "100 * least(%s, %s) >= " + str(percent) + " * greatest(%s, %s)"
-    rest = live()
-    for step in range(STAR_ROUNDS):
-        # One leader for each shingle, another in each round. What it doesn't share enough shingles with can wait.
-        lead = rest.withColumn("by", F.xxhash64("node", F.lit(step))).withColumn("lead", F.min(F.struct("by", "node", "component", "n", "m")).over(token))
-        pairs = lead.where("component <> lead.component and " + similar_size % (("n", "lead.n") * 2))
-        merged = merge(verified(pairs.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"), F.least("m", "lead.m").alias("need"))))
-        if not merged:
-            break
-        rest = live()
-
-    # All pairs that share shingles and are in different components. Rows that share a crowded shingle mostly share many;
-    # each such row is at home with the leader of most of them, and rows of one home are compared in blocks, those outside
-    # the home's largest component with all others. No pair of them is made before it links.
-    rest = rest.withColumn("crowd", F.count("*").over(token)).withColumn("lead", F.min(F.struct(F.xxhash64("node", F.lit(99)).alias("by"), "node")).over(token)["node"])
-    home = rest.where(F.col("crowd") > CROWD).groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead"))["lead"].alias("home"))
-    rest = T.compact(rest.join(home, "node", "left"))
-    at_home = rest.where("home is not null").select("home", "node", "component").distinct()
-    largest = at_home.groupBy("home", "component").agg(F.count("*").alias("k")).groupBy("home").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
-    crowd = at_home.join(largest.where("all > k"), "home").withColumn("odd", F.col("component") != F.col("main"))
-    crowd = crowd.withColumn("rows_", F.ceil((F.col("all") - F.col("k")) / BLOCK).cast("int")).withColumn("cols_", F.ceil(F.col("all") / BLOCK).cast("int"))
-    crowd = T.compact(crowd.select("home", "node", "component", "odd", "rows_", "cols_"))
-    links = None
-    if not crowd.isEmpty():
-        held = crowd.join(sets_of(crowd.select("node").distinct()), "node")
+    def live(self, rows: DataFrame) -> DataFrame:
+        """The postings of shingles that still hold rows of two components."""
+        rows = rows.select("token", "node", "meta")
+        if self.parts is None:
+            return self.led(rows, "node")
+        return self.led(rows.join(self.parts, "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component")), "component")
+
+    def stars(self, rows: DataFrame) -> bool:
+        """Each set against the leader that it shares most shingles with, of those that it shares enough with."""
+        n, m, o, p = _N.format("meta"), _M.format("meta"), _N.format("lead.meta"), _M.format("lead.meta")
+        pairs = rows.where("component <> lead.component").where(self.similar_size(n, o))
+        pairs = pairs.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("k"), F.first(F.expr(n)).alias("n"), F.first(F.expr(o)).alias("lead_n"), F.first(self.need(n, m, o, p)).alias("need"))
+        best = pairs.where("k >= need").groupBy("node").agg(F.max(F.struct("k", "lead", "n", "lead_n")).alias("x"))
+        return self.merge(self.verified(T.checkpoint(best.select(F.col("x.lead").alias("u"), F.col("node").alias("v"), F.col("x.lead_n").alias("nu"), F.col("x.n").alias("nv")))))
+
+    def crowds(self, rows: DataFrame) -> DataFrame | None:
+        """Links within crowded shingles, and the home of each row that has one.
+
+        Rows that share a crowded shingle mostly share many; each such row is at home with the leader of most of them.
+        Rows of one home meet, and so do those of two homes that a crowded shingle joins. A meeting is compared in
+        blocks, the sets outside its largest component with all others: no pair is made before it links.
+        """
+        crowded = rows.where(f"crowd > {CROWD} or meta % 2 = 1").select("token", "node", "component", F.expr(_N.format("meta")).alias("n"), F.col("lead.node").alias("lead"), F.expr(_HOT.format("meta")).alias("hot"))
+        home = T.checkpoint(crowded.groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead"))["lead"].alias("home")))
+        if home.isEmpty():
+            return None
+        # The parts of a hot shingle count as one shingle here.
+        at = crowded.select(F.when(F.col("hot"), F.shiftright("token", 16)).otherwise(F.col("token")).alias("token"), "node", "component", "n").join(home, "node")
+        homes = at.select("token", "home").distinct()
+        other = homes.toDF("token", "other")
+        joined = homes.join(other, "token").where("home < other")
+        both = joined.unionByName(joined.select("token", F.col("other").alias("home"), F.col("home").alias("other")))
+        meets = at.select("home", F.col("home").alias("other"), "node", "component", "n").unionByName(at.join(both, ["token", "home"]).select(F.least("home", "other").alias("home"), F.greatest("home", "other").alias("other"), "node", "component", "n")).distinct()
+        sizes = meets.groupBy("home", "other", "component").agg(F.sum("n").alias("k")).groupBy("home", "other").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("all"))
+        sizes = sizes.where("all > x.k").select("home", "other", F.col("x.component").alias("main"), F.ceil((F.col("all") - F.col("x.k")) / HELD).cast("int").alias("rows_"), F.ceil(F.col("all") / HELD).cast("int").alias("cols_"))
+        meets = T.checkpoint(meets.join(sizes, ["home", "other"]).withColumn("meet", F.xxhash64("home", "other")))
         block = F.xxhash64("node", F.lit(11))
-        few = held.where("odd").withColumn("row", F.pmod(block, F.col("rows_"))).withColumn("col", F.explode(F.expr("sequence(0, cols_ - 1)")))
-        many = held.withColumn("col", F.pmod(block, F.col("cols_"))).withColumn("row", F.explode(F.expr("sequence(0, rows_ - 1)")))
-        names = ["home", "row", "col", "node", "component", "odd", "shingles"]
-        few = few.select(*(F.col(c).cast("long").alias(c) if c in ("row", "col") else F.col(c) for c in names)).toDF(*("f_" + c for c in names[:3]), *names[3:])
-        many = many.select(*(F.col(c).cast("long").alias(c) if c in ("row", "col") else F.col(c) for c in names))
-        links = few.groupBy("f_home", "f_row", "f_col").cogroup(many.groupBy("home", "row", "col")).applyInArrow(_compare_blocks(percent), "u long, v long").distinct()
-    kinds = rest.select("token", "component", "home").distinct()
-    a = kinds.select("token", F.col("component").alias("ca"), F.col("home").alias("ha"))
-    b = kinds.select("token", F.col("component").alias("cb"), F.col("home").alias("hb"))
-    cross = a.join(b, "token").where("ca < cb and coalesce(ha <> hb, true)")
-    a = rest.select("token", F.col("component").alias("ca"), F.col("home").alias("ha"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"))
-    b = rest.select("token", F.col("component").alias("cb"), F.col("home").alias("hb"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"))
-    same = lambda x: F.expr(f"l.token = r.token and l.c{x} = r.c{x} and l.h{x} <=> r.h{x}")
-    pairs = cross.alias("l").join(a.alias("r"), same("a")).select("l.token", "l.cb", "l.hb", "r.u", "r.nu", "r.mu")
-    pairs = pairs.alias("l").join(b.alias("r"), same("b")).where(similar_size % (("nu", "nv") * 2))
-    found = verified(pairs.select("u", "v", F.least("mu", "mv").alias("need")))
-    merge(found if links is None else found.unionByName(links))
-    parts = state["parts"]
-    lowest = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    group = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows, lowest.join(group, "component").select("node", "first_id", "component", "component_id")
+        few = meets.where("component <> main").select("meet", F.pmod(block, "rows_").alias("row"), F.explode(F.expr("sequence(0L, cols_ - 1L)")).alias("col"), "node", "component")
+        many = meets.select("meet", F.explode(F.expr("sequence(0L, rows_ - 1L)")).alias("row"), F.pmod(block, "cols_").alias("col"), "node", "component")
+        texts = self.texts(meets.select("node").distinct())
+        few, many = few.join(texts, "node"), many.join(texts, "node")
+        few = few.toDF("node", "f_meet", "f_row", "f_col", "component", "text")
+        return few.groupBy("f_meet", "f_row", "f_col").cogroup(many.groupBy("meet", "row", "col")).applyInArrow(_compare_blocks(self.width, self.percent), "u long, v long").distinct()
+
+    def rest(self, rows: DataFrame) -> DataFrame:
+        """Links of all other pairs that share shingles and are in different components."""
+        rows = rows.where(f"crowd <= {CROWD} and meta % 2 = 0").select("token", "node", "meta", "component")
+        pairs = rows.toDF("token", "u", "mu", "cu").join(rows.toDF("token", "v", "mv", "cv"), "token").where("cu < cv")
+        n, m, o, p = _N.format("mu"), _M.format("mu"), _N.format("mv"), _M.format("mv")
+        pairs = pairs.where(self.similar_size(n, o)).groupBy("u", "v").agg(F.count("*").alias("k"), F.first(F.expr(n)).alias("nu"), F.first(F.expr(o)).alias("nv"), F.first(self.need(n, m, o, p)).alias("need"))
+        return self.verified(T.checkpoint(pairs.where("k >= need").select("u", "v", "nu", "nv")))
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """The rows (doc_id, n, node), and for each set (node, first_id, component, component_id)."""
+        rows = self.shared()
+        for _ in range(STAR_ROUNDS):
+            if not self.stars(rows):
+                break
+            rows, old = self.live(rows), rows
+            T.release(old)
+        # A pair that shares a crowded shingle meets there; all shingles that another pair shares are counted.
+        links, found = self.crowds(rows), self.rest(rows)
+        self.merge(found if links is None else found.unionByName(links))
+        T.release(rows)
+        lowest = self.nodes if self.parts is None else self.nodes.join(self.parts, "node", "left")
+        lowest = lowest.withColumn("component", F.coalesce("component", "node") if self.parts is not None else F.col("node"))
+        group = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        return self.rows, lowest.join(group, "component").select("node", "first_id", "component", "component_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    return _Join(docs, width, percent).run()
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -355,16 +434,28 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     return out.select(rows.doc_id, rows.n.alias("n_shingles"), F.when(rows.n > 0, F.col("component_id")).otherwise(rows.doc_id).alias("component_id"))
 
 
-def _with_node(width, names):
+def _with_node(width, names, suspects, staying):
+    """Rows of `names` and a node: null for a row that stays, else that of its set; rows that can't stay are left out."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node = [None] * batch.num_rows
-            for i, s in _sets(batch.column("text"), width):
-                if len(s):
-                    node[i] = _node(s)
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(node, pa.int64())], names=[*names, "_node"])
+            doubt = _marked(suspects.value, batch.column(names.index("doc_id")).cast(pa.int64()))
+            stay = ~doubt
+            node = np.zeros(batch.num_rows, np.int64)
+            rows = np.flatnonzero(doubt)
+            may = _marked(staying.value, batch.column(names.index("doc_id")).cast(pa.int64()))
+            text = batch.column(names.index("text")).cast(pa.string())
+            for k in range(0, len(rows), 500):
+                part = rows[k : k + 500]
+                for i, s in _sets(text.take(pa.array(part)), width):
+                    if len(s):
+                        node[part[i]] = _node(s)
+                    else:
+                        stay[part[i]] = True
+            keep = pa.array(stay | may)
+            yield pa.record_batch([*batch.columns, pa.array(node, mask=stay)], names=[*names, "node"]).filter(keep)
 
     return run
 
@@ -372,18 +463,26 @@ def _with_node(width, names):
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """`docs` with one row of each component of similar documents, the one with its smallest doc_id; all columns stay.
 
-    Rows with empty sets all stay. Of several rows that are equal in text and doc_id one stays.
+    Rows with empty sets all stay. Of several rows that are equal in text and doc_id one stays. Columns may have any
+    names. Rows whose doc_id belongs to no other row, and whose set stays, are passed through where they are read; only
+    the others' texts travel.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
-    _, nodes = _components(docs, width, percent)
+    names = docs.columns
+    rows, nodes = _components(docs, width, percent)
     # The set of the smallest id; where ids repeat, of the smallest set of those.
-    stay = nodes.where("first_id <=> component_id").groupBy("component").agg(F.min(F.struct("node", "first_id")).alias("x")).select(F.col("x.node").alias("_node"), F.col("x.first_id").alias("_id"))
-    stay = T.checkpoint(stay)
-    rows = docs.mapInArrow(_with_node(width, docs.columns), StructType([*docs.schema.fields, StructField("_node", LongType())]))
-    empty = rows.where("_node is null")
-    kept = rows.where("_node is not null").join(stay.withColumnRenamed("_node", "_stay"), F.expr("_node = _stay and doc_id <=> _id"), "left_semi")
-    return kept.dropDuplicates(["_node"]).unionByName(empty).select(*docs.columns)
+    stay = nodes.where("first_id <=> component_id").groupBy("component").agg(F.min(F.struct("node", "first_id")).alias("x"))
+    stay = T.checkpoint(stay.select(F.col("x.node").alias("s_node"), F.col("x.first_id").alias("s_id")))
+    fits = rows.join(stay, F.expr("node = s_node and doc_id <=> s_id"), "left")
+    each = fits.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.expr("n = 0 or s_node is not null")).alias("stays"))
+    context = docs.sparkSession.sparkContext
+    suspects = context.broadcast(_bitmap(each.where("rows > 1 or not stays").select("doc_id")))
+    staying = context.broadcast(_bitmap(stay.select("s_id")))
+    node, s_node, s_id = (T.fresh(x, names) for x in ("node_", "s_node", "s_id"))
+    found = docs.mapInArrow(T.trimmed(_with_node(width, names, suspects, staying)), StructType([*docs.schema.fields, StructField(node, LongType())]))
+    doubt = found.where(F.col(node).isNotNull()).join(stay.toDF(s_node, s_id), F.expr(f"{node} = {s_node} and doc_id <=> {s_id}"), "left_semi")
+    return found.where(F.col(node).isNull()).unionByName(doubt.dropDuplicates([node])).select(*names)
 
 
 def op4_jaccard_components(spark, sf_dir: str) -> DataFrame:
