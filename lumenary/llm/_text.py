@@ -177,6 +177,50 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def columns(names) -> list:
+    """Columns of whatever names, of a list or a table."""
+    from pyspark.sql import functions as F
+
+    return [F.col("`" + c.replace("`", "``") + "`") for c in getattr(names, "columns", names)]
+
+
+def map_arrow(df, run, keep: list[str], added: str):
+    """mapInArrow over columns of any names, which `run` gets by place; it returns those of `keep`, the first, and one more.
+
+    `added` is the name and type of that one.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields[: len(keep)])]
+    name, kind = added.rsplit(" ", 1)
+    return plain.mapInArrow(trimmed(run), StructType(fields).add(f"c{len(df.columns)}", kind)).toDF(*keep, name)
+
+
+def packed(df):
+    """`df` as one column `row`, a struct: no name can clash with those that are added."""
+    from pyspark.sql import functions as F
+
+    return df.select(F.struct(*columns(df)).alias("row"))
+
+
+SLOTS = 1 << 24
+
+
+def marked(rows, key: str, among, name: str):
+    """`rows` with a boolean column `name`: false only where the long `key` is none of those in the only column of `among`.
+
+    A bitmap of the keys' slots is broadcast: 512 pages of 4 kB at every size. It tells less the more keys there are.
+    """
+    from pyspark.sql import functions as F
+
+    slot = F.pmod(F.col(among.columns[0]), F.lit(SLOTS))
+    pages = among.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("bits_page")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("bits_held"))
+    at = f"pmod({key}, {SLOTS})"
+    bit = f"shiftright(cast(conv(hex(substring(bits_held, cast({at} % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1 = 1"
+    return rows.join(F.broadcast(pages), F.expr(f"{at} div 32768 = bits_page"), "left").withColumn(name, F.coalesce(F.expr(bit), F.lit(False))).drop("bits_page", "bits_held")
+
+
 def table(spark, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -113,7 +113,7 @@ def _frequency_table(parts: DataFrame) -> np.ndarray:
     kind = "chunk int, salt int, counts binary"
     first = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("chunk", "salt").applyInPandas(_sum_counts, kind)
     out = np.zeros(SLOTS, np.uint8)
-    for row in first.groupBy("chunk").applyInPandas(_sum_counts, kind).select("chunk", "counts").toLocalIterator():
+    for row in first.groupBy("chunk").applyInPandas(_sum_counts, kind).select("chunk", "counts").collect():
         steps = 8 * np.log2(1 + _unpack(bytes(row["counts"])).astype(np.float64))
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.minimum(255, np.ceil(steps))
     return out
@@ -210,7 +210,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     slot = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
     rows = slot.groupBy(F.expr("s div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("b"))
     out = np.zeros(BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # 16 MB at most
         out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
     return out
 
@@ -435,7 +435,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
 
 def _with_node(width, names, suspects, staying):
-    """Rows of `names` and a node: null for a row that stays, else that of its set; rows that can't stay are left out."""
+    """Rows of `names`, in their order, and a node: null for a row that stays, else that of its set; rows that can't stay are left out."""
 
     def run(batches):
         import pyarrow as pa
@@ -455,7 +455,7 @@ def _with_node(width, names, suspects, staying):
                     else:
                         stay[part[i]] = True
             keep = pa.array(stay | may)
-            yield pa.record_batch([*batch.columns, pa.array(node, mask=stay)], names=[*names, "node"]).filter(keep)
+            yield pa.record_batch([*batch.columns, pa.array(node, mask=stay)], names=[*batch.schema.names, f"c{batch.num_columns}"]).filter(keep)
 
     return run
 
@@ -467,8 +467,6 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75)
     names. Rows whose doc_id belongs to no other row, and whose set stays, are passed through where they are read; only
     the others' texts travel.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-
     names = docs.columns
     rows, nodes = _components(docs, width, percent)
     # The set of the smallest id; where ids repeat, of the smallest set of those.
@@ -480,9 +478,9 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75)
     suspects = context.broadcast(_bitmap(each.where("rows > 1 or not stays").select("doc_id")))
     staying = context.broadcast(_bitmap(stay.select("s_id")))
     node, s_node, s_id = (T.fresh(x, names) for x in ("node_", "s_node", "s_id"))
-    found = docs.mapInArrow(T.trimmed(_with_node(width, names, suspects, staying)), StructType([*docs.schema.fields, StructField(node, LongType())]))
+    found = T.map_arrow(docs, _with_node(width, names, suspects, staying), names, f"{node} long")
     doubt = found.where(F.col(node).isNotNull()).join(stay.toDF(s_node, s_id), F.expr(f"{node} = {s_node} and doc_id <=> {s_id}"), "left_semi")
-    return found.where(F.col(node).isNull()).unionByName(doubt.dropDuplicates([node])).select(*names)
+    return found.where(F.col(node).isNull()).unionByName(doubt.dropDuplicates([node])).select(*T.columns(names))
 
 
 def op4_jaccard_components(spark, sf_dir: str) -> DataFrame:
