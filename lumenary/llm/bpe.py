@@ -1,10 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are dealt to blocks of bounded size. Each block explodes its texts into pre-tokens with positions and sends its
-distinct pre-tokens, packed, to the shard that their hash names; a shard encodes each distinct word once, whatever the
-number of blocks it came from, and answers each block. The block joins the ids back and reassembles its texts by
-position. Occurrences never cross the network, so a word that makes up a third of the text costs one entry a block.
-Decoding joins ids with the table of token bytes.
+Texts are packed into blocks of bounded size where they are read. Each block explodes its texts into pre-tokens with
+positions and sends its distinct pre-tokens, packed, to the shard that their hash names; a task encodes each distinct
+word of its shards once, whatever the number of blocks it came from, and answers each block. The block joins the ids back
+and reassembles its texts by position. Occurrences never cross the network, so a word that makes up a third of the text
+costs one entry a block. Decoding joins ids with the table of token bytes.
+
+There are as many shards as the square root of the number of blocks, times four: rows grow as blocks to the power 1.5,
+and a shard is a stream, so that no task holds one. At 100 TB, blocks of 64 MB keep that to some 10**9 rows.
 """
 
 from __future__ import annotations
@@ -60,12 +63,13 @@ class _Index(dict):
         return n
 
 
-def _encoder(path: str, pattern: str):
+def _encoder(path: str):
+    """A function from a pre-token to its ids: the pattern takes it whole, as it is split already."""
     import tiktoken
 
     if ("bpe", path) not in _cache:
-        _cache["bpe", path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_vocabulary(path), special_tokens={})
-    return _cache["bpe", path]._encode_single_piece
+        _cache["bpe", path] = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=_vocabulary(path), special_tokens={})
+    return _cache["bpe", path].encode_ordinary
 
 
 def _pack(words: list[bytes]) -> bytes:
@@ -89,27 +93,33 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-def _pack_texts(batches):
-    """(doc_id, text, block) to one compressed row for each block and about 32 MB of text read."""
-    import pyarrow as pa
+def _pack_texts(block_bytes: int):
+    """Rows (doc_id, text) to blocks in the order of reading: `block_bytes` of text each, or one longer text."""
 
-    def flush():
-        ids = pa.array([[i for i, _ in held[b]] for b in held], pa.list_(pa.int64()))
-        blobs = pa.array([_pack([t for _, t in held[b]]) for b in held], pa.binary())
-        return pa.record_batch([pa.array(list(held), pa.int32()), ids, blobs], names=["block", "ids", "texts"])
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        name, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def flush():
+            return pa.record_batch([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(texts)], pa.binary())], names=["block", "ids", "texts"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").cast("binary").to_pylist()):
+                    t = t or b""
+                    if ids and size + len(t) > block_bytes or len(ids) >= 100_000:
+                        yield flush()
+                        name, ids, texts, size = name + 1, [], [], 0
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+        if ids:
+            yield flush()
 
-    held, size = {}, 0
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            part = batch.slice(k, 1000)
-            for i, t, b in zip(part.column("doc_id").to_pylist(), part.column("text").cast("large_binary").to_pylist(), part.column("block").to_pylist()):
-                held.setdefault(b, []).append((i, t or b""))
-                size += len(t or b"")
-                if size > 32 << 20:
-                    yield flush()
-                    held, size = {}, 0
-    if held:
-        yield flush()
+    return run
 
 
 def _shards(words, shards: int) -> list[list[bytes]]:
@@ -130,30 +140,40 @@ def _words_of_block(pattern: str, shards: int):
         split, words = _splitter(pattern), set()
         for blob in table.column("texts"):
             for t in _unpack(blob.as_py()):
-                words.update(split(t.decode()))
+                words.update(split(t.decode(errors="replace")))
         parts = [(s, _pack(x)) for s, x in enumerate(_shards(words, shards)) if x]
         block = table.column("block")[0].as_py()
-        return pa.table({"shard": pa.array([s for s, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "words": pa.array([x for _, x in parts], pa.binary())})
+        return pa.table({"shard": pa.array([s for s, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "words": pa.array([x for _, x in parts], pa.binary())})
 
     return run
 
 
-def _encode_shard(path: str, pattern: str):
-    def run(table):
+#: Words whose ids a task remembers; beyond, it forgets them and goes on.
+_KNOWN = 1_000_000
+
+
+def _encode_words(path: str):
+    """Rows (shard, block, words) to the answers, one by one."""
+
+    def run(batches):
         import pyarrow as pa
         import zstandard
 
-        encode, known, answers = _encoder(path, pattern), {}, []
-        for blob in table.column("words"):
-            ids, counts = [], []
-            for w in _unpack(blob.as_py()):
-                x = known.get(w)
-                if x is None:
-                    x = known[w] = encode(w)
-                ids += x
-                counts.append(len(x))
-            answers.append(zstandard.ZstdCompressor(3).compress(np.uint32(len(counts)).tobytes() + np.array(counts, np.uint32).tobytes() + np.array(ids, np.uint32).tobytes()))
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(answers, pa.binary())})
+        encode, known = _encoder(path), {}
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
+            answers = []
+            for blob in batch.column("words"):
+                ids, counts = [], []
+                for w in _unpack(blob.as_py()):
+                    x = known.get(w)
+                    if x is None:
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        x = known[w] = encode(w.decode())
+                    ids += x
+                    counts.append(len(x))
+                answers.append(zstandard.ZstdCompressor(3).compress(np.uint32(len(counts)).tobytes() + np.array(counts, np.uint32).tobytes() + np.array(ids, np.uint32).tobytes()))
+            yield pa.record_batch([batch.column("block"), batch.column("shard"), pa.array(answers, pa.binary())], names=["block", "shard", "answer"])
 
     return run
 
@@ -167,7 +187,7 @@ def _assemble(path: str, pattern: str, shards: int, decoded: bool):
         for k in range(texts.num_rows):
             doc_ids += texts.column("ids")[k].as_py()
             for t in _unpack(texts.column("texts")[k].as_py()):
-                words = split(t.decode())
+                words = split(t.decode(errors="replace"))
                 places.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
         flat, count = {}, {}
         for s, blob in zip(answers.column("shard").to_pylist(), answers.column("answer")):
@@ -220,18 +240,19 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BY
 
     Each match of `pattern` is encoded separately by the ranks of the vocabulary file `path`, without special tokens.
     Null and empty texts have no ids; repeated rows, null and repeated doc_ids keep a row each; an empty table gives an
-    empty result. `decoded` adds the bytes that the ids decode to, by a join of each id with the token-byte table, while
-    the block holds them. A text is whole in one block, so a worker holds `block_bytes` of text or its longest text.
+    empty result. Bytes that aren't UTF-8 count as U+FFFD. `decoded` adds the bytes that the ids decode to, by a join of
+    each id with the token-byte table, while the block holds them. A text is whole in one block, so a worker holds
+    `block_bytes` of text or its longest text. `docs` must give the same rows in the same order when it is read again,
+    as files do: a table that a shuffle made belongs in a checkpoint before.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    packed = dealt.mapInArrow(_pack_texts, "block int, ids array<long>, texts binary").groupBy("block")
-    words = packed.applyInArrow(_words_of_block(pattern, blocks), "shard int, block int, words binary")
-    answers = words.groupBy("shard").applyInArrow(_encode_shard(path, pattern), "block int, shard int, answer binary")
+    shards = int(4 * max(1, -(-size // block_bytes)) ** 0.5)
+    packed = docs.mapInArrow(T.trimmed(_pack_texts(block_bytes)), "block long, ids array<long>, texts binary").groupBy("block")
+    words = packed.applyInArrow(_words_of_block(pattern, shards), "shard int, block long, words binary")
+    answers = words.repartition("shard").mapInArrow(T.trimmed(_encode_words(path)), "block long, shard int, answer binary")
     kind = "doc_id long, ids array<int>" + ", decoded binary" * decoded
-    return packed.cogroup(answers.groupBy("block")).applyInArrow(_assemble(path, pattern, blocks, decoded), kind)
+    return packed.cogroup(answers.groupBy("block")).applyInArrow(_assemble(path, pattern, shards, decoded), kind)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
