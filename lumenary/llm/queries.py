@@ -14,4 +14,4 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_quality": quality_cnn.op10_quality,
 }
-ORACLES = {"op1_url_filter": url_filter.SQL, "op4_jaccard_components": jaccard_join.SQL}
+ORACLES = {"op1_url_filter": url_filter.SQL, "op4_jaccard_components": jaccard_join.SQL, "op8_licenses": license_scan.SQL}
