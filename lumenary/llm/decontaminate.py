@@ -22,9 +22,8 @@ from . import _text as T
 #: Three bits in each block. No bound on similarity follows from it, but brute force finds no pair beyond it among edited copies.
 RADIUS = 23
 BLOCKS = 6
-#: Up to so many benchmark shingles the look-up tables are broadcast (some 100 bytes each); beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 300_000
-SLOTS = 1 << 24
+#: Benchmark shingles that are looked up at a time (some 100 bytes each are broadcast); more need more passes over the texts.
+LOOKED_UP = 300_000
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -92,29 +91,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     items = items.distinct().withColumn("size", F.size("iw")).withColumn("k", F.least("size", F.lit(width)))
     items = items.select("item_id", "size", "k", F.xxhash64("iw").alias("same"), F.posexplode(F.expr("transform(sequence(1, size - k + 1), i -> slice(iw, i, k))")).alias("i", "g"))
     items = T.checkpoint(items.select("item_id", "same", "size", "k", "i", F.xxhash64("g").alias("h"), _weight(F.col("g")).alias("w"), "g"))
-    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
-
     # Each shingle is found by its longest word (the first of several).
     best = F.array_max(F.transform("g", lambda w, i: F.struct(F.char_length(w).alias("n"), (-i).alias("i"), w.alias("word"))))
     anchors = items.withColumn("a", best).select(F.col("a.word").alias("word"), (-F.col("a.i")).cast("int").alias("off"), "h", "k").distinct()
     words = docs.select("rid", _words(F.col("text")).alias("ws"))
     placed = words.select("rid", "ws", F.posexplode("ws").alias("p", "word"))
-    hit = placed.join(near(anchors), "word").where("p >= off and p - off + k <= size(ws) and xxhash64(slice(ws, greatest(p - off, 0) + 1, k)) = h")
-    hits = T.checkpoint(hit.select("rid", (F.col("p") - F.col("off")).alias("p"), "h").distinct())
+    anchors = T.checkpoint(anchors)
+    passes, hits = max(1, -(-anchors.count() // LOOKED_UP)), None
+    for i in range(passes):
+        some = anchors.where(F.pmod("h", F.lit(passes)) == i)
+        hit = placed.join(F.broadcast(some), "word").where("p >= off and p - off + k <= size(ws) and xxhash64(slice(ws, greatest(p - off, 0) + 1, k)) = h")
+        hit = hit.select("rid", (F.col("p") - F.col("off")).alias("p"), "h")
+        hits = hit if hits is None else hits.unionByName(hit)
+    hits = T.checkpoint(hits.distinct())
 
     # An item's shingles that a document holds must weigh `percent` of the item at least, repeated ones as often as there.
     own = items.groupBy("item_id", "size", "k", "h", "w").agg(F.count("*").alias("c"))
     total = items.groupBy("item_id").agg(F.sum("w").alias("item_weight"))
-    held = hits.groupBy("rid", "h").agg(F.count("*").alias("n")).join(near(own), "h")
-    held = held.groupBy("rid", "item_id", "size", "k").agg(F.sum(F.col("w") * F.least("c", "n")).alias("got")).join(near(total), "item_id")
+    held = hits.groupBy("rid", "h").agg(F.count("*").alias("n")).join(own, "h")
+    held = held.groupBy("rid", "item_id", "size", "k").agg(F.sum(F.col("w") * F.least("c", "n")).alias("got")).join(total, "item_id")
     likely = T.checkpoint(held.where(100 * F.col("got") >= percent * F.col("item_weight")).select("rid", "item_id", "size", "k"))
 
     # Windows of the items' sizes around the hits, in the few documents that are left: a bitmap drops the others.
-    slot = F.pmod("rid", F.lit(SLOTS))
-    bits = likely.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("bits"))
-    some = docs.withColumn("s", slot).join(F.broadcast(bits), F.expr("s div 32768 = page"))  # 512 pages of 4 kB at most
-    some = some.where("shiftright(cast(conv(hex(substring(bits, cast(s % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(s % 8 as int)) & 1 = 1")
+    some = T.marked(docs, "rid", likely.select("rid"), "likely").where("likely")
     texts = some.select("rid", "doc_id", _words(F.col("text")).alias("ws")).dropDuplicates(["rid"])
     sizes = likely.select("rid", "item_id", "size", "k").join(own.select("item_id", "h").distinct(), "item_id").join(hits, ["rid", "h"])
     spots = sizes.groupBy("rid", "size", "k").agg(F.array_sort(F.collect_set("p")).alias("ps"))
@@ -143,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     again = texts.join(pairs.select("rid", "size", "n", "s").distinct(), "rid").withColumn("k", F.least("size", F.lit(width)))
     again = again.select("rid", "size", "s", F.explode(F.expr("transform(sequence(s + 1, s + 1 + n - k), i -> xxhash64(slice(ws, i, k)))")).alias("h"))
     again = again.groupBy("rid", "size", "s", "h").agg(F.count("*").alias("n1"))
-    common = pairs.join(again, ["rid", "size", "s"]).join(near(own.select("item_id", "h", "w", "c")), ["item_id", "h"])
+    common = pairs.join(again, ["rid", "size", "s"]).join(own.select("item_id", "h", "w", "c"), ["item_id", "h"])
     common = common.groupBy("rid", "doc_id", "item_id", "s", "n", "weight", "item_weight", "hamming").agg(F.sum(F.col("w") * F.least("n1", "c")).alias("both"))
     found = common.withColumn("any", F.col("weight") + F.col("item_weight") - F.col("both")).where(100 * F.col("both") >= percent * F.col("any"))
     found = found.withColumn("similarity", F.col("both") / F.col("any"))
@@ -153,12 +152,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that hold a benchmark item; all columns and all other rows stay, null and empty texts too."""
+    """`docs` without the rows that hold a benchmark item; all other rows stay, null and empty texts too.
+
+    All columns stay, whatever their names. Only rows that a bitmap of 2 MB can't rule out are joined.
+    """
     bad = T.checkpoint(contaminated(docs, benchmark, keep_key=True, **options).select("rid").distinct())
-    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("_rid", key).join(bad.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text").cast("string"))
+    rows = T.marked(T.packed(docs).withColumn("rid", key), "rid", bad, "likely")
+    good = rows.where("not likely").select("row").unionByName(rows.where("likely").join(bad, "rid", "left_anti").select("row"))
+    return good.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
