@@ -1,9 +1,13 @@
 """Language identification by bit-sliced Bloom filters of byte n-grams.
 
-Each language's frequent n-grams go into a Bloom filter; the filters are stored bit-sliced, so slot i is one integer with
-a bit for each language, and ANDing the few slots of an n-gram returns all languages that contain it. A text's n-grams
-are counted by language (a popcount of each bit). A count c of n n-grams with a filter's false-positive rate f is
-corrected to (c - f * n) / (1 - f); the language with most hits wins.
+Each language's n-grams go into a Bloom filter; the filters are stored bit-sliced, so slot i is one integer with a bit
+for each language, and ANDing the few slots of an n-gram returns all languages that contain it. A text's n-grams are
+counted by language (a popcount of each bit). A count c of n n-grams with a filter's false-positive rate f is corrected
+to (c - f * n) / (1 - f); the language with most hits wins.
+
+An n-gram is a language's from MIN_SHARE of the language's n-grams on, at every size of the corpus, so that a filter
+holds 50,000 at most; rarer ones, of which a large corpus has every one in every language, tell languages apart no
+better than chance. A text of such n-grams only has no hit, and gets the most frequent language.
 """
 
 from __future__ import annotations

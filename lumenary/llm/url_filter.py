@@ -87,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     total = urls.count()
     sample = urls.sample(min(1.0, 3 * SAMPLE / max(1, total)), 7).select("key", salt.alias("salt")).limit(4 * SAMPLE).collect()
     points = sorted((r["key"], r["salt"]) for r in sample)
-    cuts = sorted({points[len(points) * i // n] for i in range(1, n)}) if len(points) >= n else []
+    cuts = sorted({points[len(points) * i // n] for i in range(1, n)}) if points else []
     bounds = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")
