@@ -10,29 +10,39 @@ from lumenary.llm import bpe, decontaminate, jaccard_join, pii, quality_cnn
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network, fitted on a bounded sample of the labelled ones, doesn't reject."""
+    """Documents that the quality network, fitted on a bounded sample of the labelled ones, doesn't reject.
+
+    Each row is judged by its own text, a null one as an empty one; columns of any name, repeated rows and null doc_ids
+    stay as they are, and very long texts are read whole. An empty table, or one without labelled documents, fits a
+    network that rejects nothing.
+    """
     labels = T.table(spark, sf_dir, "labels").where(~T.held_out(F.col("doc_id"), 3, 1))
-    scored = quality_cnn.score(docs, quality_cnn.train(quality_cnn.sample(docs, labels)), docs.columns)
-    return scored.where("score >= 0.5").select(*docs.columns)
+    name = T.fresh("score", docs.columns)
+    scored = quality_cnn.score(docs, quality_cnn.train(docs, labels), docs.columns, name)
+    return scored.where(F.col(name) >= 0.5).select(*T.columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group that links of 0.75 Jaccard similarity hold together."""
+    """One document, of the smallest id, of each group that links of 0.75 Jaccard similarity hold together.
+
+    Null and blank texts all stay; of rows that are equal in doc_id and text one stays; columns may have any names.
+    """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows go or stay together."""
     return decontaminate.clean(docs, T.table(spark, sf_dir, "benchmark"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with PII in the text replaced; n_chars counts the new text."""
-    return pii.replace(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """All documents, with PII in the text replaced; n_chars counts the new text (null for a null one)."""
+    out = pii.replace(docs, pii.QUERY_KEY)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*T.columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document: n_tokens and digests of the token ids and of the bytes decoded from them."""
+    """For each document: n_tokens and digests of the token ids and of the bytes decoded from them; none for null texts."""
     import public_tokenizers as P
 
     return bpe.round_trip_digest(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -46,12 +56,13 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: No SQL expresses the quality network or the tokenizer; tests/llm/test_operators.py checks the operators one by one.
+#: No SQL expresses the quality network or the tokenizer; tests/llm/test_pipeline.py holds it against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = T.checkpoint(stage(spark, docs, sf_dir))
+        before, docs = docs, T.checkpoint(stage(spark, docs, sf_dir))
+        T.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
