@@ -5,7 +5,8 @@ from __future__ import annotations
 import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
-from importlib import metadata
+from importlib import import_module, metadata
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,39 @@ def load_entry_points(group: str) -> None:
             warnings.warn(f"plug-in {point.name}: {e}")
 
 
+_loaded: set[str] = set()
+
+
+def load_file(path: str) -> None:
+    """Imports a loose file of plug-ins, once; one that is missing or broken only warns."""
+    from importlib.util import module_from_spec, spec_from_file_location
+
+    if path in _loaded:
+        return
+    _loaded.add(path)
+    spec = spec_from_file_location(f"plugin_{Path(path).stem}", path)
+    try:
+        spec.loader.exec_module(module_from_spec(spec))
+    except Exception as e:  # a plug-in may raise anything
+        warnings.warn(f"plug-in {path}: {e}")
+
+
+#: Providers of this package that are imported when first asked for: kind and name to a module.
+LAZY: dict[tuple[str, str], str] = {}
+
+
+def text_provider(embed) -> type[Provider]:
+    """The text embedder of settings: the picture embedder's, whose space it shares, unless they name another."""
+    for path in embed.plugins:
+        load_file(path)
+    return provider("text", embed.text_provider or embed.provider)
+
+
 def provider(kind: str, name: str) -> type[Provider]:
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; there are {', '.join(sorted(KINDS))}")
+    if (kind, name) not in _known and (kind, name) in LAZY:
+        import_module(LAZY[kind, name])
     if (kind, name) not in _known:
         raise KeyError(f"no {kind} provider {name!r}; there are {', '.join(sorted(n for k, n in _known if k == kind)) or 'none'}")
     return _known[kind, name]

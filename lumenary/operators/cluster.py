@@ -1,13 +1,21 @@
-"""Clustering of vectors: banded Hamming pairs and DBSCAN."""
+"""Clustering of vectors and hashes: similar pairs in blocks, near hashes by blocks of bits, DBSCAN."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenary.operators.graph import connected
 from lumenary.sources.shared import checkpoint
 
 EPS_SIM, MIN_ROWS = 0.35, 3
+#: Rows that one task holds of either side of a comparison, about.
+BLOCK = 4096
+#: Pivots are taken from a bounded sample; they only group rows, and bound how near two groups can come.
+PIVOTS = 256
 DBSCAN_SQL = """
 WITH RECURSIVE e as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.vec_id <> b.vec_id and round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) >= 0.35),
 core as (select x from e group by x having count(*) + 1 >= 3),
@@ -18,30 +26,82 @@ select id, label from lab union all select id, label from border
 """
 
 
+def _meet(rows: DataFrame, blocks: DataFrame, compare, kind: str) -> DataFrame:
+    """Rows with a column `block` in all pairs of blocks (i, j) of the table `blocks`; `compare` gets both sides of each."""
+    pairs = F.broadcast(blocks)
+    a = rows.join(pairs, rows.block == pairs.i).drop("block")
+    b = rows.join(pairs, rows.block == pairs.j).drop("block")
+    b = b.toDF(*(f"b_{c}" for c in b.columns))
+    return a.groupBy("i", "j").cogroup(b.groupBy("b_i", "b_j")).applyInArrow(compare, kind)
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks()
+    return np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(x, y) of all pairs of vectors with at least that inner product, both ways."""
-    a = vectors.select(F.col("vec_id").alias("x"), F.col("embedding").cast("array<double>").alias("a"))
-    b = vectors.select(F.col("vec_id").alias("y"), F.col("embedding").cast("array<double>").alias("b"))
-    dot = F.expr("round(aggregate(zip_with(a, b, (u, v) -> u * v), 0d, (s, u) -> s + u), 6)")
-    one = checkpoint(a.join(b, F.col("x") < F.col("y")).where(dot >= least).select("x", "y"))
-    return one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    """(x, y) of all pairs of vectors (vec_id, embedding) whose cosine, to six digits, is `least` or more; both ways.
+
+    Rows are grouped by their nearest pivot, large groups cut by a hash; two groups whose pivots are farther apart than
+    both radii and the threshold's angle can hold no pair, by the triangle inequality on angles. Others are multiplied
+    block by block.
+    """
+    v = F.col("embedding").cast("array<double>")
+    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform(v, lambda x: x / norm).alias("v"))
+    total = rows.count()
+    count = max(1, min(PIVOTS, total // BLOCK))
+    sample = rows.withColumn("by", F.xxhash64("id")).orderBy("by").limit(count).collect() if total else []
+    pivots = np.array([r["v"] for r in sample])
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(pa.chunked_array([batch.column("v")])) @ shared.value.T
+                yield pa.record_batch([*batch.columns, pa.array(x.argmax(1).astype(np.int64)), pa.array(np.arccos(np.clip(x.max(1), -1, 1)))], names=["id", "v", "pivot", "angle"])
+
+    if not total:
+        return rows.select(F.col("id").alias("x"), F.col("id").alias("y"))
+    rows = checkpoint(rows.mapInArrow(near, "id long, v array<double>, pivot long, angle double"))
+    held = {r["pivot"]: (r["n"], r["radius"]) for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    shards = {p: -(-n // BLOCK) for p, (n, _) in held.items()}
+    first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist()))
+    eps, between = np.arccos(np.clip(least - 1e-6, -1, 1)), np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    blocks = [(first[p] + a, first[q] + b) for p in held for q in held if between[p, q] - held[p][1] - held[q][1] <= eps + 1e-9 for a in range(shards[p]) for b in range(shards[q]) if first[p] + a <= first[q] + b]
+    blocks = vectors.sparkSession.createDataFrame(blocks, "i long, j long")
+    places = F.broadcast(vectors.sparkSession.createDataFrame([(p, first[p], shards[p]) for p in held], "pivot long, first long, shards long"))
+    rows = rows.join(places, "pivot").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).alias("block"), "id", "v")
+
+    def compare(a, b):
+        import pyarrow as pa
+
+        xs, ys = [], []
+        if a.num_rows and b.num_rows:
+            i, j, m = a.column("id").to_numpy(), b.column("b_id").to_numpy(), _matrix(b.column("b_v"))
+            left = _matrix(a.column("v"))
+            for k in range(0, len(i), 1024):
+                at, to = np.nonzero(np.round(left[k : k + 1024] @ m.T, 6) >= least)
+                xs.append(i[k + at])
+                ys.append(j[to])
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
+        some = x != y
+        return pa.table({"x": x[some], "y": y[some]})
+
+    one = _meet(rows, blocks, compare, "x long, y long")
+    return checkpoint(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
 
 
 def dbscan(vectors: DataFrame, least: float, min_rows: int) -> DataFrame:
     """(id, label): the smallest core id of the cluster; border rows take the smallest label next to them; noise is left out."""
     edges = similar_pairs(vectors, least)
     core = checkpoint(edges.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_rows).select("x"))
-    inner = checkpoint(edges.join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi"))
-    labels = core.select(F.col("x").alias("id"), F.col("x").alias("label"))
-    while True:
-        near = inner.join(labels, inner.y == labels.id).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.x, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("new"), "label")
-        # Follow the label's own label, so that long chains shorten by halves.
-        jump = step.select(F.col("id").alias("label_id"), F.col("new").alias("jump"))
-        step = checkpoint(step.join(jump, step.new == jump.label_id, "left").select("id", F.coalesce("jump", "new").alias("new"), "label"))
-        labels = step.select("id", F.col("new").alias("label"))
-        if step.where("new <> label").isEmpty():
-            break
+    inner = edges.where("x < y").join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi")
+    found = connected(inner.select("x", "y"))
+    labels = core.select(F.col("x").alias("id")).join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     rest = edges.join(core, "x", "left_anti").join(labels, edges.y == labels.id).groupBy("x").agg(F.min("label").alias("label"))
     return labels.unionByName(rest.select(F.col("x").alias("id"), "label"))
 
@@ -50,14 +110,50 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), EPS_SIM, MIN_ROWS)
 
 
-def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 18) -> DataFrame:
-    """Pairs of sign hashes within `most` bits: hashes this near agree in one of `most` + 1 bands, so bands are joined."""
+def near_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b, distance) of all pairs of rows (id, h), a < b, whose 64-bit hashes differ in `most` bits at least at most.
+
+    Up to 11 bits: in one of four blocks of 16 bits such hashes differ by a quarter of that at most, so one side is
+    entered under all values so near to its own. Beyond, every second pair would meet, and hashes are compared in blocks.
+    """
+    one = rows.select(F.col("id").cast("long").alias("id"), F.col("h").cast("long").alias("h"))
+    if most // 4 <= 2:
+        masks = [sum(1 << k for k in c) for d in range(most // 4 + 1) for c in combinations(range(16), d)]
+        cut = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("long").alias("v")) for i in range(4)))
+        wide = one.select("id", "h", F.explode(cut).alias("c"))
+        a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "c.i", "c.v", F.explode(F.lit(masks)).alias("mask")).select("a", "ha", "i", F.col("v").bitwiseXOR(F.col("mask").cast("long")).alias("v"))
+        b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "c.i", "c.v")
+        distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+        return a.join(b, ["i", "v"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    count = max(1, -(-one.count() // BLOCK))
+    blocks = rows.sparkSession.range(count * count).selectExpr(f"id div {count} as i", f"id % {count} as j").where("i <= j")
+
+    def compare(a, b):
+        import pyarrow as pa
+
+        xs, ys, ds = [], [], []
+        if a.num_rows and b.num_rows:
+            i, j = a.column("id").to_numpy(), b.column("b_id").to_numpy()
+            left, right = a.column("h").to_numpy().view(np.uint64), b.column("b_h").to_numpy().view(np.uint64)
+            for k in range(0, len(i), 256):
+                d = np.bitwise_count(left[k : k + 256, None] ^ right[None])
+                at, to = np.nonzero(d <= most)
+                x, y = i[k + at], j[to]
+                some = x < y if a.column("i")[0].as_py() == a.column("j")[0].as_py() else x != y
+                xs.append(np.minimum(x, y)[some])
+                ys.append(np.maximum(x, y)[some])
+                ds.append(d[at, to][some].astype(np.int32))
+        return pa.table({"a": np.concatenate(xs) if xs else np.zeros(0, np.int64), "b": np.concatenate(ys) if ys else np.zeros(0, np.int64), "distance": np.concatenate(ds) if ds else np.zeros(0, np.int32)})
+
+    dealt = one.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
+    return _meet(dealt, blocks, compare, "a long, b long, distance int")
+
+
+def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, h) of the fixture: a bit for each positive component of a vector."""
     h = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", h.alias("h"))
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    band = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("long").alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-    wide = rows.select("vec_id", "h", F.explode(band).alias("b")).select("vec_id", "h", "b.i", "b.v")
-    a, b = wide.toDF("a", "ha", "i", "v"), wide.toDF("b", "hb", "i", "v")
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["i", "v"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), h.alias("h"))
+
+
+def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 18) -> DataFrame:
+    return near_hashes(sign_hashes(spark, sf_dir), most)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.functions import stem
+from lumenary.sources.shared import checkpoint
 
 #: How much an occurrence in a column counts.
 WEIGHTS = {"caption": 8.0, "tags": 6.0, "ocr": 3.0, "people": 10.0, "filename": 2.0, "folder": 1.0, "place": 4.0}
@@ -37,7 +38,7 @@ def _occurrences(words: Column, phrase: list[str], prefix: bool) -> Column:
 def search(docs: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, last_is_prefix: bool = True) -> DataFrame:
     """(id, score) of the rows of `docs` (id and text columns as in `weights`) that hold all phrases; none for no phrase.
 
-    Null columns are empty. One pass counts rows, lengths and rows with each phrase, one scores; nothing is exploded.
+    Null columns are empty. Words are stemmed once; what is left of a row are its length and weighted counts.
     """
     want = phrases(query)
     if not want:
@@ -45,7 +46,7 @@ def search(docs: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, las
     cut = docs.select("id", *(stem.stemmed(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in weights))
     size = sum((F.size(c) for c in weights), F.lit(0))
     found = [sum((_occurrences(F.col(c), p, last_is_prefix and i == len(want) - 1) * F.lit(w) for c, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(want)]
-    rows = cut.select("id", size.alias("size"), *found)
+    rows = checkpoint(cut.select("id", size.alias("size"), *found))
     stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(want))))
     held = reduce(Column.__and__, (F.col(f"f{i}") > 0 for i in range(len(want))))
     score = F.lit(0.0)
@@ -53,27 +54,3 @@ def search(docs: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, las
         idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)))
         score += idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return rows.where(held).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats: one row
-
-
-#: The text of each photo, by column.
-DOCUMENTS = """
-select p.id, concat_ws(' ', a.w.caption, a.w.scene) as caption, t.tags, a.w.ocr_text as ocr, n.people, f.filename, f.folder, p.place_name as place
-from v_photo p
-left join (select photo_id, max_by(struct(caption, scene, ocr_text), struct(case when model = 'manual' then 1 else 0 end, created_at)) as w from v_annotation group by photo_id) a on a.photo_id = p.id
-left join (select photo_id, array_join(array_sort(collect_list(name)), ' ') as tags from v_photo_tag group by photo_id) t on t.photo_id = p.id
-left join (select photo_id, array_join(array_sort(collect_set(n.name)), ' ') as people from v_face f join v_person n on n.id = f.person_id group by photo_id) n on n.photo_id = p.id
-left join (select blake3, array_join(transform(first4, x -> x.filename), ' ') as filename, array_join(transform(first4, x -> x.folder), ' ') as folder from (select blake3, slice(array_sort(collect_list(struct(id, filename, regexp_extract(rel_path, '^(.*)/', 1) as folder))), 1, 4) as first4 from v_file group by blake3) s) f on f.blake3 = p.blake3
-"""
-
-
-def documents(spark: SparkSession) -> DataFrame:
-    from lumenary.sources.views import with_views
-
-    return spark.sql(with_views(DOCUMENTS))
-
-
-def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenary.operators.search import register
-
-    register(spark, sf_dir)
-    return search(documents(spark), "by wh").select("id", F.round("score", 6).alias("score"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.operators.cluster import hamming_pairs
+from lumenary.operators import filters, paths, people
+from lumenary.operators.cluster import hamming_pairs, near_hashes
 from lumenary.sources.shared import checkpoint
 
 SAME_BOX = 0.5
@@ -44,20 +45,30 @@ def duplicate_faces(faces: DataFrame, least: float = SAME_BOX) -> DataFrame:
     Boxes count as shares of their image where its size is known. Two decided records that are of different people, or
     of which one is rejected, disagree, and both stay.
     """
-    sized = F.expr("coalesce(src_w, 0) > 0 and coalesce(src_h, 0) > 0")
-    box = [F.when(sized, F.col(f"bbox_{c}") / F.col(f"src_{s}")).otherwise(F.col(f"bbox_{c}").cast("double")).alias(c) for c, s in zip("xywh", "whwh")]
     decided = F.expr("coalesce(confirmed, 0) = 1 or coalesce(rejected, 0) = 1")
-    rows = faces.select("id", "photo_id", "person_id", F.coalesce("rejected", F.lit(0)).alias("rejected"), decided.alias("decided"), *box)
+    rows = people.boxes(faces).select("id", "photo_id", "person_id", F.coalesce("rejected", F.lit(0)).alias("rejected"), decided.alias("decided"), *"xywh")
     a, b = (rows.select("photo_id", *(F.col(c).alias(f"{t}_{c}") for c in rows.columns if c != "photo_id")) for t in "ab")
     both = a.join(b, "photo_id").where("struct(not a_decided, a_id) < struct(not b_decided, b_id)")
-    shared = F.expr("greatest(0d, least(a_x + a_w, b_x + b_w) - greatest(a_x, b_x)) * greatest(0d, least(a_y + a_h, b_y + b_h) - greatest(a_y, b_y))")
-    near = both.withColumn("shared", shared).withColumn("all", F.expr("a_w * a_h + b_w * b_h - shared")).where((F.col("all") > 0) & (F.col("shared") >= F.col("all") * least))
+    near = both.where(people.iou("a", "b") >= least)
     agrees = F.expr("not (b_decided and (a_rejected <> b_rejected or coalesce(a_person_id <> b_person_id, false)))")
     fit = first_fit(near.select(F.col("b_id").alias("later"), F.col("a_id").alias("earlier"), F.expr("struct(not a_decided, a_id)").alias("place"), agrees.alias("agrees")))
     return fit.where("not kept").select("id")
 
 
-def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_duplicates(lib, hashes: DataFrame, most: int = 6, format_pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Groups (seed, member) of photos whose hashes (id, h) are near, and the seeds of those left out.
+
+    Groups that are one picture in several formats are left out unless asked for; their members count as seen all the same.
+    """
+    groups = near_duplicate_groups(near_hashes(hashes, most))
+    if format_pairs:
+        return groups, groups.select("seed").limit(0)
+    names = lib.photo.select(F.col("id").alias("member"), "blake3").join(filters.first_file(lib), "blake3").select("member", "filename")
+    pairs = paths.format_groups(groups.join(names, "member"), "seed").select("seed")
+    return groups.join(pairs, "seed", "left_anti"), pairs
+
+
+def fixture_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(hamming_pairs(spark, sf_dir))
 
 
@@ -70,11 +81,3 @@ s as (select 0::bigint as r, []::bigint[] as seeds union all select n.r, case wh
 k as (select unnest(seeds) as seed from s where r = (select max(r) from s))
 select seed, seed as member from k union all select seed, b from k join p on p.a = seed union all select seed, a from k join p on p.b = seed
 """
-
-
-def face_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenary.operators.search import register
-    from lumenary.sources.views import with_views
-
-    register(spark, sf_dir)
-    return duplicate_faces(spark.sql(with_views("select * from v_face")))

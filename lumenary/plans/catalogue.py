@@ -1,159 +1,262 @@
-"""The registered library queries: portable SQL over the library's views, dialect by macro, and DataFrame plans."""
+"""The registered library queries: operators of `Library` with parameters, over the fixture of the driver's tables."""
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumenary.functions import imaging, lenient_json, providers
-from lumenary.operators import cluster, fulltext, greedy, search
-from lumenary.plans import request
-from lumenary.sources import sidecar
-from lumenary.sources.views import with_views
+from lumenary.library import Library
+from lumenary.operators import changes, cluster, fulltext, greedy, paths, people, reports, search
+from lumenary.plans import oracles, request, runner
+from lumenary.sources import shared, sidecar, snapshots
 from lumenary.streaming import ingest
 
-#: What the engines spell differently: name -> (Spark, DuckDB); $1, $2 are the arguments.
-MACROS = {
-    "DOT": ("aggregate(zip_with(cast($1 as array<double>), cast($2 as array<double>), (x, y) -> x * y), 0d, (s, x) -> s + x)", "list_dot_product($1::double[], $2::double[])"),
-    "JOINED": ("listagg($1, $2) within group (order by $1)", "string_agg($1, $2 order by $1)"),
-    "PHASH": (
-        "aggregate(transform($1, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)",
-        "list_reduce(list_transform($1, lambda x, i: case when x > 0 then (case when i = 64 then (-9223372036854775808)::bigint else (1::bigint << (i - 1)::bigint) end) else 0::bigint end), lambda a, b: a | b)",
-    ),
-    "XOR": ("($1 ^ $2)", "xor($1, $2)"),
-    "COUNT_IF": ("count_if($1)", "(count(*) filter (where $1))"),
-    "TOKENS": (r"regexp_extract_all(lower($1), '[\\p{L}\\p{N}_]+', 0)", r"regexp_extract_all(lower($1), '[\p{L}\p{N}_]+')"),
-    "EXPLODE": ("explode($1)", "unnest($1)"),
-    "SECONDS": ("unix_seconds(cast($1 as timestamp))", "epoch($1)::bigint"),
-    "DAY": ("date_format(timestamp_seconds($1), 'yyyy-MM-dd')", "strftime(to_timestamp($1) at time zone 'UTC', '%Y-%m-%d')"),
-    "GROUP1": ("regexp_extract($1, $2, 1)", "regexp_extract($1, $2, 1)"),
-    "TRY_DAY": ("try_to_date($1, 'yyyyMMdd')", "try_strptime($1, '%Y%m%d')::date"),
-}
+STATE = people.STATE
+
+
+def _library(make):
+    return lambda spark, sf_dir: make(Library.of_driver_tables(spark, sf_dir))
+
+
+def _ids(photos: DataFrame, *more: str) -> DataFrame:
+    return photos.select("id", *more)
+
+
+def _faces(table: DataFrame) -> DataFrame:
+    return table.select(*STATE)
+
+
+def _made(lib, expression: str, name: str) -> DataFrame:
+    """A column made of the ids of files."""
+    return lib.file.select("id", F.expr(expression).alias(name))
+
+
+def _listing(lib) -> DataFrame:
+    """Files as a walk of a drive would list them, some of them in folders that are left out."""
+    odd = "case id % 7 when 0 then '.cache/' when 1 then 'a/node_modules/b/' when 2 then 'keep/skip/' else '' end"
+    return lib.file.selectExpr("id", f"concat('/mnt/p/', {odd}, rel_path, case when id % 11 = 0 then '.txt' else '' end) as path")
+
+
+def _mounts(lib) -> DataFrame:
+    """The fixture's mounts: drives at /mnt/, one within another, known by serial, uuid, marker or path."""
+    return lib.spark.createDataFrame([("/", None, "u-root", None, "system"), ("/mnt/a", "s-1", "u-1", None, "A"), ("/mnt/a/b", None, None, "m-2", "B"), ("/mnt/c", None, None, None, "C")], "mountpoint string, serial string, uuid string, marker string, label string")
+
+
+def _detected(lib) -> DataFrame:
+    """What a detector finds again: each third face, some of them moved."""
+    box = {c: (F.col(f"bbox_{c}") + (F.when(F.col("id") % 2 == 0, 400).otherwise(3) if c == "x" else 0)).alias(f"bbox_{c}") for c in "xywh"}
+    return lib.face.where("id % 3 = 0").select("photo_id", *box.values(), "src_w", "src_h", "det_score")
+
+
+def _reranked(lib) -> DataFrame:
+    """Photos in an order that isn't that of time."""
+    rows = lib.photo.where("hidden = 0").join(lib.file.groupBy("blake3").agg(F.min_by("rel_path", "id").alias("rel_path")), "blake3")
+    return rows.select("id", "taken_at", "rel_path", (F.pmod(F.col("id") * 7919, F.lit(100003))).alias("rank"))
+
 
+def _vector_index(lib) -> DataFrame:
+    """What is read back of an index after a build for one model, and a second one that replaces it."""
+    folder = shared.fresh(lib.spark, "index")
+    rows = lib.embeddings.select(F.col("vec_id").alias("photo_id"), "embedding", F.when(F.col("vec_id") % 4 == 0, "old").otherwise("m64").alias("model"))
+    snapshots.build_vectors(rows, folder, "old", 64)
+    snapshots.build_vectors(rows, folder, "m64", 64)
+    assert snapshots.load_vectors(lib.spark, folder, "old", 64) is None
+    return snapshots.load_vectors(lib.spark, folder, "m64", 64).select("photo_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
-def _dialect(sql: str, spark: bool) -> str:
-    for name in ("BASE", "RANGE64"):
-        sql = sql.replace(f"@{name}", MACROS[name][0 if spark else 1])
-    for name, forms in MACROS.items():
-        while (at := re.search(rf"@{name}\(", sql)) is not None:
-            depth, args, start, quoted = 1, [], at.end(), False
-            i = start
-            while depth:
-                c = sql[i]
-                quoted ^= c == "'"
-                depth += 0 if quoted else (c in "([") - (c in ")]")
-                if not quoted and (c == "," and depth == 1 or depth == 0):
-                    args.append(sql[start:i].strip())
-                    start = i + 1
-                i += 1
-            form = forms[0 if spark else 1]
-            for k, a in enumerate(args, 1):
-                form = form.replace(f"${k}", a)
-            sql = sql[: at.start()] + form + sql[i:]
-    return sql
-
-
-def _portable(sql: str):
-    def run(spark, sf_dir):
-        search.register(spark, sf_dir)
-        return spark.sql(_dialect(with_views(sql), True))
-
-    return run
-
-
-VISIBLE = "p.hidden = 0 and exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')"
-WINNER = "select photo_id, max_by(caption, (case when model = 'manual' then 1e12 else 0 end) + created_at) as caption, max_by(scene, (case when model = 'manual' then 1e12 else 0 end) + created_at) as scene from v_annotation group by photo_id"
-FIRST_FILE = "select blake3, min(filename) as filename from v_file group by blake3"
-SIM = "round(@DOT(a.embedding, b.embedding), 6)"
-IOU = "(greatest(0, least(a.bbox_x + a.bbox_w, b.bbox_x + b.bbox_w) - greatest(a.bbox_x, b.bbox_x)) * greatest(0, least(a.bbox_y + a.bbox_h, b.bbox_y + b.bbox_h) - greatest(a.bbox_y, b.bbox_y)))"
-CENTROID = "(select person_id, pos, avg(x) as x from (select f.person_id, s.pos, cast(e.embedding[s.pos + @BASE] as double) as x from v_face f join embeddings e on e.vec_id = f.id - 1 cross join (select @EXPLODE(@RANGE64) as pos) s where f.confirmed = 1 and f.rejected = 0 and f.person_id is not null) t group by person_id, pos)"
-MACROS |= {"BASE": ("0", "1"), "RANGE64": ("sequence(0, 63)", "range(0, 64)")}
-
-PORTABLE = {
+
+def _stage_run(lib) -> DataFrame:
+    """Job states after the caption stage ran over 50 photos in batches of 20: texts of fewer than five words fail, offline photos stay pending."""
+    texts = lib.documents.select(F.col("doc_id").alias("photo_id"), F.col("text").alias("payload"))
+    photos = lib.photo.orderBy("id").limit(50)
+    lib = lib.with_tables(photo=photos, job=photos.select(F.col("id"), F.col("id").alias("photo_id"), F.lit("caption").alias("stage"), F.lit("pending").alias("state"), F.lit(100).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts")))
+    work = runner.provider_work(lib, runner.offline_payloads(lib, texts), "caption", "first_words")
+    out, _ = runner.batches(lib, "caption", 20, 1000, work)
+    return out.job.select("id", "state", "attempts")
+
+
+def _upserted_roots(lib) -> DataFrame:
+    """Roots added again: label and enabled change, the globs that were there stay; a new path is a new root."""
+    old = lib.root.select("volume_id", "rel_path", "label", F.lit(0).alias("enabled"), F.concat(F.lit('["'), "rel_path", F.lit('*"]')).alias("globs"))
+    new = old.where("volume_id % 2 = 0").select("volume_id", F.when(F.length("label") % 2 == 0, F.concat("rel_path", F.lit("/sub"))).otherwise(F.col("rel_path")).alias("rel_path"), F.lit("again").alias("label"), F.lit(1).alias("enabled"), F.lit("[]").alias("globs"))
+    out = changes.upsert(old, new, ["volume_id", "rel_path"], ["label", "enabled"])
+    return out.withColumn("globs", F.array_join(F.from_json("globs", "array<string>"), ","))
+
+
+MAKES = {
     # Browsing and structured filters
-    "browse_newest": "select id, taken_at from v_photo where hidden = 0 order by taken_at desc nulls last, id limit 50",
-    "browse_name": f"select p.id, f.filename from v_photo p join ({FIRST_FILE}) f on f.blake3 = p.blake3 where p.hidden = 0 order by f.filename, p.id limit 50",
-    "filter_person": f"select p.id from v_photo p where exists (select 1 from v_face f join v_person n on n.id = f.person_id where f.photo_id = p.id and lower(n.name) like '%asia%') and {VISIBLE}",
-    "filter_tag": f"select p.id from v_photo p where exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'src3') and {VISIBLE}",
-    "filter_camera": f"select p.id, p.camera_model from v_photo p where (lower(p.camera_model) like '%econ%' or lower(p.camera_make) like '%econ%') and {VISIBLE}",
-    "filter_folder_filename": f"select p.id from v_photo p where exists (select 1 from v_file f where f.blake3 = p.blake3 and lower(f.rel_path) like '%en/src1%') and exists (select 1 from v_file f where f.blake3 = p.blake3 and lower(f.filename) like '%.jpg%') and {VISIBLE}",
-    "filter_place": f"select p.id, p.place_name from v_photo p where lower(p.place_name) like '%nation_1%' and {VISIBLE}",
-    "filter_favorite": f"select p.id from v_photo p where p.favorite = 1 and {VISIBLE}",
-    "filter_dates_inclusive": f"select p.id, p.taken_at from v_photo p where p.taken_at >= 1704499200 and p.taken_at <= 1708387200 and {VISIBLE}",
-    "filter_has_faces": f"select p.id from v_photo p where exists (select 1 from v_face f where f.photo_id = p.id) and {VISIBLE}",
-    "filter_no_faces": f"select p.id from v_photo p where not exists (select 1 from v_face f where f.photo_id = p.id) and {VISIBLE}",
-    "visible_photos": f"select p.id from v_photo p where {VISIBLE}",
-    "like_wildcards": "select id, filename from v_file where lower(filename) like '%img_1_4.%'",
-    "map_points": "select p.id, p.gps_lat, p.gps_lon, c.caption from v_photo p left join (select photo_id, max_by(caption, created_at) as caption from v_annotation group by photo_id) c on c.photo_id = p.id where p.gps_lat is not null and p.hidden = 0 order by p.taken_at desc nulls last, p.id limit 5000",
-    "photo_detail": f"select p.id, p.camera_model, w.caption, t.tags, fc.faces, fl.files from v_photo p left join ({WINNER}) w on w.photo_id = p.id left join (select photo_id, @JOINED(concat(source, ':', name), ',') as tags from v_photo_tag group by photo_id) t on t.photo_id = p.id left join (select photo_id, count(*) as faces from v_face where rejected = 0 group by photo_id) fc on fc.photo_id = p.id left join (select f.blake3, @JOINED(concat(v.label, ':', f.rel_path), ',') as files from v_file f join v_root r on r.id = f.root_id join v_volume v on v.id = r.volume_id group by f.blake3) fl on fl.blake3 = p.blake3",
-    "root_volume": "select r.id, v.label, r.rel_path, v.online from v_root r join v_volume v on v.id = r.volume_id",
-    "readable_path": "select p.id, min_by(f.rel_path, (case when f.state = 'present' then 0 else 1000000000 end) + f.id) as rel_path from v_photo p join v_file f on f.blake3 = p.blake3 join v_root r on r.id = f.root_id join v_volume v on v.id = r.volume_id where v.online = 1 group by p.id",
+    "browse_newest": lambda lib: _ids(lib.browse("newest", 50), "taken_at"),
+    "browse_oldest": lambda lib: _ids(lib.browse("oldest", 50, 20), "taken_at"),
+    "browse_added": lambda lib: _ids(lib.browse("added", 50, 10), "created_at"),
+    "browse_name": lambda lib: _ids(lib.browse("name", 50), "filename"),
+    "filter_person": lambda lib: _ids(lib.matching(request.Request(only={"person": ["asia"]}))),
+    "filter_tag": lambda lib: _ids(lib.matching(request.Request(only={"tag": ["fr", "src3"]}))),
+    "filter_camera": lambda lib: _ids(lib.matching(request.Request(only={"camera": ["econ"]})), "camera_model"),
+    "filter_folder_filename": lambda lib: _ids(lib.matching(request.Request(only={"folder": ["en/src1"], "filename": [".jpg"]}))),
+    "filter_place": lambda lib: _ids(lib.matching(request.Request(only={"place": ["nation_1"]})), "place_name"),
+    "filter_favorite": lambda lib: _ids(lib.matching(request.Request(favorite=True))),
+    "filter_dates_inclusive": lambda lib: _ids(lib.matching(request.Request(span=(1704499200, 1708387200))), "taken_at"),
+    "filter_has_faces": lambda lib: _ids(lib.matching(request.Request(faces=True))),
+    "filter_no_faces": lambda lib: _ids(lib.matching(request.Request(faces=False))),
+    "visible_photos": lambda lib: _ids(lib.visible()),
+    "like_wildcards": lambda lib: lib.like_names("img_1_4."),
+    "map_points": lambda lib: lib.map_points(),
+    "page_columns": lambda lib: lib.page_columns(lib.photo.orderBy("id").limit(40)),
+    "photo_detail": lambda lib: lib.photo_detail(),
+    "root_volume": lambda lib: lib.roots_and_volumes(),
+    "readable_path": lambda lib: lib.readable_paths(lib.file.where("id % 19 <> 0").select("root_id", "rel_path")),
     # Annotations, text documents, reports
-    "winner_annotation": WINNER,
-    "fts_document": f"select p.id, w.caption, w.scene, t.tags, n.people, f.files from v_photo p left join ({WINNER}) w on w.photo_id = p.id left join (select photo_id, @JOINED(name, ' ') as tags from v_photo_tag group by photo_id) t on t.photo_id = p.id left join (select photo_id, @JOINED(name, ' ') as people from (select distinct f.photo_id, n.name from v_face f join v_person n on n.id = f.person_id) d group by photo_id) n on n.photo_id = p.id left join (select blake3, @JOINED(filename, ' ') as files from (select blake3, filename, row_number() over (partition by blake3 order by id) as r from v_file) x where r <= 4 group by blake3) f on f.blake3 = p.blake3",
-    "exact_duplicates": "select p.id, p.bytes, count(*) as n, @JOINED(concat(v.label, ': ', f.rel_path), '|') as paths from v_photo p join v_file f on f.blake3 = p.blake3 join v_root r on r.id = f.root_id join v_volume v on v.id = r.volume_id group by p.id, p.bytes having count(*) > 1 order by p.bytes * (count(*) - 1) desc, p.id limit 200",
-    "wasted_bytes": "select cast(sum(coalesce(bytes, 0) * (n - 1)) as bigint) as wasted from (select p.id, p.bytes, count(*) as n from v_photo p join v_file f on f.blake3 = p.blake3 group by p.id, p.bytes having count(*) > 1 order by p.bytes * (count(*) - 1) desc, p.id limit 200) t",
-    "tag_counts": "select name, count(*) as n from v_photo_tag group by name",
-    "people_counts": "select n.id, n.name, coalesce(c.n, 0) as n, b.cover from v_person n left join (select person_id, count(*) as n from v_face where rejected = 0 group by person_id) c on c.person_id = n.id left join (select person_id, min_by(id, id - det_score * 1000000000) as cover from v_face where person_id is not null group by person_id) b on b.person_id = n.id",
-    "people_counts_cli": "select n.id, n.name, count(f.id) as n from v_person n left join v_face f on f.person_id = n.id group by n.id, n.name",
-    "naming_queue": "select cluster_id, n, face_id, r from (select c.cluster_id, c.n, f.id as face_id, row_number() over (partition by f.cluster_id order by f.det_score desc, f.id) as r from (select cluster_id, count(*) as n from v_face where cluster_id is not null and person_id is null and rejected = 0 group by cluster_id order by n desc, cluster_id limit 60) c join v_face f on f.cluster_id = c.cluster_id) t where r <= 12",
-    "ignored_groups": "select ignored_as, n, face_id, r from (select ignored_as, count(*) over (partition by ignored_as) as n, id as face_id, row_number() over (partition by ignored_as order by det_score desc, id) as r from v_face where rejected = 1 and ignored_as is not null) t where r <= 6",
-    "root_stats": "select r.id, count(distinct f.blake3) as photos, @COUNT_IF(f.state = 'missing') as missing from v_root r left join v_file f on f.root_id = r.id group by r.id",
-    "lib_stats": "select (select count(*) from v_photo) as photos, (select count(*) from v_file) as files, (select count(*) from v_face) as faces, (select count(*) from v_person) as people, (select count(distinct name) from v_photo_tag) as tags, (select count(distinct photo_id) from v_annotation) as captioned, (select count(*) from embeddings) as embedded",
-    "timeline_groups": "select day, count(*) as n from (select @DAY(taken_at) as day from v_photo where taken_at is not null and hidden = 0) t group by day",
+    "winner_annotation": lambda lib: lib.winner().select("photo_id", "caption", "scene"),
+    "fts_document": lambda lib: lib.fts_document(),
+    "exact_duplicates": lambda lib: lib.exact_duplicates(),
+    "wasted_bytes": lambda lib: lib.wasted_bytes(),
+    "tag_counts": lambda lib: lib.tag_counts(),
+    "people_counts": lambda lib: lib.people_counts(),
+    "people_counts_cli": lambda lib: lib.people_counts_all(),
+    "naming_queue": lambda lib: lib.naming_queue(),
+    "cluster_faces": lambda lib: lib.cluster_faces(5, 30),
+    "ignored_groups": lambda lib: lib.ignored_groups(3),
+    "root_stats": lambda lib: lib.root_stats(),
+    "lib_stats": lambda lib: lib.stats(),
+    "timeline_groups": lambda lib: lib.timeline(_reranked(lib), "day"),
+    "timeline_searched": lambda lib: lib.timeline(_reranked(lib), "month", searched=True),
+    "timeline_folders": lambda lib: lib.timeline(_reranked(lib), "folder"),
+    "match_sources": lambda lib: lib.match_sources(search.rrf_fusion(lib)),
+    "near_group_bytes": lambda lib: lib.group_bytes(greedy.near_duplicate_groups(cluster.near_hashes(lib.embeddings.select(F.col("vec_id").alias("id"), F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)").alias("h")), 18))),
+    "captioner_bench": lambda lib: reports.bench(lib.events.select(F.col("value").alias("s"), (F.col("user_id") % 400).alias("t")), "s", "t").select(*(F.round(c, 6).alias(c) for c in ("median", "mean", "tokens_per_second", "median_tokens", "days"))),
+    "human_bytes": lambda lib: lib.file.select("id", paths.human_bytes(F.col("size") * F.pow(F.lit(40), F.col("id") % 6).cast("long") * (F.col("id") % 8)).alias("size")),
+    "parent_folders": lambda lib: lib.file.select("id", paths.parent_folder(F.when(F.col("id") % 5 == 0, F.col("filename")).otherwise(F.col("rel_path"))).alias("folder")),
+    "thumb_paths": lambda lib: lib.photo.select("id", paths.thumb_path(F.col("blake3"), "grid").alias("path")),
     # Ingest, jobs and changes
-    "filename_dates": r"select id, name, cast(@TRY_DAY(@GROUP1(name, '(20[0-9]{6})')) as string) as day from (select id, concat('IMG_20', lpad(cast(id % 30 as string), 2, '0'), lpad(cast(id % 14 as string), 2, '0'), lpad(cast(id % 33 as string), 2, '0'), '_101010.jpg') as name from v_file) t",
-    "gps_degrees": "select id, round((case when id % 2 = 0 then -1 else 1 end) * (1 + id % 90 + cast(id % 60 as double) / 60 + cast(id % 37 as double) / 3600), 7) as degrees from v_file",
-    "scan_cdc": "select coalesce(n.id, o.id) as id, case when o.id is null then 'new' when n.id is null then 'missing' when n.mtime = o.mtime and n.size = o.size then 'unchanged' else 'changed' end as status from (select * from v_file where id % 13 <> 0) o full outer join (select id, mtime + (case when id % 5 = 0 then 1 else 0 end) as mtime, size from v_file where id % 7 <> 0) n on n.id = o.id where coalesce(n.id, o.id) is not null",
-    "mark_missing": "select id, case when state = 'present' and id % 10 = 0 then 'missing' else state end as state from v_file",
-    "root_offline": "select id, case when root_id = 3 and state in ('present', 'offline') then 'offline' else state end as state from v_file",
-    "prune_orphans": "select p.id from v_photo p where not exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')",
-    "remove_root": "select p.id from v_photo p where not exists (select 1 from v_file f where f.blake3 = p.blake3 and f.root_id <> 4 and f.state <> 'missing')",
-    "job_stats": "select stage, state, count(*) as n from v_job group by stage, state",
-    "job_claim": "select id, stage, 'running' as state, attempts + 1 as attempts from (select *, row_number() over (partition by stage order by priority, id) as r from v_job where state = 'pending') t where r <= 16",
-    "job_requeue": "select id, case when state = 'running' and attempts < 5 then 'pending' else state end as state from v_job",
-    "job_unclaim": "select id, 'pending' as state, greatest(attempts - 1, 0) as attempts from v_job where state = 'running'",
-    "job_enqueue_all": "select p.id as photo_id, s.stage from v_photo p cross join (select 'thumbs' as stage union all select 'embed' union all select 'faces' union all select 'caption') s where not exists (select 1 from v_job j where j.photo_id = p.id and j.stage = s.stage)",
-    "set_tags_replace": "select photo_id, name, source from v_photo_tag where not (source = 'ai' and photo_id % 10 = 0) union all select id, 'replaced', 'ai' from v_photo where id % 10 = 0",
-    "upsert_files": "select coalesce(n.id, o.id) as id, coalesce(n.size, o.size) as size, coalesce(n.state, o.state) as state from v_file o full outer join (select id + 500 as id, size + 1 as size, 'present' as state from v_file) n on n.id = o.id",
-    "favorite_toggle": "select id, case when id % 3 = 0 then 1 - favorite else favorite end as favorite from v_photo",
-    "manual_revert": f"select photo_id, max_by(caption, created_at) as caption from v_annotation where model <> 'manual' group by photo_id",
-    "keyword_import": "select photo_id, @JOINED(name, ',') as tags from (select photo_id, name from v_photo_tag where source = 'manual' union select id, lower(trim(k)) from (select id, @EXPLODE(split('Holiday, Kerala ,beach', ',')) as k from v_photo where id % 5 = 0) x) t group by photo_id",
-    "sidecar_paths": "select f.id, concat('app/', replace(v.label, ' ', '_'), '/', f.rel_path, '.xmp') as path from v_file f join v_root r on r.id = f.root_id join v_volume v on v.id = r.volume_id",
-    "sidecar_export_ids": "select distinct p.id from v_photo p join v_file f on f.blake3 = p.blake3 where f.state = 'present' order by p.id limit 300",
-    "sidecar_collect": f"select p.id, w.caption, t.tags, n.people, case when p.favorite = 1 then 5 end as rating from v_photo p left join ({WINNER}) w on w.photo_id = p.id left join (select photo_id, @JOINED(name, ',') as tags from (select distinct photo_id, name from v_photo_tag) d group by photo_id) t on t.photo_id = p.id left join (select photo_id, @JOINED(name, ',') as people from (select distinct f.photo_id, n.name from v_face f join v_person n on n.id = f.person_id where f.rejected = 0 and f.src_w is not null) d group by photo_id) n on n.photo_id = p.id",
-    "region_normalise": "select id, round((bbox_x + cast(bbox_w as double) / 2) / src_w, 9) as x, round((bbox_y + cast(bbox_h as double) / 2) / src_h, 9) as y, round(cast(bbox_w as double) / src_w, 9) as w, round(cast(bbox_h as double) / src_h, 9) as h from v_face where src_w is not null and rejected = 0",
+    "filename_dates": lambda lib: _made(lib, "concat('IMG_20', lpad(cast(id % 30 as string), 2, '0'), lpad(cast(id % 14 as string), 2, '0'), lpad(cast(id % 33 as string), 2, '0'), '_101010.jpg')", "name").select("id", "name", F.date_format(imaging.name_date(F.col("name"), F.lit(2030)), "yyyy-MM-dd").alias("day")),
+    "gps_degrees": lambda lib: lib.file.select("id", imaging.degrees(1 + F.col("id") % 90, (F.col("id") % 60).cast("double"), (F.col("id") % 37).cast("double"), F.when(F.col("id") % 2 == 0, "S").otherwise("N")).alias("degrees")),
+    "walk_pictures": lambda lib: paths.pictures(_listing(lib), "/mnt/p", ["*/skip/*"]).select("id", "rel_path"),
+    "scan_cdc": lambda lib: lib.scan(lib.file.where("root_id = 4 and id % 7 <> 0").select("rel_path", (F.col("mtime") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("mtime"), "size").unionByName(lib.file.where("root_id = 5").select(F.concat(F.lit("new/"), "rel_path").alias("rel_path"), "mtime", "size")), 4),
+    "scan_forced": lambda lib: lib.scan(lib.file.where("root_id = 4").select("rel_path", "mtime", "size"), 4, force=True),
+    "mark_missing": lambda lib: lib.with_tables(file=lib.file.withColumn("seen_at", F.lit(1000) + F.col("id") % 10)).mark_missing(4, 1004).select("id", "state"),
+    "root_offline": lambda lib: lib.set_offline(3).select("id", "state"),
+    "root_online": lambda lib: lib.set_offline(3, False).select("id", "state"),
+    "ingest_files": lambda lib: lib.ingest(_arrivals(lib))[0].select("root_id", "rel_path", "blake3", "state"),
+    "ingest_photos": lambda lib: lib.ingest(_arrivals(lib))[1].select("blake3", "bytes"),
+    "mounted_on": lambda lib: paths.mounted_on(lib.file.selectExpr("id", "concat(case id % 4 when 0 then '/mnt/a/' when 1 then '/mnt/a/b/' when 2 then '/mnt/ab/' else '/mnt/c/' end, rel_path) as path"), _mounts(lib)).select("id", "volume", "label", "rel_path"),
+    "current_mountpoints": lambda lib: paths.current_mountpoints(lib.spark.createDataFrame([("s-1",), ("mark-m-2",), ("path-/mnt/c",), ("u-gone",)], "uuid string"), _mounts(lib)),
+    "library_state": lambda lib: paths.library_state(lib.file.selectExpr("concat('/p/', split(rel_path, '/')[0]) as path").distinct().unionByName(lib.file.selectExpr("concat('/p/', regexp_extract(rel_path, '^(.*)/', 1)) as path").distinct()).unionByName(lib.spark.createDataFrame([("/p",), ("/q",)], "path string")), lib.spark.createDataFrame([("/p/en",), ("/p/fr/src1",)], "path string")),
+    "browse_folder": lambda lib: paths.browse_folder(lib.file.selectExpr("concat('/p/', rel_path) as path"), "/p/en", lib.spark.createDataFrame([("/p/en/src1",), ("/p/fr",)], "path string")),
+    "prune_orphans": lambda lib: _ids(lib.orphans()),
+    "prune_tags": lambda lib: lib.prune()["photo_tag"],
+    "remove_root": lambda lib: _ids(lib.remove_root(4)),
+    "removal_counts": lambda lib: lib.removal_counts(4),
+    "job_stats": lambda lib: lib.job_stats(),
+    "job_grid": lambda lib: lib.job_grid(),
+    "job_claim": lambda lib: lib.claim("embed", 16).select("id", "stage", "state", "attempts"),
+    "job_finish": lambda lib: lib.finish(lib.job.where("state = 'running'").select("id", F.when(F.col("id") % 2 == 0, "done").otherwise("failed").alias("state"), F.when(F.col("id") % 2 == 1, F.repeat(F.lit("no "), 300)).alias("error"))).select("id", "state", F.length("error").alias("letters")),
+    "job_requeue": lambda lib: lib.requeue_stale().select("id", "state"),
+    "job_unclaim": lambda lib: lib.unclaim(lib.job.where("state = 'running'").select("id")).select("id", "state", "attempts"),
+    "job_retry_failed": lambda lib: lib.retry_failed("faces").select("id", "state", "attempts"),
+    "job_enqueue_all": lambda lib: lib.enqueue(lib.photo.select("id")).select("photo_id", "stage", "state", "attempts"),
+    "job_reset_stage": lambda lib: lib.reset_stage("faces")["job"].select("photo_id", "stage", "state", "attempts"),
+    "reset_discards": lambda lib: lib.reset_stage("faces", rebuild=True)["face"].select("id"),
+    "stage_run": _stage_run,
+    "set_tags_replace": lambda lib: lib.set_tags(lib.photo.where("id % 10 = 0").select(F.col("id").alias("photo_id"), F.array(F.lit(" Replaced "), F.lit("replaced"), F.lit(" ")).alias("names")), "ai").select("photo_id", "name", "source"),
+    "upsert_files": lambda lib: changes.upsert(lib.file.select("root_id", "rel_path", "size", "state"), lib.file.where("id % 3 = 0").select("root_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("x/"), "rel_path")).otherwise(F.col("rel_path")).alias("rel_path"), (F.col("size") + 1).alias("size"), F.lit("present").alias("state")), ["root_id", "rel_path"]),
+    "upsert_roots": _upserted_roots,
+    "favorite_toggle": lambda lib: lib.set_favorite(lib.photo.where("id % 3 = 0").select("id")).select("id", "favorite"),
+    "manual_edit": lambda lib: lib.edit_annotation(lib.photo.where("id % 4 = 0").select(F.col("id").alias("photo_id"), F.when(F.col("id") % 8 == 0, "by hand").alias("caption"), F.lit(None).cast("string").alias("scene"), F.lit("").alias("ocr_text")), 1800000000).where("model = 'manual'").select("photo_id", "caption", "scene", "ocr_text", "created_at"),
+    "manual_revert": lambda lib: lib.with_tables(annotation=lib.revert_annotation(lib.photo.select(F.col("id").alias("photo_id")))).winner().select("photo_id", "caption"),
+    "keyword_import": lambda lib: lib.import_keywords(lib.photo.where("id % 5 = 0").select(F.col("id").alias("photo_id"), F.array(F.lit("Holiday; Kerala |beach"), F.lit(" ,FR,")).alias("tags"))).where("source = 'manual'").groupBy("photo_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("tags")),
+    "sidecar_paths": lambda lib: lib.with_tables(volume=lib.volume.withColumn("label", F.concat("label", F.lit(" #1/"), F.col("id").cast("string")))).sidecar_targets(),
+    "sidecar_paths_beside": lambda lib: lib.sidecar_targets("beside"),
+    "sidecar_export_ids": lambda lib: lib.export_ids(limit=300),
+    "sidecar_export_counts": lambda lib: lib.export_counts(lib.readable_paths(lib.file.select("root_id", "rel_path")), lib.photo.where("id % 6 = 0"), lib.photo.where("id % 5 <> 0"), 7),
+    "sidecar_collect": lambda lib: sidecar.collected(lib).select("id", "caption", F.array_join("tags", ",").alias("tags"), F.array_join("regions.name", ",").alias("people"), "rating"),
+    "region_normalise": lambda lib: lib.face.where("src_w is not null and rejected = 0").select("id", *(F.round(c, 9).alias(n) for c, n in zip(sidecar.centred(), "xywh"))),
     # Near duplicates, boxes, faces
-    "hamming_pairs": "select a.vec_id as a, b.vec_id as b, bit_count(@XOR(a.h, b.h)) as distance from (select vec_id, @PHASH(embedding) as h from embeddings) a join (select vec_id, @PHASH(embedding) as h from embeddings) b on a.vec_id < b.vec_id and bit_count(@XOR(a.h, b.h)) <= 18",
-    "format_pairs": "select id - id % 2 as shot, count(*) as n from v_file group by id - id % 2 having count(*) > 1 and count(distinct lower(regexp_extract(filename, '^(.*)[.][^.]*$', 1))) = 1 and count(distinct lower(regexp_extract(filename, '[.]([^.]*)$', 1))) = count(*) and max(case when lower(filename) like '%.nef' then 1 else 0 end) = 1",
-    "iou_pairs": f"select a.id as a, b.id as b, round(cast({IOU} as double) / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}), 6) as iou from v_face a join v_face b on a.photo_id = b.photo_id and a.id < b.id where {IOU} * 1.0 / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}) >= 0.5",
-    "decided_face_merge": f"select a.id from v_face a where a.confirmed = 0 and a.rejected = 0 and not exists (select 1 from v_face b where b.photo_id = a.photo_id and (b.confirmed = 1 or b.rejected = 1) and {IOU} * 1.0 / (a.bbox_w * a.bbox_h + b.bbox_w * b.bbox_h - {IOU}) >= 0.5)",
-    "face_state_transitions": "select id, case when cluster_id = 5 then 2 when person_id = 3 then 1 when person_id = 4 then null else person_id end as person_id, case when cluster_id = 5 then null when cluster_id in (6, 7) then 6 when cluster_id = 8 then null when rejected = 1 and ignored_as = 9 then 9 else cluster_id end as cluster_id, case when cluster_id = 5 then 1 when person_id = 4 then 0 else confirmed end as confirmed, case when cluster_id = 8 then 1 when rejected = 1 and ignored_as = 9 then 0 else rejected end as rejected, case when cluster_id = 8 then 8 when ignored_as = 9 then null else ignored_as end as ignored_as from v_face",
-    "person_centroids": f"select c.person_id, c.pos, round(c.x / greatest(n.norm, 1e-12), 6) as x from {CENTROID} c join (select person_id, sqrt(sum(x * x)) as norm from {CENTROID} m group by person_id) n on n.person_id = c.person_id",
-    "assign_known": f"select face_id, min_by(person_id, person_id - sim * 1000000) as person_id, max(sim) as sim from (select u.id as face_id, c.person_id, round(sum(cast(e.embedding[c.pos + @BASE] as double) * c.x) / max(n.norm), 6) as sim from (select id from v_face where person_id is null and rejected = 0) u join embeddings e on e.vec_id = u.id - 1 cross join {CENTROID} c join (select person_id, sqrt(sum(x * x)) as norm from {CENTROID} m group by person_id) n on n.person_id = c.person_id group by u.id, c.person_id) t where sim >= 0.2 group by face_id",
-    "max_cluster": "select max(cluster_id) + 1 as next_id from v_face",
-    # Full text and vectors
-    "vector_topk_cutoff": "select vec_id, score from (select vec_id, score, max(score) over () as top from (select b.vec_id, @DOT(a.embedding, b.embedding) as s, round(@DOT(a.embedding, b.embedding), 6) as score from embeddings b cross join (select embedding from embeddings where vec_id = 0) a order by s desc, vec_id limit 200) t) u where score >= greatest(0.07, top * 0.2)",
-    "fts_prefix_and": "select doc_id from (select doc_id, max(case when w = 'by' then 1 else 0 end) as a, max(case when w like 'wh%' then 1 else 0 end) as b from (select doc_id, @EXPLODE(@TOKENS(text)) as w from documents) t group by doc_id) u where a = 1 and b = 1",
-    "fts_bm25": search.BM25_SQL,
+    "format_pairs": lambda lib: paths.format_groups(lib.file.select((F.col("id") - F.col("id") % 2).alias("shot"), F.when(F.col("id") % 9 == 0, ".nef").otherwise(F.col("filename")).alias("filename")), "shot"),
+    "iou_pairs": lambda lib: _iou_pairs(lib),
+    "face_crops": lambda lib: lib.crops(300, 900),
+    "decided_boxes": lambda lib: lib.decided_boxes().select("id", *(F.round(c, 6).alias(c) for c in "xywh")),
+    "decided_face_merge": lambda lib: lib.redetected(_detected(lib)).select("photo_id", "bbox_x", "bbox_y", "bbox_w", "confirmed", "rejected"),
+    "duplicate_faces": lambda lib: greedy.duplicate_faces(lib.face),
+    "person_centroids": lambda lib: lib.person_centroids().select("person_id", F.posexplode("centroid").alias("pos", "x")).select("person_id", "pos", F.round("x", 6).alias("x")),
+    "assign_known": lambda lib: lib.assign_known(0.2),
+    "suggest_people": lambda lib: lib.suggest_people(least=0.0).select("cluster_id", "person_id", "name", "score", "r"),
+    "max_cluster": lambda lib: lib.next_cluster(),
+    "recluster": lambda lib: lib.recluster(0.35, 3, 0.2).select("id", "person_id", "cluster_id", "confirmed"),
+    "recluster_too_few": lambda lib: lib.with_tables(face=lib.face.where("id < 5")).recluster(0.35, 50).select("id", "cluster_id"),
+    "person_for_name": lambda lib: lib.person_for_name("asia")[0].unionByName(lib.person_for_name("New One")[0]).distinct(),
+    "name_cluster": lambda lib: _faces(lib.name_cluster(5, "Someone New")[0]),
+    "name_cluster_cover": lambda lib: lib.name_cluster(5, "Someone New")[1],
+    "name_face": lambda lib: _faces(lib.name_face(30, "asia")[0]),
+    "merge_clusters": lambda lib: _faces(lib.merge_clusters([7, 6, 8])),
+    "merge_and_name": lambda lib: _faces(lib.merge_clusters([7, 6], "europe")[0]),
+    "ignore_cluster": lambda lib: _faces(lib.ignore_cluster(8)),
+    "ignore_face": lambda lib: _faces(lib.ignore_face(5)),
+    "restore_ignored": lambda lib: _faces(lib.restore_ignored(4)),
+    "detach_face": lambda lib: _faces(lib.detach_face(1)),
+    "assign_face": lambda lib: _faces(lib.assign_face(5, 2)),
+    "merge_people": lambda lib: _faces(lib.merge_people(3, 1)[0]),
+    "rename_person": lambda lib: lib.rename_person(2, "Ann"),
+    "delete_person": lambda lib: _faces(lib.delete_person(4)[0]),
+    # Full text, vectors, search
+    "vector_topk_cutoff": lambda lib: search.vector_top(lib.embeddings, lib.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")), 200, 0.07, 0.2).select(F.col("id").alias("vec_id"), "score"),
+    "vector_index": _vector_index,
+    "fts_prefix_and": lambda lib: _prefix_and(lib),
+    "fts_bm25": lambda lib: search.bm25(lib.documents, search.WORDS),
+    "fts_weighted_stemmed": lambda lib: fulltext.search(lib.fts_document(), "by wh").select("id", F.round("score", 6).alias("score")),
+    "hybrid_search": search.hybrid_search,
+    "rrf_fusion": search.rrf_fusion,
+    "search_filter_only": lambda lib: lib.search(request.Request(only={"tag": ["fr"]}), 25).select("id", "score", "sources", "rank"),
+    "search_fallback": lambda lib: lib.search(request.Request(text="zzqqzz", only={"place": ["nation_1"]}), 25).select("id", "score", "sources", "rank"),
+    "search_no_match": lambda lib: lib.search(request.Request(text="zzqqzz"), 25, vectors=lib.embeddings.select(F.col("vec_id").alias("id"), F.lit(0.0).alias("score")).where("id < 0")).agg(F.count("*").alias("n")),
+    "search_paging": lambda lib: lib.page(search.hybrid_search(lib), 10, 5).select("id", "rank", "score", "sources", "filename", "total", "capped"),
+    "typed_search": lambda lib: _ids(lib.matching(request.understand("tag:fr photos from: 'nation_1' camera:a last year", request.NOW))),
+    "sidecar_round_trip": sidecar.round_trip,
 }
 
-#: DataFrame plans, with SQL written apart from them, if SQL expresses them.
+
+def _arrivals(lib) -> DataFrame:
+    """Files that arrive: known contents at new places, known files changed, new contents, one of them twice."""
+    some = lib.file.where("id % 4 = 0").select("root_id", "id", "rel_path", "filename", "mtime", F.lit(77).cast("long").alias("size"), "blake3")
+    place = F.when(F.col("id") % 3 == 0, F.concat(F.lit("moved/"), "rel_path")).otherwise(F.col("rel_path"))
+    content = F.when(F.col("id") % 8 == 0, F.md5((F.col("id") - F.col("id") % 16).cast("string"))).otherwise(F.col("blake3"))
+    return some.select("root_id", place.alias("rel_path"), "filename", (F.col("mtime") + 1).alias("mtime"), "size", content.alias("blake3"))
+
+
+def _iou_pairs(lib) -> DataFrame:
+    rows = lib.face.select("id", "photo_id", *(F.col(f"bbox_{c}").cast("double").alias(c) for c in "xywh"))
+    a, b = (rows.select("photo_id", *(F.col(c).alias(f"{t}_{c}") for c in ("id", *"xywh"))) for t in "ab")
+    both = a.join(b, "photo_id").where("a_id < b_id").withColumn("iou", people.iou("a", "b"))
+    return both.where("iou >= 0.5").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("iou", 6).alias("iou"))
+
+
+def _prefix_and(lib) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return lib.documents.select("doc_id", words.alias("ws")).where(F.array_contains("ws", "by") & F.exists("ws", lambda w: w.startswith("wh"))).select("doc_id")
+
+
+#: Plans that read the driver's tables themselves.
 PLANS = {
-    "hybrid_search": (search.hybrid_search, search.HYBRID_SQL),
-    "rrf_fusion": (search.rrf_fusion, search.RRF_SQL),
-    "dbscan_labels": (cluster.dbscan_labels, cluster.DBSCAN_SQL),
-    "hamming_pairs_banded": (cluster.hamming_pairs, PORTABLE["hamming_pairs"]),
-    "near_duplicate_groups": (greedy.near_duplicates, greedy.NEAR_SQL),
-    "duplicate_faces": (greedy.face_duplicates, None),
-    "fts_weighted_stemmed": (fulltext.weighted_search, None),
-    "typed_search": (request.typed_search, request.TYPED_SQL),
-    "searches_understood": (request.searches_understood, None),
-    "annotation_salvage": (lenient_json.annotation_salvage, lenient_json.SALVAGE_SQL),
-    "filename_dates_all": (imaging.name_dates, imaging.NAME_DATES_SQL),
-    "phash_pictures": (imaging.phash_of_products, None),
-    "sidecar_round_trip": (sidecar.round_trip, sidecar.ROUND_TRIP_SQL),
-    "caption_stage": (providers.caption_stage, None),
-    "stream_ingest_jobs": (ingest.ingested_jobs, ingest.JOBS_SQL),
+    "dbscan_labels": cluster.dbscan_labels,
+    "hamming_pairs": cluster.hamming_pairs,
+    "hamming_pairs_near": lambda spark, sf_dir: cluster.near_hashes(_close_hashes(spark, sf_dir), 6),
+    "near_duplicate_groups": greedy.fixture_groups,
+    "searches_understood": request.searches_understood,
+    "annotation_salvage": lenient_json.annotation_salvage,
+    "filename_dates_all": imaging.name_dates,
+    "phash_pictures": imaging.phash_of_products,
+    "caption_stage": providers.caption_stage,
+    "stream_ingest_jobs": ingest.ingested_jobs,
 }
-QUERIES = {n: _portable(q) for n, q in PORTABLE.items()} | {n: f for n, (f, _) in PLANS.items()}
-ORACLES = {n: _dialect(with_views(q), False) for n, q in PORTABLE.items()} | {n: _dialect(with_views(q), False) for n, (_, q) in PLANS.items() if q}
+
+
+def _close_hashes(spark, sf_dir: str) -> DataFrame:
+    """Hashes of which some differ in few bits: those of ten rows, with bits turned by their ids."""
+    h = cluster.sign_hashes(spark, sf_dir).withColumn("g", F.col("id") % 10)
+    base = h.where("id < 10").select("g", F.col("h").alias("base"))
+    turned = F.expr("shiftleft(1L, cast(id % 61 as int)) ^ shiftleft(1L, cast(id % 47 as int)) ^ shiftleft(id % 16, 13)")
+    return h.join(base, "g").select("id", F.col("base").bitwiseXOR(turned).alias("h"))
+
+
+QUERIES = {n: _library(make) for n, make in MAKES.items()} | PLANS
+ORACLES = {n: sql for n, sql in oracles.SQL.items() if n in QUERIES}
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import calendar
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -22,20 +22,14 @@ DAYS = {"day": 1, "week": 7, "month": 31, "year": 365}
 
 @dataclass
 class Request:
-    """A search; times are seconds since 1970, both ends included."""
+    """A search: words for the engines, the values that each field must fit, a span in seconds since 1970 (both ends
+    included, None open), and whether favourites, or photos with or without faces, are wanted."""
 
     text: str = ""
-    people: list[str] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)
-    camera: str | None = None
-    place: str | None = None
-    folder: str | None = None
-    filename: str | None = None
-    date_from: int | None = None
-    date_to: int | None = None
+    only: dict[str, list[str]] = field(default_factory=dict)
+    span: tuple[int | None, int | None] = (None, None)
     favorite: bool = False
-    has_faces: bool | None = None
-    raw: str = ""
+    faces: bool | None = None
 
 
 def _months(now, year, first, last=None, last_year=None):
@@ -74,76 +68,51 @@ SPANS = [
 ]
 
 
+#: What becomes of a field's value: the condition that it adds to, or that it sets; `type:` has none.
+_ADDS = {"person": "person", "people": "person", "tag": "tag"}
+_SETS = {"camera": "camera", "place": "place", "in": "place", "from": "place", "folder": "folder", "filename": "filename"}
+
+
 def understand(raw: str, now: datetime | None = None) -> Request:
     """The request that `raw` makes at the time `now`. People and tags add up, of other fields the last counts, `type:` is dropped."""
     now = now or datetime.now()
-    out, text = Request(raw=raw), raw
-    for found in re.finditer(FIELDS, raw, re.I):
+    only: dict[str, list[str]] = {}
+
+    def take(found: re.Match) -> str:
         name, value = found[1].lower(), found[2]
         if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1]:
             value = value[1:-1]
-        if name in ("person", "people"):
-            out.people.append(value)
-        elif name == "tag":
-            out.tags.append(value.lower())
-        elif name != "type":
-            setattr(out, "place" if name in ("in", "from") else name, value)
-        text = text.replace(found[0], " ")
+        if name in _ADDS:
+            only.setdefault(_ADDS[name], []).append(value.lower() if name == "tag" else value)
+        elif name in _SETS:
+            only[_SETS[name]] = [value]
+        return " "
+
+    text = re.sub(FIELDS, take, raw, flags=re.I)
     text, favourites = re.subn(FAVOURITE, " ", text, flags=re.I)
-    out.favorite = favourites > 0
-    for pattern, span in SPANS:
+    span: tuple[int | None, int | None] = (None, None)
+    for pattern, ends in SPANS:
         found = re.search(pattern, text, re.I)
         if found:
             try:
-                out.date_from, out.date_to = (int(t.timestamp()) for t in span(now, found.groupdict()))
+                span = tuple(int(t.timestamp()) for t in ends(now, found.groupdict()))
             except OverflowError:  # longer ago than the calendar goes
-                out.date_from, out.date_to = None, int(now.timestamp())
+                span = (None, int(now.timestamp()))
             text = text[: found.start()] + " " + text[found.end() :]
             break
-    out.text = " ".join(w for w in text.split() if w.lower() not in IGNORED)
-    return out
-
-
-def conditions(request: Request) -> list[str]:
-    """SQL conditions on `v_photo p`; wildcards in values stay wildcards, as in LIKE."""
-
-    def like(column, value):
-        return f"lower({column}) like '%" + value.lower().replace("\\", "\\\\").replace("'", "\\'") + "%'"
-
-    def file(column, value):
-        return f"exists (select 1 from v_file f where f.blake3 = p.blake3 and {like('f.' + column, value)})"
-
-    out = ["p.hidden = 0", "exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')"]
-    out += [f"exists (select 1 from v_face f join v_person n on n.id = f.person_id where f.photo_id = p.id and {like('n.name', v)})" for v in request.people]
-    out += ["exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = '" + v.replace("\\", "\\\\").replace("'", "\\'") + "')" for v in request.tags]
-    if request.camera:
-        out.append(f"({like('p.camera_model', request.camera)} or {like('p.camera_make', request.camera)})")
-    if request.place:
-        out.append(like("p.place_name", request.place))
-    out += [file(c, v) for c, v in (("rel_path", request.folder), ("filename", request.filename)) if v]
-    out += [f"p.taken_at {sign} {t}" for sign, t in ((">=", request.date_from), ("<=", request.date_to)) if t]
-    if request.favorite:
-        out.append("p.favorite = 1")
-    if request.has_faces is not None:
-        out.append(("" if request.has_faces else "not ") + "exists (select 1 from v_face f where f.photo_id = p.id)")
-    return out
-
-
-def filtered(spark: SparkSession, request: Request) -> DataFrame:
-    """Ids of the photos that meet all conditions; the views' tables are registered already."""
-    from lumenary.sources.views import with_views
-
-    return spark.sql(with_views("select p.id from v_photo p where " + " and ".join(conditions(request))))
+    words = " ".join(w for w in text.split() if w.lower() not in IGNORED)
+    return Request(words, only, span, favourites > 0)
 
 
 def understood(texts: DataFrame, column: str, now: datetime) -> DataFrame:
     """`texts` with a struct column `request` for a column of searches, by Arrow batches."""
-    kinds = "text string, people array<string>, tags array<string>, camera string, place string, folder string, filename string, date_from long, date_to long, favorite boolean"
-    names = [k.split()[0] for k in kinds.split(", ")]
+    fields = ("person", "tag", "camera", "place", "folder", "filename")
+    kinds = "text string, " + ", ".join(f"{f} array<string>" for f in fields) + ", date_from long, date_to long, favorite boolean"
 
     @F.pandas_udf(kinds)
     def apply(column: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([asdict(understand(t or "", now)) for t in column], columns=names)
+        rows = [understand(t or "", now) for t in column]
+        out = pd.DataFrame([(r.text, *(r.only.get(f, []) for f in fields), *r.span, r.favorite) for r in rows], columns=["text", *fields, "date_from", "date_to", "favorite"])
         return out.astype({"date_from": "Int64", "date_to": "Int64"})
 
     return texts.withColumn("request", apply(column))
@@ -153,14 +122,6 @@ def understood(texts: DataFrame, column: str, now: datetime) -> DataFrame:
 NOW = datetime.fromisoformat("2024-07-10T12:00:00+00:00")
 
 
-def typed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos that a typed search of fields and a span of time allows."""
-    from lumenary.operators.search import register
-
-    register(spark, sf_dir)
-    return filtered(spark, understand("tag:fr photos from: 'nation_1' camera:a last year", NOW))
-
-
 TYPED_SQL = """
 select p.id from v_photo p where p.hidden = 0 and exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')
 and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and lower(p.place_name) like '%nation_1%'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's shared folder, that of spark.checkpoint.dir; one of our own only on a local master, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(folder, "own", None)
         if base is None:
             base = folder.own = tempfile.mkdtemp(prefix="checkpoint-")
@@ -27,8 +30,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, computed and cut off from its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder(df.sparkSession))
-    return df.checkpoint()
+    """`df`, computed, written in the shared folder and cut off from its lineage."""
+    path = fresh(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

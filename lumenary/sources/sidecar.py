@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -106,24 +106,62 @@ def read(texts: pd.Series) -> pd.DataFrame:
     return out.astype({"rating": "Int32"})
 
 
-def collected(spark: SparkSession) -> DataFrame:
-    """Per photo: winning caption, tags (manual first, then by name), rating 5 for favourites, and named faces as regions."""
-    from lumenary.sources.views import with_views
+def collected(lib) -> DataFrame:
+    """Per photo: the caption that counts, tags (manual first, then by name), rating 5 for favourites, and named faces as regions."""
+    from lumenary.operators import filters
 
-    return spark.sql(with_views("""
-select p.id, w.caption, t.tags, case when p.favorite = 1 then 5 end as rating, f.regions from v_photo p
-left join (select photo_id, max_by(caption, struct(case when model = 'manual' then 1 else 0 end, created_at)) as caption from v_annotation group by photo_id) w on w.photo_id = p.id
-left join (select photo_id, transform(array_sort(collect_set(struct(case when source = 'manual' then 0 else 1 end as o, name))), x -> x.name) as tags from v_photo_tag group by photo_id) t on t.photo_id = p.id
-left join (select photo_id, array_sort(collect_list(struct(n.name, (bbox_x + bbox_w / 2) / src_w as x, (bbox_y + bbox_h / 2) / src_h as y, bbox_w / src_w as w, bbox_h / src_h as h))) as regions
-  from v_face f join v_person n on n.id = f.person_id where f.rejected = 0 and src_w > 0 and src_h > 0 group by photo_id) f on f.photo_id = p.id"""))
+    tags = lib.photo_tag.select("photo_id", F.struct(F.when(F.col("source") == "manual", 0).otherwise(1).alias("o"), "name").alias("t"))
+    tags = tags.groupBy("photo_id").agg(F.transform(F.array_sort(F.collect_set("t")), lambda t: t["name"]).alias("tags"))
+    named = lib.person.select(F.col("id").alias("person_id"), "name")
+    faces = lib.face.where("rejected = 0 and src_w > 0 and src_h > 0").join(named, "person_id")
+    region = F.struct("name", *(c.alias(n) for c, n in zip(centred(), "xywh")))
+    regions = faces.groupBy("photo_id").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    out = lib.photo.select(F.col("id").alias("photo_id"), F.when(F.col("favorite") == 1, 5).alias("rating"))
+    for part in (filters.winner(lib).select("photo_id", "caption"), tags, regions):
+        out = out.join(part, "photo_id", "left")
+    return out.select(F.col("photo_id").alias("id"), "caption", "tags", "rating", "regions")
 
 
-def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is read back from the sidecar written for each photo."""
-    from lumenary.operators.search import register
+def centred():
+    """A face's box around its centre, as shares of its picture."""
+    return [(F.col("bbox_x") + F.col("bbox_w") / 2) / F.col("src_w"), (F.col("bbox_y") + F.col("bbox_h") / 2) / F.col("src_h"), F.col("bbox_w") / F.col("src_w"), F.col("bbox_h") / F.col("src_h")]
+
+
+def packets(lib) -> DataFrame:
+    """(id, packet): the sidecar of each photo; null where there is nothing to say."""
+    return collected(lib).select("id", written(F.struct("caption", "tags", "rating", "regions")).alias("packet"))
+
+
+def save(rows: DataFrame, overwrite: bool = True) -> DataFrame:
+    """Write sidecars (path, packet) where all executors see the paths: (path, state written, skipped or empty).
+
+    A file appears whole, or not at all: it is written under another name first. Null packets write nothing.
+    """
 
-    register(spark, sf_dir)
-    rows = collected(spark).select("id", read(written(F.struct("caption", "tags", "rating", "regions"))).alias("s"))
+    def work(parts):
+        import os
+
+        for part in parts:
+            states = []
+            for path, text in zip(part["path"], part["packet"]):
+                if text is None:
+                    states.append("empty")
+                elif not overwrite and os.path.exists(path):
+                    states.append("skipped")
+                else:
+                    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(f"{path}.tmp", path)
+                    states.append("written")
+            yield pd.DataFrame({"path": part["path"], "state": states})
+
+    return rows.select("path", "packet").mapInPandas(work, "path string, state string")
+
+
+def round_trip(lib) -> DataFrame:
+    """What is read back from the sidecar written for each photo."""
+    rows = packets(lib).select("id", read("packet").alias("s"))
     return rows.select("id", F.trim(F.regexp_replace("s.caption", r"\s+", " ")).alias("caption"), F.array_join("s.tags", ",").alias("tags"), "s.rating", F.array_join("s.people", ",").alias("people"))
 
 

@@ -1,5 +1,12 @@
 """The media library as views over the driver tables, in SQL that Spark and DuckDB both take."""
 
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+
 VIEWS = {
     "v_volume": """
 select cast(r_regionkey as bigint)+1 as id, md5(r_name) as uuid, r_name as label,
@@ -77,5 +84,26 @@ def with_views(body: str) -> str:
         if name in text:
             need.insert(0, name)
             text += VIEWS[name]
+    if not need:
+        return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need)
-    return body if not need else f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
+    return f"WITH {ctes}\n{body}"
+
+
+BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """A query over the views; only the driver tables that it names are opened."""
+    sql = with_views(body)
+    for name in BASE:
+        if re.search(rf"\b{name}\b", sql):
+            base(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(sql)

@@ -12,7 +12,11 @@ STAGES = ("thumbs", "embed", "faces", "caption")
 
 
 def new_photos(files: DataFrame) -> DataFrame:
-    """The first row of each content hash that the stream has seen; hashes are kept in the state store."""
+    """The first row of each content hash that the stream has seen.
+
+    The state store keeps every hash for ever, 32 bytes and an entry's overhead each: a file may come back after years,
+    so there is no time after which one can be forgotten. With RocksDB as the state store they lie on disk.
+    """
     return files.dropDuplicates(["blake3"])
 
 
@@ -41,10 +45,10 @@ def enqueue(photos: DataFrame) -> DataFrame:
 
 def ingested_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs of all distinct documents, ingested as a stream of files."""
-    pattern = f"{sf_dir}/documents.parquet"
-    schema = spark.read.parquet(pattern).schema
-    # A pattern, as a stream reads folders and patterns but no single file.
-    files = spark.readStream.schema(schema).parquet(pattern + "*").select(F.md5("text").alias("blake3"), F.col("n_chars").alias("bytes"))
+    path = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    # A stream reads folders and patterns, but no single file: this pattern fits the one path only.
+    files = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf_dir}/[d]ocuments.parquet").select(F.md5("text").alias("blake3"), F.col("n_chars").alias("bytes"))
     target = fresh(spark, "photos")
     query = start(files, target, fresh(spark, "ingest"))
     query.awaitTermination()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import imaging, lenient_json, providers, stem
+from lumenary.library import Library
 from lumenary.operators import fulltext, greedy
 from lumenary.plans import catalogue, request
 from lumenary.sources import sidecar
@@ -46,23 +47,21 @@ def test_stems():
 )
 def test_spans(typed, span):
     got = request.understand(typed, NOW)
-    assert (got.date_from, got.date_to) == span
+    assert got.span == span
     assert got.text == ("dogs" if typed == "dogs" else "")
 
 
 def test_fields():
     got = request.understand("""show me person:"Ann Lee" person:bob tag:Beach in:'New York' type:jpg favourites of dogs camera:x camera:y""", NOW)
-    assert (got.people, got.tags, got.place, got.camera, got.favorite, got.text) == (["Ann Lee", "bob"], ["beach"], "New York", "y", True, "dogs")
+    assert got == request.Request("dogs", {"person": ["Ann Lee", "bob"], "tag": ["beach"], "place": ["New York"], "camera": ["y"]}, (None, None), True)
     assert request.understand("", NOW).text == ""
 
 
-def test_requests_in_sql(spark):
-    from lumenary.operators.search import register
-
-    register(spark, SF)
-    everything = request.Request(people=["o'x"], tags=["a'b\\"], camera="c", place="p", folder="f", filename="n", date_from=1, date_to=2, favorite=True, has_faces=False)
-    assert request.filtered(spark, everything).count() == 0
-    assert request.filtered(spark, request.Request()).count() > 0
+def test_requests(spark):
+    lib = Library.of_driver_tables(spark, SF)
+    everything = request.Request(only={"person": ["o'x"], "tag": ["a'b\\"], "camera": ["c"], "place": ["p"], "folder": ["f"], "filename": ["n"]}, span=(1, 2), favorite=True, faces=False)
+    assert lib.matching(everything).count() == 0
+    assert lib.matching(request.Request()).count() > 0
     empty = request.understood(spark.createDataFrame([(None,)], "q string"), "q", NOW).first()["request"]
     assert empty["text"] == "" and empty["date_from"] is None
 
@@ -131,11 +130,7 @@ def test_greedy_groups(spark):
 
 
 def test_duplicate_faces(spark):
-    from lumenary.operators.search import register
-    from lumenary.sources.views import with_views
-
-    register(spark, SF)
-    faces = spark.sql(with_views("select * from v_face")).collect()
+    faces = Library.of_driver_tables(spark, SF).face.collect()
 
     def box(f):
         return tuple(f[f"bbox_{c}"] / (f[f"src_{s}"] if f["src_w"] else 1) for c, s in zip("xywh", "whwh"))

@@ -48,6 +48,6 @@ def test_annotations_hold_whole_texts(spark, duck):
 
     cut = with_views("select count(*) from v_annotation a join documents d on d.doc_id = a.photo_id where a.model = 'm1' and a.caption || a.ocr_text <> d.text")
     assert duck.sql(cut).fetchall() == [(0,)]
-    spark.read.parquet(f"{SF}/documents.parquet").createOrReplaceTempView("documents")
-    spark.read.parquet(f"{SF}/labels.parquet").createOrReplaceTempView("labels")
-    assert spark.sql(cut).first()[0] == 0
+    from lumenary.sources.views import table
+
+    assert table(spark, SF, "select count(*) from v_annotation a join documents d on d.doc_id = a.photo_id where a.model = 'm1' and a.caption || a.ocr_text <> d.text").first()[0] == 0
