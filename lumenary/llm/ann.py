@@ -3,7 +3,11 @@
 Centroids are fitted on a bounded sample. Every vector goes to the list of its nearest centroid, and boundary vectors,
 to which other centroids are nearly as near, to those lists too. The centroids, a bounded number, are linked into a graph
 that each worker holds and walks best-first. A query probes the lists whose centroids are within a ratio of the nearest
-one's distance, and further ones, nearest first, until they hold enough different vectors (or all of them). Lists are cut into shards of bounded size by a hash, so that a crowded list is many tasks' work.
+one's distance, and further ones, nearest first, until they hold enough different vectors (or all of them).
+
+A list that has grown beyond SPLIT rows, as in tables of millions, is cut into lists of LIST_ROWS by centroids of its
+own, fitted where its rows are; a query that probes it probes those of them that the same ratio selects. So lists stay
+small, and the work of a query doesn't grow with the table.
 
 Largest inner product becomes smallest distance by one more component that brings all vectors to one length; queries
 have 0 there. Equal vectors are indexed once, with their smallest ids: no more of them can be among the k nearest.
@@ -21,9 +25,12 @@ from . import _text as T
 
 #: Vectors that centroids are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors of a list, about; the number of lists is bounded by MOST_LISTS and by a tenth of the sample.
+#: Vectors of a list, about; the number of lists that the graph holds is bounded by MOST_LISTS and by a tenth of the sample.
 LIST_ROWS = 250
 MOST_LISTS = 2000
+#: A list of more rows is cut into lists of its own, with so many sampled rows for each of their centroids.
+SPLIT = 2000
+SPLIT_SAMPLE = 40
 #: A vector also goes to lists whose centroids are at most so much farther (squared) than its nearest; to REPLICAS at most.
 BOUNDARY = 1.06
 REPLICAS = 3
@@ -64,35 +71,48 @@ def _graph(c: np.ndarray) -> np.ndarray:
     return np.concatenate([links, rng.integers(0, n, (n, 6))], axis=1)
 
 
-def _walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search from fixed entry points: centroids within `ratio` of the nearest's squared distance, nearest first.
+#: Queries that walk the graph together.
+TOGETHER = 256
+
+
+def _walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ratio: float) -> np.ndarray:
+    """Best-first search of the graph for several queries at once: their squared distances to the centroids reached, else inf.
 
-    The walk ends when the nearest centroid not yet expanded is farther than the ratio allows.
+    Each query expands its nearest centroids not yet expanded, from fixed entry points, until the nearest of them is
+    farther than `ratio` times the nearest reached; every step works on all queries that still go on.
     """
-    n = len(c)
-    dist = np.full(n, np.inf)
-    open_ = np.zeros(n, bool)
+    n, m = len(c), len(q)
+    dist = np.full((m, n), np.inf, np.float32)
+    open_ = np.zeros((m, n), bool)
+
+    def reach(rows, nodes):
+        dist[rows, nodes] = np.square(c[nodes] - q[rows]).sum(1)
+        open_[rows, nodes] = True
+
     start = np.linspace(0, n - 1, min(n, 16)).astype(int)
-    dist[start] = np.square(c[start] - q).sum(1)
-    open_[start] = True
-    while True:
-        waiting = np.flatnonzero(open_)
-        if not len(waiting):
-            break
-        limit = dist.min() * ratio
-        order = waiting[np.argsort(dist[waiting])][:8]
-        # At least the best are expanded, so that the walk gets away from poor entry points.
-        if dist[order[0]] > limit and np.isfinite(dist).sum() > 4 * DEGREE:
-            break
-        open_[order] = False
-        new = np.unique(links[order])
-        new = new[~np.isfinite(dist[new])]
-        if len(new):
-            dist[new] = np.square(c[new] - q).sum(1)
-            open_[new] = True
+    reach(np.repeat(np.arange(m), len(start)), np.tile(start, m))
+    go = np.arange(m)
+    while len(go):
+        waiting = np.where(open_[go], dist[go], np.inf)
+        few = min(4, n)
+        best = np.argpartition(waiting, few - 1, axis=1)[:, :few] if few < n else np.tile(np.arange(n), (len(go), 1))
+        at = np.take_along_axis(waiting, best, 1)
+        least = at.min(1)
+        # At least some are expanded, so that the walk gets away from poor entry points.
+        on = np.isfinite(least) & ((least <= ratio * dist[go].min(1)) | (np.isfinite(dist[go]).sum(1) <= 4 * DEGREE))
+        go, best, at = go[on], best[on], at[on]
+        rows, nodes = np.repeat(go, best.shape[1])[np.isfinite(at).ravel()], best[np.isfinite(at)]
+        open_[rows, nodes] = False
+        new = np.zeros((m, n), bool)
+        new[rows[:, None], links[nodes]] = True
+        reach(*np.nonzero(new & ~np.isfinite(dist)))
+    return dist
+
+
+def _chosen(dist: np.ndarray, ratio: float, most: int) -> np.ndarray:
+    """The places within `ratio` of the nearest, nearest first, `most` of them."""
     found = np.flatnonzero(dist <= dist.min() * ratio)
-    found = found[np.argsort(dist[found], kind="stable")][:most]
-    return found, dist[found]
+    return found[np.argsort(dist[found], kind="stable")][:most]
 
 
 def _widen(found: np.ndarray, q: np.ndarray, c: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
@@ -107,6 +127,11 @@ def _widen(found: np.ndarray, q: np.ndarray, c: np.ndarray, firsts: np.ndarray,
     return order[: int(np.searchsorted(np.cumsum(firsts[order]), min(least, firsts.sum()))) + 1]
 
 
+def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids."""
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part: not null, no component null or not finite, not all zero, the usual length."""
     v = F.col("embedding").cast("array<double>")
@@ -135,51 +160,74 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     if not n:
         return spark.createDataFrame([], kind)
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS, SAMPLE // 10))
-    few = same.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) < int(1.2 * SAMPLE / n * (1 << 20)) + 1).select("v").limit(SAMPLE).toPandas()
+    by = F.xxhash64("vid")
+    few = same.where(F.pmod(by, F.lit(1 << 20)) < int(1.2 * SAMPLE / n * (1 << 20)) + 1).select("v", by.alias("by")).orderBy("by").limit(SAMPLE).toPandas()
     x = np.stack(few["v"].to_numpy()).astype(np.float64)
     lists = min(lists, len(x))
     lift = np.sqrt(np.maximum(longest - np.square(x).sum(1), 0))
     c = _fit(np.column_stack([x, lift]).astype(np.float32), lists)
     index = spark.sparkContext.broadcast((c, _graph(c), float(longest)))
 
+    def lifted(v: np.ndarray, query: bool) -> np.ndarray:
+        """Vectors with one more component; queries, whose direction alone decides, are of the length of all others."""
+        longest = index.value[2]
+        size = np.square(v).sum(1)
+        if query:
+            return np.column_stack([v * np.sqrt(longest / size)[:, None], np.zeros(len(v))]).astype(np.float32)
+        return np.column_stack([v, np.sqrt(np.maximum(longest - size, 0))]).astype(np.float32)
+
     def placed(ratio: float, most: int, counts=None):
         query = counts is not None
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf("array<struct<list: int, far: float>>")
         def lists_of(v: pd.Series) -> pd.Series:
-            c, links, longest = index.value
+            c, links, _ = index.value
             out = []
-            for x in v:
-                x = np.asarray(x, np.float64)
-                lift = 0.0 if query else np.sqrt(max(longest - float(x @ x), 0.0))
-                if query:  # of the length of all others; the direction alone decides
-                    x = x * np.sqrt(longest / float(x @ x))
-                x = np.append(x, lift).astype(np.float32)
-                found = _walk(x, c, links, ratio, most)[0]
-                out.append((_widen(found, x, c, counts.value, FLOOR * (k + 1)) if query else found).tolist())
+            for k in range(0, len(v), TOGETHER):
+                q = lifted(np.stack(v.iloc[k : k + TOGETHER].to_numpy()).astype(np.float64), query)
+                for x, dist in zip(q, _walk(q, c, links, ratio)):
+                    found = _chosen(dist, ratio, most)
+                    if query:
+                        found = _widen(found, x, c, counts.value, FLOOR * (k_all + 1))
+                    out.append([{"list": int(i), "far": float(np.square(c[i] - x).sum())} for i in found])
             return pd.Series(out)
 
         return lists_of
 
-    stored = same.select("vid", "v", F.posexplode(placed(BOUNDARY, REPLICAS)("v")).alias("place", "list"))
+    k_all = k
+    stored = same.select("vid", "v", F.posexplode(placed(BOUNDARY, REPLICAS)("v")).alias("place", "x")).select("vid", "v", "place", "x.list")
     stored = T.checkpoint(stored)
     # Lists in groups of GROUP_ROWS about; MOST_LISTS rows at most.
-    plan, group, held = [], 0, 0
+    plan, group, held, large = [], 0, 0, []
     firsts = np.zeros(lists, np.int64)
     for r in stored.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("firsts")).orderBy("list").collect():
         firsts[r["list"]] = r["firsts"]
+        if r["n"] > SPLIT:
+            large.append((r["list"], min(-(-r["n"] // LIST_ROWS), MOST_LISTS), -(-r["n"] // GROUP_ROWS), r["n"]))
+            continue
         if held and held + r["n"] > GROUP_ROWS:
             group, held = group + 1, 0
-        shards = -(-r["n"] // GROUP_ROWS)
-        plan.append((r["list"], group, shards))
-        group, held = (group + shards, 0) if shards > 1 else (group, held + r["n"])
+        plan.append((r["list"], group))
+        held += r["n"]
     counts = spark.sparkContext.broadcast(firsts)
-    plan = F.broadcast(spark.createDataFrame(plan, "list int, first int, shards int"))
-    sharded = stored.join(plan, "list").select("list", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("shards"))).cast("int").alias("group"), "vid", "v")
+    plan = F.broadcast(spark.createDataFrame(plan, "list int, group long"))
+    block = stored.join(plan, "list").select(F.col("list").cast("long").alias("list"), "group", "vid", "v")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = T.checkpoint(asked.join(same.select("v", F.col("vid").alias("own")), "v"))
-    probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("list"))
-    probes = probes.join(plan, "list").select("list", F.explode(F.expr("sequence(first, first + shards - 1)")).alias("group"), "own", "v")
+    probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("x")).select("own", "v", "x.list", "x.far")
+    if large:
+        cells = F.broadcast(spark.createDataFrame(large, "list int, parts int, shards int, n long"))
+        probes = T.checkpoint(probes)
+        more, into = _split(stored.join(cells, "list"), probes.join(cells, "list"), lifted, probe, FLOOR * (k + 1))
+        block = block.unionByName(more)
+        small = probes.join(plan, "list").select("own", "v", F.col("list").cast("long").alias("list"), "group", "far", F.lit(0).cast("long").alias("held"))
+        every_probe = small.unionByName(into)
+        # Of the parts of all lists those that the ratio selects, and the nearest until they hold enough.
+        near = W.partitionBy("own")
+        before = F.sum("held").over(near.orderBy("far", "list").rowsBetween(W.unboundedPreceding, -1))
+        probes = every_probe.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("least", F.min("far").over(near)).where((F.col("far") <= F.col("least") * probe) | (F.col("before") < FLOOR * (k + 1)) | (F.col("held") == 0))
+    else:
+        probes = probes.join(plan, "list").select("own", "v", F.col("list").cast("long").alias("list"), "group")
     probes = probes.groupBy("group", "own").agg(F.first("v").alias("q"), F.collect_list("list").alias("lists")).toDF("q_group", "own", "q", "lists")
 
     def compare(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +257,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
                     out["score"] += row[at].tolist()
         return pd.DataFrame(out).astype({"own": "int64", "vid": "int64", "score": "float64"})
 
-    found = probes.groupBy("q_group").cogroup(sharded.groupBy("group")).applyInPandas(compare, "own long, vid long, score double")
+    found = probes.groupBy("q_group").cogroup(block.groupBy("group")).applyInPandas(compare, "own long, vid long, score double")
     found = found.groupBy("own", "vid").agg(F.max("score").alias("score"))
     best = found.withColumn("r", F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1).select("own", "vid")
     # Back to rows: every id of the vectors found but the query's own, by the exact score of the original vectors.
@@ -225,5 +273,80 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     return out.select("query_id", F.posexplode(others).alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Large lists cut into lists of their own, and the parts that queries probe.
+
+    `stored` (vid, v, list, ...) and `probes` (own, v, list) come with the cell's parts, shards and n. Returns the rows
+    (list, group, vid, v), and (own, v, list, group, far, held) with the rows that a part holds.
+    """
+    keys = ["list", "shard"]
+    per = max(1, GROUP_ROWS // LIST_ROWS)
+    hashed = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 20))
+    sample = stored.where(hashed < F.ceil(F.col("parts") * SPLIT_SAMPLE / F.col("n") * (1 << 20))).select("list", "parts", "v")
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = lifted(np.stack(pdf["v"].to_numpy()).astype(np.float64), False)
+        c = _fit(x, min(int(pdf["parts"].iloc[0]), len(x)))
+        return pd.DataFrame({"list": key[0], "part": np.arange(len(c)), "c": list(c)})
+
+    parts = T.checkpoint(sample.groupBy("list").applyInPandas(fit, "list int, part int, c array<float>"))
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("shard", F.pmod(F.xxhash64(by), F.col("shards")).cast("int"))
+
+    def each(shards: DataFrame) -> DataFrame:
+        """The centroids of each list for each of its shards."""
+        out = parts.join(F.broadcast(shards), "list").select("list", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "part", "c")
+        return out.toDF("p_list", "p_shard", "part", "c")
+
+    def assign(key, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = {"list": [], "group": [], "vid": [], "v": []}
+        if len(rows):
+            c, names = np.stack(cs["c"].to_numpy()), cs["part"].to_numpy()
+            for k in range(0, len(rows), 4096):
+                some = rows.iloc[k : k + 4096]
+                d = _apart(lifted(np.stack(some["v"].to_numpy()).astype(np.float64), False), c)
+                near = d <= d.min(1)[:, None] * BOUNDARY
+                order = np.argsort(np.where(near, d, np.inf), axis=1)[:, :2]
+                i, j = np.nonzero(np.take_along_axis(near, order, 1))
+                part = names[order[i, j]]
+                cell = (int(key[0]) + 1) << 24
+                out["list"] += (cell + part).tolist()
+                out["group"] += (cell + part // per).tolist()
+                out["vid"] += some["vid"].to_numpy()[i].tolist()
+                out["v"] += some["v"].to_numpy()[i].tolist()
+        return pd.DataFrame(out).astype({"list": "int64", "group": "int64", "vid": "int64"})
+
+    sizes = stored.select("list", "shards", "n").distinct()
+    more = T.checkpoint(dealt(stored.select("list", "shards", "vid", "v"), "vid").groupBy(*keys).cogroup(each(sizes.select("list", "shards")).groupBy("p_list", "p_shard")).applyInPandas(assign, "list long, group long, vid long, v array<double>"))
+    held = more.groupBy("list").agg(F.count("*").alias("held"))
+    known = T.checkpoint(parts.withColumn("name", ((F.col("list").cast("long") + 1) * (1 << 24) + F.col("part"))).join(held.withColumnRenamed("list", "name"), "name").select("list", "name", "part", "c", "held"))
+
+    def choose(key, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = {"own": [], "v": [], "list": [], "group": [], "far": [], "held": []}
+        if len(rows) and len(cs):
+            c, names, part, n = np.stack(cs["c"].to_numpy()), cs["name"].to_numpy(), cs["part"].to_numpy(), cs["held"].to_numpy()
+            for k in range(0, len(rows), 1024):
+                some = rows.iloc[k : k + 1024]
+                d = _apart(lifted(np.stack(some["v"].to_numpy()).astype(np.float64), True), c)
+                for own, v, x in zip(some["own"], some["v"], d):
+                    order = np.argsort(x, kind="stable")
+                    keep = order[(x[order] <= x[order[0]] * probe) | (np.cumsum(n[order]) - n[order] < least)]
+                    out["own"] += [own] * len(keep)
+                    out["v"] += [v] * len(keep)
+                    out["list"] += names[keep].tolist()
+                    out["group"] += (((int(key[0]) + 1) << 24) + part[keep] // per).tolist()
+                    out["far"] += x[keep].tolist()
+                    out["held"] += n[keep].tolist()
+        return pd.DataFrame(out).astype({"own": "int64", "list": "int64", "group": "int64", "far": "float32", "held": "int64"})
+
+    asks = probes.groupBy("list").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("ask_shards"))
+    asks = T.checkpoint(asks)
+    side = known.join(F.broadcast(asks), "list").select("list", F.explode(F.expr("sequence(0, ask_shards - 1)")).alias("shard"), "name", "part", "c", "held").toDF("p_list", "p_shard", "name", "part", "c", "held")
+    asking = probes.join(F.broadcast(asks), "list").withColumn("shard", F.pmod(F.xxhash64("own"), F.col("ask_shards")).cast("int")).select("list", "shard", "own", "v")
+    into = asking.groupBy(*keys).cogroup(side.groupBy("p_list", "p_shard")).applyInPandas(choose, "own long, v array<double>, list long, group long, far float, held long")
+    return more, into
+
+
 def op3_ann(spark, sf_dir: str) -> DataFrame:
     return nearest(T.table(spark, sf_dir, "embeddings"))

@@ -232,3 +232,34 @@ def test_language(spark, empty):
     assert got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
     assert language_id.identify(empty, model).count() == 0
     assert {r.lang_pred for r in language_id.identify(new, language_id.train(empty.withColumn("lang", F.lit("en")))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_neighbours_among_hundreds_of_lists(spark, monkeypatch, split):
+    import numpy as np
+
+    # Lists of ten rows, so that a query probes a small part of them; or a few large ones that are cut into such lists.
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)
+    if split:
+        monkeypatch.setattr(ann, "MOST_LISTS", 12)
+        monkeypatch.setattr(ann, "SPLIT", 60)
+        monkeypatch.setattr(ann, "GROUP_ROWS", 300)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16)) * 2
+    v = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 16)) * 0.5
+    v[:1000] *= rng.uniform(0.2, 3, size=(1000, 1))  # of different lengths
+    v[1000:1100] = v[7]  # one vector many times
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 4000, 20)) and all(len(x) == 20 for x in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = v @ v[q]
+        found.sort()
+        assert all(abs(score - s[i]) < 1e-9 for _, i, score in found) and len({i for _, i, _ in found} - {q}) == 20
+        assert [(-round(x, 9), i) for _, i, x in found] == sorted((-round(x, 9), i) for _, i, x in found)
+        least = np.sort(np.delete(s, q))[-20] - 1e-9
+        hits += sum(score >= least for _, _, score in found)
+    assert hits >= 0.9 * 20 * len(got)
