@@ -66,12 +66,11 @@ def _vector_index(lib) -> DataFrame:
 
 
 def _stage_run(lib) -> DataFrame:
-    """Job states after the caption stage ran over 50 photos in batches of 20: texts of fewer than five words fail, offline photos stay pending."""
+    """Job states after the caption stage ran over all photos: texts of fewer than five words fail, offline photos stay pending."""
     texts = lib.documents.select(F.col("doc_id").alias("photo_id"), F.col("text").alias("payload"))
-    photos = lib.photo.orderBy("id").limit(50)
-    lib = lib.with_tables(photo=photos, job=photos.select(F.col("id"), F.col("id").alias("photo_id"), F.lit("caption").alias("stage"), F.lit("pending").alias("state"), F.lit(100).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts")))
+    lib = lib.with_tables(job=lib.photo.select(F.col("id"), F.col("id").alias("photo_id"), F.lit("caption").alias("stage"), F.lit("pending").alias("state"), F.lit(100).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts")))
     work = runner.provider_work(lib, runner.offline_payloads(lib, texts), "caption", "first_words")
-    out, _ = runner.batches(lib, "caption", 20, 1000, work)
+    out, _ = runner.batches(lib, "caption", 100_000, 1 << 40, work)
     return out.job.select("id", "state", "attempts")
 
 
@@ -182,7 +181,7 @@ MAKES = {
     "suggest_people": lambda lib: lib.suggest_people(least=0.0).select("cluster_id", "person_id", "name", "score", "r"),
     "max_cluster": lambda lib: lib.next_cluster(),
     "recluster": lambda lib: lib.recluster(0.35, 3, 0.2).select("id", "person_id", "cluster_id", "confirmed"),
-    "recluster_too_few": lambda lib: lib.with_tables(face=lib.face.where("id < 5")).recluster(0.35, 50).select("id", "cluster_id"),
+    "recluster_too_few": lambda lib: lib.recluster(0.35, 1 << 30).select("id", "cluster_id"),
     "person_for_name": lambda lib: lib.person_for_name("asia")[0].unionByName(lib.person_for_name("New One")[0]).distinct(),
     "name_cluster": lambda lib: _faces(lib.name_cluster(5, "Someone New")[0]),
     "name_cluster_cover": lambda lib: lib.name_cluster(5, "Someone New")[1],

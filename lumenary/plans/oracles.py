@@ -161,7 +161,7 @@ _BODY = {
     "job_enqueue_all": "select photo_id, stage, state, attempts from v_job union all select p.id, s.stage, 'pending', 0 from v_photo p, (values ('thumbs'), ('embed'), ('faces'), ('caption')) as s(stage) where not exists (select 1 from v_job j where j.photo_id = p.id and j.stage = s.stage)",
     "job_reset_stage": "select photo_id, stage, if(stage = 'faces' and photo_id in (select id from v_photo), 'pending', state) as state, if(stage = 'faces' and photo_id in (select id from v_photo), 0, attempts) as attempts from v_job union all select p.id, 'faces', 'pending', 0 from v_photo p where p.id not in (select photo_id from v_job where stage = 'faces')",
     "reset_discards": "select id from v_face where confirmed = 1 or rejected = 1",
-    "stage_run": "select p.id, case when not p.here then 'pending' when len(string_split_regex(trim(d.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+')) < 5 then 'failed' else 'done' end as state, 1 as attempts from (select id, blake3 in (select blake3 from v_file where state = 'present') as here from v_photo order by id limit 50) p join documents d on d.doc_id = p.id",
+    "stage_run": "select p.id, case when not p.here then 'pending' when len(string_split_regex(trim(d.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+')) < 5 then 'failed' else 'done' end as state, 1 as attempts from (select id, blake3 in (select blake3 from v_file where state = 'present') as here from v_photo) p join documents d on d.doc_id = p.id",
     "set_tags_replace": "select photo_id, name, source from v_photo_tag where source <> 'ai' or photo_id % 10 <> 0 union all select id, 'replaced', 'ai' from v_photo where id % 10 = 0",
     "upsert_files": "select root_id, rel_path, if(id % 3 = 0 and id % 2 = 1, size + 1, size) as size, if(id % 3 = 0 and id % 2 = 1, 'present', state) as state from v_file union all select root_id, 'x/' || rel_path, size + 1, 'present' from v_file where id % 6 = 0",
     "upsert_roots": "select volume_id, rel_path, if(volume_id % 2 = 0 and length(label) % 2 = 1, 'again', label) as label, if(volume_id % 2 = 0 and length(label) % 2 = 1, 1, 0) as enabled, rel_path || '*' as globs from v_root union all select volume_id, rel_path || '/sub', 'again', 1, '' from v_root where volume_id % 2 = 0 and length(label) % 2 = 0",
@@ -191,7 +191,7 @@ _BODY = {
     "suggest_people": f"select g as cluster_id, person as person_id, n.name, round(sim, 3) as score, nth as r from (select *, row_number() over (partition by g order by sim desc, person) as nth from (select c.g, p.g as person, round(list_dot_product(c.c, p.c), 6) as sim from {_MEAN.format(rows='select f.cluster_id as g, e.v from v_face f join ' + _VEC + ' e on e.id = f.id where f.rejected = 0 and f.cluster_id is not null')} c, {_PEOPLE} p) s) q join v_person n on n.id = q.person where nth <= 2 and sim >= 0",
     "max_cluster": "select max(cluster_id) + 1 as next_id from v_face",
     "recluster": _RECLUSTER,
-    "recluster_too_few": "select id, if(person_id is not null, cluster_id, null) as cluster_id from v_face where id < 5",
+    "recluster_too_few": "select f.id, case when f.person_id is not null then f.cluster_id end as cluster_id from v_face f",
     "person_for_name": "select id, name from v_person union all select 5, 'New One'",
     "name_cluster": _faces("if(cluster_id = 5, 5, person_id)", "if(cluster_id = 5, null, cluster_id)", "if(cluster_id = 5, 1, confirmed)"),
     "name_cluster_cover": "select id, name, null::bigint as cover_face_id from v_person union all select 5, 'Someone New', (select id from v_face where cluster_id = 5 order by det_score desc, id limit 1)",
