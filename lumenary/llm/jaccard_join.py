@@ -303,8 +303,17 @@ class _Join:
         by = F.struct(F.xxhash64("node", F.lit(len(self.edges))).alias("by"), "node", "meta", F.col(component).alias("component"))
         rows = rows.repartition("token")  # before the struct is made, so that it doesn't travel
         rows = rows.select("*", F.min(by).over(token).alias("lead"), F.min(component).over(token).alias("low"), F.max(component).over(token).alias("high"))
-        rows = rows.where("low <> high or meta % 2 = 1").select("token", "node", "meta", F.col(component).alias("component"), "lead").distinct()
-        return T.checkpoint(rows.select("*", F.count("*").over(token).alias("crowd")))
+        rows = rows.where("low <> high or meta % 2 = 1").select("token", "node", "meta", F.col(component).alias("component"), "lead", "low", "high").distinct()
+        out = T.checkpoint(rows.select("*", F.count("*").over(token).alias("crowd")))
+        hot = out.where("meta % 2 = 1")
+        if hot.isEmpty():
+            return out
+        # The parts of a hot shingle together: whether they hold several components.
+        part = F.shiftright("token", 16).alias("part")
+        several = hot.groupBy(part).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("part")
+        kept, old = T.checkpoint(out.where("meta % 2 = 0").unionByName(hot.withColumn("part", part).join(several, "part", "left_semi").drop("part"))), out
+        T.release(old)
+        return kept
 
     def texts(self, some: DataFrame) -> DataFrame:
         """(node, text) of some nodes, and a few more; the texts that are wanted are read again."""
