@@ -37,7 +37,7 @@ def _meet(rows: DataFrame, blocks: DataFrame, compare, kind: str) -> DataFrame:
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks()
-    return np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:

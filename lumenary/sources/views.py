@@ -55,14 +55,14 @@ select d.doc_id, d.lang, 'manual' from documents d join v_ident i on i.photo_id
 select cast(r_regionkey as bigint)+1 as id, r_name as name from region where r_regionkey < 4
 """,
     "v_face": """
-select vec_id + 1 as id, vec_id % 150 as photo_id,
+select vec_id + 1 as id, cast((vec_id - vec_id % 600) / 4 as bigint) + vec_id % 150 as photo_id,
   case when label < 4 and vec_id % 3 = 0 then cast(label as bigint) + 1 end as person_id,
   case when label >= 4 and vec_id % 4 = 0 and vec_id % 29 <> 0 then cast(label as bigint) end as cluster_id,
   case when label < 4 and vec_id % 3 = 0 then 1 else 0 end as confirmed,
   case when vec_id % 29 = 0 then 1 else 0 end as rejected,
   case when vec_id % 29 = 0 and vec_id % 2 = 0 then cast(label as bigint) end as ignored_as,
-  100 + (vec_id % 150) * 3 + cast((vec_id - vec_id % 150) / 150 as bigint) * 7 + (cast((vec_id - vec_id % 150) / 150 as bigint) % 2) * 400 as bbox_x,
-  100 + vec_id % 7 as bbox_y, 200 - cast((vec_id - vec_id % 150) / 150 as bigint) * 5 as bbox_w, 200 as bbox_h,
+  100 + (vec_id % 150) * 3 + cast((vec_id % 600 - vec_id % 150) / 150 as bigint) * 7 + (cast((vec_id % 600 - vec_id % 150) / 150 as bigint) % 2) * 400 as bbox_x,
+  100 + vec_id % 7 as bbox_y, 200 - cast((vec_id % 600 - vec_id % 150) / 150 as bigint) * 5 as bbox_w, 200 as bbox_h,
   cast(vec_id % 50 as double) as det_score,
   case when vec_id % 31 = 0 then null else 1600 end as src_w, case when vec_id % 31 = 0 then null else 1200 end as src_h
 from embeddings
