@@ -150,10 +150,27 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of whole texts that are handed to a worker at a time, at most, while a table of ours is written.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark) -> str:
+    """Hand workers BATCH_ROWS rows at a time at most; returns the session's setting so far."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return before
+
+
 def checkpoint(df):
     """`df` as a table written in the shared folder, which cuts its lineage: lost executors lose nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = small_batches(df.sparkSession)
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -204,6 +221,30 @@ def packed(df):
     return df.select(F.struct(*columns(df)).alias("row"))
 
 
+BITS = 1 << 27
+
+
+def id_bits(ids) -> np.ndarray:
+    """A bit for each slot, of 2**27, that an id (long, null as 0) of the only column falls on.
+
+    As long as the highest slot needs, and a zero byte: 16 MB at most, at every size of the input.
+    """
+    from pyspark.sql import functions as F
+
+    slot = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
+    rows = slot.groupBy(F.expr("s div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("b")).collect()
+    out = np.zeros(4096 * max((r["k"] + 1 for r in rows), default=0) + 1, np.uint8)
+    for r in rows:
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, ids) -> np.ndarray:
+    """Whether the bit of each id of an Arrow column is set; where it isn't, the id is none of those."""
+    slot = ids.fill_null(0).to_numpy(zero_copy_only=False) & (BITS - 1)
+    return (bits[np.minimum(slot >> 3, len(bits) - 1)] >> (slot & 7) & 1).astype(bool)
+
+
 SLOTS = 1 << 24
 
 

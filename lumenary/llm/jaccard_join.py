@@ -29,7 +29,6 @@ CHUNK = 1 << 18
 #: Fewest and most matches that a document asks for (fewer where its set is too small for that).
 LEAST_MATCHES = 4
 MATCHES = 16
-BITS = 1 << 27
 STAR_ROUNDS = 2
 #: A shingle that stands in about so many documents or more is dealt out in parts, each with a leader of its own.
 HOT = 50_000
@@ -184,7 +183,7 @@ def _texts(width, wanted):
 
         bits, seen = wanted.value, set()
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(bits, batch.column("doc_id"))))
+            batch = batch.filter(pa.array(T.has_bit(bits, batch.column("doc_id"))))
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 names, rows = [], []
@@ -200,21 +199,6 @@ def _texts(width, wanted):
     return run
 
 
-def _marked(bits: np.ndarray, ids) -> np.ndarray:
-    slot = ids.fill_null(0).to_numpy(zero_copy_only=False) & (BITS - 1)
-    return (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """One bit for each slot that an id of the only column falls on; 16 MB at most, at every size of the input."""
-    slot = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(0)).bitwiseAND(BITS - 1).alias("s"))
-    rows = slot.groupBy(F.expr("s div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("b"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in rows.collect():  # 16 MB at most
-        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
-    return out
-
-
 def _sets_of(table, width) -> dict:
     """Node to sorted set for the rows (node, text) of an Arrow table."""
     column = table.column("text")
@@ -317,7 +301,7 @@ class _Join:
 
     def texts(self, some: DataFrame) -> DataFrame:
         """(node, text) of some nodes, and a few more; the texts that are wanted are read again."""
-        bits = _bitmap(self.nodes.join(some, "node", "left_semi").select("first_id"))
+        bits = T.id_bits(self.nodes.join(some, "node", "left_semi").select("first_id"))
         return self.docs.mapInArrow(T.trimmed(_texts(self.width, self.spark.sparkContext.broadcast(bits))), "node long, text string")
 
     def similar_size(self, a: str, b: str):
@@ -450,11 +434,11 @@ def _with_node(width, names, suspects, staying):
         import pyarrow as pa
 
         for batch in batches:
-            doubt = _marked(suspects.value, batch.column(names.index("doc_id")).cast(pa.int64()))
+            doubt = T.has_bit(suspects.value, batch.column(names.index("doc_id")).cast(pa.int64()))
             stay = ~doubt
             node = np.zeros(batch.num_rows, np.int64)
             rows = np.flatnonzero(doubt)
-            may = _marked(staying.value, batch.column(names.index("doc_id")).cast(pa.int64()))
+            may = T.has_bit(staying.value, batch.column(names.index("doc_id")).cast(pa.int64()))
             text = batch.column(names.index("text")).cast(pa.string())
             for k in range(0, len(rows), 500):
                 part = rows[k : k + 500]
@@ -484,8 +468,8 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75)
     fits = rows.join(stay, F.expr("node = s_node and doc_id <=> s_id"), "left")
     each = fits.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.expr("n = 0 or s_node is not null")).alias("stays"))
     context = docs.sparkSession.sparkContext
-    suspects = context.broadcast(_bitmap(each.where("rows > 1 or not stays").select("doc_id")))
-    staying = context.broadcast(_bitmap(stay.select("s_id")))
+    suspects = context.broadcast(T.id_bits(each.where("rows > 1 or not stays").select("doc_id")))
+    staying = context.broadcast(T.id_bits(stay.select("s_id")))
     node, s_node, s_id = (T.fresh(x, names) for x in ("node_", "s_node", "s_id"))
     found = T.map_arrow(docs, _with_node(width, names, suspects, staying), names, f"{node} long")
     doubt = found.where(F.col(node).isNotNull()).join(stay.toDF(s_node, s_id), F.expr(f"{node} = {s_node} and doc_id <=> {s_id}"), "left_semi")
