@@ -48,12 +48,22 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def _stage(work):
+    """A stage of this application, which has its workers take whole texts in small batches, also where its result is written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        T.small_batches(spark)
+        return work(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_classifier", quality),
-    ("jaccard_join", near_duplicates),
-    ("decontamination", decontamination),
-    ("pii", surrogates),
-    ("byte_bpe", tokens),
+    ("quality_classifier", _stage(quality)),
+    ("jaccard_join", _stage(near_duplicates)),
+    ("decontamination", _stage(decontamination)),
+    ("pii", _stage(surrogates)),
+    ("byte_bpe", _stage(tokens)),
 ]
 
 #: No SQL expresses the quality network or the tokenizer; tests/llm/test_pipeline.py holds it against a brute-force version.
