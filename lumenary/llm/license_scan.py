@@ -21,8 +21,7 @@ from . import _text as T
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a template that are looked up, at most; its rarest.
 POSTINGS = 8
-#: This share of a template's postings has to agree, and this share of its words to be there.
-AGREE = 0.5
+#: This share of a template's words has to be there; half of its postings have to agree.
 COVER = 0.5
 
 
