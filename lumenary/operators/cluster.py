@@ -16,14 +16,6 @@ EPS_SIM, MIN_ROWS = 0.35, 3
 BLOCK = 4096
 #: Pivots are taken from a bounded sample; they only group rows, and bound how near two groups can come.
 PIVOTS = 256
-DBSCAN_SQL = """
-WITH RECURSIVE e as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.vec_id <> b.vec_id and round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) >= 0.35),
-core as (select x from e group by x having count(*) + 1 >= 3),
-r as (select x, x as y from core union select r.x, e.y from r join e on e.x = r.y join core c on c.x = e.y),
-lab as (select x as id, min(y) as label from r group by x),
-border as (select e.x as id, min(l.label) as label from e join lab l on l.id = e.y where e.x not in (select x from core) group by e.x)
-select id, label from lab union all select id, label from border
-"""
 
 
 def _meet(rows: DataFrame, blocks: DataFrame, compare, kind: str) -> DataFrame:

@@ -70,14 +70,3 @@ def near_duplicates(lib, hashes: DataFrame, most: int = 6, format_pairs: bool =
 
 def fixture_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(hamming_pairs(spark, sf_dir))
-
-
-#: Rows in order; each step appends a row to the seeds, or doesn't.
-NEAR_SQL = """
-WITH RECURSIVE h as (select vec_id, @PHASH(embedding) as h from embeddings),
-p as (select a.vec_id as a, b.vec_id as b from h a join h b on a.vec_id < b.vec_id and bit_count(@XOR(a.h, b.h)) <= 18),
-n as (select id, row_number() over (order by id) as r, list(a) filter (where a is not null) as before from (select b as id, a from p union all select a, null from p) t group by id),
-s as (select 0::bigint as r, []::bigint[] as seeds union all select n.r, case when list_has_any(s.seeds, coalesce(n.before, []::bigint[])) then s.seeds else list_append(s.seeds, n.id) end from s join n on n.r = s.r + 1),
-k as (select unnest(seeds) as seed from s where r = (select max(r) from s))
-select seed, seed as member from k union all select seed, b from k join p on p.a = seed union all select seed, a from k join p on p.b = seed
-"""

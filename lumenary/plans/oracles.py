@@ -7,8 +7,6 @@ greedy choices among faces, searches understood, stages that run providers.
 from __future__ import annotations
 
 from lumenary.functions import imaging, lenient_json
-from lumenary.operators.cluster import DBSCAN_SQL
-from lumenary.operators.greedy import NEAR_SQL
 from lumenary.sources.sidecar import ROUND_TRIP_SQL
 from lumenary.sources.views import with_views
 from lumenary.streaming import ingest
@@ -86,6 +84,24 @@ select f.id, coalesce(f.person_id, k.person) as person_id, coalesce(b.top + n.pl
 from v_face f left join known k on k.id = f.id left join num n on n.id = f.id, base b
 """
 
+_DBSCAN = """
+WITH RECURSIVE e as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.vec_id <> b.vec_id and round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) >= 0.35),
+core as (select x from e group by x having count(*) + 1 >= 3),
+r as (select x, x as y from core union select r.x, e.y from r join e on e.x = r.y join core c on c.x = e.y),
+lab as (select x as id, min(y) as label from r group by x),
+border as (select e.x as id, min(l.label) as label from e join lab l on l.id = e.y where e.x not in (select x from core) group by e.x)
+select id, label from lab union all select id, label from border
+"""
+#: Rows in order; each step appends a row to the seeds, or doesn't.
+_NEAR_GROUPS = f"""
+WITH RECURSIVE h as (select vec_id, {_SIGNS} as h from embeddings),
+p as (select a.vec_id as a, b.vec_id as b from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 18),
+n as (select id, row_number() over (order by id) as r, list(a) filter (where a is not null) as before from (select b as id, a from p union all select a, null from p) t group by id),
+s as (select 0::bigint as r, []::bigint[] as seeds union all select n.r, case when list_has_any(s.seeds, coalesce(n.before, []::bigint[])) then s.seeds else list_append(s.seeds, n.id) end from s join n on n.r = s.r + 1),
+k as (select unnest(seeds) as seed from s where r = (select max(r) from s))
+select seed, seed as member from k union all select seed, b from k join p on p.a = seed union all select seed, a from k join p on p.b = seed
+"""
+
 _BODY = {
     "browse_newest": "select id, taken_at from v_photo where hidden = 0 order by taken_at desc nulls last, id limit 50",
     "browse_oldest": "select id, taken_at from v_photo where hidden = 0 order by taken_at asc nulls first, id limit 50 offset 20",
@@ -218,8 +234,8 @@ _BODY = {
     "search_paging": _HYBRID + f"select h.id, h.rank, round(h.score, 5) as score, h.sources, f.filename, (select least(count(*), 400) from h) as total, false as capped from h join v_photo p on p.id = h.id join {_FIRST} f on f.blake3 = p.blake3 where h.rank between 6 and 15",
     "typed_search": f"""select p.id from v_photo p where {_VISIBLE} and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and {_like('p.place_name', 'nation_1')}
       and ({_like('p.camera_model', 'a')} or {_like('p.camera_make', 'a')}) and p.taken_at between 1720612800 - 365 * 86400 and 1720612800""",
-    "dbscan_labels": DBSCAN_SQL,
-    "near_duplicate_groups": NEAR_SQL.replace("@PHASH(embedding)", _SIGNS).replace("@XOR(a.h, b.h)", "xor(a.h, b.h)"),
+    "dbscan_labels": _DBSCAN,
+    "near_duplicate_groups": _NEAR_GROUPS,
     "annotation_salvage": lenient_json.SALVAGE_SQL,
     "filename_dates_all": imaging.NAME_DATES_SQL,
     "sidecar_round_trip": ROUND_TRIP_SQL,

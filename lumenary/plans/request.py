@@ -122,13 +122,6 @@ def understood(texts: DataFrame, column: str, now: datetime) -> DataFrame:
 NOW = datetime.fromisoformat("2024-07-10T12:00:00+00:00")
 
 
-TYPED_SQL = """
-select p.id from v_photo p where p.hidden = 0 and exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')
-and exists (select 1 from v_photo_tag t where t.photo_id = p.id and t.name = 'fr') and lower(p.place_name) like '%nation_1%'
-and (lower(p.camera_model) like '%a%' or lower(p.camera_make) like '%a%') and p.taken_at between 1720612800 - 365 * 86400 and 1720612800
-"""
-
-
 def searches_understood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of the conversations, read as a search."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
