@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lumenary.operators import filters
+from lumenary.sources.shared import numbered
 
 METHODS = ("scan", "mark_missing", "set_offline", "ingest", "orphans", "prune", "remove_root", "removal_counts", "enqueue", "claim", "finish", "unclaim", "requeue_stale", "retry_failed", "reset_stage", "set_tags", "edit_annotation", "revert_annotation", "set_favorite", "import_keywords", "export_ids", "export_counts")
 STAGES = ("thumbs", "embed", "faces", "caption")
@@ -64,12 +64,12 @@ def ingest(lib, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = found.dropDuplicates(["root_id", "rel_path"])
     last = lib.file.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     fresh = found.join(lib.file.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti")
-    numbered = fresh.select("root_id", "rel_path", F.row_number().over(W.orderBy("root_id", "rel_path")).alias("place")).crossJoin(F.broadcast(last))  # one row; ids in one order
-    rows = found.withColumn("state", F.lit("present")).join(numbered.select("root_id", "rel_path", (F.col("last") + F.col("place")).alias("id")), ["root_id", "rel_path"], "left")
+    places = numbered(fresh.select("root_id", "rel_path"), "root_id", "rel_path").crossJoin(F.broadcast(last))  # one row
+    rows = found.withColumn("state", F.lit("present")).join(places.select("root_id", "rel_path", (F.col("last") + F.col("place")).alias("id")), ["root_id", "rel_path"], "left")
     files = upsert(lib.file, rows, ["root_id", "rel_path"], [c for c in rows.columns if c != "id"])
     new = found.groupBy("blake3").agg(F.min("size").alias("bytes")).join(lib.photo.select("blake3"), "blake3", "left_anti")
     top = lib.photo.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    new = new.withColumn("place", F.row_number().over(W.orderBy("blake3"))).crossJoin(F.broadcast(top)).select((F.col("last") + F.col("place")).alias("id"), "blake3", "bytes")
+    new = numbered(new, "blake3").crossJoin(F.broadcast(top)).select((F.col("last") + F.col("place")).alias("id"), "blake3", "bytes")
     photos = lib.photo.unionByName(new, allowMissingColumns=True)
     return files, photos, enqueue(lib, new)
 
@@ -104,7 +104,7 @@ def enqueue(lib, photos: DataFrame, stages: tuple[str, ...] = STAGES, priority:
     """Jobs with a pending one of each stage for each photo (id); with `reset`, those there are start over with this priority."""
     last = lib.job.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     new = photos.select(F.col("id").alias("photo_id"), F.explode(F.array(*map(F.lit, stages))).alias("stage"))
-    fresh = new.join(lib.job.select("photo_id", "stage"), ["photo_id", "stage"], "left_anti").withColumn("place", F.row_number().over(W.orderBy("photo_id", "stage")))
+    fresh = numbered(new.join(lib.job.select("photo_id", "stage"), ["photo_id", "stage"], "left_anti"), "photo_id", "stage")
     rows = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("place")).alias("id"), "photo_id", "stage", F.lit("pending").alias("state"), F.lit(priority).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts"))  # one row
     old = lib.job
     if reset:

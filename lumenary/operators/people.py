@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenary.operators import cluster
+from lumenary.sources.shared import numbered
 
 METHODS = ("face_vectors", "person_centroids", "assign_known", "suggest_people", "next_cluster", "cluster_unassigned", "recluster", "person_for_name", "name_cluster", "name_face", "merge_clusters", "ignore_cluster", "ignore_face", "restore_ignored", "detach_face", "assign_face", "merge_people", "rename_person", "delete_person", "decided_boxes", "redetected")
 
@@ -93,7 +94,7 @@ def cluster_unassigned(lib, faces: DataFrame, least: float = 0.58, min_rows: int
     if rows.limit(min_rows).count() < min_rows:
         return faces.select("id", F.lit(None).cast("long").alias("cluster_id")).limit(0)
     labels = cluster.dbscan(rows, least, min_rows)
-    numbers = labels.select("label").distinct().withColumn("place", F.row_number().over(W.orderBy("label")))  # a row for each group
+    numbers = numbered(labels.select("label").distinct(), "label")
     base = next_cluster(lib, faces)
     return labels.join(numbers, "label").crossJoin(F.broadcast(base)).select("id", (F.col("next_id") + F.col("place") - 1).alias("cluster_id"))  # one row
 
@@ -238,8 +239,7 @@ def redetected(lib, found: DataFrame, model: str = "m", least: float = 0.5) -> D
     known = a.join(b, "photo_id").where(iou("a", "b") >= least).select("key").distinct()
     new = found.withColumn("key", F.xxhash64(*found.columns)).join(known, "key", "left_anti").drop("key")
     last = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    order = W.orderBy("photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
-    rows = new.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(last))  # one row; ids in one order
+    rows = numbered(new, "photo_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h").crossJoin(F.broadcast(last))  # one row
     zero = F.lit(0)
     rows = rows.select((F.col("last") + F.col("place")).alias("id"), "photo_id", *(F.col(f"bbox_{c}") for c in "xywh"), "src_w", "src_h", "det_score", zero.alias("confirmed"), zero.alias("rejected"), F.lit(model).alias("model"))
     return stay.unionByName(rows, allowMissingColumns=True)

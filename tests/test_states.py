@@ -243,3 +243,13 @@ def test_plugin_files(tmp_path):
 def test_bench_report(spark):
     got = reports.bench(spark.createDataFrame([(1.0, 10), (2.0, 30), (6.0, 50)], "s double, t long"), "s", "t").first()
     assert (got["median"], got["mean"], got["tokens_per_second"], got["median_tokens"]) == (2.0, 3.0, 10.0, 30.0) and math.isclose(got["days"], 2 * 500000 / 86400)
+
+
+def test_numbers_in_order(spark):
+    from lumenary.sources.shared import numbered
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), i) for i in range(1000)]
+    got = {(r["a"], r["b"]): r["place"] for r in numbered(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
+    assert got == {r: k for k, r in enumerate(sorted(rows), 1)}
+    assert numbered(spark.createDataFrame([], "a long"), "a").count() == 0
