@@ -39,7 +39,7 @@ PROBE = 1.33
 #: Where these lists hold fewer different vectors than so many times k + 1, further lists are probed, nearest first.
 FLOOR = 10
 #: Rows that one task compares at a time: several lists together, or a shard of a crowded one.
-GROUP_ROWS = 16_384
+GROUP_ROWS = 8_192
 DEGREE = 24
 
 
@@ -150,11 +150,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     vector one counts; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    # Equal vectors are known by 128 bits of their hashes, so that vectors aren't sorted and travel once.
+    rows = usable(vectors).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64("v", F.lit(7))})
     # One row for each different vector, with its k + 1 smallest ids: a query among them takes k others at most.
-    smallest = rows.select("v", "vec_id").distinct().withColumn("r", F.row_number().over(W.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    same = smallest.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    same = T.checkpoint(same.withColumn("vid", F.element_at("ids", 1)))
+    part = W.partitionBy("a", "b", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy("vec_id")
+    smallest = rows.select("a", "b", "vec_id").distinct().withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
+    ids = smallest.groupBy("a", "b").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")).withColumn("vec_id", F.element_at("ids", 1))
+    each = ["vec_id", "a", "b"]
+    same = rows.groupBy(*each).agg(F.first("v").alias("v")).join(ids, each).withColumnRenamed("vec_id", "vid")
+    same = T.checkpoint(same)
     n, longest = same.agg(F.count("*"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)"))).first()
     kind = "query_id long, rank int, vec_id long, score double"
     if not n:
@@ -212,9 +216,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     counts = spark.sparkContext.broadcast(firsts)
     plan = F.broadcast(spark.createDataFrame(plan, "list int, group long"))
     block = stored.join(plan, "list").select(F.col("list").cast("long").alias("list"), "group", "vid", "v")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    asked = T.checkpoint(asked.join(same.select("v", F.col("vid").alias("own")), "v"))
-    probes = asked.select("own", "v").distinct().select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("x")).select("own", "v", "x.list", "x.far")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(*each).agg(F.first("v").alias("v")).withColumnRenamed("vec_id", "query_id")
+    asked = T.checkpoint(asked.join(same.select("a", "b", F.col("vid").alias("own")), ["a", "b"]).select("query_id", "v", "own"))
+    distinct = asked.groupBy("own").agg(F.first("v").alias("v"))
+    probes = distinct.select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("x")).select("own", "v", "x.list", "x.far")
     if large:
         cells = F.broadcast(spark.createDataFrame(large, "list int, parts int, shards int, n long"))
         probes = T.checkpoint(probes)
@@ -247,23 +252,21 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
                     some = [i for i, x in enumerate(probed) if name in x]
                     if some:
                         scores[some, lo:hi] = q[some] @ b[lo:hi].T
-                for own, row in zip(part["own"], scores):
+                for own, x, row in zip(part["own"], q, scores):
                     least = -np.inf if len(row) <= REPLICAS * (k + 1) else np.partition(row, -(REPLICAS * (k + 1)))[-(REPLICAS * (k + 1))]  # a vector may be in several lists
                     at = np.flatnonzero((row >= least) & np.isfinite(row))
                     at = at[np.lexsort((ids[at], -row[at]))]
                     at = at[np.sort(np.unique(ids[at], return_index=True)[1])][: k + 1]
                     out["own"] += [own] * len(at)
                     out["vid"] += ids[at].tolist()
-                    out["score"] += row[at].tolist()
+                    out["score"] += (np.cumsum(b[at] * x, axis=1)[:, -1]).tolist()  # added up in order
         return pd.DataFrame(out).astype({"own": "int64", "vid": "int64", "score": "float64"})
 
     found = probes.groupBy("q_group").cogroup(block.groupBy("group")).applyInPandas(compare, "own long, vid long, score double")
     found = found.groupBy("own", "vid").agg(F.max("score").alias("score"))
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1).select("own", "vid")
-    # Back to rows: every id of the vectors found but the query's own, by the exact score of the original vectors.
-    left = same.select(F.col("vid").alias("own"), F.col("v").alias("a"))
-    right = same.select("vid", F.col("v").alias("b"), "ids")
-    exact = best.join(left, "own").join(right, "vid").select("own", "ids", F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0d, (s, x) -> s + x)").alias("score"))
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1).select("own", "vid", "score")
+    # Back to rows: every id of the vectors found but the query's own.
+    exact = best.join(same.select("vid", "ids"), "vid").select("own", "ids", "score")
     # The k + 1 first rows of a query vector serve all rows that ask with it.
     answer = exact.select("own", "score", F.explode("ids").alias("vec_id"))
     answer = answer.withColumn("r", F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
