@@ -171,6 +171,7 @@ def checkpoint(df):
         df.write.parquet(path)
     finally:
         df.sparkSession.conf.set(_BATCH, before)
+    trim()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
