@@ -235,7 +235,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
         probes = probes.join(plan, "list").select("own", "v", F.col("list").cast("long").alias("list"), "group")
     probes = probes.groupBy("group", "own").agg(F.first("v").alias("q"), F.collect_list("list").alias("lists")).toDF("q_group", "own", "q", "lists")
 
-    def compare(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         """The best of one group for each query that probes it: k + 1 different vectors, as its own may be among them."""
         out = {"own": [], "vid": [], "score": []}
         if len(queries) and len(block):
@@ -287,7 +287,7 @@ def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: in
     hashed = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 20))
     sample = stored.where(hashed < F.ceil(F.col("parts") * SPLIT_SAMPLE / F.col("n") * (1 << 20))).select("list", "parts", "v")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = lifted(np.stack(pdf["v"].to_numpy()).astype(np.float64), False)
         c = _fit(x, min(int(pdf["parts"].iloc[0]), len(x)))
         return pd.DataFrame({"list": key[0], "part": np.arange(len(c)), "c": list(c)})
@@ -302,7 +302,7 @@ def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: in
         out = parts.join(F.broadcast(shards), "list").select("list", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "part", "c")
         return out.toDF("p_list", "p_shard", "part", "c")
 
-    def assign(key, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out = {"list": [], "group": [], "vid": [], "v": []}
         if len(rows):
             c, names = np.stack(cs["c"].to_numpy()), cs["part"].to_numpy()
@@ -325,7 +325,7 @@ def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: in
     held = more.groupBy("list").agg(F.count("*").alias("held"))
     known = T.checkpoint(parts.withColumn("name", ((F.col("list").cast("long") + 1) * (1 << 24) + F.col("part"))).join(held.withColumnRenamed("list", "name"), "name").select("list", "name", "part", "c", "held"))
 
-    def choose(key, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out = {"own": [], "v": [], "list": [], "group": [], "far": [], "held": []}
         if len(rows) and len(cs):
             c, names, part, n = np.stack(cs["c"].to_numpy()), cs["name"].to_numpy(), cs["part"].to_numpy(), cs["held"].to_numpy()
