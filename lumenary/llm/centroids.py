@@ -195,11 +195,11 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return rows.where((F.size("embedding") == dim) & F.coalesce(~odd, F.lit(False)))
 
 
-def starts(rows: DataFrame, k: int, seed: int, scale: int) -> np.ndarray:
-    """The vectors of the k smallest sha256 of `seed:vec_id`, in that order; repeated ids by their components; null ids come last."""
+def starts(rows: DataFrame, k: int, seed: int, dim: int, scale: int) -> np.ndarray:
+    """The vectors of the k smallest sha256 of `seed:vec_id`, in that order; repeated ids by their components; null ids are none."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    found = rows.orderBy(order.asc_nulls_last(), "embedding").limit(k).collect()
-    return np.floor(np.array([r["embedding"] for r in found], np.float64).reshape(len(found), -1) * scale).astype(np.int64)
+    found = rows.where("vec_id is not null").orderBy(order, "embedding").limit(k).collect()
+    return np.floor(np.array([r["embedding"] for r in found], np.float64).reshape(len(found), dim) * scale).astype(np.int64)
 
 
 def totals(trees: DataFrame, centroids: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
@@ -219,18 +219,19 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SE
     there are fewer; after `rounds` rounds of assignment and floor of the means each vector is assigned once more.
     Equally near centroids: the smaller number. Null or empty vectors, those of another length and those with null or
     non-finite components give no row; vectors with a null id do, and are never a start; repeated rows each count and
-    each get a row; an empty table gives an empty one; other columns are ignored, whatever their names. A component of
+    each get a row; a table without usable vectors with an id gives an empty one; other columns are ignored, whatever their names. A component of
     over 2**22 after scaling is an error, as its distances would not be exact. Many equal vectors are one ball.
     """
     spark, rows = vectors.sparkSession, usable(vectors, dim)
-    c = starts(rows, k, seed, scale)
-    c = c.reshape(len(c), dim)
+    c = starts(rows, k, seed, dim, scale)
+    if not len(c):
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     trees = T.checkpoint(rows.mapInArrow(_grow(dim, scale), TREE))
-    for _ in range(rounds if len(c) else 0):
+    for _ in range(rounds):
         for j, n, _, sums in totals(trees, c):
             c[j] = sums // n
     known = []
-    for j, n, squares, sums in totals(trees, c) if len(c) else []:
+    for j, n, squares, sums in totals(trees, c):
         own = [int(x) for x in c[j]]
         inertia = squares - 2 * sum(a * int(b) for a, b in zip(own, sums)) + n * sum(a * a for a in own)
         known.append((j, inertia, hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()))
