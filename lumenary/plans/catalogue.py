@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import imaging, lenient_json, providers
 from lumenary.library import Library
-from lumenary.operators import changes, cluster, fulltext, greedy, paths, people, reports, search
+from lumenary.operators import changes, cluster, greedy, paths, people, reports, search, text_index, vector_index
 from lumenary.plans import oracles, request, runner
 from lumenary.sources import shared, sidecar, snapshots
 from lumenary.streaming import ingest
@@ -65,6 +65,30 @@ def _vector_index(lib) -> DataFrame:
     return snapshots.load_vectors(lib.spark, folder, "m64", 64).select("photo_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def _text_index(lib, docs: DataFrame | None = None) -> text_index.Index:
+    return text_index.build(lib.fts_document() if docs is None else docs, shared.fresh(lib.spark, "text"))
+
+
+def _updated_index(lib) -> text_index.Index:
+    """An index over an older state of the photos, brought up to date: two thirds had other captions, some are new, some have gone."""
+    docs = lib.fts_document()
+    older = docs.where("id % 5 <> 1").withColumn("caption", F.when(F.col("id") % 3 == 0, F.col("caption")).otherwise(F.concat(F.lit("by whom "), "place", F.lit(" whatever by"))))
+    index = _text_index(lib, older)
+    text_index.update(lib.spark, index.folder, docs.where("id % 3 = 1 and id % 7 <> 0"), docs.where("id % 7 = 0").select("id"))
+    return text_index.update(lib.spark, index.folder, docs.where("(id % 3 = 2 or id % 5 = 1) and id % 7 <> 0"))
+
+
+def _vector_codes(lib) -> DataFrame:
+    folder = shared.fresh(lib.spark, "codes")
+    vector_index.build(lib.embeddings.select(F.col("vec_id").alias("id"), "embedding"), folder, "m64", 64)
+    query = lib.embeddings.where("vec_id = 0").first()
+    return vector_index.top(lib.spark, folder, query["embedding"] if query else [], 200, 0.07, 0.2).select(F.col("id").alias("vec_id"), "score")
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
 def _stage_run(lib) -> DataFrame:
     """Job states after the caption stage ran over all photos: texts of fewer than five words fail, offline photos stay pending."""
     texts = lib.documents.select(F.col("doc_id").alias("photo_id"), F.col("text").alias("payload"))
@@ -201,7 +225,11 @@ MAKES = {
     "vector_index": _vector_index,
     "fts_prefix_and": lambda lib: _prefix_and(lib),
     "fts_bm25": lambda lib: search.bm25(lib.documents, search.WORDS),
-    "fts_weighted_stemmed": lambda lib: fulltext.search(lib.fts_document(), "by wh").select("id", F.round("score", 6).alias("score")),
+    "vector_topk_codes": _vector_codes,
+    "fts_weighted_stemmed": lambda lib: _rounded(text_index.search(_text_index(lib), "by wh")),
+    "fts_incremental": lambda lib: _rounded(text_index.search(_updated_index(lib), "by wh")),
+    "fts_top": lambda lib: text_index.top(_text_index(lib), "by wh", 50),
+    "fts_phrase": lambda lib: _rounded(text_index.search(_text_index(lib), "img_2 en")),
     "hybrid_search": search.hybrid_search,
     "rrf_fusion": search.rrf_fusion,
     "search_filter_only": lambda lib: lib.search(request.Request(only={"tag": ["fr"]}), 25).select("id", "score", "sources", "rank"),

@@ -1,7 +1,6 @@
 """SQL for DuckDB that gives the rows of the registered library queries, written from what they mean.
 
-Where no SQL stands, the query is tested against brute force or known cases: stemmed full text, hashes of pictures,
-greedy choices among faces, searches understood, stages that run providers.
+Where no SQL stands, the query is tested against brute force or known cases: hashes of pictures, greedy choices among faces, searches understood, stages that run providers.
 """
 
 from __future__ import annotations
@@ -45,6 +44,25 @@ select doc_id, round(score, 6) as score from (
   join (select doc_id, len({_TOKENS}) as dl from documents) dl on dl.doc_id = tf.doc_id
   cross join (select count(*) as n, avg(len({_TOKENS})) as mean from documents) n group by tf.doc_id) s where words = 2
 """
+_COLUMNS = {"caption": 8, "tags": 6, "ocr": 3, "people": 10, "filename": 2, "folder": 1, "place": 4}
+#: Words that have the stem `by`; a word whose stem begins with `wh` begins so itself.
+_BY = "regexp_full_match(x, 'by(s|ed|ing|ings)?')"
+
+
+def _weighted(first: str, second: str, where: str = "true", phrase: bool = False) -> str:
+    """Documents that hold two words (lambda x), scored by BM25 over weighted columns; `phrase`: three words, of which the first two stand in a row."""
+    cut = ", ".join(f"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+') as {c}" for c in _COLUMNS)
+    count = lambda test: " + ".join(f"{w} * len(list_filter({c}, lambda x: {test}))" for c, w in _COLUMNS.items())
+    one = " + ".join(f"{w} * len(list_filter({c}, lambda x, i: x = 'img' and {c}[i + 1] = '2'))" for c, w in _COLUMNS.items()) if phrase else count(first)
+    return f"""
+with doc as (select * from ({_BODY["fts_document"]}) d where {where}), cut as (select id, {cut} from doc),
+f as (select id, {" + ".join(f"len({c})" for c in _COLUMNS)} as size, {one} as f0, {count(second)} as f1 from cut),
+s as (select count(*) as n, avg(size) as mean, count(*) filter (f0 > 0) as d0, count(*) filter (f1 > 0) as d1 from f)
+select id, round({" + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in (0, 1))}, 6) as score
+from f, s where f0 > 0 and f1 > 0
+"""
+
+
 _TOP = """
 select vec_id, score from (select vec_id, score, max(score) over () as top from (
   select b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings b, (select embedding from embeddings where vec_id = 0) a order by score desc, vec_id limit 200) t) u
@@ -241,6 +259,11 @@ _BODY = {
     "sidecar_round_trip": ROUND_TRIP_SQL,
     "stream_ingest_jobs": ingest.JOBS_SQL,
 }
+_BODY["vector_topk_codes"] = _TOP
+_BODY["fts_weighted_stemmed"] = _weighted(_BY, "starts_with(x, 'wh')")
+_BODY["fts_incremental"] = _weighted(_BY, "starts_with(x, 'wh')", "id % 7 <> 0")
+_BODY["fts_phrase"] = _weighted("", "starts_with(x, 'en')", phrase=True)
+_BODY["fts_top"] = f"select * from ({_BODY['fts_weighted_stemmed']}) q order by score desc, id limit 50"
 _NEAR = _BODY["near_duplicate_groups"].strip()
 _BODY["near_group_bytes"] = _NEAR[: _NEAR.rindex("\nselect seed")] + ", g as (" + _NEAR[_NEAR.rindex("\nselect seed") :] + ") select g.seed, count(*) as n, sum(p.bytes)::bigint as bytes from g join v_photo p on p.id = g.member group by g.seed"
 
