@@ -19,10 +19,11 @@ TABLES = ("volume", "root", "file", "photo", "annotation", "photo_tag", "person"
 
 class Library:
     """Tables by name: volume, root, file, photo, annotation, photo_tag, person, face, job, embeddings (DataFrames, or
-    functions that make one when it is first needed). Photos and files are linked by the hash of their content."""
+    functions that make one when it is first needed). Photos and files are linked by the hash of their content.
+    `text_folder` and `vector_folder` name kept indexes (`operators.text_index`, `operators.vector_index`) that searches use."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
-        self.spark, self._tables = spark, dict(tables)
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], text_folder: str | None = None, vector_folder: str | None = None):
+        self.spark, self._tables, self.text_folder, self.vector_folder = spark, dict(tables), text_folder, vector_folder
 
     @classmethod
     def of_driver_tables(cls, spark: SparkSession, sf_dir: str) -> Library:
@@ -39,7 +40,11 @@ class Library:
 
     def with_tables(self, **tables: DataFrame) -> Library:
         """The library with other states of some tables."""
-        return Library(self.spark, self._tables | tables)
+        return Library(self.spark, self._tables | tables, self.text_folder, self.vector_folder)
+
+    def with_indexes(self, text_folder: str | None = None, vector_folder: str | None = None) -> Library:
+        """The library with other kept indexes."""
+        return Library(self.spark, self._tables, text_folder or self.text_folder, vector_folder or self.vector_folder)
 
 
 def _methods():

@@ -12,6 +12,8 @@ METHODS = ("filter_ranking", "search", "page")
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 POOL = 200
+#: Vectors count from this score on, and from this share of the best one's.
+LEAST, SHARE = 0.07, 0.6
 
 
 def _is(word: str):
@@ -69,28 +71,32 @@ def filter_ranking(lib, photos: DataFrame, limit: int) -> DataFrame:
     return ranked(photos.orderBy(F.desc_nulls_last("taken_at"), "id").limit(limit).select("id", "taken_at"), F.desc_nulls_last("taken_at"), "id")
 
 
-def search(lib, request, limit: int = 60, texts: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def search(lib, request, limit: int = 60, texts: DataFrame | None = None, vectors: DataFrame | None = None, query: list[float] | None = None) -> DataFrame:
     """Photos for a request, ranked: (id, score, sources, rank).
 
     Without words the conditions are the answer, newest first. With words, the full-text engine ranks what meets the
-    conditions (`texts`, id and score, of the visible photos; by default the weighted search of `fts_document`), and the
-    vector engine's best (`vectors`, id and score: a pool of the best of all) what is left of it after the conditions.
-    Only where there is no vector index, and no text fits, the conditions answer alone.
+    conditions (`texts`, id and score, of the visible photos; by default the best of the library's text index, or without
+    one the weighted search of `fts_document`), and the vector engine's best (`vectors`, id and score: a pool of the best
+    of all; by default those of the library's vector index for the vector `query`) what is left of it after the conditions.
+    Only where there are no vectors, and no text fits, the conditions answer alone.
     """
-    from lumenary.operators import filters, fulltext
+    from lumenary.operators import filters, fulltext, text_index, vector_index
 
     pool, allowed = max(4 * limit, 200), filters.matching(lib, request)
     newest = {"filter": filter_ranking(lib, allowed, pool)}
     if not request.text:
         return fuse(newest, limit)
     if texts is None:
-        texts = fulltext.search(lib.fts_document(), request.text)
-    texts = checkpoint(texts.join(allowed.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(pool))
+        index = lib.text_folder and text_index.opened(lib.spark, lib.text_folder)
+        texts = text_index.top(index, request.text, pool, allowed=allowed) if index else fulltext.search(lib.fts_document(), request.text)
+    if vectors is None and query is not None and lib.vector_folder:
+        vectors = vector_index.top(lib.spark, lib.vector_folder, query, pool, LEAST, SHARE)
+    texts = texts.join(allowed.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(pool)
     lists = {"fts": ranked(texts, F.desc("score"), "id")}
     if vectors is not None:
         lists["vec"] = ranked(vectors.orderBy(F.desc("score"), "id").limit(pool).join(allowed.select("id"), "id", "left_semi"), F.desc("score"), "id")
-    elif texts.isEmpty():
-        lists = newest
+    else:
+        lists["filter"] = newest["filter"].join(texts.limit(1).select(F.lit(1).alias("found")), F.lit(True), "left_anti")  # one row
     return fuse(lists, limit)
 
 

@@ -78,11 +78,20 @@ def _updated_index(lib) -> text_index.Index:
     return text_index.update(lib.spark, index.folder, docs.where("(id % 3 = 2 or id % 5 = 1) and id % 7 <> 0"))
 
 
-def _vector_codes(lib) -> DataFrame:
+def _vector_codes(lib) -> str:
     folder = shared.fresh(lib.spark, "codes")
     vector_index.build(lib.embeddings.select(F.col("vec_id").alias("id"), "embedding"), folder, "m64", 64)
-    query = lib.embeddings.where("vec_id = 0").first()
-    return vector_index.top(lib.spark, folder, query["embedding"] if query else [], 200, 0.07, 0.2).select(F.col("id").alias("vec_id"), "score")
+    return folder
+
+
+def _query(lib) -> list[float]:
+    row = lib.embeddings.where("vec_id = 0").first()
+    return row["embedding"] if row else []
+
+
+def _indexed_search(lib) -> DataFrame:
+    lib = lib.with_indexes(_text_index(lib).folder, _vector_codes(lib))
+    return lib.search(request.Request(text="by wh", only={"place": ["nation_1"]}), 25, query=_query(lib)).select("id", "score", "sources", "rank")
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -225,7 +234,8 @@ MAKES = {
     "vector_index": _vector_index,
     "fts_prefix_and": lambda lib: _prefix_and(lib),
     "fts_bm25": lambda lib: search.bm25(lib.documents, search.WORDS),
-    "vector_topk_codes": _vector_codes,
+    "vector_topk_codes": lambda lib: vector_index.top(lib.spark, _vector_codes(lib), _query(lib), 200, 0.07, 0.2).select(F.col("id").alias("vec_id"), "score"),
+    "search_indexed": _indexed_search,
     "fts_weighted_stemmed": lambda lib: _rounded(text_index.search(_text_index(lib), "by wh")),
     "fts_incremental": lambda lib: _rounded(text_index.search(_updated_index(lib), "by wh")),
     "fts_top": lambda lib: text_index.top(_text_index(lib), "by wh", 50),

@@ -264,6 +264,12 @@ _BODY["fts_weighted_stemmed"] = _weighted(_BY, "starts_with(x, 'wh')")
 _BODY["fts_incremental"] = _weighted(_BY, "starts_with(x, 'wh')", "id % 7 <> 0")
 _BODY["fts_phrase"] = _weighted("", "starts_with(x, 'en')", phrase=True)
 _BODY["fts_top"] = f"select * from ({_BODY['fts_weighted_stemmed']}) q order by score desc, id limit 50"
+_ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
+_INDEXED = _fused(
+    f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",
+    f"select vec_id as id, row_number() over (order by score desc, vec_id) as r from ({_TOP.replace('top * 0.2', 'top * 0.6')}) q where vec_id in {_ALLOWED}",
+)
+_BODY["search_indexed"] = f"select * from ({_INDEXED}) q where rank <= 25"
 _NEAR = _BODY["near_duplicate_groups"].strip()
 _BODY["near_group_bytes"] = _NEAR[: _NEAR.rindex("\nselect seed")] + ", g as (" + _NEAR[_NEAR.rindex("\nselect seed") :] + ") select g.seed, count(*) as n, sum(p.bytes)::bigint as bytes from g join v_photo p on p.id = g.member group by g.seed"
 
