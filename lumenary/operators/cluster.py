@@ -1,112 +1,112 @@
-"""Clustering of vectors and hashes: similar pairs in blocks, near hashes by blocks of bits, DBSCAN."""
+"""Similar vectors and near hashes: groups around pivots, pairs of blocks that can meet, hashes by blocks of bits."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.operators.graph import connected
 from lumenary.sources.shared import checkpoint
 
-EPS_SIM, MIN_ROWS = 0.35, 3
 #: Rows that one task holds of either side of a comparison, about.
 BLOCK = 4096
 #: Pivots are taken from a bounded sample; they only group rows, and bound how near two groups can come.
 PIVOTS = 256
 
 
-def _meet(rows: DataFrame, blocks: DataFrame, compare, kind: str) -> DataFrame:
-    """Rows with a column `block` in all pairs of blocks (i, j) of the table `blocks`; `compare` gets both sides of each."""
-    pairs = F.broadcast(blocks)
-    a = rows.join(pairs, rows.block == pairs.i).drop("block")
-    b = rows.join(pairs, rows.block == pairs.j).drop("block")
-    b = b.toDF(*(f"b_{c}" for c in b.columns))
-    return a.groupBy("i", "j").cogroup(b.groupBy("b_i", "b_j")).applyInArrow(compare, kind)
-
-
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks()
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+class Cells:
+    """Unit vectors (id, v) grouped by their nearest pivot, as a table with columns pivot and angle; what is known of each group.
+
+    Pivots are a bounded sample. Two groups whose pivots are farther apart than both radii and an angle can hold no pair
+    of vectors within that angle, by the triangle inequality.
+    """
+
+    def __init__(self, vectors: DataFrame, block: int):
+        v = F.col("embedding").cast("array<double>")
+        norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+        rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform(v, lambda x: x / norm).alias("v"))
+        total = rows.count()
+        sample = rows.withColumn("by", F.xxhash64("id")).orderBy("by").limit(max(1, min(PIVOTS, total // block))).collect() if total else []
+        self.pivots = np.array([r["v"] for r in sample])
+        self.block, self.spark = block, vectors.sparkSession
+        shared = self.spark.sparkContext.broadcast(self.pivots)
+
+        def near(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(pa.chunked_array([batch.column("v")])) @ shared.value.T
+                    yield pa.record_batch([*batch.columns, pa.array(x.argmax(1).astype(np.int64)), pa.array(np.arccos(np.clip(x.max(1), -1, 1)))], names=["id", "v", "pivot", "angle"])
+
+        self.rows = checkpoint(rows.mapInArrow(near, "id long, v array<double>, pivot long, angle double"))
+        known = self.rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
+        self.held = {r["pivot"]: r["n"] for r in known}
+        self.radius = {r["pivot"]: r["radius"] for r in known}
+        self.between = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1)) if total else np.zeros((0, 0))
+
+    def blocked(self, rows: DataFrame, held: dict[int, int] | None = None) -> DataFrame:
+        """`rows` (id, pivot) with the block of each: a share of its group of `block` rows, about."""
+        places = self._places(self.held if held is None else held, None)
+        return rows.join(F.broadcast(places), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).drop("first", "shards")
+
+    def paired(self, rows: DataFrame, angle: float, held: dict[int, int] | None = None) -> DataFrame:
+        """`rows` (id, pivot), each once for every pair of blocks (lo, hi) in which it may meet another within the angle.
+
+        Blocks are numbered group by group, so a row works out which ones it can meet; what is broadcast is a table of the
+        pivots and of which of them are near each other.
+        """
+        places = self._places(self.held if held is None else held, angle)
+        met = F.flatten(F.transform("near", lambda x: F.sequence(x["first"], x["first"] + x["shards"] - 1)))
+        rows = rows.join(F.broadcast(places), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards")))  # PIVOTS rows
+        return rows.withColumn("other", F.explode(met)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("first", "shards", "near", "other")
+
+    def _places(self, held: dict[int, int], angle: float | None) -> DataFrame:
+        shards = {p: -(-n // self.block) for p, n in sorted(held.items())}
+        first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist()))
+        near = {p: [(first[q], shards[q]) for q in shards if angle is not None and self.between[p, q] - self.radius[p] - self.radius[q] <= angle + 1e-9] for p in shards}
+        kind = "pivot long, first long, shards long" + (", near array<struct<first: long, shards: long>>" if angle is not None else "")
+        return self.spark.createDataFrame([(p, first[p], shards[p], near[p])[: 3 + (angle is not None)] for p in shards], kind)
+
+
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(x, y) of all pairs of vectors (vec_id, embedding) whose cosine, to six digits, is `least` or more; both ways.
 
-    Rows are grouped by their nearest pivot, large groups cut by a hash; two groups whose pivots are farther apart than
-    both radii and the threshold's angle can hold no pair, by the triangle inequality on angles. Others are multiplied
-    block by block.
+    Blocks of groups that may hold a pair are multiplied with each other.
     """
-    v = F.col("embedding").cast("array<double>")
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform(v, lambda x: x / norm).alias("v"))
-    total = rows.count()
-    count = max(1, min(PIVOTS, total // BLOCK))
-    sample = rows.withColumn("by", F.xxhash64("id")).orderBy("by").limit(count).collect() if total else []
-    pivots = np.array([r["v"] for r in sample])
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-
-    def near(batches):
-        import pyarrow as pa
+    cells = Cells(vectors, BLOCK)
 
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(pa.chunked_array([batch.column("v")])) @ shared.value.T
-                yield pa.record_batch([*batch.columns, pa.array(x.argmax(1).astype(np.int64)), pa.array(np.arccos(np.clip(x.max(1), -1, 1)))], names=["id", "v", "pivot", "angle"])
-
-    if not total:
-        return rows.select(F.col("id").alias("x"), F.col("id").alias("y"))
-    rows = checkpoint(rows.mapInArrow(near, "id long, v array<double>, pivot long, angle double"))
-    held = {r["pivot"]: (r["n"], r["radius"]) for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
-    shards = {p: -(-n // BLOCK) for p, (n, _) in held.items()}
-    first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist()))
-    eps, between = np.arccos(np.clip(least - 1e-6, -1, 1)), np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    blocks = [(first[p] + a, first[q] + b) for p in held for q in held if between[p, q] - held[p][1] - held[q][1] <= eps + 1e-9 for a in range(shards[p]) for b in range(shards[q]) if first[p] + a <= first[q] + b]
-    blocks = vectors.sparkSession.createDataFrame(blocks, "i long, j long")
-    places = F.broadcast(vectors.sparkSession.createDataFrame([(p, first[p], shards[p]) for p in held], "pivot long, first long, shards long"))
-    rows = rows.join(places, "pivot").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).alias("block"), "id", "v")
-
-    def compare(a, b):
+    def compare(rows):
         import pyarrow as pa
 
-        xs, ys = [], []
-        if a.num_rows and b.num_rows:
-            i, j, m = a.column("id").to_numpy(), b.column("b_id").to_numpy(), _matrix(b.column("b_v"))
-            left = _matrix(a.column("v"))
-            for k in range(0, len(i), 1024):
-                at, to = np.nonzero(np.round(left[k : k + 1024] @ m.T, 6) >= least)
-                xs.append(i[k + at])
-                ys.append(j[to])
+        ids, block, v = rows.column("id").to_numpy(), rows.column("block").to_numpy(), _matrix(rows.column("v"))
+        a, b = block == rows.column("lo")[0].as_py(), block == rows.column("hi")[0].as_py()
+        xs, ys, i, j, left, right = [], [], ids[a], ids[b], v[a], v[b]
+        for k in range(0, len(i), 1024):
+            at, to = np.nonzero(np.round(left[k : k + 1024] @ right.T, 6) >= least)
+            xs.append(i[k + at])
+            ys.append(j[to])
         x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
         some = x != y
         return pa.table({"x": x[some], "y": y[some]})
 
-    one = _meet(rows, blocks, compare, "x long, y long")
+    eps = float(np.arccos(np.clip(least - 1e-6, -1, 1)))
+    one = cells.paired(cells.rows.drop("angle"), eps).groupBy("lo", "hi").applyInArrow(compare, "x long, y long")
     return checkpoint(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
 
 
-def dbscan(vectors: DataFrame, least: float, min_rows: int) -> DataFrame:
-    """(id, label): the smallest core id of the cluster; border rows take the smallest label next to them; noise is left out."""
-    edges = similar_pairs(vectors, least)
-    core = checkpoint(edges.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_rows).select("x"))
-    inner = edges.where("x < y").join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi")
-    found = connected(inner.select("x", "y"))
-    labels = core.select(F.col("x").alias("id")).join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    rest = edges.join(core, "x", "left_anti").join(labels, edges.y == labels.id).groupBy("x").agg(F.min("label").alias("label"))
-    return labels.unionByName(rest.select(F.col("x").alias("id"), "label"))
-
-
-def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), EPS_SIM, MIN_ROWS)
-
-
 def near_hashes(rows: DataFrame, most: int) -> DataFrame:
     """(a, b, distance) of all pairs of rows (id, h), a < b, whose 64-bit hashes differ in `most` bits at least at most.
 
     Up to 11 bits: in one of four blocks of 16 bits such hashes differ by a quarter of that at most, so one side is
-    entered under all values so near to its own. Beyond, every second pair would meet, and hashes are compared in blocks.
+    entered under all values so near to its own. Beyond, each block gets a threshold of its own, see `_wide_pairs`.
     """
     one = rows.select(F.col("id").cast("long").alias("id"), F.col("h").cast("long").alias("h"))
     if most // 4 <= 2:
@@ -117,28 +117,82 @@ def near_hashes(rows: DataFrame, most: int) -> DataFrame:
         b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "c.i", "c.v")
         distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
         return a.join(b, ["i", "v"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
-    count = max(1, -(-one.count() // BLOCK))
-    blocks = rows.sparkSession.range(count * count).selectExpr(f"id div {count} as i", f"id % {count} as j").where("i <= j")
+    return _wide_pairs(one, most)
 
-    def compare(a, b):
+
+def _part(h: str, i) -> Column:
+    return F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def thresholds(costs: np.ndarray, most: int) -> list[int]:
+    """For blocks whose pairs at each distance number `costs` (block x 17): the cheapest thresholds that lose no pair.
+
+    If hashes differed in each block by more than its threshold, they would differ by the sum of (threshold + 1) at least;
+    so these sum up to most + 1. A threshold of -1 leaves a block out.
+    """
+    best = {0: (0.0, [])}
+    for row in costs:
+        total = np.concatenate([[0.0], np.cumsum(row)])
+        step = {}
+        for used, (cost, chosen) in best.items():
+            for t in range(18):
+                key = min(used + t, most + 1)
+                if key not in step or cost + total[t] < step[key][0]:
+                    step[key] = (cost + total[t], [*chosen, t - 1])
+        best = step
+    return best[most + 1][1]
+
+
+def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
+    """Pairs by blocks of 16 bits with thresholds allotted by how often values occur.
+
+    A block has 2**16 values at most, so all values and their counts are known to every task. They tell how many pairs of
+    rows each threshold would compare; the cheapest allotment is taken. Rows meet by pairs of near values, each pair of
+    rows in the first block that it is near in.
+    """
+    spark = one.sparkSession
+    cut = F.array(*(F.struct(F.lit(i).alias("i"), _part("h", i).alias("v")) for i in range(4)))
+    wide = one.select("id", "h", F.inline(cut))
+    held = wide.groupBy("i", "v").agg(F.count("*").alias("n")).toArrow()  # 4 x 2**16 rows at most
+    if not held.num_rows:
+        return spark.createDataFrame([], "a long, b long, distance int")
+    at, value, number = (held.column(c).to_numpy() for c in ("i", "v", "n"))
+    known = [(value[at == i].astype(np.uint16), number[at == i].astype(np.float64)) for i in range(4)]
+    shared = spark.sparkContext.broadcast(known)
+    chunks = spark.range(0, 4 * 128, 1, 4 * 32)  # each a block and one of 128 shares of its values
+
+    def costs(batches):
         import pyarrow as pa
 
-        xs, ys, ds = [], [], []
-        if a.num_rows and b.num_rows:
-            i, j = a.column("id").to_numpy(), b.column("b_id").to_numpy()
-            left, right = a.column("h").to_numpy().view(np.uint64), b.column("b_h").to_numpy().view(np.uint64)
-            for k in range(0, len(i), 256):
-                d = np.bitwise_count(left[k : k + 256, None] ^ right[None])
-                at, to = np.nonzero(d <= most)
-                x, y = i[k + at], j[to]
-                some = x < y if a.column("i")[0].as_py() == a.column("j")[0].as_py() else x != y
-                xs.append(np.minimum(x, y)[some])
-                ys.append(np.maximum(x, y)[some])
-                ds.append(d[at, to][some].astype(np.int32))
-        return pa.table({"a": np.concatenate(xs) if xs else np.zeros(0, np.int64), "b": np.concatenate(ys) if ys else np.zeros(0, np.int64), "distance": np.concatenate(ds) if ds else np.zeros(0, np.int32)})
-
-    dealt = one.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    return _meet(dealt, blocks, compare, "a long, b long, distance int")
+        sums = np.zeros((4, 17))
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                v, n = shared.value[c // 128]
+                for x, m in zip(v[c % 128 :: 128], n[c % 128 :: 128]):
+                    sums[c // 128] += m * np.bincount(np.bitwise_count(v ^ x), n, 17)
+        yield pa.record_batch([pa.array(np.arange(4, dtype=np.int32)), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "sums"])
+
+    parts = chunks.mapInArrow(costs, "i int, sums array<double>").groupBy("i").agg(*(F.sum(F.col("sums")[d]).alias(f"d{d}") for d in range(17))).orderBy("i").collect()
+    allowed = thresholds(np.array([r[1:] for r in parts]), most)
+
+    def near_values(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                v, t = shared.value[c // 128][0], allowed[c // 128]
+                for x in v[c % 128 :: 128] if t >= 0 else ():
+                    near = v[np.bitwise_count(v ^ x) <= t].astype(np.int32)
+                    yield pa.record_batch([pa.array(np.full(len(near), c // 128, np.int32)), pa.array(np.full(len(near), x, np.int32)), pa.array(near)], names=["i", "v", "u"])
+
+    pairs = chunks.mapInArrow(near_values, "i int, v int, u int")
+    a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "i", "v")
+    b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "i", F.col("v").alias("u"))
+    both = a.join(pairs, ["i", "v"]).join(b, ["i", "u"]).where("a < b")
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*(F.when(F.bit_count(F.shiftrightunsigned(differ, 16 * i).bitwiseAND(F.lit(0xFFFF))) <= t, F.lit(i)) for i, t in enumerate(allowed) if t >= 0))
+    distance = F.bit_count(differ)
+    return both.where((distance <= most) & (first == F.col("i"))).select("a", "b", distance.alias("distance"))
 
 
 def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

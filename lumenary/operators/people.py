@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenary.operators import cluster
+from lumenary.operators import density
 from lumenary.sources.shared import numbered
 
 METHODS = ("face_vectors", "person_centroids", "assign_known", "suggest_people", "next_cluster", "cluster_unassigned", "recluster", "person_for_name", "name_cluster", "name_face", "merge_clusters", "ignore_cluster", "ignore_face", "restore_ignored", "detach_face", "assign_face", "merge_people", "rename_person", "delete_person", "decided_boxes", "redetected")
@@ -93,7 +93,7 @@ def cluster_unassigned(lib, faces: DataFrame, least: float = 0.58, min_rows: int
     rows = face_vectors(lib, faces.where("person_id is null and rejected = 0")).select(F.col("id").alias("vec_id"), F.col("raw").alias("embedding"))
     if rows.limit(min_rows).count() < min_rows:
         return faces.select("id", F.lit(None).cast("long").alias("cluster_id")).limit(0)
-    labels = cluster.dbscan(rows, least, min_rows)
+    labels = density.dbscan(rows, least, min_rows)
     numbers = numbered(labels.select("label").distinct(), "label")
     base = next_cluster(lib, faces)
     return labels.join(numbers, "label").crossJoin(F.broadcast(base)).select("id", (F.col("next_id") + F.col("place") - 1).alias("cluster_id"))  # one row

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import imaging, lenient_json, providers
 from lumenary.library import Library
-from lumenary.operators import changes, cluster, greedy, paths, people, reports, search, text_index, vector_index
+from lumenary.operators import changes, cluster, density, greedy, paths, people, reports, search, text_index, vector_index
 from lumenary.plans import oracles, request, runner
 from lumenary.sources import shared, sidecar, snapshots
 from lumenary.streaming import ingest
@@ -273,7 +273,7 @@ def _prefix_and(lib) -> DataFrame:
 
 #: Plans that read the driver's tables themselves.
 PLANS = {
-    "dbscan_labels": cluster.dbscan_labels,
+    "dbscan_labels": density.dbscan_labels,
     "hamming_pairs": cluster.hamming_pairs,
     "hamming_pairs_near": lambda spark, sf_dir: cluster.near_hashes(_close_hashes(spark, sf_dir), 6),
     "near_duplicate_groups": greedy.fixture_groups,

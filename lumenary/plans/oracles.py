@@ -264,6 +264,21 @@ _BODY["fts_weighted_stemmed"] = _weighted(_BY, "starts_with(x, 'wh')")
 _BODY["fts_incremental"] = _weighted(_BY, "starts_with(x, 'wh')", "id % 7 <> 0")
 _BODY["fts_phrase"] = _weighted("", "starts_with(x, 'en')", phrase=True)
 _BODY["fts_top"] = f"select * from ({_BODY['fts_weighted_stemmed']}) q order by score desc, id limit 50"
+_BODY["duplicate_faces"] = f"""
+with recursive o as (
+  select *, row_number() over (partition by photo_id order by not decided, id) as n from (
+    select id, photo_id, person_id, coalesce(rejected, 0) as rejected, coalesce(confirmed, 0) = 1 or coalesce(rejected, 0) = 1 as decided, {_BOX} from v_face) q),
+p as (
+  select b.photo_id, b.n, list({{'e': a.n, 'agrees': not (b.decided and (a.rejected <> b.rejected or coalesce(a.person_id <> b.person_id, false)))}} order by a.n) as near
+  from o a join o b on a.photo_id = b.photo_id and a.n < b.n where {_IOU} >= 0.5 group by b.photo_id, b.n),
+r as (
+  select photo_id, n, [n] as kept from o where n = 1
+  union all
+  select photo_id, n, if(f is null or not f.agrees, list_append(kept, n), kept) from (
+    select o.photo_id, o.n, r.kept, list_filter(p.near, lambda s: list_contains(r.kept, s.e))[1] as f
+    from r join o on o.photo_id = r.photo_id and o.n = r.n + 1 left join p on p.photo_id = o.photo_id and p.n = o.n) q)
+select o.id from o join (select photo_id, arg_max(kept, n) as kept from r group by photo_id) k on k.photo_id = o.photo_id where not list_contains(k.kept, o.n)
+"""
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",

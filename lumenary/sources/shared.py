@@ -7,11 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def folder(spark: SparkSession) -> str:
     """The session's shared folder, that of spark.checkpoint.dir; one of our own only on a local master, as in tests."""
@@ -35,7 +38,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """`df`, computed, written in the shared folder and cut off from its lineage."""
     path = fresh(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the tables that `checkpoint` wrote for these; nothing may read them again. Others are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
