@@ -143,6 +143,20 @@ def thresholds(costs: np.ndarray, most: int) -> list[int]:
     return best[most + 1][1]
 
 
+def _all_pairs(most: int):
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [(b.column("id").to_numpy(), b.column("h").to_numpy().view(np.uint64)) for b in batches if b.num_rows]
+        ids, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        for k in range(0, len(ids), 256):
+            d = np.bitwise_count(h[k : k + 256, None] ^ h)
+            at, to = np.nonzero((d <= most) & (ids[k : k + 256, None] < ids))
+            yield pa.record_batch([pa.array(ids[k + at]), pa.array(ids[to]), pa.array(d[at, to].astype(np.int32))], names=["a", "b", "distance"])
+
+    return run
+
+
 def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
     """Pairs by blocks of 16 bits with thresholds allotted by how often values occur.
 
@@ -151,6 +165,8 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
     rows in the first block that it is near in.
     """
     spark = one.sparkSession
+    if one.limit(BLOCK + 1).count() <= BLOCK:  # one block of rows
+        return one.repartition(1).mapInArrow(_all_pairs(most), "a long, b long, distance int")
     cut = F.array(*(F.struct(F.lit(i).alias("i"), _part("h", i).alias("v")) for i in range(4)))
     wide = one.select("id", "h", F.inline(cut))
     held = wide.groupBy("i", "v").agg(F.count("*").alias("n")).toArrow()  # 4 x 2**16 rows at most
@@ -159,7 +175,8 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
     at, value, number = (held.column(c).to_numpy() for c in ("i", "v", "n"))
     known = [(value[at == i].astype(np.uint16), number[at == i].astype(np.float64)) for i in range(4)]
     shared = spark.sparkContext.broadcast(known)
-    chunks = spark.range(0, 4 * 128, 1, 4 * 32)  # each a block and one of 128 shares of its values
+    shares = max(1, max(len(v) for v, _ in known) // 512)
+    chunks = spark.range(0, 4 * shares, 1, min(4 * shares, 512))  # each a block and a share of its values
 
     def costs(batches):
         import pyarrow as pa
@@ -167,9 +184,10 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
         sums = np.zeros((4, 17))
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                v, n = shared.value[c // 128]
-                for x, m in zip(v[c % 128 :: 128], n[c % 128 :: 128]):
-                    sums[c // 128] += m * np.bincount(np.bitwise_count(v ^ x), n, 17)
+                v, n = shared.value[c // shares]
+                for k in range(c % shares, len(v), 64 * shares):
+                    some = slice(k, k + 64 * shares, shares)
+                    sums[c // shares] += np.bincount(np.bitwise_count(v[some, None] ^ v).ravel(), np.outer(n[some], n).ravel(), 17)
         yield pa.record_batch([pa.array(np.arange(4, dtype=np.int32)), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "sums"])
 
     parts = chunks.mapInArrow(costs, "i int, sums array<double>").groupBy("i").agg(*(F.sum(F.col("sums")[d]).alias(f"d{d}") for d in range(17))).orderBy("i").collect()
@@ -180,10 +198,11 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
 
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                v, t = shared.value[c // 128][0], allowed[c // 128]
-                for x in v[c % 128 :: 128] if t >= 0 else ():
-                    near = v[np.bitwise_count(v ^ x) <= t].astype(np.int32)
-                    yield pa.record_batch([pa.array(np.full(len(near), c // 128, np.int32)), pa.array(np.full(len(near), x, np.int32)), pa.array(near)], names=["i", "v", "u"])
+                v, t = shared.value[c // shares][0], allowed[c // shares]
+                for k in range(c % shares, len(v) if t >= 0 else 0, 64 * shares):
+                    some = v[k : k + 64 * shares : shares]
+                    at, to = np.nonzero(np.bitwise_count(some[:, None] ^ v) <= t)
+                    yield pa.record_batch([pa.array(np.full(len(at), c // shares, np.int32)), pa.array(some[at].astype(np.int32)), pa.array(v[to].astype(np.int32))], names=["i", "v", "u"])
 
     pairs = chunks.mapInArrow(near_values, "i int, v int, u int")
     a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "i", "v")

@@ -124,7 +124,8 @@ def test_thresholds_are_the_cheapest_that_lose_nothing():
     assert cluster.thresholds(even, 18)[0] == -1 and cluster.thresholds(even, 50) is not None
 
 
-def test_wide_hashes_with_a_hot_block(spark):
+def test_wide_hashes_with_a_hot_block(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 50)
     rng = random.Random(9)
     h = [(i, (0xBEEF << 16 | rng.getrandbits(16) | rng.getrandbits(32) << 32) if i % 3 else rng.getrandbits(64)) for i in range(300)]
     h += [(300 + i, x ^ sum(1 << b for b in rng.sample(range(64), i % 25))) for i, (_, x) in enumerate(h[:100])]
