@@ -7,15 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lumenary.operators import density
-from lumenary.sources.shared import numbered
+from lumenary.operators.nearest import nearest
+from lumenary.sources.shared import checkpoint, numbered
 
 METHODS = ("face_vectors", "person_centroids", "assign_known", "suggest_people", "next_cluster", "cluster_unassigned", "recluster", "person_for_name", "name_cluster", "name_face", "merge_clusters", "ignore_cluster", "ignore_face", "restore_ignored", "detach_face", "assign_face", "merge_people", "rename_person", "delete_person", "decided_boxes", "redetected")
 
-#: People whose centroids are compared with each face at a time; a table row of them is broadcast.
-PEOPLE = 5_000
 STATE = ("id", "photo_id", "person_id", "cluster_id", "confirmed", "rejected", "ignored_as")
 
 
@@ -48,19 +46,8 @@ def person_centroids(lib) -> DataFrame:
 
 
 def _nearest_people(rows: DataFrame, people: DataFrame, key: str, most: int) -> DataFrame:
-    """For rows (key, v) the `most` nearest people (person_id, centroid): (key, person_id, sim, r); ties to the smaller id.
-
-    PEOPLE at a time are one broadcast row, and each row is compared with all of them where it is.
-    """
-    blocks = max(1, -(-people.count() // PEOPLE))
-    found = None
-    for i in range(blocks):
-        some = people.where(F.pmod(F.xxhash64("person_id"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("person_id", "centroid")).alias("people"))
-        near = F.transform("people", lambda p: F.struct((-F.round(dot(F.col("v"), p["centroid"]), 6)).alias("far"), p["person_id"].alias("person_id")))
-        best = rows.crossJoin(F.broadcast(some)).select(key, F.explode(F.slice(F.array_sort(near), 1, most)).alias("x"))  # one row
-        found = best if found is None else found.unionByName(best)
-    ranked = found.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("x")))
-    return ranked.where(F.col("r") <= most).select(key, "x.person_id", (-F.col("x.far")).alias("sim"), "r")
+    """For rows (key, v) the `most` nearest people (person_id, centroid): (key, person_id, sim, r); ties to the smaller id."""
+    return nearest(rows.withColumnRenamed(key, "key"), people, most).withColumnRenamed("key", key)
 
 
 def assign_known(lib, least: float = 0.58) -> DataFrame:
@@ -90,7 +77,7 @@ def cluster_unassigned(lib, faces: DataFrame, least: float = 0.58, min_rows: int
 
     No group if there are fewer such faces than a group needs. Faces that are in none are left out.
     """
-    rows = face_vectors(lib, faces.where("person_id is null and rejected = 0")).select(F.col("id").alias("vec_id"), F.col("raw").alias("embedding"))
+    rows = checkpoint(face_vectors(lib, faces.where("person_id is null and rejected = 0")).select(F.col("id").alias("vec_id"), F.col("raw").alias("embedding")))
     if rows.limit(min_rows).count() < min_rows:
         return faces.select("id", F.lit(None).cast("long").alias("cluster_id")).limit(0)
     labels = density.dbscan(rows, least, min_rows)
@@ -103,7 +90,7 @@ def recluster(lib, least: float = 0.58, min_rows: int = 3, known: float | None =
     """The faces after clustering again: proposals are dropped, faces near a known person go to them unconfirmed, the rest is grouped."""
     kept = lib.face.withColumn("cluster_id", F.when(F.col("person_id").isNotNull(), F.col("cluster_id")))
     anchored = assign_known(lib.with_tables(face=kept), least if known is None else known).select(F.col("face_id").alias("id"), F.col("person_id").alias("known"))
-    kept = kept.join(anchored, "id", "left").withColumn("confirmed", F.when(F.col("known").isNotNull(), 0).otherwise(F.col("confirmed"))).withColumn("person_id", F.coalesce("person_id", "known")).drop("known")
+    kept = kept.join(checkpoint(anchored), "id", "left").withColumn("confirmed", F.when(F.col("known").isNotNull(), 0).otherwise(F.col("confirmed"))).withColumn("person_id", F.coalesce("person_id", "known")).drop("known")
     groups = cluster_unassigned(lib, kept, least, min_rows).withColumnRenamed("cluster_id", "grouped")
     return kept.join(groups, "id", "left").withColumn("cluster_id", F.coalesce("grouped", "cluster_id")).drop("grouped")
 

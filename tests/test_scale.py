@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenary.operators import cluster, density, fulltext, greedy, text_index, vector_index
+from lumenary.operators import cluster, density, fulltext, greedy, nearest, text_index, vector_index
 from lumenary.sources import shared
 
 
@@ -213,3 +213,22 @@ def test_vector_index_proves_its_best(spark, shape):
     assert vector_index.top(spark, folder, [1.0], 5, 0.0, 0.0).count() == 0
     vector_index.build(df.where("id < 0"), folder, "n", 12)
     assert vector_index.state(spark, folder)["model"] == "n" and vector_index.top(spark, folder, q, 5, -9.0, -99.0).count() == 1
+
+
+@pytest.mark.parametrize("people, most", [(1, 3), (400, 1), (400, 2)])
+def test_nearest_against_all(spark, monkeypatch, people, most):
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "ROWS", 20)
+    rng = np.random.default_rng(12)
+    c = _unit(np.repeat(rng.normal(size=(40, 6)), 10, axis=0) + 0.2 * rng.normal(size=(400, 6)))[:people]
+    c[people // 2 :: 7] = c[: len(c[people // 2 :: 7])]  # ties
+    v = _unit(np.concatenate([c[rng.integers(0, people, 150)] + 0.1 * rng.normal(size=(150, 6)), rng.normal(size=(80, 6)), c[:1], np.zeros((1, 6)), np.repeat(c[:1], 60, axis=0)]))
+    if people > 1:
+        c[17] = 0
+    ids = rng.permutation(people) * 3
+    sim = np.round(v @ c.T, 6)
+    want = {(k, int(ids[j]), sim[k, j], r) for k in range(len(v)) for r, j in enumerate(sorted(range(people), key=lambda j: (-sim[k, j], ids[j]))[:most], 1)}
+    table = lambda rows, x, kind: spark.createDataFrame([(int(i), [float(y) for y in r]) for i, r in zip(rows, x)], kind)
+    rows, named = table(range(len(v)), v, "key long, v array<double>"), table(ids, c, "person_id long, centroid array<double>")
+    assert {tuple(r) for r in nearest.nearest(rows, named, most).collect()} == want
+    assert nearest.nearest(rows, named.limit(0), most).count() == 0 and nearest.nearest(rows.limit(0), named, most).count() == 0
