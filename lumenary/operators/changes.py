@@ -13,9 +13,14 @@ STAGES = ("thumbs", "embed", "faces", "caption")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """`old` with the rows of `new`: of rows with equal keys the columns `update` (all of the new one's) are replaced."""
+    """`old` with the rows of `new`: of rows with equal keys the columns `update` (all of the new one's) are replaced.
+
+    Of several rows of `new` with the same keys the one that comes last in order of its columns counts.
+    """
     update = [c for c in (new.columns if update is None else update) if c not in keys]
-    n = new.select(*keys, *(F.col(c).alias(f"new_{c}") for c in new.columns if c not in keys), F.lit(True).alias("new_there"))
+    rest = [c for c in new.columns if c not in keys]
+    n = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, *(F.col(f"last.{c}").alias(f"new_{c}") for c in rest)) if rest else new.select(*keys).distinct()
+    n = n.withColumn("new_there", F.lit(True))
     out = old.withColumn("old_there", F.lit(True)).join(n, keys, "full_outer")
 
     def value(c):
@@ -27,6 +32,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] |
     return out.select(*(F.col(c) if c in keys else value(c) for c in old.columns))
 
 
+def globs(column: str | Column) -> Column:
+    """The patterns that a column holds as a JSON array of strings; none for null, an empty text, or what is no such array."""
+    return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """`old` and the rows of `new` whose keys it lacks."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)

@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 METHODS = ("like_names", "of_person", "of_tag", "of_camera", "of_place", "of_folder", "of_filename", "of_dates", "of_favorites", "with_faces", "visible", "matching", "browse", "map_points", "page_columns", "photo_detail", "first_file", "winner")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(column: str | Column) -> Column:
+    """A-Z as a-z; other letters stay."""
+    return F.translate(column, UPPER, LOWER)
+
+
+def fold(value: str) -> str:
+    return value.translate(str.maketrans(UPPER, LOWER))
+
+
 def like(column: str | Column, value: str) -> Column:
     """Whether the column holds the value, whatever the case of A-Z; % and _ in the value stay wildcards, a backslash is itself."""
-    return F.lower(column).like("%" + value.lower().replace("\\", "\\\\") + "%")
+    return folded(column).like("%" + fold(value).replace("\\", "\\\\") + "%")
 
 
 def like_names(lib, value: str) -> DataFrame:
@@ -34,7 +46,7 @@ def of_person(lib, name: str, photos: DataFrame | None = None) -> DataFrame:
 
 
 def of_tag(lib, tag: str, photos: DataFrame | None = None) -> DataFrame:
-    tagged = lib.photo_tag.where(F.lower("name") == tag.lower()).select(F.col("photo_id").alias("id"))
+    tagged = lib.photo_tag.where(folded("name") == fold(tag)).select(F.col("photo_id").alias("id"))
     return _photos(lib, photos).join(tagged, "id", "left_semi")
 
 
@@ -119,8 +131,15 @@ def page_columns(lib, ids: DataFrame) -> DataFrame:
     return lib.photo.join(F.broadcast(ids.select("id").limit(500)), "id", "left_semi").join(first_file(lib), "blake3", "left").select("id", "bytes", "rel_path")
 
 
-def photo_detail(lib) -> DataFrame:
-    """All about each photo: caption, tags (by hand before others, then by name), faces that aren't rejected with their people, files by drive."""
+def photo_detail(lib, ids: DataFrame | None = None) -> DataFrame:
+    """All about each photo, or those of `ids` (id): caption, tags (by hand before others, then by name), faces that aren't rejected with their people, files by drive.
+
+    The lists are what is asked for; of a content of very many files ask for the photos of interest only.
+    """
+    if ids is not None:
+        photos = lib.photo.join(ids.select("id"), "id", "left_semi")
+        of = lambda table: table.join(ids.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
+        lib = lib.with_tables(photo=photos, photo_tag=of(lib.photo_tag), face=of(lib.face), annotation=of(lib.annotation), file=lib.file.join(photos.select("blake3"), "blake3", "left_semi"))
     tags = lib.photo_tag.withColumn("o", F.when(F.col("source") == "manual", 0).otherwise(1)).groupBy("photo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "name", "source"))), lambda t: F.concat(t["source"], F.lit(":"), t["name"])), ",").alias("tags"))
     people = lib.person.select(F.col("id").alias("person_id"), "name")
     faces = lib.face.where("rejected = 0").join(people, "person_id", "left")

@@ -121,33 +121,48 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def above(path: Column, itself: bool = True) -> Column:
+    """The path's folders from the top on ('' is that of a path from /), and the path itself."""
+    steps = F.split(path, "/")
+    last = F.size(steps) if itself else F.size(steps) - 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def _named(mounts: DataFrame) -> DataFrame:
+    return mounts.select("mountpoint", F.coalesce("serial", "uuid", F.concat(F.lit("mark-"), "marker"), F.concat(F.lit("path-"), "mountpoint")).alias("volume"), "label")
+
+
 def mounted_on(places: DataFrame, mounts: DataFrame) -> DataFrame:
     """Each row of `places` (path) with its mount: the longest mountpoint that is the path or a folder above it.
 
-    `mounts`: (mountpoint, serial, uuid, marker, label). Adds mountpoint, volume (serial, else uuid, else mark- and the
-    marker, else path- and the mountpoint), label and rel_path, empty for the mountpoint itself. Mounts are few.
+    `mounts`: (mountpoint, serial, uuid, marker, label), each mountpoint once. Adds mountpoint, volume (serial, else uuid,
+    else mark- and the marker, else path- and the mountpoint), label and rel_path, empty for the mountpoint itself. Each
+    path meets its own folders only, by equality, so mounts may be many; paths on none are left out.
     """
-    named = mounts.select("mountpoint", F.coalesce("serial", "uuid", F.concat(F.lit("mark-"), "marker"), F.concat(F.lit("path-"), "mountpoint")).alias("volume"), "label")
-    root = F.regexp_replace("mountpoint", "/$", "")
-    fits = (F.col("path") == F.col("mountpoint")) | F.col("path").startswith(F.concat(root, F.lit("/")))
-    found = places.select("path").distinct().join(F.broadcast(named), fits)
-    best = found.groupBy("path").agg(F.max_by(F.struct("mountpoint", "volume", "label"), F.length("mountpoint")).alias("m")).select("path", "m.*")
+    named = _named(mounts).withColumn("folder", F.regexp_replace("mountpoint", "/$", ""))
+    known = named.join(places.select(F.explode(F.array_distinct(above(F.col("path")))).alias("folder")).distinct(), "folder", "left_semi")
+    found = places.select("path").distinct().withColumn("folder", F.explode(above(F.col("path")))).join(known, "folder")
+    best = found.groupBy("path").agg(F.max_by(F.struct("mountpoint", "volume", "label"), F.length("folder")).alias("m")).select("path", "m.*")
     return places.join(best, "path").withColumn("rel_path", F.expr("ltrim('/', substring(path, length(regexp_replace(mountpoint, '/$', '')) + 1))"))
 
 
 def current_mountpoints(volumes: DataFrame, mounts: DataFrame) -> DataFrame:
     """Where each volume (uuid) is mounted now, by identity and not by letter; null if it isn't."""
-    named = mounts.select("mountpoint", F.coalesce("serial", "uuid", F.concat(F.lit("mark-"), "marker"), F.concat(F.lit("path-"), "mountpoint")).alias("uuid"))
-    return volumes.join(F.broadcast(named.groupBy("uuid").agg(F.min("mountpoint").alias("mountpoint"))), "uuid", "left")
+    return volumes.join(_named(mounts).groupBy(F.col("volume").alias("uuid")).agg(F.min("mountpoint").alias("mountpoint")), "uuid", "left")
 
 
 def library_state(folders: DataFrame, roots: DataFrame) -> DataFrame:
-    """Folders (path) and how they relate to the roots (path) there are: root, inside, contains, or null. Roots are few."""
-    known = roots.select(F.collect_set("path").alias("known"))
-    out = folders.crossJoin(F.broadcast(known))  # one row
-    here = F.col("path")
-    state = F.when(F.array_contains("known", here), "root").when(F.exists("known", lambda r: here.startswith(F.concat(r, F.lit("/")))), "inside").when(F.exists("known", lambda r: r.startswith(F.concat(here, F.lit("/")))), "contains")
-    return out.select(*folders.columns, state.alias("library"))
+    """Folders (path) and how they relate to the roots (path) there are: root, inside, contains, or null.
+
+    Folders meet the roots by equality: a folder, the folders above it, and the folders above roots.
+    """
+    known, paths = roots.select("path").distinct(), folders.select("path").distinct()
+    inside = paths.select("path", F.explode(above(F.col("path"), False)).alias("over")).join(known.select(F.col("path").alias("over")), "over", "left_semi").select("path").distinct()
+    contains = known.select(F.explode(above(F.col("path"), False)).alias("path")).distinct()
+    out = folders
+    for name, rows in (("root", known), ("inside", inside), ("contains", contains)):
+        out = out.join(rows.select("path", F.lit(name).alias(f"is_{name}")), "path", "left")
+    return out.select(*folders.columns, F.coalesce("is_root", "is_inside", "is_contains").alias("library"))
 
 
 def browse_folder(listing: DataFrame, folder: str, roots: DataFrame) -> DataFrame:

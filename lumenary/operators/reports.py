@@ -141,7 +141,8 @@ def fts_document(lib) -> DataFrame:
     people = lib.face.join(lib.person.select(F.col("id").alias("person_id"), F.col("name").alias("people")), "person_id").select("photo_id", "people").distinct()
     folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
     first = lib.file.select("blake3", "id", "filename", F.when(folder == "", ".").otherwise(folder).alias("folder"))
-    first = first.groupBy("blake3").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "filename", "folder"))), 1, 4).alias("f"))
+    nth = F.row_number().over(W.partitionBy("blake3").orderBy("id", "filename", "folder"))  # the first four are kept before rows are shuffled
+    first = first.withColumn("nth", nth).where("nth <= 4").groupBy("blake3").agg(F.array_sort(F.collect_list(F.struct("id", "filename", "folder"))).alias("f"))
     first = first.select("blake3", F.array_join("f.filename", " ").alias("filename"), F.array_join("f.folder", " ").alias("folder"))
     about = filters.winner(lib).select("photo_id", F.concat_ws(" ", "caption", "scene").alias("caption"), F.col("ocr_text").alias("ocr"))
     out = lib.photo.select(F.col("id").alias("photo_id"), "blake3", F.col("place_name").alias("place")).join(first, "blake3", "left")

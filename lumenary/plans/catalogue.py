@@ -43,6 +43,13 @@ def _mounts(lib) -> DataFrame:
     return lib.spark.createDataFrame([("/", None, "u-root", None, "system"), ("/mnt/a", "s-1", "u-1", None, "A"), ("/mnt/a/b", None, None, "m-2", "B"), ("/mnt/c", None, None, None, "C")], "mountpoint string, serial string, uuid string, marker string, label string")
 
 
+def _nations(lib) -> DataFrame:
+    """A mount for each nation, and for some another one in it, as many as the table has."""
+    top = lib.root.selectExpr("concat('/mnt/', rel_path) as mountpoint", "concat('s-', id) as serial", "label")
+    deep = lib.root.where("id % 3 = 0").selectExpr("concat('/mnt/', rel_path, '/en', if(id % 2 = 0, '/', '')) as mountpoint", "concat('d-', id) as serial", "concat(label, ' en') as label")
+    return top.unionByName(deep).withColumns({"uuid": F.lit(None).cast("string"), "marker": F.lit(None).cast("string")})
+
+
 def _detected(lib) -> DataFrame:
     """What a detector finds again: each third face, some of them moved."""
     box = {c: (F.col(f"bbox_{c}") + (F.when(F.col("id") % 2 == 0, 400).otherwise(3) if c == "x" else 0)).alias(f"bbox_{c}") for c in "xywh"}
@@ -112,7 +119,7 @@ def _upserted_roots(lib) -> DataFrame:
     old = lib.root.select("volume_id", "rel_path", "label", F.lit(0).alias("enabled"), F.concat(F.lit('["'), "rel_path", F.lit('*"]')).alias("globs"))
     new = old.where("volume_id % 2 = 0").select("volume_id", F.when(F.length("label") % 2 == 0, F.concat("rel_path", F.lit("/sub"))).otherwise(F.col("rel_path")).alias("rel_path"), F.lit("again").alias("label"), F.lit(1).alias("enabled"), F.lit("[]").alias("globs"))
     out = changes.upsert(old, new, ["volume_id", "rel_path"], ["label", "enabled"])
-    return out.withColumn("globs", F.array_join(F.from_json("globs", "array<string>"), ","))
+    return out.withColumn("globs", F.array_join(changes.globs("globs"), ","))
 
 
 MAKES = {
@@ -174,6 +181,12 @@ MAKES = {
     "current_mountpoints": lambda lib: paths.current_mountpoints(lib.spark.createDataFrame([("s-1",), ("mark-m-2",), ("path-/mnt/c",), ("u-gone",)], "uuid string"), _mounts(lib)),
     "library_state": lambda lib: paths.library_state(lib.file.selectExpr("concat('/p/', split(rel_path, '/')[0]) as path").distinct().unionByName(lib.file.selectExpr("concat('/p/', regexp_extract(rel_path, '^(.*)/', 1)) as path").distinct()).unionByName(lib.spark.createDataFrame([("/p",), ("/q",)], "path string")), lib.spark.createDataFrame([("/p/en",), ("/p/fr/src1",)], "path string")),
     "browse_folder": lambda lib: paths.browse_folder(lib.file.selectExpr("concat('/p/', rel_path) as path"), "/p/en", lib.spark.createDataFrame([("/p/en/src1",), ("/p/fr",)], "path string")),
+    "mounted_deep": lambda lib: paths.mounted_on(lib.file.join(lib.root.select(F.col("id").alias("root_id"), F.col("rel_path").alias("top")), "root_id").select("id", F.concat(F.lit("/mnt/"), "top", F.lit("/"), "rel_path").alias("path")), _nations(lib)).select("id", "volume", "label", "rel_path"),
+    "mountpoints_now": lambda lib: paths.current_mountpoints(lib.root.select(F.concat(F.when(F.col("id") % 5 == 0, "gone-").otherwise("s-"), F.col("id").cast("string")).alias("uuid")), _nations(lib)),
+    "library_state_deep": lambda lib: paths.library_state(lib.file.selectExpr("id", "concat('/p/', regexp_extract(rel_path, '^(.*)/', 1)) as path"), lib.file.where("id % 40 = 7").selectExpr("concat('/p/', if(id % 80 = 7, split(rel_path, '/')[0], rel_path)) as path")),
+    "like_accents": lambda lib: lib.with_tables(file=lib.file.withColumn("filename", F.concat(F.when(F.col("id") % 3 == 0, "École_").when(F.col("id") % 3 == 1, "école_").otherwise("ECOLE_"), "filename"))).like_names("École_img"),
+    "photo_detail_some": lambda lib: lib.photo_detail(lib.photo.where("id % 50 = 3").select("id")),
+    "upsert_repeated": lambda lib: changes.upsert(lib.root.select("volume_id", "rel_path", "label"), lib.root.where("id % 2 = 0").select("volume_id", "rel_path", F.explode(F.array(F.lit("b"), "label", F.lit("a"))).alias("label")), ["volume_id", "rel_path"]),
     "prune_orphans": lambda lib: _ids(lib.orphans()),
     "prune_tags": lambda lib: lib.prune()["photo_tag"],
     "remove_root": lambda lib: _ids(lib.remove_root(4)),

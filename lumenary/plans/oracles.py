@@ -279,6 +279,16 @@ r as (
     from r join o on o.photo_id = r.photo_id and o.n = r.n + 1 left join p on p.photo_id = o.photo_id and p.n = o.n) q)
 select o.id from o join (select photo_id, arg_max(kept, n) as kept from r group by photo_id) k on k.photo_id = o.photo_id where not list_contains(k.kept, o.n)
 """
+_DEEP = "(select '/mnt/' || rel_path as folder, 's-' || id as volume, label from v_root union all select '/mnt/' || rel_path || '/en', 'd-' || id, label || ' en' from v_root where id % 3 = 0)"
+_BODY["mounted_deep"] = f"select id, volume, label, substr(path, length(folder) + 2) as rel_path from (select f.id, f.path, m.*, row_number() over (partition by f.id order by length(m.folder) desc) as nth from (select f.id, '/mnt/' || r.rel_path || '/' || f.rel_path as path from v_file f join v_root r on r.id = f.root_id) f join {_DEEP} m on starts_with(f.path, m.folder || '/')) q where nth = 1"
+_BODY["mountpoints_now"] = "select case when id % 5 = 0 then 'gone-' else 's-' end || id as uuid, case when id % 5 <> 0 then '/mnt/' || rel_path end as mountpoint from v_root"
+_BODY["library_state_deep"] = """with r as (select distinct '/p/' || if(id % 80 = 7, string_split(rel_path, '/')[1], rel_path) as path from v_file where id % 40 = 7),
+p as (select distinct '/p/' || regexp_extract(rel_path, '^(.*)/', 1) as path from v_file),
+s as (select path, case when path in (select path from r) then 'root' when exists (select 1 from r where starts_with(p.path, r.path || '/')) then 'inside' when exists (select 1 from r where starts_with(r.path, p.path || '/')) then 'contains' end as library from p)
+select f.id, s.path, s.library from v_file f join s on s.path = '/p/' || regexp_extract(f.rel_path, '^(.*)/', 1)"""
+_BODY["like_accents"] = "select id, 'École_' || filename as filename from v_file where id % 3 = 0"
+_BODY["photo_detail_some"] = f"select * from ({_BODY['photo_detail']}) q where id % 50 = 3"
+_BODY["upsert_repeated"] = "select volume_id, rel_path, if(id % 2 = 0, greatest(label, 'b'), label) as label from v_root"
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",
