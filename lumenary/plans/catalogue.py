@@ -10,7 +10,7 @@ from lumenary.library import Library
 from lumenary.operators import changes, cluster, density, greedy, paths, people, reports, search, text_index, vector_index
 from lumenary.plans import oracles, request, runner
 from lumenary.sources import shared, sidecar, snapshots
-from lumenary.streaming import ingest
+from lumenary.streaming import ingest, scans
 
 STATE = people.STATE
 
@@ -172,6 +172,7 @@ MAKES = {
     "walk_pictures": lambda lib: paths.pictures(_listing(lib), "/mnt/p", ["*/skip/*"]).select("id", "rel_path"),
     "scan_cdc": lambda lib: lib.scan(lib.file.where("root_id = 4 and id % 7 <> 0").select("rel_path", (F.col("mtime") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("mtime"), "size").unionByName(lib.file.where("root_id = 5").select(F.concat(F.lit("new/"), "rel_path").alias("rel_path"), "mtime", "size")), 4),
     "scan_forced": lambda lib: lib.scan(lib.file.where("root_id = 4").select("rel_path", "mtime", "size"), 4, force=True),
+    "stream_scans": scans.three_scans,
     "mark_missing": lambda lib: lib.with_tables(file=lib.file.withColumn("seen_at", F.lit(1000) + F.col("id") % 10)).mark_missing(4, 1004).select("id", "state"),
     "root_offline": lambda lib: lib.set_offline(3).select("id", "state"),
     "root_online": lambda lib: lib.set_offline(3, False).select("id", "state"),

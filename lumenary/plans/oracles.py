@@ -8,7 +8,7 @@ from __future__ import annotations
 from lumenary.functions import imaging, lenient_json
 from lumenary.sources.sidecar import ROUND_TRIP_SQL
 from lumenary.sources.views import with_views
-from lumenary.streaming import ingest
+from lumenary.streaming import ingest, scans
 
 _VISIBLE = "p.hidden = 0 and exists (select 1 from v_file f where f.blake3 = p.blake3 and f.state <> 'missing')"
 _WINNER = "(select * from (select *, row_number() over (partition by photo_id order by (model = 'manual') desc, created_at desc, caption desc) as nth from v_annotation) q where nth = 1)"
@@ -289,6 +289,7 @@ select f.id, s.path, s.library from v_file f join s on s.path = '/p/' || regexp_
 _BODY["like_accents"] = "select id, 'École_' || filename as filename from v_file where id % 3 = 0"
 _BODY["photo_detail_some"] = f"select * from ({_BODY['photo_detail']}) q where id % 50 = 3"
 _BODY["upsert_repeated"] = "select volume_id, rel_path, if(id % 2 = 0, greatest(label, 'b'), label) as label from v_root"
+_BODY["stream_scans"] = scans.THREE_SCANS_SQL
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",
