@@ -9,7 +9,7 @@ from lumenary.functions import imaging, lenient_json, providers
 from lumenary.library import Library
 from lumenary.operators import changes, cluster, density, greedy, paths, people, reports, search, text_index, vector_index
 from lumenary.plans import oracles, request, runner
-from lumenary.sources import shared, sidecar, snapshots
+from lumenary.sources import picture_fixture, shared, sidecar, snapshots
 from lumenary.streaming import ingest, scans
 
 STATE = people.STATE
@@ -169,6 +169,7 @@ MAKES = {
     # Ingest, jobs and changes
     "filename_dates": lambda lib: _made(lib, "concat('IMG_20', lpad(cast(id % 30 as string), 2, '0'), lpad(cast(id % 14 as string), 2, '0'), lpad(cast(id % 33 as string), 2, '0'), '_101010.jpg')", "name").select("id", "name", F.date_format(imaging.name_date(F.col("name"), F.lit(2030)), "yyyy-MM-dd").alias("day")),
     "gps_degrees": lambda lib: lib.file.select("id", imaging.degrees(1 + F.col("id") % 90, (F.col("id") % 60).cast("double"), (F.col("id") % 37).cast("double"), F.when(F.col("id") % 2 == 0, "S").otherwise("N")).alias("degrees")),
+    "picture_meta": picture_fixture.read_back,
     "walk_pictures": lambda lib: paths.pictures(_listing(lib), "/mnt/p", ["*/skip/*"]).select("id", "rel_path"),
     "scan_cdc": lambda lib: lib.scan(lib.file.where("root_id = 4 and id % 7 <> 0").select("rel_path", (F.col("mtime") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("mtime"), "size").unionByName(lib.file.where("root_id = 5").select(F.concat(F.lit("new/"), "rel_path").alias("rel_path"), "mtime", "size")), 4),
     "scan_forced": lambda lib: lib.scan(lib.file.where("root_id = 4").select("rel_path", "mtime", "size"), 4, force=True),
@@ -296,6 +297,8 @@ PLANS = {
     "filename_dates_all": imaging.name_dates,
     "phash_pictures": imaging.phash_of_products,
     "caption_stage": providers.caption_stage,
+    "face_stage": providers.face_stage,
+    "image_stage": providers.image_stage,
     "stream_ingest_jobs": ingest.ingested_jobs,
 }
 

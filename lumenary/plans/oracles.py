@@ -5,7 +5,8 @@ Where no SQL stands, the query is tested against brute force or known cases: has
 
 from __future__ import annotations
 
-from lumenary.functions import imaging, lenient_json
+from lumenary.functions import imaging, lenient_json, providers
+from lumenary.sources import picture_fixture
 from lumenary.sources.sidecar import ROUND_TRIP_SQL
 from lumenary.sources.views import with_views
 from lumenary.streaming import ingest, scans
@@ -290,6 +291,10 @@ _BODY["like_accents"] = "select id, 'École_' || filename as filename from v_fil
 _BODY["photo_detail_some"] = f"select * from ({_BODY['photo_detail']}) q where id % 50 = 3"
 _BODY["upsert_repeated"] = "select volume_id, rel_path, if(id % 2 = 0, greatest(label, 'b'), label) as label from v_root"
 _BODY["stream_scans"] = scans.THREE_SCANS_SQL
+_BODY["picture_meta"] = picture_fixture.READ_BACK_SQL
+_BODY["caption_stage"] = r"select doc_id, case when n < 5 then 'failed' else 'done' end as state, case when n >= 5 then array_to_string(w[1:5], ' ') end as caption, case when n >= 5 then array_to_string(list_sort(list_distinct([lower(w[1]), lower(w[2])])), ',') end as tags, case when n < 5 then 'too few words' end as error from (select doc_id, w, len(w) as n from (select doc_id, list_filter(string_split_regex(text, '[\s\x1c-\x1f\x85\xa0]+'), lambda x: x <> '') as w from documents) a) b"
+_BODY["face_stage"] = providers.FACE_SQL
+_BODY["image_stage"] = providers.IMAGE_SQL
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",
