@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample. Every vector goes to the list of its nearest centroid, and boundary vectors,
 to which other centroids are nearly as near, to those lists too. The centroids, a bounded number, are linked into a graph
 that each worker holds and walks best-first. A query probes the lists whose centroids are within a ratio of the nearest
-one's distance, and further ones, nearest first, until they hold enough different vectors (or all of them).
+one's distance, and further ones, nearest first, until they hold enough different vectors (or all of them). The ratio is
+measured on the sample: vectors without clusters ask for more lists than those with.
 
 A list that has grown beyond SPLIT rows, as in tables of millions, is cut into lists of LIST_ROWS by centroids of its
 own, fitted where its rows are; a query that probes it probes those of them that the same ratio selects. So lists stay
@@ -34,8 +35,11 @@ SPLIT_SAMPLE = 40
 #: A vector also goes to lists whose centroids are at most so much farther (squared) than its nearest; to REPLICAS at most.
 BOUNDARY = 1.06
 REPLICAS = 3
-#: A query probes the lists whose centroids are at most so much farther than its nearest.
+#: A query probes the lists whose centroids are at most so much farther than its nearest, or farther ones where the data
+#: ask for it: so many of ASKED sampled vectors' true neighbours in the sample have to lie in lists that they probe.
 PROBE = 1.33
+RECALL = 0.97
+ASKED = 200
 #: Where these lists hold fewer different vectors than so many times k + 1, further lists are probed, nearest first.
 FLOOR = 10
 #: Rows that one task compares at a time: several lists together, or a shard of a crowded one.
@@ -132,6 +136,29 @@ def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
 
 
+def _needed(x: np.ndarray, c: np.ndarray, longest: float, k: int) -> float:
+    """The ratio at which RECALL of the pairs of a sampled vector and one of its k largest inner products in the sample meet in a list.
+
+    Neighbours in a sample are farther off than those in the table, so this errs towards more lists.
+    """
+    m, k = min(len(x), ASKED), min(k, len(x) - 1)
+    if k < 1 or len(c) < 2:
+        return 1.0
+    scores = x[:m] @ x.T
+    scores[np.arange(m), np.arange(m)] = -np.inf
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    size = np.square(x).sum(1)
+    lift = lambda v, tail: np.column_stack([v, tail]).astype(np.float32)
+    asked = _apart(lift(x[:m] * np.sqrt(longest / size[:m])[:, None], np.zeros(m)), c)
+    asked /= np.maximum(asked.min(1), 1e-12)[:, None]
+    found = near.ravel()
+    held = _apart(lift(x[found], np.sqrt(np.maximum(longest - size[found], 0))), c)
+    own = np.argsort(held, axis=1)[:, :REPLICAS]
+    there = np.take_along_axis(held, own, 1) <= held.min(1)[:, None] * BOUNDARY
+    ratio = np.where(there, np.take_along_axis(np.repeat(asked, k, axis=0), own, 1), np.inf).min(1)
+    return float(np.quantile(ratio, RECALL))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part: not null, no component null or not finite, not all zero, the usual length."""
     v = F.col("embedding").cast("array<double>")
@@ -141,13 +168,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("v") == (usual["n"] if usual else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PROBE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float | None = None) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) whose id is divisible by `every`, the k nearest other rows found.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product of the original vectors in double precision,
     largest first, ties to the smaller vec_id; all candidates if there are fewer than k. Rows whose vector is null, zero,
     of another length than most or holds null or non-finite components take no part. Of rows with one vec_id and one
-    vector one counts; an empty table gives an empty result.
+    vector one counts; an empty table gives an empty result; other columns are ignored, whatever their names. `probe` is the
+    ratio of distances up to which lists are probed: by default PROBE, or what the sample shows to be needed, if that is more.
     """
     spark = vectors.sparkSession
     # Equal vectors are known by 128 bits of their hashes, so that vectors aren't sorted and travel once.
@@ -170,6 +198,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     lists = min(lists, len(x))
     lift = np.sqrt(np.maximum(longest - np.square(x).sum(1), 0))
     c = _fit(np.column_stack([x, lift]).astype(np.float32), lists)
+    if probe is None:
+        probe = max(PROBE, _needed(x, c, float(longest), k))
     index = spark.sparkContext.broadcast((c, _graph(c), float(longest)))
 
     def lifted(v: np.ndarray, query: bool) -> np.ndarray:

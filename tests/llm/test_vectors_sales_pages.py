@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenary.llm import centroids, dominance, html_text
+from lumenary.llm import ann, centroids, dominance, html_text
 
 
 def clustered(rows, k, rounds, seed, scale):
@@ -168,3 +168,19 @@ def test_templates_of_a_site_go_and_nothing_else(spark):
         assert len(got) == len(rows) and {r.page_id: r.text.split("\n") if r.text else [] for r in got if r.page_id is not None} == want
         assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id is None] == ["no id"] * 2
     assert html_text.main_text(_pages(spark, rows).where("page_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("dim, norms", [(8, False), (16, True)])
+def test_neighbours_without_clusters(spark, dim, norms):
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(8000, dim))
+    v = (v / np.linalg.norm(v, axis=1)[:, None] * (rng.uniform(0.3, 2, (8000, 1)) if norms else 1)).astype("f4")
+    table = spark.createDataFrame([(i, [float(x) for x in r], "x") for i, r in enumerate(v)], "vec_id long, embedding array<float>, ids string").repartition(4)
+    got = ann.nearest(table).toPandas()
+    v, hits = v.astype("f8"), 0
+    assert got.groupby("query_id").size().eq(20).all() and got["query_id"].nunique() == 400
+    for q, g in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argpartition(-s, 20)[:20]) & set(g["vec_id"]))
+    assert hits / 8000 >= 0.93
