@@ -135,3 +135,13 @@ def phash_of_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.expr("flatten(transform(slice(embedding, 1, 32), x -> transform(slice(embedding, 33, 32), y -> cast(x as double) * y)))")
     pictures = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), grey.alias("grey"))
     return perceptual_hashes(pictures).withColumnRenamed("id", "vec_id")
+
+
+PHASH_SQL = """
+with c as (select u, r, cos((r + 0.5) * u * pi() / 32) * sqrt(2.0 / 32) / if(u = 0, sqrt(2), 1) as w from (select unnest(range(8)) as u) a, (select unnest(range(32)) as r) b),
+h as (select vec_id, u, sum(w * embedding[r + 1]::double) as a, sum(w * embedding[r + 33]::double) as b from embeddings, c group by vec_id, u),
+low as (select x.vec_id, x.u * 8 + y.u as n, x.a * y.b as low from h x join h y on x.vec_id = y.vec_id),
+m as (select vec_id, median(low) as mid from low where n > 0 group by vec_id),
+s as (select vec_id, sum(if(low > mid, 1::hugeint << (63 - n)::int, 0::hugeint)) as s from low join m using (vec_id) group by vec_id)
+select vec_id, (if(s >= 9223372036854775808::hugeint, s - 18446744073709551616::hugeint, s))::bigint as phash from s
+"""

@@ -54,3 +54,29 @@ SALVAGE_SQL = """
 select doc_id, 'of ' || source as caption, lower(lang) || ',x' as tags, case when doc_id % 5 = 0 then '' else 'aZZb' end as scene,
   'unknown' as setting, 2::bigint as people_count, case when doc_id % 5 = 0 then '' else md5(doc_id::varchar) end as ocr_text from documents
 """
+
+
+def annotation_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations that hold the documents' own texts, as JSON writes them, broken off at a place by id: within the caption, after a backslash, within an escape, within a tag, within the read text, before a colon."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (1 + F.col("doc_id") * 37 % 400).alias("k"), (F.col("doc_id") % 7).alias("c"))
+    text = F.substring("text", F.lit(1), F.col("k"))
+    whole = F.to_json(F.struct(text.alias("caption")))
+    open_ = F.substring(whole, F.lit(1), F.length(whole) - 2)  # within the caption
+    read = F.to_json(F.struct(text.alias("ocr_text")))
+    sent = (
+        F.when(F.col("c") == 0, open_)
+        .when(F.col("c") == 1, F.concat(open_, F.lit("\\")))
+        .when(F.col("c") == 2, F.concat(open_, F.lit("\\u00")))
+        .when(F.col("c") == 3, F.concat(open_, F.lit('", "tags": ["One", " Two')))
+        .when(F.col("c") == 4, F.concat(open_, F.lit('", "tags": [], '), F.substring(read, F.lit(2), F.length(read) - 3)))
+        .when(F.col("c") == 5, F.concat(open_, F.lit('", "scene"')))
+        .otherwise(whole)
+    )
+    got = annotated(docs.select("doc_id", sent.alias("a")), "a")
+    return got.select("doc_id", "a.caption", F.array_join("a.tags", ",").alias("tags"), "a.ocr_text")
+
+
+DAMAGE_SQL = """
+select doc_id, case when doc_id % 7 <> 5 then trim(t || if(doc_id % 7 = 2, '00', '')) end as caption, case doc_id % 7 when 5 then null when 3 then 'one,two' else '' end as tags, case doc_id % 7 when 5 then null when 4 then trim(t) else '' end as ocr_text
+from (select doc_id, ltrim(substr(text, 1, 1 + doc_id * 37 % 400)) as t from documents) d
+"""

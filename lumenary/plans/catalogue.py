@@ -293,6 +293,8 @@ PLANS = {
     "hamming_pairs_near": lambda spark, sf_dir: cluster.near_hashes(_close_hashes(spark, sf_dir), 6),
     "near_duplicate_groups": greedy.fixture_groups,
     "searches_understood": request.searches_understood,
+    "searches_of_all_kinds": request.searches_of_all_kinds,
+    "annotation_damage": lenient_json.annotation_damage,
     "annotation_salvage": lenient_json.annotation_salvage,
     "filename_dates_all": imaging.name_dates,
     "phash_pictures": imaging.phash_of_products,

@@ -1,11 +1,9 @@
-"""SQL for DuckDB that gives the rows of the registered library queries, written from what they mean.
-
-Where no SQL stands, the query is tested against brute force or known cases: hashes of pictures, greedy choices among faces, searches understood, stages that run providers.
-"""
+"""SQL for DuckDB that gives the rows of the registered library queries, written from what they mean."""
 
 from __future__ import annotations
 
 from lumenary.functions import imaging, lenient_json, providers
+from lumenary.plans import request
 from lumenary.sources import picture_fixture
 from lumenary.sources.sidecar import ROUND_TRIP_SQL
 from lumenary.sources.views import with_views
@@ -295,6 +293,10 @@ _BODY["picture_meta"] = picture_fixture.READ_BACK_SQL
 _BODY["caption_stage"] = r"select doc_id, case when n < 5 then 'failed' else 'done' end as state, case when n >= 5 then array_to_string(w[1:5], ' ') end as caption, case when n >= 5 then array_to_string(list_sort(list_distinct([lower(w[1]), lower(w[2])])), ',') end as tags, case when n < 5 then 'too few words' end as error from (select doc_id, w, len(w) as n from (select doc_id, list_filter(string_split_regex(text, '[\s\x1c-\x1f\x85\xa0]+'), lambda x: x <> '') as w from documents) a) b"
 _BODY["face_stage"] = providers.FACE_SQL
 _BODY["image_stage"] = providers.IMAGE_SQL
+_BODY["searches_understood"] = request.UNDERSTOOD_SQL
+_BODY["searches_of_all_kinds"] = request.ALL_KINDS_SQL
+_BODY["annotation_damage"] = lenient_json.DAMAGE_SQL
+_BODY["phash_pictures"] = imaging.PHASH_SQL
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",

@@ -126,3 +126,67 @@ def searches_understood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of the conversations, read as a search."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     return understood(turns, "text", NOW).select("conv_id", "turn", "request.text", "request.date_from", "request.date_to", "request.favorite")
+
+
+#: What the searches of all kinds are made of: one of each part, by the document's id, around its first words.
+BEFORE = ["", "photos of ", "favourite ", "tag:FR ", "person:'Ann Lee' starred ", "show me "]
+AFTER = [" today", " yesterday", " last week", " past 3 months", " last summer", " winter 2021", " march 2020", " 2019", " may", " October", " folder:a/b", " past 99999999 years", " camera:x camera:y place:\"New York\""]
+
+
+def searches_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches made of the first words of documents with fields, favourites and every way to give a time; what is understood of each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pick = lambda parts: F.element_at(F.array(*(F.lit(p) for p in parts)), (F.col("doc_id") % len(parts) + 1).cast("int"))
+    made = docs.select("doc_id", F.concat(pick(BEFORE), F.substring("text", 1, 40), pick(AFTER)).alias("search"))
+    fields = [F.array_join(f"request.{f}", "|").alias(f) for f in ("person", "tag", "camera", "place", "folder")]
+    return understood(made, "search", NOW).select("doc_id", "request.text", "request.date_from", "request.date_to", "request.favorite", *fields)
+
+
+def _sql(source: str, key: str, text: str, fields: str = "") -> str:
+    """The same in SQL for DuckDB, at the time NOW."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    plain = [re.sub(r"\?P<\w+>", "", p) for p, _ in SPANS]
+    now, day = int(NOW.timestamp()), 86_400
+    midnight = now - now % day
+    months = "list_position([" + ", ".join(f"'{m}'" for m in MONTHS) + "], lower({}))"
+    begin = "epoch(make_date(({y})::int, ({m})::int, 1)::timestamp)::bigint"
+    end = "epoch(make_date(({y})::int, ({m})::int, 1)::timestamp + interval 1 month)::bigint - 1"
+    unit = "case lower({}) " + " ".join(f"when '{u}' then {n}" for u, n in DAYS.items()) + " end"
+    part = lambda k, g: f"regexp_extract(t, {quoted(plain[k])}, {g}, 'i')"
+    season = lambda k: "case lower(" + part(4, 2) + ") " + " ".join(f"when '{n}' then {m[k]}" for n, m in SEASONS.items()) + " end"
+    year = f"coalesce(nullif({part(4, 3)}, '')::int, {NOW.year} - (lower({part(4, 1)}) = 'last')::int)"
+    bare, of = months.format(part(7, 1)), months.format(part(5, 1))
+    bare_year = f"{NOW.year} - ({bare} > {NOW.month})::int"
+    far = f"try_cast({part(3, 1)} as bigint)"
+    spans = [
+        (str(midnight), str(now)),
+        (str(midnight - day), str(midnight)),
+        (f"{now} - {day} * {unit.format(part(2, 1))}", str(now)),
+        (f"case when {far} <= 700000 then {now} - {day} * {far} * {unit.format(part(3, 2))} end", str(now)),
+        (begin.format(y=year, m=season(0)), end.format(y=f"{year} + ({season(0)} > {season(1)})::int", m=season(1))),
+        (begin.format(y=part(5, 2), m=of), end.format(y=part(5, 2), m=of)),
+        (begin.format(y=part(6, 1), m="1"), end.format(y=part(6, 1), m="12")),
+        (begin.format(y=bare_year, m=bare), end.format(y=bare_year, m=bare)),
+    ]
+    which = "case " + " ".join(f"when regexp_matches(t, {quoted(p)}, 'i') then {k}" for k, p in enumerate(plain)) + " end"
+    case = lambda side: "case k " + " ".join(f"when {k} then {s[side]}" for k, s in enumerate(spans)) + " end"
+    rest = "case k " + " ".join(f"when {k} then regexp_replace(t, {quoted(p)}, ' ', 'i')" for k, p in enumerate(plain)) + " else t end"
+    ignored = ", ".join(f"'{w}'" for w in IGNORED)
+    return f"""
+with a as (select {key}{fields}, regexp_replace(coalesce({text}, ''), {quoted(FIELDS)}, ' ', 'gi') as t from {source}),
+b as (select * exclude (t), regexp_matches(t, {quoted(FAVOURITE)}, 'i') as favorite, regexp_replace(t, {quoted(FAVOURITE)}, ' ', 'gi') as t from a),
+c as (select *, {which} as k from b)
+select * exclude (t, k, favorite), array_to_string(list_filter(string_split_regex({rest}, '[\\s\\x1c-\\x1f\\x85\\xa0]+'), lambda w: w <> '' and lower(w) not in ({ignored})), ' ') as text,
+  ({case(0)})::bigint as date_from, ({case(1)})::bigint as date_to, favorite from c
+"""
+
+
+def _all_kinds_sql() -> str:
+    pick = lambda parts: "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in parts) + f"][doc_id % {len(parts)} + 1]"
+    kinds = {"person": (BEFORE, {4: "Ann Lee"}), "tag": (BEFORE, {3: "fr"}), "camera": (AFTER, {12: "y"}), "place": (AFTER, {12: "New York"}), "folder": (AFTER, {10: "a/b"})}
+    fields = "".join(f", case doc_id % {len(parts)} " + " ".join(f"when {k} then '{v}'" for k, v in values.items()) + f" else '' end as {name}" for name, (parts, values) in kinds.items())
+    return _sql("documents", "doc_id", f"{pick(BEFORE)} || substr(text, 1, 40) || {pick(AFTER)}", fields)
+
+
+UNDERSTOOD_SQL = _sql("conversations", "conv_id, turn", "text")
+ALL_KINDS_SQL = _all_kinds_sql()
