@@ -105,9 +105,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
     a = urls.select(part_of("key", salt).alias("part"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     b = rules.select(F.explode(parts_of("key")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
-    dealt = a.unionByName(b).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "kind")
-    # A task may hold several ranges. A range begins with the rules that are open there, so the stack never lacks any;
-    # rules left from the range before are popped by the first key that they don't begin, and are the same if they do.
+    # A task for each range, which begins with the rules that are open there, so the stack never lacks any.
+    dealt = a.unionByName(b).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("key", "kind")
     out = dealt.select("key", "kind", "page_id", "host", "path", "rule", "verdict").mapInPandas(_sweep, "page_id long, host string, path string, rule string, verdict string")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
