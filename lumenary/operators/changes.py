@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.operators import filters
-from lumenary.sources.shared import numbered
+from lumenary.sources.shared import checkpoint, numbered, release
 
 METHODS = ("scan", "mark_missing", "set_offline", "ingest", "orphans", "prune", "remove_root", "removal_counts", "enqueue", "claim", "finish", "unclaim", "requeue_stale", "retry_failed", "reset_stage", "set_tags", "edit_annotation", "revert_annotation", "set_favorite", "import_keywords", "export_ids", "export_counts")
 STAGES = ("thumbs", "embed", "faces", "caption")
@@ -32,6 +32,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] |
     return out.select(*(F.col(c) if c in keys else value(c) for c in old.columns))
 
 
+def upsert_partitions(table: str, new: DataFrame, keys: list[str], by: str) -> int:
+    """Upsert `new` into a Parquet table that is partitioned by `by`, one of the keys; returns how many partitions were rewritten.
+
+    Only the partitions that `new` has rows for are read and rewritten; files of others stay as they are. A new version of
+    a partition is written before the old one goes.
+    """
+    spark = new.sparkSession
+    touched = new.select(by).distinct()
+    old = spark.read.parquet(table).join(F.broadcast(touched), by, "left_semi")  # a row for each partition
+    rows = checkpoint(upsert(old, new.select(*old.columns), keys))
+    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(table)
+    release(rows)
+    return touched.count()
+
+
 def globs(column: str | Column) -> Column:
     """The patterns that a column holds as a JSON array of strings; none for null, an empty text, or what is no such array."""
     return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))

@@ -122,6 +122,17 @@ def _upserted_roots(lib) -> DataFrame:
     return out.withColumn("globs", F.array_join(changes.globs("globs"), ","))
 
 
+def _upserted_partitions(lib) -> DataFrame:
+    """The files as a table with a folder for each root, after files of a few roots changed and came."""
+    table = shared.fresh(lib.spark, "files")
+    files = lib.file.select("rel_path", "size", "state", "root_id")
+    files.repartition("root_id").write.partitionBy("root_id").parquet(table)
+    some = files.where("root_id % 6 = 1 and size % 2 = 0")
+    new = some.withColumn("size", F.col("size") + 1).unionByName(some.withColumn("rel_path", F.concat(F.lit("x/"), "rel_path")))
+    changes.upsert_partitions(table, new.withColumn("state", F.lit("present")), ["root_id", "rel_path"], "root_id")
+    return lib.spark.read.parquet(table).select("rel_path", "size", "state", F.col("root_id").cast("long").alias("root_id"))
+
+
 MAKES = {
     # Browsing and structured filters
     "browse_newest": lambda lib: _ids(lib.browse("newest", 50), "taken_at"),
@@ -188,6 +199,7 @@ MAKES = {
     "library_state_deep": lambda lib: paths.library_state(lib.file.selectExpr("id", "concat('/p/', regexp_extract(rel_path, '^(.*)/', 1)) as path"), lib.file.where("id % 40 = 7").selectExpr("concat('/p/', if(id % 80 = 7, split(rel_path, '/')[0], rel_path)) as path")),
     "like_accents": lambda lib: lib.with_tables(file=lib.file.withColumn("filename", F.concat(F.when(F.col("id") % 3 == 0, "École_").when(F.col("id") % 3 == 1, "école_").otherwise("ECOLE_"), "filename"))).like_names("École_img"),
     "photo_detail_some": lambda lib: lib.photo_detail(lib.photo.where("id % 50 = 3").select("id")),
+    "upsert_partitioned": _upserted_partitions,
     "upsert_repeated": lambda lib: changes.upsert(lib.root.select("volume_id", "rel_path", "label"), lib.root.where("id % 2 = 0").select("volume_id", "rel_path", F.explode(F.array(F.lit("b"), "label", F.lit("a"))).alias("label")), ["volume_id", "rel_path"]),
     "prune_orphans": lambda lib: _ids(lib.orphans()),
     "prune_tags": lambda lib: lib.prune()["photo_tag"],

@@ -297,6 +297,7 @@ _BODY["searches_understood"] = request.UNDERSTOOD_SQL
 _BODY["searches_of_all_kinds"] = request.ALL_KINDS_SQL
 _BODY["annotation_damage"] = lenient_json.DAMAGE_SQL
 _BODY["phash_pictures"] = imaging.PHASH_SQL
+_BODY["upsert_partitioned"] = "select rel_path, if(root_id % 6 = 1 and size % 2 = 0, size + 1, size) as size, if(root_id % 6 = 1 and size % 2 = 0, 'present', state) as state, root_id from v_file union all select 'x/' || rel_path, size, 'present', root_id from v_file where root_id % 6 = 1 and size % 2 = 0"
 _ALLOWED = f"(select p.id from v_photo p where {_like('p.place_name', 'nation_1')} and {_VISIBLE})"
 _INDEXED = _fused(
     f"select * from ({_BODY['fts_weighted_stemmed']}) q where id in {_ALLOWED} order by score desc, id limit 200",

@@ -5,10 +5,9 @@ from __future__ import annotations
 import calendar
 import re
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The words that searches are understood by.
@@ -104,18 +103,87 @@ def understand(raw: str, now: datetime | None = None) -> Request:
     return Request(words, only, span, favourites > 0)
 
 
-def understood(texts: DataFrame, column: str, now: datetime) -> DataFrame:
-    """`texts` with a struct column `request` for a column of searches, by Arrow batches."""
-    fields = ("person", "tag", "camera", "place", "folder", "filename")
-    kinds = "text string, " + ", ".join(f"{f} array<string>" for f in fields) + ", date_from long, date_to long, favorite boolean"
+def _zone(now: datetime) -> str | None:
+    """The zone of a time as SQL names it; None for a time without one, which is the session's."""
+    if now.tzinfo is None:
+        return None
+    if getattr(now.tzinfo, "key", None):
+        return now.tzinfo.key
+    minutes = int(now.utcoffset().total_seconds()) // 60
+    return f"{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}:{abs(minutes) % 60:02d}"
+
+
+def _pattern(p: str) -> str:
+    """A pattern of `re` as Java takes it, whatever the case, with letters and blanks of all scripts."""
+    return "(?iuU)" + re.sub(r"\?P<(\w+)>", "", p)
+
+
+def _spans(text: Column, now: datetime) -> tuple[Column, Column, Column]:
+    """(begin, end, the text without it) of the first kind of span that a text holds; the same as SPANS, in expressions."""
+    zone, at = _zone(now), int(now.timestamp())
+    day = lambda back: F.lit(int(_day(now, back).timestamp())).cast("long")
+    part = lambda k, g: F.lower(F.regexp_extract(text, _pattern(SPANS[k][0]), g))
+    number = lambda k, g: F.try_to_number(part(k, g), F.lit("9999")).cast("int")
+    place = lambda names, word: F.array_position(F.array(*map(F.lit, names)), word).cast("int")
+
+    def of(table: dict, word: Column) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word)
+
+    def first(year: Column, month: Column) -> Column:
+        """The first second of a month; the 13th is the next year's first."""
+        over = (month > 12).cast("int")
+        parts = [year + over, month - 12 * over, *(F.lit(x) for x in (1, 0, 0, 0))]
+        return F.unix_seconds(F.make_timestamp(*parts, *([F.lit(zone)] if zone else [])))
+
+    def months(year, begin, end=None, last=None):
+        return first(year, begin), first(year if last is None else last, (begin if end is None else end) + 1) - 1
+
+    back = F.when(F.length(part(3, 1)) <= 6, F.lit(at) - part(3, 1).try_cast("long") * of(DAYS, part(3, 2)) * 86_400)
+    named, begin, end = part(4, 2), *(of({n: m[i] for n, m in SEASONS.items()}, part(4, 2)) for i in (0, 1))
+    year = F.coalesce(number(4, 3), F.lit(now.year) - (part(4, 1) == "last").cast("int"))
+    bare = place(MONTHS, part(7, 1))
+    ends = [
+        (day(0), F.lit(at)),
+        (day(1), F.lit(int((_day(now, 1) + timedelta(days=1)).timestamp()))),
+        (F.lit(at) - of(DAYS, part(2, 1)) * 86_400, F.lit(at)),
+        (F.when(back >= int(datetime(1, 1, 2, tzinfo=timezone.utc).timestamp()), back), F.lit(at)),
+        months(year, begin, end, year + (begin > end).cast("int")),
+        months(number(5, 2), place(MONTHS, part(5, 1))),
+        months(number(6, 1), F.lit(1), F.lit(12)),
+        months(F.lit(now.year) - (bare > now.month).cast("int"), bare),
+    ]
+    out = [F.lit(None).cast("long"), F.lit(None).cast("long"), text]
+    for (pattern, _), (low, high) in reversed(list(zip(SPANS, ends))):
+        p = F.lit(_pattern(pattern))
+        there, found = F.regexp_instr(text, p), F.regexp_extract(text, _pattern(pattern), 0)
+        left = F.concat(F.substring(text, F.lit(1), there - 1), F.lit(" "), F.substring(text, there + F.length(found), F.length(text)))
+        out = [F.when(there > 0, new).otherwise(old) for new, old in zip((low.cast("long"), high.cast("long"), left), out)]
+    return tuple(out)
 
-    @F.pandas_udf(kinds)
-    def apply(column: pd.Series) -> pd.DataFrame:
-        rows = [understand(t or "", now) for t in column]
-        out = pd.DataFrame([(r.text, *(r.only.get(f, []) for f in fields), *r.span, r.favorite) for r in rows], columns=["text", *fields, "date_from", "date_to", "favorite"])
-        return out.astype({"date_from": "Int64", "date_to": "Int64"})
 
-    return texts.withColumn("request", apply(column))
+def understood(texts: DataFrame, column: str, now: datetime) -> DataFrame:
+    """`texts` with a struct column `request` for a column of searches: as `understand` has it, in expressions; null is empty."""
+    raw, fields = F.coalesce(F.col(column), F.lit("")), _pattern(FIELDS)
+    given = F.arrays_zip(F.regexp_extract_all(raw, F.lit(fields), F.lit(1)).alias("name"), F.regexp_extract_all(raw, F.lit(fields), F.lit(2)).alias("value"))
+
+    def plain(x):
+        quoted = (F.length(x) > 1) & F.substring(x, 1, 1).isin("'", '"') & (F.substring(x, 1, 1) == F.substring(x, -1, 1))
+        return F.when(quoted, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+    def values(*names):
+        return F.transform(F.filter("_given", lambda g: F.lower(g["name"]).isin(*names)), lambda g: plain(g["value"]))
+
+    def last(*names):
+        return F.slice(F.reverse(values(*names)), 1, 1)
+
+    out = texts.withColumn("_given", given).withColumn("_text", F.regexp_replace(raw, fields, " "))
+    out = out.withColumn("_favorite", F.regexp_like("_text", F.lit(_pattern(FAVOURITE)))).withColumn("_text", F.regexp_replace("_text", _pattern(FAVOURITE), " "))
+    low, high, left = _spans(F.col("_text"), now)
+    words = F.filter(F.split(left, r"(?U)[\s\x1c-\x1f]+"), lambda w: (w != "") & ~F.lower(w).isin(*IGNORED))
+    by = {field: [n for n, f in (_ADDS | _SETS).items() if f == field] for field in ("person", "tag", "camera", "place", "folder", "filename")}
+    found = {f: F.transform(values(*n), F.lower) if f == "tag" else values(*n) if f == "person" else last(*n) for f, n in by.items()}
+    request = F.struct(F.array_join(words, " ").alias("text"), *(c.alias(f) for f, c in found.items()), low.alias("date_from"), high.alias("date_to"), F.col("_favorite").alias("favorite"))
+    return out.withColumn("request", request).drop("_given", "_text", "_favorite")
 
 
 #: The fixed clock of the registered queries.

@@ -157,3 +157,35 @@ def test_folding_and_upserts(spark):
     assert [r[0] for r in got] == [["a*", "b"], [], [], [], []]
     over = spark.createDataFrame([("/a/b",), ("a/b",), ("/",), ("a",), (None,)], "p string").select(paths.above(F.col("p")), paths.above(F.col("p"), False)).collect()
     assert [(r[0], r[1]) for r in over] == [(["", "/a", "/a/b"], ["", "/a"]), (["a", "a/b"], ["a"]), (["", "/"], [""]), (["a"], []), ([], [])]
+
+
+def test_searches_in_expressions_as_in_python(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from lumenary.plans import request
+
+    rng = random.Random(3)
+    bits = ["today", "Yesterday", "last week", "LAST year", "past 3 days", "past 12 months", "past 9999999 years", "past 99999999999999999999 weeks", "last winter", "this fall", "summer 2019", "Autumn", "may 2020", "december", "2018", "2099", "mayor", "x2019", "person:ann", "People:'Ann B' ", 'tag:"B C"', "tag:'x", "camera: nikon", "in:oslo", "from:'a'", "folder:a/b", "filename:.jpg", "type:x", "favourite", "STARRED", "favorites", "photos", "of", "the", "beach", "été", "naïve", "\t", "  ", "'", '"']
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(6))) for _ in range(400)] + ["", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for now in (datetime.fromisoformat("2024-02-29T23:30:00+05:30"), datetime(2024, 12, 31, 1, 2, 3, tzinfo=ZoneInfo("Europe/Berlin"))):
+        for r in request.understood(table, "s", now).collect():
+            want, got = request.understand(r["s"] or "", now), r["request"]
+            assert (got["text"], got["date_from"], got["date_to"], got["favorite"]) == (want.text, *want.span, want.favorite), r["s"]
+            assert {f: got[f] for f in ("person", "tag", "camera", "place", "folder", "filename") if got[f]} == want.only, r["s"]
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    import glob
+
+    table = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(g, k, 10 * g + k) for g in range(4) for k in range(3)], "g int, k int, v int")
+    rows.repartition("g").write.partitionBy("g").parquet(table)
+    before = {g: sorted(glob.glob(f"{table}/g={g}/*.parquet")) for g in range(6)}
+    new = spark.createDataFrame([(1, 2, -1), (1, 9, -2), (5, 0, -3)], "g int, k int, v int")
+    assert changes.upsert_partitions(table, new, ["g", "k"], "g") == 2
+    after = {g: sorted(glob.glob(f"{table}/g={g}/*.parquet")) for g in range(6)}
+    assert {g for g in range(6) if before[g] != after[g]} == {1, 5}
+    want = {(g, k): 10 * g + k for g in range(4) for k in range(3)} | {(1, 2): -1, (1, 9): -2, (5, 0): -3}
+    assert {(r["g"], r["k"]): r["v"] for r in spark.read.parquet(table).collect()} == want
