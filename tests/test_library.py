@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
 
 
 def test_dbscan_finds_chains(spark):
-    from lumenary.operators.cluster import dbscan
+    from lumenary.operators.density import dbscan
 
     rows = [(i, [math.cos(i * 0.1), math.sin(i * 0.1)]) for i in range(8)] + [(100, [-1.0, 0.0])]
     got = {r["id"]: r["label"] for r in dbscan(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.994, 3).collect()}
