@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import providers
 from lumenary.library import Library
-from lumenary.operators import cluster, graph, paths, people, reports
+from lumenary.operators import cluster, graph, paths, nearest, people, reports
 from lumenary.plans import request, runner
 from lumenary.sources import settings, sidecar, snapshots
 
@@ -61,7 +61,7 @@ def test_nearest_person_in_blocks_and_close_scores(spark, monkeypatch):
     known = spark.createDataFrame([(i, [float(y) for y in x / np.linalg.norm(x)]) for i, x in enumerate(v)], "person_id long, centroid array<double>")
     want = {r["face_id"]: max(range(40), key=lambda i: (round(float(np.dot(r["v"], v[i] / np.linalg.norm(v[i]))), 6), -i)) for r in rows.collect()}
     for most in (5000, 7):
-        monkeypatch.setattr(people, "PEOPLE", most)
+        monkeypatch.setattr(nearest, "BLOCK", most)
         assert {r["face_id"]: r["person_id"] for r in people._nearest_people(rows, known, "face_id", 1).collect()} == want
 
 
