@@ -17,10 +17,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lumenary.functions import stem
 from lumenary.operators.fulltext import B, IDF_FLOOR, K1, WEIGHTS, phrases
+from lumenary.sources.shared import checkpoint, release
 
 BLOCK = 10
 #: A place is the number of the column, shifted by so many bits, and the number of the word in it.
@@ -102,14 +102,13 @@ def _write(folder: str, postings: DataFrame, docs: DataFrame) -> None:
 
 def _segment(docs: DataFrame, folder: str, weights: dict[str, float], gone: DataFrame | None = None) -> None:
     """Write the postings and documents of a segment; removed ones have no size."""
-    from lumenary.sources.shared import checkpoint
-
     cut = checkpoint(_cut(docs, weights).select("id", F.size("words").alias("size"), "words"))
     rows = cut.select("id", "size", F.explode("words").alias("w")).groupBy("id", "size", "w.term").agg(F.sum(_weight(F.col("w.place"), weights)).alias("count"), F.sort_array(F.collect_list("w.place")).alias("places"))
     held = cut.select("id", "size", F.array_sort(F.array_distinct("words.term")).alias("terms"))
     if gone is not None:
         held = held.unionByName(gone.select(F.col("id").cast("long").alias("id")).join(held, "id", "left_anti").select("id", F.lit(None).cast("int").alias("size"), F.array().cast("array<string>").alias("terms")).distinct())
     _write(folder, _blocks(rows), held)
+    release(cut)
 
 
 def build(docs: DataFrame, folder: str, weights: dict[str, float] = WEIGHTS) -> Index:
