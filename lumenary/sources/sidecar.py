@@ -1,11 +1,11 @@
-"""XMP sidecars: written from captions, tags, ratings and face regions, and read back; by Arrow batches."""
+"""XMP sidecars: written by expressions from captions, tags, ratings and face regions, and read back by Arrow batches."""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -94,10 +94,65 @@ def contents(text: str | bytes | None) -> tuple:
     return caption, [t for found in texts("dc:subject", "rdf:li") for t in found], ratings[-1] if ratings else None, [t for found in texts("mwg-rs:Name") for t in found]
 
 
-@F.pandas_udf(StringType())
-def written(rows: pd.DataFrame) -> pd.Series:
-    """A sidecar for each struct of caption, tags, rating and regions."""
-    return pd.Series([packet(*r) for r in rows[["caption", "tags", "rating", "regions"]].itertuples(index=False)], dtype=object)
+def _safe(text: Column) -> Column:
+    """Text as it stands in an element."""
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
+        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
+    return text
+
+
+def _six(x: Column) -> Column:
+    """A number with six decimals, rounded by its exact value; a tie goes to the even one."""
+    size = F.abs(x.cast("double"))
+    scaled, big = size * F.lit(1e6), size * F.lit(134217729.0)  # the product splits `size` into halves that multiply exactly
+    high = big - (big - size)
+    lost = (high * F.lit(1e6) - scaled) + (size - high) * F.lit(1e6)
+    tie = scaled - F.floor(scaled) == 0.5
+    whole = F.when(tie & (lost > 0), F.ceil(scaled)).when(tie & (lost < 0), F.floor(scaled)).otherwise(F.rint(scaled)).cast("long")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(whole / 1_000_000).cast("string"), F.lit("."), F.lpad((whole % 1_000_000).cast("string"), 6, "0"))
+
+
+def _element(depth: int, name: str, inner: Column | str, marks: str = "") -> Column:
+    """A line with an element that holds text alone; an empty or null text closes it at once."""
+    open_, inner = "\n" + "  " * depth + f"<{name}{marks}", F.lit(inner) if isinstance(inner, str) else inner
+    return F.when(F.coalesce(inner, F.lit("")) == "", F.lit(f"{open_} />")).otherwise(F.concat(F.lit(f"{open_}>"), inner, F.lit(f"</{name}>")))
+
+
+def _around(depth: int, path: list[str], *inner: Column) -> Column:
+    """Lines with elements in each other, and `inner` in the last."""
+    opens = "".join("\n" + "  " * (depth + i) + f"<{step}>" for i, step in enumerate(path))
+    closes = "".join("\n" + "  " * (depth + i) + f"</{step.split(' ')[0]}>" for i, step in reversed(list(enumerate(path))))
+    return F.concat(F.lit(opens), *inner, F.lit(closes))
+
+
+def written(row: Column) -> Column:
+    """A sidecar for a struct of caption, tags, rating and regions, by expressions; what `packet` makes of the same values."""
+    caption, tags, rating, regions = (row[x] for x in ("caption", "tags", "rating", "regions"))
+    resource = ' rdf:parseType="Resource"'
+
+    def listed(items: Column, one) -> Column:
+        return F.array_join(F.transform(items, one), "")
+
+    def face(r: Column) -> Column:
+        place = [_element(8, f"stArea:{key}", _six(r[key])) for key in "xywh"]
+        area = _around(7, [f"mwg-rs:Area{resource}"], *place, _element(8, "stArea:unit", "normalized"))
+        return _around(6, [f"rdf:li{resource}"], _element(7, "mwg-rs:Name", _safe(r["name"])), _element(7, "mwg-rs:Type", "Face"), area)
+
+    size = _around(4, [f"mwg-rs:AppliedToDimensions{resource}"], *(_element(5, f"stDim:{k}", v) for k, v in (("w", "1"), ("h", "1"), ("unit", "normalized"))))
+    has_caption, has_tags, has_faces = F.coalesce(caption, F.lit("")) != "", F.size(tags) > 0, F.size(regions) > 0
+    parts = {
+        "description": F.when(has_caption, _around(3, ["dc:description", "rdf:Alt"], _element(5, "rdf:li", _safe(caption), ' xml:lang="x-default"'))),
+        "subject": F.when(has_tags, _around(3, ["dc:subject", "rdf:Bag"], listed(tags, lambda t: _element(5, "rdf:li", _safe(t))))),
+        "rating": F.when(rating.isNotNull(), _element(3, "xmp:Rating", rating.cast("int").cast("string"))),
+        "faces": F.when(has_faces, _around(3, [f"mwg-rs:Regions{resource}"], size, _around(4, ["mwg-rs:RegionList", "rdf:Bag"], listed(regions, face)))),
+    }
+    # The namespaces that are used stand in the order of their prefixes.
+    used = {"dc": has_caption | has_tags, "mwg-rs": has_faces, "rdf": F.lit(True), "stArea": has_faces, "stDim": has_faces, "x": F.lit(True), "xmp": rating.isNotNull()}
+    spaces = F.concat(*(F.when(F.coalesce(on, F.lit(False)), F.lit(f' xmlns:{p}="{SPACES[p]}"')).otherwise("") for p, on in used.items()))
+    body = F.concat(*(F.coalesce(p, F.lit("")) for p in parts.values()))
+    inner = _around(1, ["rdf:RDF", 'rdf:Description rdf:about=""'], body)
+    text = F.concat(F.lit(f"{HEAD}<x:xmpmeta"), spaces, F.lit(">"), inner, F.lit(f"\n</x:xmpmeta>{TAIL}"))
+    return F.when(F.coalesce(has_caption, F.lit(False)) | F.coalesce(has_tags, F.lit(False)) | F.coalesce(has_faces, F.lit(False)), text)
 
 
 @F.pandas_udf(READ)

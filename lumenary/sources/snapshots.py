@@ -1,6 +1,7 @@
 """States of a table, published one after the other: a folder for each, and a small file that names the current one.
 
-A state is written whole before the file names it, so a reader sees the old one or the new one, and never half of one.
+A state is written whole before the file names it, so a reader sees the old one or the new one, and never half of one,
+nor none. A state that readers may have planned with stays until the next is published, if its publisher asks for that.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if files.exists(at):
-        files.delete(at, False)
-    files.rename(first, at)
+    # Renamed over the file there, in one step: a crash or a reader in between finds the one or the other.
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    over = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), context._jsc.hadoopConfiguration()).rename(first, at, over)
 
 
 def about(spark: SparkSession, folder: str) -> dict | None:
@@ -53,24 +57,28 @@ def about(spark: SparkSession, folder: str) -> dict | None:
         return None
 
 
-def publish(rows: DataFrame, folder: str, **facts) -> int:
-    """Write a new state, name it current with its facts, and delete those before. Returns its number of rows."""
+def publish(rows: DataFrame, folder: str, keep: bool = False, **facts) -> int:
+    """Write a new state, name it current with its facts, and delete those before, with `keep` all but the last of them.
+
+    Returns its number of rows.
+    """
     spark = rows.sparkSession
+    before = (about(spark, folder) or {}).get("state") if keep else None
     name = f"state-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/{name}")
     count = spark.read.schema(rows.schema).parquet(f"{folder}/{name}").count()
-    _write(spark, f"{folder}/{CURRENT}", json.dumps({"state": name, "count": count, "schema": rows.schema.json()} | facts))
+    _write(spark, f"{folder}/{CURRENT}", json.dumps({"state": name, "before": before, "count": count, "schema": rows.schema.json()} | facts))
     sweep(spark, folder)
     return count
 
 
 def sweep(spark: SparkSession, folder: str) -> int:
-    """Delete the states that aren't current; how many there were."""
-    now, gone = (about(spark, folder) or {}).get("state"), 0
+    """Delete the states that are neither current nor the one before it; how many there were."""
+    known, gone = about(spark, folder) or {}, 0
     files, at = _files(spark, folder)
     for status in files.listStatus(at) if files.exists(at) else []:
         name = status.getPath().getName()
-        if name.startswith("state-") and name != now:
+        if name.startswith("state-") and name not in (known.get("state"), known.get("before")):
             files.delete(status.getPath(), True)
             gone += 1
     return gone

@@ -172,6 +172,19 @@ def test_sidecars(spark):
     assert "0.200000" in text and text.startswith("<?xpacket") and sidecar.contents(text.encode()) == sidecar.contents(text)
     assert sidecar.packet(None, [], 3, None) is None
     assert sidecar.contents("<broken") == sidecar.contents(None) == (None, [], None, [])
+    rows = [
+        ("a <b> & é\n\"q\"", ["x", "y & z", ""], 5, [("Ann <1>", 0.25, 1 / 3, 0.1, 2e-7), (None, 1.0, 0.5, 12.5, 0.0)]),
+        ("one", None, None, None), (None, ["t"], 3, []), ("", [], 5, None), (None, None, None, [("B", 0.1234565, 0.0, 1.0, 1.0)]), (None, None, None, None),
+    ]
+    made = spark.createDataFrame(rows, "caption string, tags array<string>, rating int, regions array<struct<name: string, x: double, y: double, w: double, h: double>>")
+    got = made.select("caption", sidecar.written(F.struct("*")).alias("p")).collect()
+    want = [sidecar.packet(c, tags, r, faces and [dict(zip(("name", *"xywh"), f)) for f in faces]) for c, tags, r, faces in rows]
+    assert want[3] is want[5] is None
+    for r, one in zip(got, want):
+        assert r["p"] == one
+    shares = [k / 16000 for k in range(0, 16001, 7)] + [k / 2560 for k in range(2561)] + [0.1234565, 0.0000005, -0.25, 1e-9]
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", sidecar._six(F.col("x")).alias("t")).collect()
+    assert all(r["t"] == format(r["x"], ".6f") for r in got) and len(got) == len(shares)
     df = spark.createDataFrame([(text,), (None,)], "t string").select(sidecar.read("t").alias("s"))
     assert [r["s"]["rating"] for r in df.collect()] == [5, None]
 

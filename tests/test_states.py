@@ -139,6 +139,19 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.about(spark, folder) is None
 
 
+def test_readers_of_the_state_before_can_end(spark, tmp_path):
+    folder = str(tmp_path / "states")
+    states = [spark.range(n) for n in (1, 2, 3)]
+    snapshots.publish(states[0], folder, keep=True)
+    first = snapshots.current(spark, folder)
+    assert snapshots.publish(states[1], folder, keep=True) == 2 and first.count() == 1
+    second = snapshots.current(spark, folder)
+    assert snapshots.publish(states[2], folder, keep=True) == 3 and second.count() == 2
+    assert len([n for n in os.listdir(folder) if n.startswith("state-")]) == 2
+    assert [n for n in os.listdir(folder) if n.startswith("_CURRENT")] == ["_CURRENT"]
+    assert snapshots.publish(states[0], folder) == 1 and len([n for n in os.listdir(folder) if n.startswith("state-")]) == 1
+
+
 def test_files(spark, tmp_path):
     names = ["a.JPG", "b.txt", "x/c.nef", ".h/d.jpg", "x/node_modules/y/e.png", "skip/f.jpg", "Thumbs.db"]
     for n in names:
