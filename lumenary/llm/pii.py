@@ -3,8 +3,9 @@
 Patterns detect e-mail addresses, secrets, IP addresses, phone numbers, card numbers, IBANs, social-security numbers and
 names (after a title, or a known given name before a surname; Chinese ones of a frequent surname before a title). Each
 distinct entity gets one replacement for all documents (coreference), drawn from a keyed hash, of the same type and
-format: digits stay digits, letters keep case and script, cards that pass the Luhn check still do, addresses of four
-numbers stay valid. Of a name, title, given name and surname count apart: titles stay, a given name gets one of the same
+format: digits stay digits, letters keep case and script, cards that pass the Luhn check and IBANs whose check digits
+hold still do, IP addresses stay valid, telephone numbers and IBANs keep their country and e-mail addresses their
+top-level domain. Of a name, title, given name and surname count apart: titles stay, a given name gets one of the same
 gender and script, a surname one of the same script, wherever they stand; so a person mentioned in full, by surname or
 without the title stays one person. Replacements are checked against each other and against all entities found: where
 two collide, all but one are drawn again with the next attempt number, until none collide.
@@ -43,12 +44,15 @@ _TITLE = "|".join(TITLES.values())
 _SURNAME = r"\p{Lu}[\p{L}\p{M}'’-]*[\p{Ll}\p{M}]"
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _HAN_NAME = rf"[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐)"
+# Country codes of telephone numbers; those that start with none of these have three digits.
+CODES = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: The types in order: of two at one place the first counts.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}\p{M}0-9._%+-]{0,63}+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![\p{L}0-9:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{3,4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}0-9:])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{2,4}(?:[ .-]?(?!(?:[0-9]{4}[ -]){3}[0-9])[0-9]{2,4}){2,3})(?![0-9]|[.-][0-9])|(?<![0-9(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:([ -]?)[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -69,7 +73,7 @@ def _kind(entity: Column) -> Column:
 
 def _normal(kind: Column, entity: Column) -> Column:
     """What makes two mentions one entity: case doesn't matter in addresses and secrets, nor separators between digits."""
-    return F.when(kind.isin("email", "secret"), F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, "[ .()-]", "")).otherwise(entity)
+    return F.when(kind.isin("email", "secret", "ipv6"), F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, "[ .()-]", "")).otherwise(entity)
 
 
 def _script(name: Column) -> Column:
@@ -136,6 +140,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), part), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder that an IBAN's check digits make 1: letters count as the numbers from 10 on."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(normal: Column, rest: Column) -> Column:
+    """The country of `normal`, check digits and `rest`; the digits hold as far as those of `normal` do."""
+    country = F.substring(normal, 1, 2)
+    was = _mod97(F.concat(F.expr("substring(normal, 5)"), country, F.substring(normal, 3, 2)))
+    check = F.pmod(was - _mod97(F.concat(rest, country, F.lit("00"))), F.lit(97))
+    return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), rest)
+
+
 def _drawn_name(kind: Column, name: Column, gender: Column, seed: Column, longer: Column) -> Column:
     """A surname, or a given name that is in no list: syllables of the same script, and for given names an ending by gender."""
     script, out = _script(name), F.lit(None).cast("string")
@@ -167,22 +184,31 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     out = entities.withColumn("seed", seed).withColumn("longer", longer).withColumn("plain", _scramble(F.col("seed"), F.col("normal")))
     out = out.withColumn("gender", F.coalesce("gender", F.when(_number(F.sha2(F.concat(F.lit(key), "normal"), 256), 9, 2) == 0, "f").otherwise("m")))
     seed = F.col("seed")
-    ip = F.array_join(F.transform(F.split("normal", r"\."), lambda c, i: (_number(seed, i, 256) + 256 * F.col("longer")).cast("string")), ".")
+    # There are more IP addresses than a corpus mentions; only attempts that no corpus needs leave their range.
+    over = F.greatest(F.col("attempt") - 10 * WIDER, F.lit(0))
+    ip = F.array_join(F.transform(F.split("normal", r"\."), lambda c, i: (_number(seed, i, 256) + 256 * over).cast("string")), ".")
+    ipv6 = F.when(F.col("longer") > 0, F.regexp_replace(F.substring(F.sha2(seed, 256), 1, 32), "(....)(?=.)", "$1:")).otherwise(_scramble(seed, F.col("normal"), True))
     # The last digit of a card makes its Luhn sum leave the same remainder.
     more = F.when(F.col("longer") > 0, F.substring(F.translate(F.sha2(seed, 256), "abcdef", "012345"), F.lit(1), 2 * F.col("longer"))).otherwise("")
     body = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), more)
     card = F.concat(body, F.pmod(_luhn(F.col("normal")) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    # Telephone numbers keep what follows the plus sign: the country.
-    phone = F.when(F.col("normal").startswith("+"), F.concat(F.substring("normal", 1, 2), F.expr("substring(plain, 3)"))).otherwise(F.col("plain"))
-    iban = F.concat(F.substring("normal", 1, 2), F.expr("substring(plain, 3)"))
+    # Telephone numbers keep the plus sign and the country code.
+    code = F.lit(3)
+    for digits in (2, 1):
+        code = F.when(F.substring("normal", 2, digits).isin(CODES[digits]), digits).otherwise(code)
+    out = out.withColumn("code", F.when(F.col("normal").startswith("+"), code + 1).otherwise(0))
+    phone = F.expr("concat(substring(normal, 1, code), substring(plain, code + 1))")
+    iban = _iban(F.col("normal"), F.concat(F.expr("substring(plain, 5)"), more))
+    email = F.regexp_replace("plain", r"[^.@]+\z", F.regexp_extract("normal", r"([^.@]+)\z", 1))
     value = (
         F.when(F.col("kind").isin("given", "surname"), _drawn_name(F.col("kind"), F.col("normal"), F.col("gender"), seed, F.col("longer")))
         .when(F.col("kind") == "ip", ip)
         .when(F.col("kind") == "card", card)
         .when(F.col("kind") == "phone", F.concat(phone, more))
-        .when(F.col("kind") == "iban", F.concat(iban, more))
+        .when(F.col("kind") == "ipv6", ipv6)
+        .when(F.col("kind") == "iban", iban)
         .when(F.col("kind") == "secret", F.concat(F.when(F.col("normal").rlike(r"\A[0-9a-f]+\z"), _scramble(seed, F.col("normal"), True)).otherwise(F.col("plain")), more))
-        .when(F.col("kind") == "email", F.concat(more, F.col("plain")))
+        .when(F.col("kind") == "email", F.concat(more, email))
         .otherwise(F.concat(F.col("plain"), more))
     )
     return out.withColumn("surrogate", value).select("kind", "normal", "gender", "attempt", "surrogate")
@@ -218,7 +244,7 @@ def _format(kind: Column, entity: Column, normal_out: Column) -> Column:
     spread = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[ .()-]"), c).otherwise(F.substring(normal_out, i + 1 - F.aggregate(F.slice(marks, 1, i), F.lit(0), lambda a, x: a + x), F.lit(1)))), "")
     over = F.aggregate(marks, F.length(normal_out) - F.size(marks), lambda a, x: a + x)  # digits of a longer replacement
     spread = F.concat(spread, F.when(over > 0, F.right(normal_out, over)).otherwise(""))
-    shouted = kind.isin("email", "secret") & (entity == F.upper(entity))
+    shouted = kind.isin("email", "secret", "ipv6") & (entity == F.upper(entity))
     return F.when(numbers, spread).when(shouted, F.upper(normal_out)).otherwise(normal_out)
 
 

@@ -108,6 +108,28 @@ def test_pii_cheap_test_lets_every_pattern_pass(spark):
     assert all(got[i].n_entities == 1 and x not in got[i].text for i, x in enumerate(mentions))
 
 
+def test_pii_keeps_countries_checks_and_domains(spark):
+    def remainder(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    mentions = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE11 3704 0044 0532 0130 00", "+49 30 1234567", "+1 202 555 0147", "+44 20 7946 0958", "+353 20 555 0147", "ann.b@mail.example.co.uk", "a@b.com", "2001:db8::ff00:42:8329", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "fe80::1"]
+    times = "at 12:30:45 or 10:20, a::b and std::vector"
+    rows = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(mentions)] + [(99, times)], "doc_id long, text string")
+    rows_out = {r.doc_id: r for r in pii.replace(rows, "k").collect()}
+    assert rows_out[99].text == times
+    got = [rows_out[i].text[4:-6] for i in range(len(mentions))]
+    assert all(a != b and rows_out[i].n_entities == 1 for i, (a, b) in enumerate(zip(mentions, got)))
+    for a, b in zip(mentions[:3], got):
+        assert b[:2] == a[:2] and b[4:] != a[4:] and remainder(a.replace(" ", "")) == remainder(b.replace(" ", "")) and len(a) == len(b)
+    for i, code in ((3, "+49 "), (4, "+1 "), (5, "+44 "), (6, "+353 ")):
+        assert got[i].startswith(code) and len(got[i]) == len(mentions[i]) and got[i][len(code) :] != mentions[i][len(code) :]
+    assert got[7].endswith(".uk") and got[8].endswith(".com") and "example" not in got[7]
+    import ipaddress
+
+    for a, b in zip(mentions[9:], got[9:]):
+        assert ipaddress.ip_address(b) != ipaddress.ip_address(a) and b.isupper() == a.isupper() and b.count(":") == a.count(":")
+
+
 def test_licenses(docs, empty):
     rows = docs.sparkSession.createDataFrame([(1, "All rights-reserved. CC by; cc BY 4.0 under GNU General Public License, version 3"), (2, "all right reserved"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(rows, license_scan.document_frequencies(rows)).collect()}
