@@ -83,7 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     counts if its fingerprint is within `radius` bits of the item's and its weighted Jaccard similarity, over shingles
     of `width` words (of all words, for shorter items), is at least `percent` hundredths. Words are lower-cased (A-Z)
     and parted by ASCII white space. Null and empty texts or items match nothing; a repeated row gives one row; rows
-    with a null doc_id are reported with it; of equal items each is reported. `keep_key` adds the rows' hash, `rid`.
+    with a null doc_id are reported with it; of equal items each is reported. Very long texts are compared whole, an empty
+    table of either kind gives no rows, and further columns are ignored, whatever their names. `keep_key` adds the rows' hash, `rid`.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
@@ -154,7 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the rows that hold a benchmark item; all other rows stay, null and empty texts too.
 
-    All columns stay, whatever their names. Only rows that a bitmap of 2 MB can't rule out are joined.
+    All columns stay, whatever their names; repeated rows stay or go together; very long texts are compared whole; an
+    empty `docs` stays empty, and an empty `benchmark` leaves all rows. Only rows that a bitmap of 2 MB can't rule out are joined.
     """
     bad = T.checkpoint(contaminated(docs, benchmark, keep_key=True, **options).select("rid").distinct())
     key = F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text").cast("string"))

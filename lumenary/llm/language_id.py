@@ -150,7 +150,7 @@ def _predict(model, names):
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` (doc_id, text; others are ignored) to (doc_id, lang_pred, score), a row for each row.
 
-    Whole texts are read. A text that is null or has no letter is `und` with score 0. A text without a known n-gram, or
+    Whole texts are read, very long ones too; repeated rows are kept and equal texts judged alike. A text that is null or has no letter is `und` with score 0. A text without a known n-gram, or
     with as many in two languages, gets the most frequent, or the first by name. The score is the corrected share of
     n-grams in the language. Without training rows all is `und`.
     """

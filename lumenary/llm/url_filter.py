@@ -70,7 +70,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     A rule fits its host and all subdomains, if the url's path starts with the rule's; the longest rule (host and path
     as one string) wins, then the first by name. Without a rule, `rule` is null and `verdict` the default. Null urls and
     urls without `://` have empty host and path, and no rule fits them. Rows with null rules' hosts or paths are
-    ignored; of equal rules the first verdict by name counts. All rows of pages stay; further columns are ignored.
+    ignored; of equal rules the first verdict by name counts. All rows of pages stay, repeated ones and null page_ids too;
+    very long urls are judged whole; no pages give no rows, no rules the default; further columns are ignored, whatever
+    their names.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))

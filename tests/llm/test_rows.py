@@ -85,6 +85,20 @@ def test_repeated_rows_and_ties(spark):
     assert found.count() == 120 and found.where("size(licences) > 0").count() == 0
 
 
+def test_pages_and_vectors_with_clashing_columns(spark):
+    clash = ["key", "part", "kind", "rule", "verdict", "salt"]
+    extra = ", ".join(f"'x' as {n}" for n in clash)
+    long = "http://a.Example.org/es/" + "p" * 1_000_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://b.org/"), (3, "://")], "page_id long, url string").selectExpr("*", extra.split(", ")[0], *extra.split(", ")[1:])
+    rules = spark.createDataFrame([("example.org", "/es/", "block"), ("example.org", "/es/", "no"), ("org", "/", "allow")], "host string, path string, verdict string").selectExpr("*", "'y' as key", "1 as part", "'z' as page_id")
+    got = sorted((r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect() if r.page_id < 3)
+    assert got == [(1, "a.example.org", 1_000_004, "example.org/es/", "block")] * 2 + [(2, "b.org", 1, "org/", "allow")]
+    vectors = spark.range(60).selectExpr("id as vec_id", "array(cos(id), sin(id)) as embedding", "'x' as a", "1 as b", "null as v", "array(1) as ids", "2 as rank", "'q' as query_id")
+    found = ann.nearest(vectors).collect()
+    plain = ann.nearest(vectors.select("vec_id", "embedding")).collect()
+    assert sorted(found) == sorted(plain) and len(found) == 60
+
+
 def test_vectors_with_ties(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(30 + i, [0.0, 1.0]) for i in range(3)] + [(3, [1.0, 0.0])]
     got = {}
