@@ -25,24 +25,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group that links of 0.75 Jaccard similarity hold together.
 
-    Null and blank texts all stay; of rows that are equal in doc_id and text one stays; columns may have any names.
+    Null and blank texts all stay; of rows that are equal in doc_id and text one stays; very long texts count whole;
+    columns may have any names; an empty table stays empty.
     """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows go or stay together."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows go or stay together.
+
+    Very long texts are compared whole; an empty benchmark leaves all rows; columns may have any names.
+    """
     return decontaminate.clean(docs, T.table(spark, sf_dir, "benchmark"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with PII in the text replaced; n_chars counts the new text (null for a null one)."""
+    """All documents, with PII in the text replaced; n_chars counts the new text (null for a null one).
+
+    Empty texts stay empty, very long ones are treated whole, repeated rows stay and get equal texts, and an empty table
+    stays empty.
+    """
     out = pii.replace(docs, pii.QUERY_KEY)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*T.columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document: n_tokens and digests of the token ids and of the bytes decoded from them; none for null texts."""
+    """For each document: n_tokens and digests of the token ids and of the bytes decoded from them; none for null texts.
+
+    An empty text has no tokens either; very long ones are encoded whole; repeated rows stay, with equal digests; an empty
+    table gives an empty result.
+    """
     import public_tokenizers as P
 
     return bpe.round_trip_digest(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
