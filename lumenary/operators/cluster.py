@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,10 @@ from lumenary.sources.shared import checkpoint
 BLOCK = 4096
 #: Pivots are taken from a bounded sample; they only group rows, and bound how near two groups can come.
 PIVOTS = 256
+#: Hashes of a block, about, where all are compared with all; a task holds two blocks.
+TILE = 1 << 16
+#: How many hashes are compared in the time in which a join makes a row, about.
+DEAR = 100
 
 
 def _matrix(column) -> np.ndarray:
@@ -106,18 +111,49 @@ def near_hashes(rows: DataFrame, most: int) -> DataFrame:
     """(a, b, distance) of all pairs of rows (id, h), a < b, whose 64-bit hashes differ in `most` bits at least at most.
 
     Up to 11 bits: in one of four blocks of 16 bits such hashes differ by a quarter of that at most, so one side is
-    entered under all values so near to its own. Beyond, each block gets a threshold of its own, see `_wide_pairs`.
+    entered under all values so near to its own. Beyond, each block gets a threshold of its own, see `_wide_pairs`. Where
+    so many rows share values that these ways compare a good part of all pairs, all are compared, see `_tiled_pairs`.
     """
-    one = rows.select(F.col("id").cast("long").alias("id"), F.col("h").cast("long").alias("h"))
-    if most // 4 <= 2:
-        masks = [sum(1 << k for k in c) for d in range(most // 4 + 1) for c in combinations(range(16), d)]
-        cut = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("long").alias("v")) for i in range(4)))
-        wide = one.select("id", "h", F.explode(cut).alias("c"))
-        a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "c.i", "c.v", F.explode(F.lit(masks)).alias("mask")).select("a", "ha", "i", F.col("v").bitwiseXOR(F.col("mask").cast("long")).alias("v"))
-        b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "c.i", "c.v")
-        distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-        return a.join(b, ["i", "v"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
-    return _wide_pairs(one, most)
+    one = checkpoint(rows.select(F.col("id").cast("long").alias("id"), F.col("h").cast("long").alias("h")).where("id is not null and h is not null"))
+    total = one.count()
+    if total <= BLOCK:
+        return _tiled_pairs(one, most, total)
+    cut = F.array(*(F.struct(F.lit(i).alias("i"), _part("h", i).alias("v")) for i in range(4)))
+    wide = one.select("id", "h", F.inline(cut))
+    held = wide.groupBy("i", "v").agg(F.count("*").alias("n")).toArrow()  # 4 x 2**16 rows at most
+    counts = np.zeros((4, 1 << 16))
+    counts[held.column("i").to_numpy(), held.column("v").to_numpy()] = held.column("n").to_numpy()
+    if most // 4 > 2:
+        return _wide_pairs(one, wide, counts, most, total)
+    if _meetings(counts)[:, : most // 4 + 1].sum() * DEAR > total * total:
+        return _tiled_pairs(one, most, total)
+    masks = [sum(1 << k for k in c) for d in range(most // 4 + 1) for c in combinations(range(16), d)]
+    a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "i", F.col("v").alias("own"), F.explode(F.lit(masks)).alias("mask"))
+    a = a.select("a", "ha", "i", F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
+    b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "i", "v")
+    return _met(a.join(b.hint("merge"), ["i", "v"]), most, [most // 4] * 4)
+
+
+def _met(both: DataFrame, most: int, allowed: list[int]) -> DataFrame:
+    """Of rows (a, ha, b, hb, i) that met in block i: the near pairs, each in the first block in which it meets."""
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*(F.when(F.bit_count(F.shiftrightunsigned(differ, 16 * i).bitwiseAND(F.lit(0xFFFF))) <= t, F.lit(i)) for i, t in enumerate(allowed) if t >= 0))
+    distance = F.bit_count(differ)
+    return both.where((F.col("a") < F.col("b")) & (distance <= most) & (first == F.col("i"))).select("a", "b", distance.alias("distance"))
+
+
+def _meetings(counts: np.ndarray) -> np.ndarray:
+    """For each block of 16 bits, how many pairs of rows differ in 0 to 16 of them (block x 17), by how often values occur."""
+    x = counts.copy()
+    for k in range(16):  # Walsh-Hadamard: its square is that of the counts by which bits differ
+        x = x.reshape(len(counts), -1, 2, 1 << k)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2)
+    x = x.reshape(len(counts), -1) ** 2
+    for k in range(16):
+        x = x.reshape(len(counts), -1, 2, 1 << k)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2)
+    bits = np.bitwise_count(np.arange(1 << 16))
+    return np.array([np.bincount(bits, row, 17) for row in x.reshape(len(counts), -1) / (1 << 16)])
 
 
 def _part(h: str, i) -> Column:
@@ -143,21 +179,58 @@ def thresholds(costs: np.ndarray, most: int) -> list[int]:
     return best[most + 1][1]
 
 
-def _all_pairs(most: int):
+def _compared(most: int):
+    """Tiles of rows (id, h, left: whether of the left block, both: whether left and right are one block, tile) to near pairs."""
+
     def run(batches):
         import pyarrow as pa
 
-        parts = [(b.column("id").to_numpy(), b.column("h").to_numpy().view(np.uint64)) for b in batches if b.num_rows]
-        ids, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        for k in range(0, len(ids), 256):
-            d = np.bitwise_count(h[k : k + 256, None] ^ h)
-            at, to = np.nonzero((d <= most) & (ids[k : k + 256, None] < ids))
-            yield pa.record_batch([pa.array(ids[k + at]), pa.array(ids[to]), pa.array(d[at, to].astype(np.int32))], names=["a", "b", "distance"])
+        table = [b for b in batches if b.num_rows]
+        if not table:
+            return
+        table = pa.Table.from_batches(table)
+        ids, h, left, both, tile = (table.column(c).to_numpy() for c in ("id", "h", "left", "both", "tile"))
+        h, found, size = h.view(np.uint64), [], 0
+
+        def out():
+            return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b", "distance"])
+
+        for t in np.unique(tile):
+            x = np.flatnonzero((tile == t) & left)
+            y = x if both[x[:1]].all() else np.flatnonzero((tile == t) & ~left)
+            for k in range(0, len(x), 64):
+                for m in range(0, len(y), 8192):
+                    i, j = x[k : k + 64], y[m : m + 8192]
+                    d = np.bitwise_count(h[i, None] ^ h[j])
+                    at = np.flatnonzero(d <= most)
+                    if not len(at):
+                        continue
+                    a, b = ids[i[at // len(j)]], ids[j[at % len(j)]]
+                    some = a < b if x is y else a != b
+                    found.append((np.minimum(a, b)[some], np.maximum(a, b)[some], d.ravel()[at][some].astype(np.int32)))
+                    size += len(found[-1][0])
+                    if size > 100_000:
+                        yield out()
+                        found, size = [], 0
+        if found:
+            yield out()
 
     return run
 
 
-def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
+def _tiled_pairs(one: DataFrame, most: int, total: int) -> DataFrame:
+    """Pairs by comparing all rows, block with block: a task holds two blocks of TILE rows, about, and writes what it finds.
+
+    Rows are sent once for each block, so a table of fewer than TILE rows is cut only to give each core some tiles.
+    """
+    cores = one.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-total // TILE), min(-(-total // BLOCK), isqrt(4 * cores)))
+    rows = one.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.lit(list(range(blocks)))))
+    rows = rows.select("id", "h", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("both"), F.expr("cast(greatest(block, other) * (greatest(block, other) + 1) div 2 as int) + least(block, other)").alias("tile"))
+    return rows.repartitionById(blocks * (blocks + 1) // 2, "tile").mapInArrow(_compared(most), "a long, b long, distance int")
+
+
+def _wide_pairs(one: DataFrame, wide: DataFrame, counts: np.ndarray, most: int, total: int) -> DataFrame:
     """Pairs by blocks of 16 bits with thresholds allotted by how often values occur.
 
     A block has 2**16 values at most, so all values and their counts are known to every task. They tell how many pairs of
@@ -165,40 +238,20 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
     rows in the first block that it is near in.
     """
     spark = one.sparkSession
-    if one.limit(BLOCK + 1).count() <= BLOCK:  # one block of rows
-        return one.repartition(1).mapInArrow(_all_pairs(most), "a long, b long, distance int")
-    cut = F.array(*(F.struct(F.lit(i).alias("i"), _part("h", i).alias("v")) for i in range(4)))
-    wide = one.select("id", "h", F.inline(cut))
-    held = wide.groupBy("i", "v").agg(F.count("*").alias("n")).toArrow()  # 4 x 2**16 rows at most
-    if not held.num_rows:
-        return spark.createDataFrame([], "a long, b long, distance int")
-    at, value, number = (held.column(c).to_numpy() for c in ("i", "v", "n"))
-    known = [(value[at == i].astype(np.uint16), number[at == i].astype(np.float64)) for i in range(4)]
-    shared = spark.sparkContext.broadcast(known)
-    shares = max(1, max(len(v) for v, _ in known) // 512)
+    sums = _meetings(counts)
+    allowed = thresholds(sums, most)
+    if sum(row[: t + 1].sum() for row, t in zip(sums, allowed)) * DEAR > total * total:
+        return _tiled_pairs(one, most, total)
+    shared = spark.sparkContext.broadcast([np.flatnonzero(c).astype(np.uint16) for c in counts])
+    shares = max(1, max(np.count_nonzero(c) for c in counts) // 512)
     chunks = spark.range(0, 4 * shares, 1, min(4 * shares, 512))  # each a block and a share of its values
 
-    def costs(batches):
-        import pyarrow as pa
-
-        sums = np.zeros((4, 17))
-        for batch in batches:
-            for c in batch.column(0).to_pylist():
-                v, n = shared.value[c // shares]
-                for k in range(c % shares, len(v), 64 * shares):
-                    some = slice(k, k + 64 * shares, shares)
-                    sums[c // shares] += np.bincount(np.bitwise_count(v[some, None] ^ v).ravel(), np.outer(n[some], n).ravel(), 17)
-        yield pa.record_batch([pa.array(np.arange(4, dtype=np.int32)), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "sums"])
-
-    parts = chunks.mapInArrow(costs, "i int, sums array<double>").groupBy("i").agg(*(F.sum(F.col("sums")[d]).alias(f"d{d}") for d in range(17))).orderBy("i").collect()
-    allowed = thresholds(np.array([r[1:] for r in parts]), most)
-
     def near_values(batches):
         import pyarrow as pa
 
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                v, t = shared.value[c // shares][0], allowed[c // shares]
+                v, t = shared.value[c // shares], allowed[c // shares]
                 for k in range(c % shares, len(v) if t >= 0 else 0, 64 * shares):
                     some = v[k : k + 64 * shares : shares]
                     at, to = np.nonzero(np.bitwise_count(some[:, None] ^ v) <= t)
@@ -207,11 +260,7 @@ def _wide_pairs(one: DataFrame, most: int) -> DataFrame:
     pairs = chunks.mapInArrow(near_values, "i int, v int, u int")
     a = wide.select(F.col("id").alias("a"), F.col("h").alias("ha"), "i", "v")
     b = wide.select(F.col("id").alias("b"), F.col("h").alias("hb"), "i", F.col("v").alias("u"))
-    both = a.join(pairs, ["i", "v"]).join(b, ["i", "u"]).where("a < b")
-    differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*(F.when(F.bit_count(F.shiftrightunsigned(differ, 16 * i).bitwiseAND(F.lit(0xFFFF))) <= t, F.lit(i)) for i, t in enumerate(allowed) if t >= 0))
-    distance = F.bit_count(differ)
-    return both.where((distance <= most) & (first == F.col("i"))).select("a", "b", distance.alias("distance"))
+    return _met(a.join(pairs.hint("merge"), ["i", "v"]).join(b.hint("merge"), ["i", "u"]), most, allowed)  # far more pairs than Spark guesses
 
 
 def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

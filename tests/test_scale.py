@@ -232,3 +232,29 @@ def test_nearest_against_all(spark, monkeypatch, people, most):
     rows, named = table(range(len(v)), v, "key long, v array<double>"), table(ids, c, "person_id long, centroid array<double>")
     assert {tuple(r) for r in nearest.nearest(rows, named, most).collect()} == want
     assert nearest.nearest(rows, named.limit(0), most).count() == 0 and nearest.nearest(rows.limit(0), named, most).count() == 0
+
+
+@pytest.mark.parametrize("most", (6, 14, 18))
+def test_near_hashes_by_tiles_and_by_blocks_alike(spark, monkeypatch, most):
+    rng = random.Random(most)
+    h = [rng.getrandbits(64) for _ in range(150)]
+    h += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(22))) for x in h] + h[:20]
+    want = {(i, j, d) for i, x in enumerate(h) for j, y in enumerate(h) if i < j and (d := (x ^ y).bit_count()) <= most}
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(h)], "id long, h long")
+    monkeypatch.setattr(cluster, "BLOCK", 50)
+    for dear, tile in ((1e9, 90), (0, 90)):
+        monkeypatch.setattr(cluster, "DEAR", dear)
+        monkeypatch.setattr(cluster, "TILE", tile)
+        got = cluster.near_hashes(df, most)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+        # pairs of values are far more than Spark guesses: they are never sent to every task
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_meetings_count_all_pairs(spark):
+    counts = np.zeros((2, 1 << 16))
+    v = np.random.default_rng(3).integers(0, 1 << 16, (2, 300))
+    for row, x in zip(counts, v):
+        np.add.at(row, x, 1)
+    want = [np.bincount(np.bitwise_count(x[:, None] ^ x).ravel(), minlength=17) for x in v]
+    assert np.allclose(cluster._meetings(counts), want)
