@@ -106,8 +106,8 @@ def stats(lib) -> DataFrame:
 def timeline(lib, photos: DataFrame, by: str = "month", searched: bool = False, oldest_first: bool = False) -> DataFrame:
     """Groups of ranked photos (id, taken_at, rel_path, rank) by day, month, year, folder or none: (key, n, place).
 
-    Groups of a search, and folders, stand in the order of their first photo; else in that of time. Photos without a
-    time are one group, 0000, and files without a folder another, an empty one.
+    Groups of a search, and folders, stand in the order of their first photo (of equal ranks in that of their keys); else
+    in that of time. Photos without a time are one group, 0000, and files without a folder another, an empty one.
     """
     forms = {"day": "yyyyMMdd", "month": "yyyyMM", "year": "yyyy"}
     if by == "folder":
@@ -117,8 +117,8 @@ def timeline(lib, photos: DataFrame, by: str = "month", searched: bool = False,
     else:
         key = F.when(F.coalesce("taken_at", F.lit(0)) == 0, "0000").otherwise(F.date_format(F.timestamp_seconds("taken_at"), forms[by]))
     groups = photos.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    order = F.col("first") if searched or by in ("folder", "none") else F.col("key") if oldest_first else F.desc("key")
-    return groups.withColumn("place", F.row_number().over(W.orderBy(order))).select("key", "n", "place")  # a row for each group
+    order = ["first", "key"] if searched or by in ("folder", "none") else ["key"] if oldest_first else [F.desc("key")]
+    return groups.withColumn("place", F.row_number().over(W.orderBy(*order))).select("key", "n", "place")  # a row for each group
 
 
 def match_sources(lib, hits: DataFrame) -> DataFrame:

@@ -266,3 +266,11 @@ def test_numbers_in_order(spark):
     got = {(r["a"], r["b"]): r["place"] for r in numbered(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
     assert got == {r: k for k, r in enumerate(sorted(rows), 1)}
     assert numbered(spark.createDataFrame([], "a long"), "a").count() == 0
+
+
+def test_timeline_of_equal_ranks_stands_by_key(spark):
+    rows = [(i, 86400 * 31 * (i * 37 % 40 + 1), f"f{i * 37 % 40:02}/a.jpg", 7) for i in range(40)]
+    photos = spark.createDataFrame(rows, "id long, taken_at long, rel_path string, rank long").repartition(4, "id")
+    for by, searched in (("folder", False), ("month", True)):
+        got = reports.timeline(None, photos, by, searched).orderBy("place").collect()
+        assert [r.key for r in got] == sorted(r.key for r in got) and [r.place for r in got] == list(range(1, len(got) + 1))
