@@ -28,6 +28,7 @@ COLUMN = 40
 #: Blocks of the highest bounds that are scored first, to learn what the best hits have at least.
 FIRST = 64
 POSTINGS = "term string, block long, ids array<long>, counts array<double>, sizes array<int>, places array<array<long>>, most double, least int"
+CUT = "id long, size int, terms array<string>, counts array<double>, places array<array<long>>"
 DOCS = "id long, size int, terms array<string>"
 STATE = "version int, segments array<string>, n long, total long, columns array<string>, weights array<double>"
 SMALL = ("parquet.block.size", str(1 << 22))
@@ -75,14 +76,34 @@ def _publish(index: Index) -> Index:
     return index
 
 
-def _cut(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(id, words: term and place of each): the one step that reads text and runs Python."""
-    parts = docs.select(F.col("id").cast("long").alias("id"), *(stem.stemmed(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"c{i}") for i, c in enumerate(weights)))
+def _held(weights: list[float]):
+    """Rows (id, a text for each weight) to CUT."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64())))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part, rows = batch.slice(k, 200), []
+                for texts in zip(*(c.to_pylist() for c in part.columns[1:])):
+                    found, size = {}, 0
+                    for i, text in enumerate(texts):
+                        cut = stem.words(text)
+                        size += len(cut)
+                        for place, w in enumerate(cut, i << COLUMN):
+                            found.setdefault(w, []).append(place)
+                    terms = sorted(found)
+                    rows.append((size, terms, [sum(weights[x >> COLUMN] for x in found[w]) for w in terms], [found[w] for w in terms]))
+                yield pa.record_batch([part.column(0), *(pa.array(list(x), kind) for x, kind in zip(zip(*rows), kinds))], names=["id", "size", "terms", "counts", "places"])
 
-    def placed(i):
-        return F.transform(f"c{i}", lambda w, k: F.struct(w.alias("term"), (F.lit(i << COLUMN) + k).alias("place")))
+    return run
 
-    return parts.select("id", F.concat(*(placed(i) for i in range(len(weights)))).alias("words"))
+
+def _cut(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """CUT of each document, its terms in order, with weighted counts and places: the one step that reads text and runs Python."""
+    parts = docs.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(weights)))
+    return parts.mapInArrow(_held([float(w) for w in weights.values()]), CUT)
 
 
 def _weight(place: Column, weights: dict[str, float]) -> Column:
@@ -90,21 +111,23 @@ def _weight(place: Column, weights: dict[str, float]) -> Column:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(id, size, term, count, places) to POSTINGS; a block has 2**BLOCK rows at most."""
-    rows = rows.groupBy("term", F.shiftright("id", BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "count", "size", "places"))).alias("p"))
+    """(id, size, term, count, places) to POSTINGS, in ranges of terms; a block has 2**BLOCK rows at most."""
+    rows = rows.select("id", "size", "term", "count", "places", F.shiftright("id", BLOCK).alias("block"))
+    # dealt before blocks are made, so that rows travel once and nothing costly runs twice for the bounds of ranges
+    rows = rows.repartitionByRange("term", "block").groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "count", "size", "places"))).alias("p"))
     return rows.select("term", "block", F.col("p.id").alias("ids"), F.col("p.count").alias("counts"), F.col("p.size").alias("sizes"), F.col("p.places").alias("places"), F.array_max("p.count").alias("most"), F.array_min("p.size").alias("least"))
 
 
 def _write(folder: str, postings: DataFrame, docs: DataFrame) -> None:
-    postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option(*SMALL).parquet(f"{folder}/postings")
+    postings.sortWithinPartitions("term", "block").write.option(*SMALL).parquet(f"{folder}/postings")
     docs.repartitionByRange("id").write.parquet(f"{folder}/docs")
 
 
 def _segment(docs: DataFrame, folder: str, weights: dict[str, float], gone: DataFrame | None = None) -> None:
     """Write the postings and documents of a segment; removed ones have no size."""
-    cut = checkpoint(_cut(docs, weights).select("id", F.size("words").alias("size"), "words"))
-    rows = cut.select("id", "size", F.explode("words").alias("w")).groupBy("id", "size", "w.term").agg(F.sum(_weight(F.col("w.place"), weights)).alias("count"), F.sort_array(F.collect_list("w.place")).alias("places"))
-    held = cut.select("id", "size", F.array_sort(F.array_distinct("words.term")).alias("terms"))
+    cut = checkpoint(_cut(docs, weights))
+    rows = cut.select("id", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("count"), "places")))
+    held = cut.select("id", "size", "terms")
     if gone is not None:
         held = held.unionByName(gone.select(F.col("id").cast("long").alias("id")).join(held, "id", "left_anti").select("id", F.lit(None).cast("int").alias("size"), F.array().cast("array<string>").alias("terms")).distinct())
     _write(folder, _blocks(rows), held)

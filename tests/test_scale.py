@@ -258,3 +258,9 @@ def test_meetings_count_all_pairs(spark):
         np.add.at(row, x, 1)
     want = [np.bincount(np.bitwise_count(x[:, None] ^ x).ravel(), minlength=17) for x in v]
     assert np.allclose(cluster._meetings(counts), want)
+
+
+def test_postings_travel_once(spark, texts):
+    rows = text_index._cut(texts, COLUMNS).select("id", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("count"), "places")))
+    plan = text_index._blocks(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(term") == 1 and "hashpartitioning" not in plan
