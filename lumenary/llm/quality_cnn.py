@@ -61,7 +61,7 @@ def _tops(net, symbols: np.ndarray, halves: np.ndarray):
     total = int(halves.sum())
     last = np.zeros(total, bool)
     last[np.cumsum(halves) - 1] = True
-    top, arg = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.int16)
+    top, arg = np.empty((total, FILTERS), net["filters"].dtype), np.empty((total, FILTERS), np.int16)
     step = 512
     for k in range(0, total, step):
         m = min(step, total - k)
@@ -87,7 +87,18 @@ def _chunks(top: np.ndarray, halves: np.ndarray):
 
 
 def _probability(net, pooled):
-    return 1 / (1 + np.exp(-np.clip(pooled @ net["out"] + net["last"], -30, 30)))
+    z = np.full(len(pooled), net["last"], np.float64)
+    for i, w in enumerate(net["out"]):  # a matrix product may add up in another order at another place
+        z += pooled[:, i] * w
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _exact(net: dict) -> dict:
+    """`net` in doubles, rounded so that all sums of a window are exact: they are the same in any order, at any place."""
+    embed, filters, bias = (net[k].astype(np.float64) for k in ("embed", "filters", "bias"))
+    most = WIDTH * EMBED * np.abs(embed).max() * np.abs(filters).max() + np.abs(bias).max() + 1
+    scale = 2.0 ** int((51 - np.ceil(np.log2(most))) // 2)
+    return net | {"embed": np.round(embed * scale) / scale, "filters": np.round(filters * scale) / scale, "bias": np.round(bias * scale) / scale}
 
 
 def _gradient(net, symbols, halves, labels, weight):
@@ -143,7 +154,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0, repeats: bool = T
 
 def probabilities(net: dict, column) -> np.ndarray:
     """The probability of each text of an Arrow column; none depends on another text, or on its place in the column."""
-    out = np.zeros(len(column))
+    net, out = _exact(net), np.zeros(len(column))
     for row, data, bounds in T.runs(column):
         symbols, halves = _symbols(data, bounds)
         out[row : row + len(bounds) - 1] = _probability(net, _chunks(_tops(net, symbols, halves)[0], halves)[2])

@@ -85,6 +85,20 @@ def test_repeated_rows_and_ties(spark):
     assert found.count() == 120 and found.where("size(licences) > 0").count() == 0
 
 
+def test_quality_is_the_same_at_every_place():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    net = {"embed": (513, quality_cnn.EMBED), "filters": (quality_cnn.WIDTH * quality_cnn.EMBED, quality_cnn.FILTERS), "bias": quality_cnn.FILTERS, "out": quality_cnn.FILTERS, "last": ()}
+    net = {k: rng.normal(0, 0.4, n).astype(np.float32) if n else np.float32(0) for k, n in net.items()}
+    some = ["the quick brown fox", "brown fox " * 100]
+    for n in (1, 2, 7, 300):
+        column = [t for i in range(n) for t in (*some, "x" * (37 * i))]
+        got = quality_cnn.probabilities(net, pa.array(column))
+        assert len(set(got[::3])) == len(set(got[1::3])) == 1 and got[0] != got[1]
+
+
 def test_pages_and_vectors_with_clashing_columns(spark):
     clash = ["key", "part", "kind", "rule", "verdict", "salt"]
     extra = ", ".join(f"'x' as {n}" for n in clash)
