@@ -364,8 +364,8 @@ class _Join:
         home = T.checkpoint(crowded.groupBy("node", "lead").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead"))["lead"].alias("home")))
         if home.isEmpty():
             return None
-        # The parts of a hot shingle count as one shingle here.
-        at = crowded.select(F.when(F.col("hot"), F.shiftright("token", 16)).otherwise(F.col("token")).alias("token"), "node", "component", "n").join(home, "node")
+        # The parts of a hot shingle count as one shingle here. One row for each crowded posting, kept as it is read three times.
+        at = T.checkpoint(crowded.select(F.when(F.col("hot"), F.shiftright("token", 16)).otherwise(F.col("token")).alias("token"), "node", "component", "n").join(home, "node"))
         homes = at.select("token", "home").distinct()
         other = homes.toDF("token", "other")
         joined = homes.join(other, "token").where("home < other")
@@ -374,6 +374,7 @@ class _Join:
         sizes = meets.groupBy("home", "other", "component").agg(F.sum("n").alias("k")).groupBy("home", "other").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("all"))
         sizes = sizes.where("all > x.k").select("home", "other", F.col("x.component").alias("main"), F.ceil((F.col("all") - F.col("x.k")) / HELD).cast("int").alias("rows_"), F.ceil(F.col("all") / HELD).cast("int").alias("cols_"))
         meets = T.checkpoint(meets.join(sizes, ["home", "other"]).withColumn("meet", F.xxhash64("home", "other")))
+        T.release(at, home)
         block = F.xxhash64("node", F.lit(11))
         few = meets.where("component <> main").select("meet", F.pmod(block, "rows_").alias("row"), F.explode(F.expr("sequence(0L, cols_ - 1L)")).alias("col"), "node", "component")
         many = meets.select("meet", F.explode(F.expr("sequence(0L, rows_ - 1L)")).alias("row"), F.pmod(block, "cols_").alias("col"), "node", "component")

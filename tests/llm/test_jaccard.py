@@ -63,6 +63,22 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+def test_crowded_postings_are_read_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    plans, write = [], jaccard_join.T.checkpoint
+
+    def checkpoint(df):
+        if "meet" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(jaccard_join.T, "checkpoint", checkpoint)
+    rows = texts(3, 120)
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 75)
+    assert plans and not any("Join Inner, (node#" in p for p in plans)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = texts(7, 200)
     extra = [(i, t, f"n{i}", i, "s") for i, t in rows]
