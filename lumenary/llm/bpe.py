@@ -142,6 +142,8 @@ def _words_of_block(pattern: str, shards: int):
             for t in _unpack(blob.as_py()):
                 words.update(split(t.decode(errors="replace")))
         parts = [(s, _pack(x)) for s, x in enumerate(_shards(words, shards)) if x]
+        words.clear()
+        T.trim()
         block = table.column("block")[0].as_py()
         return pa.table({"shard": pa.array([s for s, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "words": pa.array([x for _, x in parts], pa.binary())})
 
@@ -183,7 +185,7 @@ def _assemble(path: str, pattern: str, shards: int, decoded: bool):
         import pyarrow as pa
         import zstandard
 
-        split, index, doc_ids, places = _splitter(pattern), _Index(), [], []
+        split, index, doc_ids, places, words = _splitter(pattern), _Index(), [], [], None
         for k in range(texts.num_rows):
             doc_ids += texts.column("ids")[k].as_py()
             for t in _unpack(texts.column("texts")[k].as_py()):
@@ -218,8 +220,8 @@ def _assemble(path: str, pattern: str, shards: int, decoded: bool):
         if decoded:
             token = _token_bytes(path)
             columns["decoded"] = pa.array([b"".join(token[x].tolist()) for x in out], pa.binary())
-        del out, places, texts, answers
-        pa.default_memory_pool().release_unused()
+        del out, places, texts, answers, index, words, flat, count, order, counts, ids, start, many
+        T.trim()
         return pa.table(columns)
 
     return run
