@@ -9,44 +9,49 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import providers
 from lumenary.operators import changes
-from lumenary.sources.shared import checkpoint
+from lumenary.sources.shared import checkpoint, fresh, numbered
 
 #: The order of stages; groups of faces follow faces.
 ORDER = ("thumbs", "embed", "faces", "caption", "cluster")
 
 
 def batches(lib, stage: str, size: int, limit: int, work):
-    """Work through the pending jobs of a stage, `size` at a time, `limit` at most; the library with the jobs' new states.
+    """Work through the pending jobs of a stage, `size` at a time, until `limit` of them ended; the library with the jobs' new states.
 
-    `work` gets claimed jobs and returns (id, state, error). Jobs that are put back to pending could be claimed for ever:
-    what this run has claimed before counts as no new work, is put back without the attempt, and ends the run when there
-    is nothing else.
+    `work` gets claimed jobs and returns (id, state, error). Jobs are claimed by priority, then id, each once in a run:
+    one that is put back to pending isn't claimed again, and the run ends when there is nothing else. All pending jobs
+    are numbered, and get what `work.prepare` (if there is one) adds to them, once; a batch reads its own folder of these.
     """
-    seen = None
+    spark, queue, prepared, ended = lib.spark, fresh(lib.spark, "queue"), fresh(lib.spark, "jobs"), fresh(lib.spark, "ended")
     counts = {"done": 0, "failed": 0, "skipped": 0}
-    while counts["done"] + counts["failed"] < limit:
-        jobs = checkpoint(changes.claim(lib, stage, min(size, limit - counts["done"] - counts["failed"])))
-        if jobs.isEmpty():
-            break
-        fresh = jobs if seen is None else checkpoint(jobs.join(seen, "id", "left_anti"))
-        if fresh.isEmpty():
-            break
-        claimed = lib.with_tables(job=changes.upsert(lib.job, fresh, ["id"], ["state", "attempts"]))
-        results = checkpoint(work(fresh))
-        for r in results.groupBy("state").count().collect():
+    pending = numbered(lib.job.where((F.col("stage") == stage) & (F.col("state") == "pending")), "priority", "id")
+    pending.withColumns({"state": F.lit("running"), "attempts": F.col("attempts") + 1}).write.parquet(queue)
+    jobs = spark.read.schema(pending.schema).parquet(queue)
+    total, at = jobs.count(), 0
+    if not total:
+        return lib, counts
+    rows = getattr(work, "prepare", lambda jobs: jobs)(jobs).withColumn("batch", F.expr(f"(place - 1) div {size}"))
+    rows.repartitionByRange("place").write.partitionBy("batch").parquet(prepared)
+    rows = spark.read.schema(rows.schema).parquet(prepared)
+    while at < total and counts["done"] + counts["failed"] < limit:
+        upto = at + min(size, limit - counts["done"] - counts["failed"])
+        part = rows.where(F.col("batch").between(at // size, (upto - 1) // size) & (F.col("place") > at) & (F.col("place") <= upto))
+        results = work(part.drop("batch", "place")).select("id", "state", "error")
+        results.write.parquet(f"{ended}/upto={upto}")
+        for r in spark.read.schema(results.schema).parquet(f"{ended}/upto={upto}").groupBy("state").count().collect():
             counts["skipped" if r["state"] == "pending" else r["state"]] += r["count"]
-        lib = lib.with_tables(job=checkpoint(changes.finish(claimed, results)))
-        seen = fresh.select("id") if seen is None else checkpoint(seen.unionByName(fresh.select("id")))
-    return lib, counts
+        at = upto
+    claimed = lib.with_tables(job=changes.upsert(lib.job, jobs.where(F.col("place") <= at).select(*lib.job.columns), ["id"], ["state", "attempts"]))
+    return lib.with_tables(job=checkpoint(changes.finish(claimed, spark.read.schema(results.schema).parquet(ended)))), counts
 
 
 def provider_work(lib, payloads: DataFrame, kind: str, name: str):
     """Work for `batches`: a provider runs over the payloads (photo_id, payload) of the jobs' photos; offline ones stay pending."""
 
     def work(jobs: DataFrame) -> DataFrame:
-        rows = jobs.select("id", "photo_id").join(payloads, "photo_id", "left")
-        return providers.run_stage(rows, kind, name, "id", "payload").select("id", "state", "error")
+        return providers.run_stage(jobs, kind, name, "id", "payload").select("id", "state", "error")
 
+    work.prepare = lambda jobs: jobs.join(payloads.select("photo_id", "payload"), "photo_id", "left")
     return work
 
 

@@ -81,6 +81,16 @@ def test_jobs_end_when_nothing_is_new(spark):
         lib.reset_stage("nothing")
 
 
+def test_jobs_behind_offline_ones_are_run(spark):
+    jobs = spark.createDataFrame([(i, i, "caption", "pending", 1, 0) for i in range(1, 21)], "id long, photo_id long, stage string, state string, priority long, attempts long")
+    texts = spark.createDataFrame([(i, None if i <= 7 else "one two three four five") for i in range(1, 21)], "photo_id long, payload string")
+    for limit, ended in ((1000, 13), (4, 4)):
+        out, counts = runner.batches(Library(spark, {"job": jobs}), "caption", 5, limit, runner.provider_work(None, texts, "caption", "first_words"))
+        got = {r["id"]: (r["state"], r["attempts"]) for r in out.job.collect()}
+        assert got == {i: ("pending", 1) if i <= 7 else ("done", 1) if i <= 7 + ended else ("pending", 0) for i in range(1, 21)}
+        assert counts == {"done": ended, "failed": 0, "skipped": 7}
+
+
 def test_runner(spark):
     done = []
     work = {s: (lambda lib, s=s: (done.append(s) or lib, {"n": 1})) for s in runner.ORDER}
