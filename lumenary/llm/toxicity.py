@@ -9,9 +9,9 @@ Counts cover all training rows; a document counts a pair of words once, so that
 times doesn't make it an expression of its class. They are exact, in DataFrames. Words of which no class has more than
 its discount are one word, the unknown one: they cost no less than the back-off alone. The model that tasks get holds
 the other words and the pairs of which a class has more than its discount, 12 to 28 bytes each, and grows with the
-labelled rows up to MODEL_WORDS and MODEL_PAIRS. Beyond these it leaves out those of the lowest counts, at a known price:
-a pair of which the classes have t discounted occurrences at most changes a word's log ratio by log(1 + t / ANY_PAIR)
-at most.
+labelled rows up to MODEL_WORDS and MODEL_PAIRS. Those of the lowest counts beyond these stay in tables: each text asks for
+its words and pairs that the broadcast model doesn't hold, a join finds those that the tables do, and they go along with the
+text. So all of them count, alike in either place.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ PAIR_BACK_OFF = 60
 ANY_PAIR = 30
 WINDOW = 4
 TOP = 4
-#: Most words and pairs of the model that is broadcast: 112 and 96 MB.
+#: Most words and pairs of the model that is broadcast: 112 and 96 MB; the rest are found by joins.
 MODEL_WORDS = 4_000_000
 MODEL_PAIRS = 8_000_000
 #: Most labelled training rows whose evidence fits the logistic curve (4 numbers each). The counts have no such bound.
@@ -59,22 +59,95 @@ def _merged(parts: list) -> list[np.ndarray]:
     return [key[at], *(np.add.reduceat(n[order], at, dtype=np.int32) if len(at) else n for n in (n0, n1))]
 
 
-def _pairs(words: np.ndarray, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `words` of each word and of the one before it; the first of a document has the start mark before it."""
+#: What a batch brings along of the words and pairs that aren't in the broadcast model: none.
+NONE = {"words": np.zeros(0, _U), "at": np.zeros(0, np.int64), "word": np.zeros(0), "context": np.zeros(0), "pairs": np.zeros(0, _U), "pair": np.zeros(0)}
+
+
+def _pairs(words: np.ndarray, h: np.ndarray, counts: np.ndarray, more: np.ndarray = NONE["words"]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `words`, and after them in `more`, of each word and of the one before it; the first of a document has the start mark before it."""
     start, unknown = np.searchsorted(words, np.array([START, UNKNOWN]))
     some, back = np.unique(h, return_inverse=True)
     at, known = _find(words, some)
-    w = np.where(known, at, unknown)[back]
+    at = np.where(known, at, unknown)
+    if len(more):
+        far, there = _find(more, some)
+        at = np.where(there, len(words) + far, at)
+    w = at[back]
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[(np.cumsum(counts) - counts)[counts > 0]] = start
     return v, w
 
 
+def _of(kept: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at places in `kept` and, after them, in `more`."""
+    if not len(more):
+        return kept[at]
+    far = at >= len(kept)
+    out = kept[np.where(far, 0, at)]
+    out[far] = more[at[far] - len(kept)]
+    return out
+
+
+def _keys(n: int, more_at: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs: the numbers of both words. A word of the model has its place, below n, one of the tables its own number."""
+    if len(more_at):
+        v, w = (np.where(x < n, x, more_at[np.maximum(x - n, 0)]) for x in (v, w))
+    return v.astype(_U) << _U(32) | w.astype(_U)
+
+
+def _brought(batch) -> dict:
+    """What the rows of a batch bring along: see _asking. Sorted by key, each once."""
+    out = dict(NONE)
+    for column, key, values in (("more_words", "words", ("at", "word", "context")), ("more_pairs", "pairs", ("pair",))):
+        if column in batch.schema.names:
+            held = batch.column(column).flatten()
+            got = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(held.type, held.flatten())}
+            out[key], first = np.unique(got["key"].astype(np.int64).view(_U), return_index=True)
+            out |= {c: got[c][first] for c in values if c in got}
+    return out
+
+
+def _asking(rows: DataFrame, model, column: str, table: DataFrame) -> DataFrame:
+    """`rows` (row, a number of its own, text and more) with what each has of `table` (key and values), in an array.
+
+    `model` is a broadcast of the sorted hashes of words, as "words", and for pairs of their keys, as "pairs": only what these
+    don't hold is asked for, once for each row.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = model.value
+        for batch in batches:
+            more, number = _brought(batch), batch.column("row").to_numpy()
+            for row, data, bounds in T.runs(batch.column("text")):
+                key, counts = T.words(data, bounds, T.NOT_WORD)
+                if not len(key):
+                    continue
+                if column == "more_pairs":
+                    key = _keys(len(m["words"]), more["at"], *_pairs(m["words"], key, counts, more["words"]))
+                doc, held = np.repeat(np.arange(len(counts)), counts), m["pairs" if column == "more_pairs" else "words"]
+                some = ~_find(held, key)[1]
+                key, doc = key[some], doc[some]
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                key, doc = key[new], number[row + doc[new]]
+                for s in range(0, len(key), 100_000):
+                    yield pa.record_batch([pa.array(doc[s : s + 100_000]), pa.array(key[s : s + 100_000].view(np.int64))], names=["row", "key"])
+
+    kept = ["row", "text", *(c for c in ("more_words",) if c in rows.columns)]
+    asked = rows.select(*kept).mapInArrow(T.trimmed(run), "row long, key long")
+    found = asked.join(table, "key").groupBy("row").agg(F.collect_list(F.struct(*table.columns)).alias(column))
+    return rows.join(found, "row", "left")
+
+
 def _count(words=None):
     """Rows (text, toxic) to (key, n0, n1): in how many documents of each class.
 
-    Without `words`, a broadcast of the sorted hashes of the words kept, keys are hashes of words; with them the places
+    Without `words`, a broadcast with the sorted hashes of the words kept, keys are hashes of words; with them the numbers
     of two words that follow each other.
     """
 
@@ -90,13 +163,14 @@ def _count(words=None):
         held, size = [], 0
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            more = _brought(batch)
             for row, data, bounds in T.runs(batch.column("text")):
                 key, counts = T.words(data, bounds, T.NOT_WORD)
                 if not len(key):
                     continue
                 if words is not None:
-                    v, w = _pairs(words.value, key, counts)
-                    key = v.astype(_U) << _U(32) | w.astype(_U)
+                    kept = words.value["words"]
+                    key = _keys(len(kept), more["at"], *_pairs(kept, key, counts, more["words"]))
                 doc = np.repeat(np.arange(len(counts)), counts)
                 order = np.lexsort((key, doc))
                 key, doc = key[order], doc[order]
@@ -149,40 +223,109 @@ def _share(rows: DataFrame) -> np.ndarray:
     return total / total.min()
 
 
-def _over(rows: DataFrame, share: np.ndarray, most: int) -> DataFrame:
-    """The rows of which a class has more than its discount; where they are over `most`, those of the largest counts."""
+def _over(rows: DataFrame, share: np.ndarray, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of which a class has more than its discount: where they are over `most`, those of the largest counts, and the rest."""
     count = F.greatest(*(F.col(f"n{c}") / F.lit(float(share[c])) for c in (0, 1)))
     rows = rows.where(count > DISCOUNT)
-    least, left = DISCOUNT, most
+    left = most
     for r in rows.groupBy(F.least(F.ceil(count), F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
         left -= r["count"]
         if left < 0:
-            least = r["n"]
-            break
-    return rows.where(count > float(least))
+            return rows.where(count > float(r["n"])), rows.where(count <= float(r["n"]))
+    return rows, None
+
+
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """`rows` (key) with a column `at`: numbers from `first` on."""
+    at = F.monotonically_increasing_id()
+    rows = T.checkpoint(rows.select("key", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place")))
+    starts = []
+    for r in rows.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        starts.append((r["part"], first))
+        first += r["count"]
+    if first >= 1 << 31:
+        raise ValueError("over 2**31 words")
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "part long, start long"))
+    return rows.join(starts, "part").select("key", (F.col("start") + F.col("place")).alias("at"))
 
 
 def _counts(rows: DataFrame) -> dict:
-    """Exact counts of what has more than its discount in some class; see _model."""
+    """Exact counts of what has more than its discount in some class; see _model.
+
+    `rest` are what is beyond the model's bounds: all words by number with their counts, the words (key, at) and the pairs
+    (key, n0, n1) that aren't among the arrays; None where there are none.
+    """
     words = T.checkpoint(rows.mapInArrow(_count(), _KEYS).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    (key,) = _collect(_over(words, _share(words), MODEL_WORDS - 2), {"key": "u8"})
-    T.release(words)
+    kept, more_words = _over(words, _share(words), MODEL_WORDS - 2)
+    (key,) = _collect(kept, {"key": "u8"})
     key = np.unique(np.concatenate([key, [START, UNKNOWN]]))
-    kept = rows.sparkSession.sparkContext.broadcast(key)
+    n = len(key)
+    kept = rows.sparkSession.sparkContext.broadcast({"words": key})
+    if more_words is not None:
+        more_words = T.checkpoint(_numbered(more_words.select("key"), n))
+        numbered = T.checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+        rows = _asking(numbered, kept, "more_words", more_words)
+    T.release(words)
     pairs = T.checkpoint(rows.mapInArrow(_count(kept), _KEYS).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    if more_words is not None:
+        T.release(numbered)
     share = _share(pairs)
     sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     given = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(float(DISCOUNT * share[c])))).alias(f"g{c}") for c in (0, 1)]
-    at, *x = _collect(pairs.groupBy(F.col("key").bitwiseAND(0xFFFFFFFF).alias("w")).agg(F.count("*").alias("contexts"), *sums), {"w": "i8", "contexts": "f8", "n0": "f8", "n1": "f8"})
-    word = np.zeros((3, len(key)))
+    second = pairs.groupBy(F.col("key").bitwiseAND(0xFFFFFFFF).alias("w")).agg(F.count("*").alias("contexts"), *sums)
+    first = pairs.groupBy(F.shiftright("key", 32).alias("v")).agg(*sums, *given)
+    at, *x = _collect(second.where(F.col("w") < n), {"w": "i8", "contexts": "f8", "n0": "f8", "n1": "f8"})
+    word = np.zeros((3, n))
     word[:, at] = x
-    at, *x = _collect(pairs.groupBy(F.shiftright("key", 32).alias("v")).agg(*sums, *given), {"v": "i8", "n0": "f8", "n1": "f8", "g0": "f8", "g1": "f8"})
-    follow = np.zeros((4, len(key)))
+    at, *x = _collect(first.where(F.col("v") < n), {"v": "i8", "n0": "f8", "n1": "f8", "g0": "f8", "g1": "f8"})
+    follow = np.zeros((4, n))
     follow[:, at] = x
-    at, *x = _collect(_over(pairs, share, MODEL_PAIRS), {"key": "u8", "n0": "f4", "n1": "f4"})
+    inside = (F.shiftright("key", 32) < n) & (F.col("key").bitwiseAND(0xFFFFFFFF) < n)
+    kept, more_pairs = _over(pairs if more_words is None else pairs.where(inside), share, MODEL_PAIRS)
+    at, *x = _collect(kept, {"key": "u8", "n0": "f4", "n1": "f4"})
     order = np.argsort(at)
+    if more_words is not None:  # pairs with a word of the tables are there too
+        outside, _ = _over(pairs.where(~inside), share, 1 << 62)
+        more_pairs = outside if more_pairs is None else more_pairs.unionByName(outside)
+    rest = None
+    if more_words is not None or more_pairs is not None:
+        both = second.join(first.toDF("v", "f0", "f1", "g0", "g1"), F.col("w") == F.col("v"), "full").select(F.coalesce("w", "v").alias("at"), "contexts", "n0", "n1", "f0", "f1", "g0", "g1")
+        rest = {"all": T.checkpoint(both.fillna(0)), "words": more_words, "pairs": T.checkpoint(more_pairs)}
     T.release(pairs)
-    return {"share": share, "words": key, "n": word[1:], "backed": word[0], "follow": follow, "pairs": at[order], "pair_n": np.stack(x)[:, order]}
+    return {"share": share, "words": key, "n": word[1:], "backed": word[0], "follow": follow, "pairs": at[order], "pair_n": np.stack(x)[:, order], "rest": rest}
+
+
+def _rest(raw: dict) -> tuple[np.ndarray, dict]:
+    """Of the words and pairs beyond the model's bounds: what the words weigh in each class, and tables as _model's arrays.
+
+    The words are (key, at, word, context), the pairs (key, pair).
+    """
+    share, rest, n = [float(x) for x in raw["share"]], raw["rest"], len(raw["words"])
+    own = [F.greatest(F.col(f"n{c}") - F.lit(DISCOUNT * share[c]), F.lit(0.0)) + share[c] * (BACK_OFF * F.col("contexts") + ANY_WORD) for c in (0, 1)]
+    left = [F.col(f"g{c}") + PAIR_BACK_OFF * share[c] for c in (0, 1)]
+    alone = [F.log(left[c] / (F.col(f"f{c}") + PAIR_BACK_OFF * share[c])) for c in (0, 1)]
+    some = rest["all"].where(F.col("at") >= n).agg(*(F.sum(x) for x in own)).first()
+    weights = np.array([x or 0.0 for x in some])
+    total = [float(x) for x in _own(raw).sum(1) + weights]
+    known = rest["all"].select("at", *((own[c] / total[c]).alias(f"own{c}") for c in (0, 1)), *(left[c].alias(f"left{c}") for c in (0, 1)), (alone[1] - alone[0]).alias("context"))
+    known = known.withColumn("word", F.log(F.col("own1") / F.col("own0")))
+    words, pairs = rest["words"], rest["pairs"]
+    if words is not None:
+        words = T.checkpoint(words.join(known, "at").select("key", "at", F.col("word").cast("float").alias("word"), F.col("context").cast("float").alias("context")))
+    if pairs is not None:
+        a = known.select(F.col("at").alias("v"), "left0", "left1", "context")
+        b = known.select(F.col("at").alias("w"), "own0", "own1", "word")
+        pairs = pairs.withColumns({"v": F.shiftright("key", 32), "w": F.col("key").bitwiseAND(0xFFFFFFFF)}).join(a, "v").join(b, "w")
+        base = [F.col(f"left{c}") * F.col(f"own{c}") + share[c] * ANY_PAIR for c in (0, 1)]
+        logs = [F.log((F.greatest(F.col(f"n{c}") - F.lit(DISCOUNT * share[c]), F.lit(0.0)) + base[c]) / base[c]) for c in (0, 1)]
+        pairs = T.checkpoint(pairs.select("key", (logs[1] - logs[0] + F.col("context") + F.col("word")).cast("float").alias("pair")))
+    return weights, {"words": words, "pairs": pairs}
+
+
+def _own(raw: dict) -> np.ndarray:
+    """What each word of the arrays weighs in each class."""
+    share = raw["share"]
+    return np.maximum(raw["n"] - DISCOUNT * share[:, None], 0) + share[:, None] * (BACK_OFF * raw["backed"] + ANY_WORD)
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,16 +334,16 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (keys[at] == x if len(keys) else np.zeros(len(x), bool))
 
 
-def _model(raw: dict) -> dict[str, np.ndarray]:
-    """What scoring looks up: log ratios of words, of contexts that back off, and of pairs.
+def _model(raw: dict, weights: np.ndarray | float = 0.0) -> dict[str, np.ndarray]:
+    """What scoring looks up: log ratios of words, of contexts that back off, and of pairs; `weights` are those of other words, see _rest.
 
     A class's word probability is its discounted count and its part of the back-off counts; a pair's is its discounted
     count and what the pairs after its first word gave up, spread by the word probabilities, and counts how many times
     more often than by back-off alone it is seen. A pair without an entry has the ratio of its word and its context.
     """
     share, pairs = raw["share"], raw["pairs"]
-    own = np.maximum(raw["n"] - DISCOUNT * share[:, None], 0) + share[:, None] * (BACK_OFF * raw["backed"] + ANY_WORD)
-    own /= own.sum(1)[:, None]
+    own = _own(raw)
+    own /= (own.sum(1) + weights)[:, None]
     left = raw["follow"][2:] + PAIR_BACK_OFF * share[:, None]
     alone = np.log(left / (raw["follow"][:2] + PAIR_BACK_OFF * share[:, None]))
     word, context = np.log(own[1] / own[0]), alone[1] - alone[0]
@@ -215,16 +358,19 @@ def _model(raw: dict) -> dict[str, np.ndarray]:
     return {"words": raw["words"], "word": word.astype(np.float32), "context": context.astype(np.float32), "pairs": pairs, "pair": ratio}
 
 
-def _evidence(model, data, bounds):
+def _evidence(model, data, bounds, more: dict = NONE):
     """Mean log ratio, that of the most toxic window, the number of words and the mean of the top words, for each document of a run."""
     h, counts = T.words(data, bounds, T.NOT_WORD)
     out = np.zeros((len(counts), 4))
     if not len(h):
         return out
-    v, w = _pairs(model["words"], h, counts)
-    ratio = model["word"][w].astype(float) + model["context"][v]
-    at, ok = _find(model["pairs"], v.astype(_U) << _U(32) | w.astype(_U))
-    ratio[ok] = model["pair"][at[ok]]
+    v, w = _pairs(model["words"], h, counts, more["words"])
+    ratio = _of(model["word"], more["word"], w).astype(float) + _of(model["context"], more["context"], v)
+    key = _keys(len(model["words"]), more["at"], v, w)
+    for pairs, values in ((model["pairs"], model["pair"]), (more["pairs"], more["pair"])):
+        if len(pairs):
+            at, ok = _find(pairs, key)
+            ratio[ok] = values[at[ok]]
     total = np.concatenate([[0.0], np.cumsum(ratio)])
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -268,15 +414,26 @@ def _scorer(model, names):
 
         m = model.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, 4))
+            out, more = np.zeros((batch.num_rows, 4)), _brought(batch)
             for row, data, bounds in T.runs(batch.column("text")):
-                out[row : row + len(bounds) - 1] = _evidence(m, data, bounds)
+                out[row : row + len(bounds) - 1] = _evidence(m, data, bounds, more)
             kept = [batch.column(n) for n in names]
             yield pa.record_batch([*kept, pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2]), pa.array(out[:, 3])], names=[*names, *EVIDENCE])
 
     return T.trimmed(run)
 
 
+def _judged(rows: DataFrame, shared, rest: dict | None, names: list[str]) -> DataFrame:
+    """`rows` (`names` and text) to `names` and evidence; words and pairs of the tables in `rest` count as those of the model do."""
+    kinds = dict(rows.dtypes)
+    if rest is not None:
+        rows = T.checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+        for column, table in (("more_words", rest["words"]), ("more_pairs", rest["pairs"])):
+            if table is not None:
+                rows = T.checkpoint(_asking(rows, shared, column, table))
+    return rows.mapInArrow(_scorer(shared, names), ", ".join(f"{x} {kinds[x]}" for x in names) + f", {_KINDS}")
+
+
 def train(labelled: DataFrame) -> dict:
     """A model from rows (doc_id, text, toxic 0/1); rows with null labels are ignored.
 
@@ -285,8 +442,10 @@ def train(labelled: DataFrame) -> dict:
     """
     rows = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("long").alias("toxic"), F.xxhash64("doc_id", F.lit(1)).alias("by"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"))
     rows = T.checkpoint(rows)  # read three times
-    shared = rows.sparkSession.sparkContext.broadcast(_model(_counts(rows.where("fold <> 0").select("text", "toxic"))))
-    held = rows.where("fold = 0").select("by", "toxic", F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared, ["by", "toxic"]), f"by long, toxic long, {_KINDS}")
+    raw = _counts(rows.where("fold <> 0").select("text", "toxic"))
+    weights, rest = (0.0, None) if raw["rest"] is None else _rest(raw)
+    shared = rows.sparkSession.sparkContext.broadcast(_model(raw, weights))
+    held = _judged(rows.where("fold = 0").select("by", "toxic", F.col("text").cast("string").alias("text")), shared, rest, ["by", "toxic"])
     got = held.orderBy("by", *EVIDENCE).limit(CALIBRATION_ROWS).toPandas()
     T.release(rows)
     x, y = got[[*EVIDENCE]].to_numpy(float), got["toxic"].to_numpy(float)
@@ -295,7 +454,7 @@ def train(labelled: DataFrame) -> dict:
         curve = np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0])
     else:
         curve = _logistic(_features(x), y)
-    return {"tables": shared, "curve": curve}
+    return {"tables": shared, "rest": rest, "curve": curve}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -305,7 +464,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     score that the curve gives to none. Repeated rows and null doc_ids are kept, equal texts score alike, very long ones
     are read whole in bounded memory, and an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(_scorer(model["tables"], ["doc_id"]), f"doc_id long, {_KINDS}")
+    rows = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model["tables"], model["rest"], ["doc_id"])
     n = F.log1p("n_words") / 8
     terms = [F.lit(1.0), F.col("mean_ratio"), F.col("top_ratio"), n, F.col("top_words"), F.col("top_words") * n]
     z = sum((F.lit(float(c)) * t for c, t in zip(model["curve"], terms)), F.lit(0.0))

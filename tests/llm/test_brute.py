@@ -297,3 +297,19 @@ def test_toxic_model_within_its_bounds(spark, monkeypatch):
     data = np.frombuffer(rows[0][1].encode(), np.uint8)
     x, y = (toxicity._evidence(m, data, np.array([0, len(data)]))[0, 0] for m in (a, b))
     assert abs(x - y) <= np.log(1 + least / toxicity.ANY_PAIR)
+
+
+def test_toxic_words_and_pairs_beyond_the_broadcast_count(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 400) + (" you rotten thing" if i % 3 == 0 else "") for i in range(240)]
+    rows = [(i, t, int(i % 3 == 0)) for i, t in enumerate(texts)] + [(None, "", 0), (7, None, 1), (7, "w1 rotten rotten new", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+
+    def scores():
+        return sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, *(round(x, 4) for x in (r.score, r.mean_ratio, r.top_ratio, r.top_words))) for r in toxicity.score(df, toxicity.train(df)).collect())
+
+    whole = scores()
+    for words, pairs in ((20, 50), (20, 1 << 20), (1 << 20, 50)):
+        monkeypatch.setattr(toxicity, "MODEL_WORDS", words)
+        monkeypatch.setattr(toxicity, "MODEL_PAIRS", pairs)
+        assert np.allclose(scores(), whole, atol=2e-4)
