@@ -15,6 +15,8 @@ from lumenary.sources.shared import checkpoint
 BLOCK = 4096
 #: Pivots are taken from a bounded sample; they only group rows, and bound how near two groups can come.
 PIVOTS = 256
+#: Bytes of the vectors of a block of either side, where blocks are compared with each other, at most; products held at a time.
+TILE_BYTES, PRODUCTS = 32 << 20, 1 << 22
 #: Hashes of a block, about, where all are compared with all; a task holds two blocks.
 TILE = 1 << 16
 #: How many hashes are compared in the time in which a join makes a row, about.
@@ -65,28 +67,63 @@ class Cells:
     def paired(self, rows: DataFrame, angle: float, held: dict[int, int] | None = None) -> DataFrame:
         """`rows` (id, pivot), each once for every pair of blocks (lo, hi) in which it may meet another within the angle.
 
-        Blocks are numbered group by group, so a row works out which ones it can meet; what is broadcast is a table of the
-        pivots and of which of them are near each other.
+        Blocks grow with the rows, up to TILE_BYTES, so that each row is sent to a few: a large group has blocks of its own,
+        small ones next to each other share one. A row works out which ones it can meet; what is broadcast is a table of the
+        pivots and of which blocks hold a group near each.
         """
         places = self._places(self.held if held is None else held, angle)
-        met = F.flatten(F.transform("near", lambda x: F.sequence(x["first"], x["first"] + x["shards"] - 1)))
+        met = F.array_distinct(F.flatten(F.transform("near", lambda x: F.sequence(x["first"], x["first"] + x["shards"] - 1))))
         rows = rows.join(F.broadcast(places), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards")))  # PIVOTS rows
         return rows.withColumn("other", F.explode(met)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("first", "shards", "near", "other")
 
+    def _chain(self, some: list[int]) -> list[int]:
+        """Pivots in an order in which each is followed by the nearest of those left."""
+        left, out = set(some), []
+        while left:
+            out.append(min(left, key=lambda p: (self.between[out[-1], p] if out else 0, p)))
+            left.remove(out[-1])
+        return out
+
     def _places(self, held: dict[int, int], angle: float | None) -> DataFrame:
-        shards = {p: -(-n // self.block) for p, n in sorted(held.items())}
-        first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist()))
+        if angle is None:
+            shards = {p: -(-n // self.block) for p, n in sorted(held.items())}
+            first = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist()))
+        else:
+            total, cores = sum(held.values()), self.spark.sparkContext.defaultParallelism
+            most = max(self.block, min(TILE_BYTES // (8 * max(1, self.pivots.shape[-1])), -(-total // isqrt(4 * cores))))
+            shards, first, at, full = {}, {}, 0, most
+            for p in self._chain(list(held)):
+                shards[p] = max(1, -(-held[p] // most))
+                if shards[p] > 1 or full + held[p] > most:
+                    first[p], at, full = at, at + shards[p], held[p] if shards[p] == 1 else most
+                else:
+                    first[p], full = at - 1, full + held[p]
         near = {p: [(first[q], shards[q]) for q in shards if angle is not None and self.between[p, q] - self.radius[p] - self.radius[q] <= angle + 1e-9] for p in shards}
         kind = "pivot long, first long, shards long" + (", near array<struct<first: long, shards: long>>" if angle is not None else "")
         return self.spark.createDataFrame([(p, first[p], shards[p], near[p])[: 3 + (angle is not None)] for p in shards], kind)
 
 
+def least_cosine(least: float) -> float:
+    """The smallest number that is `least` or more, to six digits: comparing with it needs no rounding."""
+    low, high = least - 1e-6, least + 1e-6
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (low, middle) if np.round(middle, 6) >= least else (middle, high)
+    return high
+
+
+def near_rows(x: np.ndarray, y: np.ndarray, least: float):
+    """(k, hit): for some rows of x, from k on, whether their cosine with each row of y is `least`; PRODUCTS at a time."""
+    step = max(16, PRODUCTS // max(1, len(y)))
+    for k in range(0, len(x), step):
+        yield k, x[k : k + step] @ y.T >= least
+
+
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(x, y) of all pairs of vectors (vec_id, embedding) whose cosine, to six digits, is `least` or more; both ways.
 
     Blocks of groups that may hold a pair are multiplied with each other.
     """
-    cells = Cells(vectors, BLOCK)
+    cells, enough = Cells(vectors, BLOCK), least_cosine(least)
 
     def compare(rows):
         import pyarrow as pa
@@ -94,8 +131,8 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
         ids, block, v = rows.column("id").to_numpy(), rows.column("block").to_numpy(), _matrix(rows.column("v"))
         a, b = block == rows.column("lo")[0].as_py(), block == rows.column("hi")[0].as_py()
         xs, ys, i, j, left, right = [], [], ids[a], ids[b], v[a], v[b]
-        for k in range(0, len(i), 1024):
-            at, to = np.nonzero(np.round(left[k : k + 1024] @ right.T, 6) >= least)
+        for k, hit in near_rows(left, right, enough):
+            at, to = np.nonzero(hit)
             xs.append(i[k + at])
             ys.append(j[to])
         x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))

@@ -264,3 +264,21 @@ def test_postings_travel_once(spark, texts):
     rows = text_index._cut(texts, COLUMNS).select("id", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("count"), "places")))
     plan = text_index._blocks(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning(term") == 1 and "hashpartitioning" not in plan
+
+
+def test_blocks_of_vectors_are_few_however_many_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sent = []
+    for n in (300, 3000):
+        cells = cluster.Cells(_table(spark, rng.normal(size=(n, 8))), 60)
+        rows = cells.paired(cells.rows, 3.2)
+        sent.append(rows.count() / n)
+        met = rows.groupBy("lo", "hi").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        assert met <= 2 * -(-n // 4) + 120
+    assert sent[1] <= 9  # 50 blocks before
+
+
+def test_least_cosine_is_the_first_that_rounds_to_enough():
+    for least in (0.35, 0.994, 0.5, 0.123457):
+        x = cluster.least_cosine(least)
+        assert np.round(x, 6) >= least > np.round(np.nextafter(x, -1), 6)
