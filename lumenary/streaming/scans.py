@@ -2,7 +2,7 @@
 
 The stream brings rows (root_id, scan, rel_path, mtime, size): what scans found, scans of a root numbered upwards, and
 after the last file of a scan one row without a path. State is kept for each file, under its root and one of BUCKETS
-shares of its paths, so a root of any size is spread over tasks; the row that ends a scan goes to all shares of its root,
+shares of its paths, so a root of any size is spread over tasks; a task holds what is known of one share. The row that ends a scan goes to all shares of its root,
 and each goes through its own files. RocksDB keeps them on disk, and a restart goes on where the stream stopped.
 """
 
@@ -18,33 +18,67 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from lumenary.sources.shared import fresh
 
 BUCKETS = 64
+#: Tables that a share's state is in, at most.
+PARTS = 32
 FOUND = "root_id long, scan long, rel_path string, mtime long, size long"
 EVENT = "root_id long, scan long, rel_path string, status string"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(known: dict) -> bytes:
+    """Files by path, (mtime, size, scan) each, as the bytes of an Arrow stream."""
+    import pyarrow as pa
+
+    columns = [pa.array(list(known), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*known.values()))]
+    table, sink = pa.table(columns, ["rel_path", "mtime", "size", "scan"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 class Files(StatefulProcessor):
-    """What is known of the files of a share: mtime, size and the last scan that found them."""
+    """What is known of the files of a share: mtime, size and the last scan that found them.
+
+    It is kept as packed tables. A batch reads those of a share at once and adds one with what it found, of which the later
+    entry of a file counts; they become one when most entries are written over, or there are PARTS of them.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("files", "rel_path string", "mtime long, size long, scan long")
+        self.tables = handle.getListState("tables", "packed binary")
+
+    def _known(self) -> tuple[dict, int, int]:
+        """What is known by path, and how many entries and tables hold it."""
+        import pyarrow as pa
+
+        known, entries, parts = {}, 0, 0
+        for (packed,) in self.tables.get() if self.tables.exists() else ():
+            table = pa.ipc.open_stream(packed).read_all()
+            path, *values = (c.to_pylist() for c in table.columns)
+            known.update(zip(path, zip(*values)))
+            entries, parts = entries + len(path), parts + 1
+        return known, entries, parts
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
         found = pd.concat(list(rows))
-        root, out = int(key[0]), []
+        root, out, new = int(key[0]), [], {}
+        known, entries, parts = self._known()
         for scan, part in found.sort_values("scan").groupby("scan"):  # of a batch that holds several scans, one after the other
+            scan = int(scan)
             here = part[part["rel_path"].notna()].drop_duplicates("rel_path", keep="last")
-            for path, mtime, size in zip(here["rel_path"], here["mtime"].astype("int64"), here["size"].astype("int64")):
-                before = self.known.getValue((path,)) if self.known.containsKey((path,)) else None
-                status = "new" if before is None else "unchanged" if before[:2] == (mtime, size) else "changed"
+            for path, mtime, size in zip(here["rel_path"], here["mtime"].astype("int64").tolist(), here["size"].astype("int64").tolist()):
+                before = known.get(path)
                 if before is None or before[2] < scan:  # a repeated listing says nothing new
-                    out.append((root, int(scan), path, status))
-                    self.known.updateValue((path,), (int(mtime), int(size), int(scan)))
+                    out.append((root, scan, path, "new" if before is None else "unchanged" if before[:2] == (mtime, size) else "changed"))
+                    known[path] = new[path] = (mtime, size, scan)
             if part["rel_path"].isna().any():
-                out += [(root, int(scan), path[0], "missing") for path, value in self.known.iterator() if value[2] < scan]
+                out += [(root, scan, path, "missing") for path, value in known.items() if value[2] < scan]
+        if new and (parts + 1 > PARTS or entries + len(new) > 2 * len(known)):
+            self.tables.put([(_packed(known),)])
+        elif new:
+            self.tables.appendValue((_packed(new),))
         yield pd.DataFrame(out, columns=["root_id", "scan", "rel_path", "status"])
 
     def close(self) -> None:

@@ -189,3 +189,44 @@ def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     assert {g for g in range(6) if before[g] != after[g]} == {1, 5}
     want = {(g, k): 10 * g + k for g in range(4) for k in range(3)} | {(1, 2): -1, (1, 9): -2, (5, 0): -3}
     assert {(r["g"], r["k"]): r["v"] for r in spark.read.parquet(table).collect()} == want
+
+
+def test_state_of_a_scan_is_read_and_written_at_once(monkeypatch):
+    import pandas as pd
+
+    class Table:
+        def __init__(self):
+            self.held, self.calls = [], 0
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            self.calls += 1
+            return iter(self.held)
+
+        def put(self, values):
+            self.calls, self.held = self.calls + 1, list(values)
+
+        def appendValue(self, value):  # noqa: N802
+            self.calls += 1
+            self.held.append(value)
+
+    monkeypatch.setattr(scans, "PARTS", 4)
+    files, table = scans.Files(), Table()
+    files.init(type("Handle", (), {"getListState": lambda self, name, schema: table})())
+
+    def batch(scan, names, end=False):
+        rows = [(1, scan, f"f{i}", 100 + (i == 3) * scan, 5) for i in names] + ([(1, scan, None, None, None)] if end else [])
+        table.calls = 0
+        out = pd.concat(files.handleInputRows((1, 0), iter([pd.DataFrame(rows, columns=["root_id", "scan", "rel_path", "mtime", "size"])]), None))
+        assert table.calls <= 2 and len(table.held) <= 4
+        return out.groupby("status")["rel_path"].count().to_dict()
+
+    assert batch(1, range(1000)) == {"new": 1000}
+    assert batch(1, range(1000), True) == {}
+    assert batch(2, range(500)) == {"unchanged": 499, "changed": 1}
+    for i in range(500, 520):
+        assert batch(2, [i]) == {"unchanged": 1}
+    assert batch(2, [1000], True) == {"new": 1, "missing": 480}
+    assert batch(3, range(1001), True) == {"unchanged": 1000, "changed": 1}
