@@ -14,6 +14,8 @@ from lumenary.sources.shared import checkpoint
 #: How much an occurrence in a column counts.
 WEIGHTS = {"caption": 8.0, "tags": 6.0, "ocr": 3.0, "people": 10.0, "filename": 2.0, "folder": 1.0, "place": 4.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Rows of whole texts that a worker stems at a time: it holds their words as objects, many times the bytes of the texts.
+TEXTS = 500
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -46,7 +48,7 @@ def search(docs: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, las
     cut = docs.select("id", *(stem.stemmed(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in weights))
     size = sum((F.size(c) for c in weights), F.lit(0))
     found = [sum((_occurrences(F.col(c), p, last_is_prefix and i == len(want) - 1) * F.lit(w) for c, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(want)]
-    rows = checkpoint(cut.select("id", size.alias("size"), *found))
+    rows = checkpoint(cut.select("id", size.alias("size"), *found), TEXTS)
     stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(want))))
     held = reduce(Column.__and__, (F.col(f"f{i}") > 0 for i in range(len(want))))
     score = F.lit(0.0)

@@ -34,10 +34,19 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, computed, written in the shared folder and cut off from its lineage."""
-    path = fresh(df.sparkSession, "table")
-    df.write.parquet(path)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def checkpoint(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """`df`, computed, written in the shared folder and cut off from its lineage; workers get `batch` rows at a time at most."""
+    path, spark = fresh(df.sparkSession, "table"), df.sparkSession
+    before = spark.conf.get(_BATCH)
+    if batch and not 0 < int(before) <= batch:
+        spark.conf.set(_BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

@@ -282,3 +282,19 @@ def test_least_cosine_is_the_first_that_rounds_to_enough():
     for least in (0.35, 0.994, 0.5, 0.123457):
         x = cluster.least_cosine(least)
         assert np.round(x, 6) >= least > np.round(np.nextafter(x, -1), 6)
+
+
+def test_whole_texts_are_stemmed_a_few_at_a_time(spark, monkeypatch):
+    from pyspark.sql.types import ArrayType, StringType
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def rows(texts):
+        return texts.map(lambda _: [str(len(texts))] * 2)
+
+    monkeypatch.setattr(fulltext.stem, "stemmed", rows)
+    before, held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    monkeypatch.setattr(fulltext, "checkpoint", lambda df, *a: held.append(shared.checkpoint(df, *a)) or held[-1])
+    docs = spark.range(0, 3000, 1, 1).select("id", F.lit("x").alias("caption"))
+    fulltext.search(docs, str(fulltext.TEXTS), {"caption": 1.0})
+    assert held[0].where("f0 > 0").count() == 3000  # each in a batch of TEXTS rows
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
