@@ -64,15 +64,21 @@ def _blocks() -> list[tuple[int, int]]:
     return out
 
 
-def _near(width: int, distance: int) -> list[int]:
-    """All masks of `width` bits with at most `distance` bits set."""
-    from itertools import combinations
+def _near(width: str, distance: int) -> Column:
+    """All masks of `width` bits with at most `distance` bits set; made where they are used, as lists of them are long in a plan."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {width})") - 1), lambda m: F.bit_count(m) <= distance)
 
-    return [sum(1 << i for i in c) for d in range(distance + 1) for c in combinations(range(width), d)]
 
+def _places(fingerprint: str) -> Column:
+    """Of a fingerprint: block, width and value of each of its blocks."""
+    value = lambda shift, width: F.shiftrightunsigned(fingerprint, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
+    return F.array(*(F.struct(F.lit(b).alias("block"), F.lit(n).alias("width"), value(s, n).alias("value")) for b, (s, n) in enumerate(_blocks())))
 
-def _cut(fingerprint: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
+
+def _slot(size: str, block: str, value) -> Column:
+    """Size of a window, block and value of it as one number, by which rows meet."""
+    value = F.col(value) if isinstance(value, str) else value
+    return ((F.col(size).cast("long") * BLOCKS + F.col(block)) * F.lit(1 << (-(-64 // BLOCKS))) + value).alias("slot")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 75, radius: int = RADIUS, keep_key: bool = False) -> DataFrame:
@@ -124,20 +130,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     window = window.select("rid", "doc_id", "size", "n", "k", "ws", F.explode(starts).alias("s")).where("n >= k")
     grams = window.select("rid", "doc_id", "size", "n", "s", F.expr("transform(sequence(s + 1, s + 1 + n - k), i -> slice(ws, i, k))").alias("gs"))
     grams = grams.select("rid", "doc_id", "size", "n", "s", F.explode("gs").alias("g")).select("rid", "doc_id", "size", "n", "s", F.xxhash64("g").alias("h"), _weight(F.col("g")).alias("w"))
-    prints = _fingerprint(grams, ["rid", "doc_id", "size", "n", "s"])
-    item_prints = _fingerprint(items.select("item_id", "size", "h", "w"), ["item_id", "size"]).select("item_id", "size", F.col("fingerprint").alias("item_print"), F.col("weight").alias("item_weight"))
+    # Both kinds of fingerprints are written: 64 conditions each would otherwise stand in the plan again for every block.
+    prints = T.checkpoint(_fingerprint(grams, ["rid", "doc_id", "size", "n", "s"]))
+    item_prints = T.checkpoint(_fingerprint(items.select("item_id", "size", "h", "w"), ["item_id", "size"]).select("item_id", "size", F.col("fingerprint").alias("item_print"), F.col("weight").alias("item_weight")))
 
     # Multi-index: the items under every value near to theirs in each block.
-    entries = None
-    for b, (shift, bits_) in enumerate(_blocks()):
-        part = item_prints.select("*", F.lit(b).alias("block"), F.explode(F.lit(_near(bits_, radius // BLOCKS))).alias("mask"))
-        part = part.withColumn("value", _cut(F.col("item_print"), shift, bits_).bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
-        entries = part if entries is None else entries.unionByName(part)
-    blocks = F.array(*(F.struct(F.lit(b).alias("block"), _cut(F.col("fingerprint"), s, n).alias("value")) for b, (s, n) in enumerate(_blocks())))
-    wide = prints.withColumn("x", F.explode(blocks)).select("rid", "doc_id", "size", "n", "s", "fingerprint", "weight", "x.block", "x.value")
-    pairs = wide.join(entries, ["size", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
+    entries = item_prints.select("item_id", "size", "item_print", "item_weight", F.explode(_places("item_print")).alias("x"))
+    entries = entries.withColumn("mask", F.explode(_near("x.width", radius // BLOCKS)))
+    entries = entries.select(_slot("size", "x.block", F.col("x.value").bitwiseXOR(F.col("mask"))), "item_id", "item_print", "item_weight")
+    wide = prints.select("rid", "doc_id", "size", "n", "s", "fingerprint", "weight", F.explode(_places("fingerprint")).alias("x")).withColumn("slot", _slot("size", "x.block", "x.value")).drop("x")
+    pairs = wide.join(entries, "slot").withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
     pairs = pairs.where(F.col("hamming") <= radius).select("rid", "doc_id", "size", "n", "s", "weight", "item_id", "item_weight", "hamming").distinct()
     pairs = T.checkpoint(pairs)
+    T.release(prints)
 
     # Exact: shingle multisets of the candidates.
     again = texts.join(pairs.select("rid", "size", "n", "s").distinct(), "rid").withColumn("k", F.least("size", F.lit(width)))

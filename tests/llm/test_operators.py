@@ -285,3 +285,17 @@ def test_neighbours_among_hundreds_of_lists(spark, monkeypatch, split):
         least = np.sort(np.delete(s, q))[-20] - 1e-9
         hits += sum(score >= least for _, _, score in found)
     assert hits >= 0.9 * 20 * len(got)
+
+
+def test_decontaminate_plans_stay_short(spark, docs, monkeypatch):
+    """The driver plans fingerprints and near values once, not once for each block: its memory went beyond the limit by that."""
+    lengths, write = [], decontaminate.T.checkpoint
+
+    def measured(df):
+        lengths.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(decontaminate.T, "checkpoint", measured)
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    decontaminate.clean(docs, items)
+    assert max(lengths) < 30_000, lengths
