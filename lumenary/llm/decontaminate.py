@@ -25,6 +25,9 @@ BLOCKS = 6
 #: Benchmark shingles that are looked up at a time (some 100 bytes each are broadcast); more need more passes over the texts.
 LOOKED_UP = 300_000
 SPLIT = r"[\x20\x09-\x0D]+"
+#: Windows that are fingerprinted, and shingles of candidates that are counted, by one task, about: so that a task's tables don't grow with the input.
+TASK_WINDOWS = 50_000
+TASK_SHINGLES = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -75,6 +78,11 @@ def _places(fingerprint: str) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), F.lit(n).alias("width"), value(s, n).alias("value")) for b, (s, n) in enumerate(_blocks())))
 
 
+def _tasks(rows: int | None, each: int) -> int:
+    """Partitions of about `each` rows; their number is fixed, so that Spark doesn't put them together by their bytes."""
+    return max(1, -(-(rows or 0) // each))
+
+
 def _slot(size: str, block: str, value) -> Column:
     """Size of a window, block and value of it as one number, by which rows meet."""
     value = F.col(value) if isinstance(value, str) else value
@@ -121,15 +129,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
 
     # Windows of the items' sizes around the hits, in the few documents that are left: a bitmap drops the others.
     some = T.marked(docs, "rid", likely.select("rid"), "likely").where("likely")
-    texts = some.select("rid", "doc_id", _words(F.col("text")).alias("ws")).dropDuplicates(["rid"])
+    texts = T.checkpoint(some.select("rid", "doc_id", _words(F.col("text")).alias("ws")).dropDuplicates(["rid"]))
     sizes = likely.select("rid", "item_id", "size", "k").join(own.select("item_id", "h").distinct(), "item_id").join(hits, ["rid", "h"])
-    spots = sizes.groupBy("rid", "size", "k").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    window = texts.join(spots, "rid").withColumn("n", F.least("size", F.size("ws")))
+    spots = T.checkpoint(sizes.groupBy("rid", "size", "k").agg(F.array_sort(F.collect_set("p")).alias("ps")))
+    # Each hit but the first adds the starts between it and the one before, as many as a window has places for it at most.
+    new = F.expr("size - k + 1 + aggregate(transform(slice(ps, 2, size(ps)), (p, i) -> least(p - ps[i], size - k + 1)), 0L, (a, x) -> a + x)")
+    n_tasks = _tasks(spots.agg(F.sum(new)).first()[0], TASK_WINDOWS)
+    window = texts.repartition(n_tasks, "rid").join(spots.repartition(n_tasks, "rid").hint("merge"), "rid").withColumn("n", F.least("size", F.size("ws")))
+    # Shingles are hashed and weighed once a document, and cut into windows by their places.
+    hashed = "transform(if(size(ws) >= k, sequence(1, size(ws) - k + 1), array()), i -> {})"
+    grams = F.expr(hashed.format("named_struct('h', xxhash64(slice(ws, i, k)), 'w', cast(char_length(array_join(slice(ws, i, k), '')) as bigint))"))
     # All starts of windows that hold one of the hits, each once.
-    starts = F.expr("array_distinct(flatten(transform(ps, p -> sequence(greatest(0, p + k - n), least(p, size(ws) - n)))))")
-    window = window.select("rid", "doc_id", "size", "n", "k", "ws", F.explode(starts).alias("s")).where("n >= k")
-    grams = window.select("rid", "doc_id", "size", "n", "s", F.expr("transform(sequence(s + 1, s + 1 + n - k), i -> slice(ws, i, k))").alias("gs"))
-    grams = grams.select("rid", "doc_id", "size", "n", "s", F.explode("gs").alias("g")).select("rid", "doc_id", "size", "n", "s", F.xxhash64("g").alias("h"), _weight(F.col("g")).alias("w"))
+    starts = F.expr("array_distinct(flatten(transform(ps, p -> sequence(greatest(0, p + k - n), least(p, n_words - n)))))")
+    window = window.where("n >= k").select("rid", "doc_id", "size", "n", "k", "ps", F.size("ws").alias("n_words"), grams.alias("gs"))
+    window = window.select("rid", "doc_id", "size", "n", "k", "gs", F.explode(starts).alias("s"))
+    grams = window.select("rid", "doc_id", "size", "n", "s", F.explode(F.expr("slice(gs, s + 1, n - k + 1)")).alias("g")).select("rid", "doc_id", "size", "n", "s", "g.h", "g.w")
     # Both kinds of fingerprints are written: 64 conditions each would otherwise stand in the plan again for every block.
     prints = T.checkpoint(_fingerprint(grams, ["rid", "doc_id", "size", "n", "s"]))
     item_prints = T.checkpoint(_fingerprint(items.select("item_id", "size", "h", "w"), ["item_id", "size"]).select("item_id", "size", F.col("fingerprint").alias("item_print"), F.col("weight").alias("item_weight")))
@@ -145,8 +159,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     T.release(prints)
 
     # Exact: shingle multisets of the candidates.
-    again = texts.join(pairs.select("rid", "size", "n", "s").distinct(), "rid").withColumn("k", F.least("size", F.lit(width)))
-    again = again.select("rid", "size", "s", F.explode(F.expr("transform(sequence(s + 1, s + 1 + n - k), i -> xxhash64(slice(ws, i, k)))")).alias("h"))
+    some = pairs.groupBy("rid", "size", "n").agg(F.collect_set("s").alias("ss")).withColumn("k", F.least("size", F.lit(width)))
+    n_tasks = _tasks(some.agg(F.sum(F.expr("size(ss) * cast(n - k + 1 as bigint)"))).first()[0], TASK_SHINGLES)
+    again = texts.repartition(n_tasks, "rid").join(some.repartition(n_tasks, "rid").hint("merge"), "rid")
+    again = again.select("rid", "size", "n", "k", "ss", F.expr(hashed.format("xxhash64(slice(ws, i, k))")).alias("hs")).select("rid", "size", "n", "k", "hs", F.explode("ss").alias("s"))
+    again = again.select("rid", "size", "s", F.explode(F.expr("slice(hs, s + 1, n - k + 1)")).alias("h"))
+    if passes == 1:  # only shingles of the benchmark can be common; so few are broadcast
+        again = again.join(F.broadcast(own.select("h").distinct()), "h", "left_semi")
     again = again.groupBy("rid", "size", "s", "h").agg(F.count("*").alias("n1"))
     common = pairs.join(again, ["rid", "size", "s"]).join(own.select("item_id", "h", "w", "c"), ["item_id", "h"])
     common = common.groupBy("rid", "doc_id", "item_id", "s", "n", "weight", "item_weight", "hamming").agg(F.sum(F.col("w") * F.least("n1", "c")).alias("both"))

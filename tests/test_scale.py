@@ -298,3 +298,23 @@ def test_whole_texts_are_stemmed_a_few_at_a_time(spark, monkeypatch):
     fulltext.search(docs, str(fulltext.TEXTS), {"caption": 1.0})
     assert held[0].where("f0 > 0").count() == 3000  # each in a batch of TEXTS rows
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_decontamination_deals_windows_by_their_number(spark, monkeypatch):
+    from lumenary.llm import decontaminate
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "TASK_WINDOWS", 20)
+    monkeypatch.setattr(decontaminate, "TASK_SHINGLES", 20)
+    dealt, kind = [], type(benchmark)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: dealt.append(n) or plain(self, n, *by))
+    tasks = {}
+    for n in (5, 20):
+        dealt.clear()
+        docs = spark.createDataFrame([(i, f"before {i} it {item} after") for i in range(n)], "doc_id long, text string")
+        found = decontaminate.contaminated(docs, benchmark).collect()
+        assert sorted((r.doc_id, r.start_word, r.similarity) for r in found) == [(i, 3, 1.0) for i in range(n)]
+        tasks[n] = list(dealt)
+    assert len(tasks[5]) == 4 and min(tasks[5]) >= 1 and all(b >= 3 * a for a, b in zip(tasks[5], tasks[20]))
