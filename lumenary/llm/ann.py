@@ -210,26 +210,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float | Non
             return np.column_stack([v * np.sqrt(longest / size)[:, None], np.zeros(len(v))]).astype(np.float32)
         return np.column_stack([v, np.sqrt(np.maximum(longest - size, 0))]).astype(np.float32)
 
-    def placed(ratio: float, most: int, counts=None):
-        query = counts is not None
-
-        @F.pandas_udf("array<struct<list: int, far: float>>")
-        def lists_of(v: pd.Series) -> pd.Series:
-            c, links, _ = index.value
-            out = []
-            for k in range(0, len(v), TOGETHER):
-                q = lifted(np.stack(v.iloc[k : k + TOGETHER].to_numpy()).astype(np.float64), query)
-                for x, dist in zip(q, _walk(q, c, links, ratio)):
-                    found = _chosen(dist, ratio, most)
-                    if query:
-                        found = _widen(found, x, c, counts.value, FLOOR * (k_all + 1))
-                    out.append([{"list": int(i), "far": float(np.square(c[i] - x).sum())} for i in found])
-            return pd.Series(out)
-
-        return lists_of
-
-    k_all = k
-    stored = same.select("vid", "v", F.posexplode(placed(BOUNDARY, REPLICAS)("v")).alias("place", "x")).select("vid", "v", "place", "x.list")
+    @F.pandas_udf("array<int>")
+    def lists_of(v: pd.Series) -> pd.Series:
+        c, links, _ = index.value
+        out = []
+        for k in range(0, len(v), TOGETHER):
+            q = lifted(np.stack(v.iloc[k : k + TOGETHER].to_numpy()).astype(np.float64), False)
+            out += [_chosen(dist, BOUNDARY, REPLICAS).astype(np.int32) for dist in _walk(q, c, links, BOUNDARY)]
+        return pd.Series(out)
+
+    stored = same.select("vid", "v", F.posexplode(lists_of("v")).alias("place", "list"))
     stored = T.checkpoint(stored)
     # Lists in groups of GROUP_ROWS about; MOST_LISTS rows at most.
     plan, group, held, large = [], 0, 0, []
@@ -243,27 +233,51 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float | Non
             group, held = group + 1, 0
         plan.append((r["list"], group))
         held += r["n"]
-    counts = spark.sparkContext.broadcast(firsts)
+    # The group of each list; a list that will be cut stands for itself, and one without rows for nothing.
+    groups = np.full(lists, lists, np.int64)
+    for name, *rest in plan:
+        groups[name] = rest[0]
+    for name, *_ in large:
+        groups[name] = -1 - name
+    counts = spark.sparkContext.broadcast((firsts, groups))
     plan = F.broadcast(spark.createDataFrame(plan, "list int, group long"))
     block = stored.join(plan, "list").select(F.col("list").cast("long").alias("list"), "group", "vid", "v")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(*each).agg(F.first("v").alias("v")).withColumnRenamed("vec_id", "query_id")
     asked = T.checkpoint(asked.join(same.select("a", "b", F.col("vid").alias("own")), ["a", "b"]).select("query_id", "v", "own"))
     distinct = asked.groupBy("own").agg(F.first("v").alias("v"))
-    probes = distinct.select("own", "v", F.explode(placed(probe, MOST_LISTS, counts)("v")).alias("x")).select("own", "v", "x.list", "x.far")
+
+    def probing(parts):
+        """A row for each query and group that it probes, with the lists; a row for each list alone would be most of all pairs where no clusters are."""
+        c, links, _ = index.value
+        firsts, groups = counts.value
+        for pdf in parts:
+            for at in range(0, len(pdf), TOGETHER):
+                some, out = pdf.iloc[at : at + TOGETHER], []
+                q = lifted(np.stack(some["v"].to_numpy()).astype(np.float64), True)
+                for own, v, x, dist in zip(some["own"], some["v"], q, _walk(q, c, links, probe)):
+                    found = _widen(_chosen(dist, probe, MOST_LISTS), x, c, firsts, FLOOR * (k + 1))
+                    found = found[groups[found] < len(groups)]
+                    found = found[np.argsort(groups[found], kind="stable")]
+                    names, starts = np.unique(groups[found], return_index=True)
+                    for name, held in zip(names.tolist(), np.split(found.astype(np.int64), starts[1:])):
+                        out.append((own, v, name, held, float(np.square(c[held] - x).sum(1).min())))
+                yield pd.DataFrame(out, columns=["own", "v", "group", "lists", "far"]).astype({"own": "int64", "group": "int64", "far": "float32"})
+
+    probes = distinct.select("own", "v").mapInPandas(probing, "own long, v array<double>, group long, lists array<long>, far float")
     if large:
         cells = F.broadcast(spark.createDataFrame(large, "list int, parts int, shards int, n long"))
         probes = T.checkpoint(probes)
-        more, into = _split(stored.join(cells, "list"), probes.join(cells, "list"), lifted, probe, FLOOR * (k + 1))
+        cut = probes.where("group < 0").select("own", "v", F.element_at("lists", 1).cast("int").alias("list"))
+        more, into = _split(stored.join(cells, "list"), cut.join(cells, "list"), lifted, probe, FLOOR * (k + 1))
         block = block.unionByName(more)
-        small = probes.join(plan, "list").select("own", "v", F.col("list").cast("long").alias("list"), "group", "far", F.lit(0).cast("long").alias("held"))
-        every_probe = small.unionByName(into)
+        small = probes.where("group >= 0").withColumn("held", F.lit(0).cast("long"))
+        every_probe = small.unionByName(into.withColumn("lists", F.array("list")).drop("list"))
         # Of the parts of all lists those that the ratio selects, and the nearest until they hold enough.
         near = W.partitionBy("own")
-        before = F.sum("held").over(near.orderBy("far", "list").rowsBetween(W.unboundedPreceding, -1))
+        before = F.sum("held").over(near.orderBy("far", F.element_at("lists", 1)).rowsBetween(W.unboundedPreceding, -1))
         probes = every_probe.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("least", F.min("far").over(near)).where((F.col("far") <= F.col("least") * probe) | (F.col("before") < FLOOR * (k + 1)) | (F.col("held") == 0))
-    else:
-        probes = probes.join(plan, "list").select("own", "v", F.col("list").cast("long").alias("list"), "group")
-    probes = probes.groupBy("group", "own").agg(F.first("v").alias("q"), F.collect_list("list").alias("lists")).toDF("q_group", "own", "q", "lists")
+        probes = probes.groupBy("group", "own").agg(F.first("v").alias("v"), F.flatten(F.collect_list("lists")).alias("lists"))
+    probes = probes.select("group", "own", "v", "lists").toDF("q_group", "own", "q", "lists")
 
     def compare(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         """The best of one group for each query that probes it: k + 1 different vectors, as its own may be among them."""
@@ -335,7 +349,7 @@ def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: in
     def assign(key: tuple, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out = {"list": [], "group": [], "vid": [], "v": []}
         if len(rows):
-            c, names = np.stack(cs["c"].to_numpy()), cs["part"].to_numpy()
+            c, names = np.stack(cs["c"].to_numpy()), cs["part"].to_numpy().astype(np.int64)
             for k in range(0, len(rows), 4096):
                 some = rows.iloc[k : k + 4096]
                 d = _apart(lifted(np.stack(some["v"].to_numpy()).astype(np.float64), False), c)
@@ -358,7 +372,7 @@ def _split(stored: DataFrame, probes: DataFrame, lifted, probe: float, least: in
     def choose(key: tuple, rows: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out = {"own": [], "v": [], "list": [], "group": [], "far": [], "held": []}
         if len(rows) and len(cs):
-            c, names, part, n = np.stack(cs["c"].to_numpy()), cs["name"].to_numpy(), cs["part"].to_numpy(), cs["held"].to_numpy()
+            c, names, part, n = np.stack(cs["c"].to_numpy()), cs["name"].to_numpy(), cs["part"].to_numpy().astype(np.int64), cs["held"].to_numpy()
             for k in range(0, len(rows), 1024):
                 some = rows.iloc[k : k + 1024]
                 d = _apart(lifted(np.stack(some["v"].to_numpy()).astype(np.float64), True), c)

@@ -184,3 +184,15 @@ def test_neighbours_without_clusters(spark, dim, norms):
         s[q] = -np.inf
         hits += len(set(np.argpartition(-s, 20)[:20]) & set(g["vec_id"]))
     assert hits / 8000 >= 0.93
+
+
+def test_lists_of_high_numbers_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    monkeypatch.setattr(ann, "SPLIT", 6)
+    x = np.random.default_rng(3).standard_normal((1000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: set([i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:5]) for q in range(0, 1000, 20)}
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
